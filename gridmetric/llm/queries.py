@@ -1,6 +1,7 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
-from gridmetric.llm import ann, audio, bpe, langid, linededup, lm, minhash, packing, urls
+import corpus_pipeline
+from gridmetric.llm import ann, audio, bpe, langid, linededup, lm, minhash, packing, secrets, urls
 
 
 def queries():
@@ -9,11 +10,13 @@ def queries():
         "op2_audio_features": audio.op2_audio_features,
         "op3_url_filter": urls.op3_url_filter,
         "op4_one_bit_neighbours": ann.op4_one_bit_neighbours,
+        "op5_secret_scan": secrets.op5_secret_scan,
         "op6_bottom_k_dedup": minhash.op6_bottom_k_dedup,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_language_id": langid.op8_language_id,
         "op9_line_dedup": linededup.op9_line_dedup,
         "op10_packing": packing.op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
