@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from gridmetric.llm.common import pieces, table, texts
+from gridmetric.llm.common import MB, pieces, table
 from gridmetric.llm.tokens import word_tokenizer
 
 
@@ -142,9 +142,9 @@ def pack_tokens(docs: DataFrame, tokenizer_file: bytes, id_col: str = "doc_id",
             kinds = [arrow_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) if k else pa.array(c) for c, k in zip(cols, kinds)], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in pieces(batches, "text", 4 << 20):
-            flat, sizes = tokenizer.encode(texts(batch, "text"))
-            flat, ends = flat.astype("<u4"), np.cumsum(sizes)
+        for batch in pieces(batches, "text", 16 * MB):
+            flat, sizes = tokenizer.encode(batch.column("text"))
+            ends = np.cumsum(sizes)
             bears = batch.column("bears").to_pylist()
             full = []
             for doc, a, b, yes in zip(batch.column("id").to_pylist(), (ends - sizes).tolist(), ends.tolist(), bears):

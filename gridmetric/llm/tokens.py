@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import os
-import re
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-from gridmetric.llm.common import dictionary, gather_ragged
+from gridmetric.llm.common import gather_ragged
 
-#: Cuts on plain spaces and line breaks alone; other white space stays for the tokenizer's own rules.
-_CUT = re.compile(r"[ \n]+")
-#: Remembered words of one worker; the memory is emptied beyond that.
-REMEMBERED = 300_000
+#: Marks that may follow a word; an apostrophe isn't one of them, as the pattern knows its contractions.
+_MARKS = ".,;:!?|)\"*"
+#: Parts that a worker remembers in each of two generations.
+REMEMBERED = 400_000
 
 
 class WordTokenizer:
-    """Ids of a text are those of its words end to end, as the file's BPE never crosses white space and drops it."""
+    """Ids of a text are those of its words end to end, as the file's BPE never crosses white space and drops it.
+
+    A word of letters with punctuation after it is two parts to the file's pattern, so the letters are looked up alone, in lower case.
+    """
 
     def __init__(self, file: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -27,31 +30,55 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_buffer(file)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}  # ids of parts that were met lately,
+        self.old: dict[str, bytes] = {}  # and of those met before
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [w for w in words if w not in known]
+    def encode_parts(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids, as little-endian unsigned 32-bit integers, of parts that stand between white space."""
+        young, old = self.young, self.old
+        if len(young) > REMEMBERED:
+            self.old, self.young = young, old = {}, young  # the parts not met since the last turn go
+        out, new = {}, []
+        for p in parts:
+            got = young.get(p)
+            if got is None:
+                got = old.get(p)
+                if got is None:
+                    new.append(p)
+                    continue
+                young[p] = got
+            out[p] = got
         for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = tuple(e.ids)
-        return [known[w] for w in words]
-
-    def encode(self, batch_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and how many each has."""
-        if not batch_texts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = [t.split() if t.isascii() else _CUT.split(t) for t in batch_texts]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        codes, words = dictionary(list(chain.from_iterable(found)), pa.large_string())
-        runs = self.encode_words(words)
-        counts = np.fromiter(map(len, runs), np.int64, len(runs))
-        flat = np.fromiter(chain.from_iterable(runs), np.int64, int(counts.sum()))
+            some = new[k : k + 20_000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                out[p] = young[p] = array("I", e.ids).tobytes()
+        return out
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        cut = []
+        for w in words:
+            letters = w.rstrip(_MARKS)
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0180"):
+                cut.append((letters.lower(), w[len(letters) :]))
+            else:
+                cut.append((w, ""))
+        ids = self.encode_parts({p for pair in cut for p in pair if p})
+        ids[""] = b""
+        return [ids[p] + ids[q] if q else ids[p] for p, q in cut]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (string array; null: empty) end to end, and how many each has."""
+        if len(column) == 0:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        spaced = pc.replace_substring(pc.fill_null(column, "").cast(pa.large_string()), "\n", " ")
+        found = pc.split_pattern(spaced, " ")
+        coded = found.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        runs = self.encode_words(coded.dictionary.to_pylist())
+        counts = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        flat = np.frombuffer(b"".join(runs), "<u4")
         ids = flat[gather_ragged(np.cumsum(counts) - counts, counts, codes)]
-        ends = np.concatenate([[0], np.cumsum(counts[codes])])[np.cumsum(sizes)]
+        ends = np.concatenate([[0], np.cumsum(counts[codes])])[np.asarray(found.offsets)[1:] - found.offsets[0].as_py()]
         return ids, np.diff(ends, prepend=0)
 
 
