@@ -27,7 +27,7 @@ def paired_deltas(df: DataFrame, pair, preset: str, baseline: str, value: str, b
     """Differences from the baseline preset on equal pairs, summed up by group; the baseline itself is left out."""
     base = df.where(F.col(preset) == baseline).select(*pair, F.col(value).alias("_base"))
     d = df.where(F.col(preset) != baseline).join(base, list(pair)).withColumn("delta", F.col(value) - F.col("_base"))
-    return d.groupBy(*by).agg(F.count("*").alias("n_pairs"), *(F.round(f("delta"), 9).alias(f"delta_{n}") for f, n in ((F.avg, "mean"), (F.median, "median"), (F.stddev_samp, "std"), (F.min, "min"), (F.max, "max"))), F.count_if(F.col("delta") > 0).alias("n_better"))
+    return d.groupBy(*by).agg(F.count("*").alias("n_pairs"), *(F.round(f("delta"), 11).alias(f"delta_{n}") for f, n in ((F.avg, "mean"), (F.median, "median"), (F.stddev_samp, "std"), (F.min, "min"), (F.max, "max"))), F.count_if(F.col("delta") > 0).alias("n_better"))
 
 
 def suffix_gain(df: DataFrame, by, preset: str, suffix: str, value: str) -> DataFrame:

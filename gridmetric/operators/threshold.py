@@ -28,7 +28,7 @@ def _differences(rows: DataFrame, by, peaks: DataFrame) -> DataFrame:
     """Per pair and threshold: the peak's value less the value."""
     with_peak = rows.join(peaks, list(by))
     w = Window.partitionBy(*by, "pair")
-    return with_peak.withColumn("d", F.max(F.when(F.col("t_idx") == F.col("peak_idx"), F.col("value"))).over(w) - F.col("value"))
+    return with_peak.withColumn("_d", F.max(F.when(F.col("t_idx") == F.col("peak_idx"), F.col("value"))).over(w) - F.col("value"))
 
 
 def tost(rows: DataFrame, by, delta: float = 0.01, alpha: float = 0.05) -> DataFrame:
@@ -38,16 +38,16 @@ def tost(rows: DataFrame, by, delta: float = 0.01, alpha: float = 0.05) -> DataF
     and with fewer than five pairs all are.
     """
     peaks = peak(curve(rows, by), by)
-    g = _differences(rows, by, peaks).groupBy(*by, "t_idx", "threshold", "peak_idx").agg(F.avg("d").alias("m"), F.stddev_samp("d").alias("s"), F.count("d").alias("n"))
+    g = _differences(rows, by, peaks).groupBy(*by, "t_idx", "threshold", "peak_idx").agg(F.avg("_d").alias("_m"), F.stddev_samp("_d").alias("_s"), F.count("_d").alias("_n"))
     all_ = Window.partitionBy(*by)
-    se = F.col("s") / F.sqrt("n")
-    t = lambda shift: F.when(se > 0, (F.col("m") + shift) / se).otherwise(F.when(F.col("m") + shift > 0, float("inf")).when(F.col("m") + shift < 0, float("-inf")).otherwise(0.0))
-    df = (F.col("n") - 1).cast("double")
-    p = g.withColumn("skipped", F.max("n").over(all_) < 5).withColumn("cut", F.lit(alpha) / F.greatest(F.count("*").over(all_) - 1, F.lit(1)))
+    se = F.col("_s") / F.sqrt("_n")
+    t = lambda shift: F.when(se > 0, (F.col("_m") + shift) / se).otherwise(F.when(F.col("_m") + shift > 0, float("inf")).when(F.col("_m") + shift < 0, float("-inf")).otherwise(0.0))
+    df = (F.col("_n") - 1).cast("double")
+    p = g.withColumn("skipped", F.max("_n").over(all_) < 5).withColumn("_cut", F.lit(alpha) / F.greatest(F.count("*").over(all_) - 1, F.lit(1)))
     p = p.withColumn("p_lower", t_cdf(t(-delta), df)).withColumn("p_upper", 1 - t_cdf(t(delta), df))
     at_peak = F.col("t_idx") == F.col("peak_idx")
     value = lambda c: F.when(F.col("skipped"), None).when(at_peak, 1.0).otherwise(F.round(c, 9)).alias(c)
-    ok = F.col("skipped") | at_peak | ((F.col("p_lower") < F.col("cut")) & (F.col("p_upper") < F.col("cut")))
+    ok = F.col("skipped") | at_peak | ((F.col("p_lower") < F.col("_cut")) & (F.col("p_upper") < F.col("_cut")))
     return p.select(*by, "t_idx", "threshold", value("p_lower"), value("p_upper"), ok.alias("equivalent"), "skipped", "peak_idx")
 
 
@@ -66,8 +66,8 @@ def low_cv_interval(curve_: DataFrame, by) -> DataFrame:
     """by, low, high (t_idx): run around the peak where std / mean is at or below its 25th percentile; null where the mean isn't positive."""
     cv = F.when(F.col("mean") > 0, F.round(F.col("std") / F.col("mean"), 9))
     x = curve_.withColumn("cv", cv)
-    cut = x.groupBy(*by).agg(F.percentile("cv", F.lit(0.25)).alias("cut"))
-    flagged = x.join(cut, list(by)).join(peak(curve_, by), list(by)).withColumn("flag", F.col("cv") <= F.round(F.col("cut"), 9))
+    cut = x.groupBy(*by).agg(F.percentile("cv", F.lit(0.25)).alias("_cut"))
+    flagged = x.join(cut, list(by)).join(peak(curve_, by), list(by)).withColumn("flag", F.col("cv") <= F.round(F.col("_cut"), 9))
     return contiguous_interval(flagged, by, "t_idx", "flag", "peak_idx")
 
 
@@ -81,20 +81,20 @@ def recommend(rows: DataFrame, by, delta: float = 0.01, alpha: float = 0.05, def
     inside = (F.col("t_idx") >= F.greatest("tost_low", "lv_low")) & (F.col("t_idx") <= F.least("tost_high", "lv_high"))
     best = F.max(F.when(inside, F.struct("mean", (-F.col("t_idx")).alias("neg"), "threshold"))).alias("best")
     at = lambda i, name: F.max(F.when(F.col("t_idx") == F.col(i), F.col("threshold"))).alias(name)
-    first = F.min(F.when(F.col("threshold") >= default - 1e-12, F.struct("t_idx", "threshold", "mean"))).alias("d")
+    first = F.min(F.when(F.col("threshold") >= default - 1e-12, F.struct("t_idx", "threshold", "mean"))).alias("_d")
     picked = x.groupBy(*by).agg(best, at("tost_low", "tost_low_t"), at("tost_high", "tost_high_t"), at("lv_low", "lv_low_t"), at("lv_high", "lv_high_t"), first)
     risk = risk_adjusted(c, by, (1.0,)).select(*by, F.col("t_idx").alias("risk_idx"), F.col("threshold").alias("risk_t"))
     base = picked.join(peaks, list(by)).join(risk, list(by)).join(c.select(*by, F.col("t_idx").alias("risk_idx"), F.col("mean").alias("risk_mean")), [*by, "risk_idx"])
-    diffs = _differences(rows, by, peaks).join(picked.select(*by, F.col("d.t_idx").alias("t_idx")), [*by, "t_idx"]).groupBy(*by).agg(
-        F.count_if(F.col("d") > 0).alias("n_pos"), F.count("d").alias("n"), F.avg("d").alias("m"), (F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("se"))
-    half = F.when(F.col("n") > 1, t_ppf(F.lit(0.975), (F.col("n") - 1).cast("double")) * F.col("se")).otherwise(0.0)
+    diffs = _differences(rows, by, peaks).join(picked.select(*by, F.col("_d.t_idx").alias("t_idx")), [*by, "t_idx"]).groupBy(*by).agg(
+        F.count_if(F.col("_d") > 0).alias("n_pos"), F.count("_d").alias("_n"), F.avg("_d").alias("_m"), (F.stddev_samp("_d") / F.sqrt(F.count("_d"))).alias("_se"))
+    half = F.when(F.col("_n") > 1, t_ppf(F.lit(0.975), (F.col("_n") - 1).cast("double")) * F.col("_se")).otherwise(0.0)
     found = F.col("best").isNotNull()
-    out = base.join(diffs.withColumn("half", half), list(by))
+    out = base.join(diffs.withColumn("_half", half), list(by))
     mean = F.coalesce("best.mean", "risk_mean")
     return out.select(
         *by, "peak_threshold", "peak_mean", F.coalesce("best.threshold", "risk_t").alias("recommended_t"), mean.alias("recommended_mean"), F.round(F.col("peak_mean") - mean, 9).alias("loss_vs_peak"),
         format_interval("tost_low_t", "tost_high_t").alias("tost_interval"), format_interval("lv_low_t", "lv_high_t").alias("low_var_interval"), found.alias("intersection_found"),
         F.when(found, "TOST+low-var intersection").otherwise("risk-adjusted (no intersection)").alias("justification"),
-        F.lit(default).between(F.col("tost_low_t"), F.col("tost_high_t")).alias("default_in_tost"), F.round(F.col("peak_mean") - F.col("d.mean"), 4).alias("loss_at_default"),
-        F.concat_ws("/", F.col("n_pos").cast("string"), F.col("n").cast("string")).alias("sign_consistency"),
-        F.concat(format_signed("m"), F.lit(" ["), format_signed(F.col("m") - F.col("half")), F.lit(", "), format_signed(F.col("m") + F.col("half")), F.lit("]")).alias("mean_signed_diff"))
+        F.lit(default).between(F.col("tost_low_t"), F.col("tost_high_t")).alias("default_in_tost"), F.round(F.col("peak_mean") - F.col("_d.mean"), 4).alias("loss_at_default"),
+        F.concat_ws("/", F.col("n_pos").cast("string"), F.col("_n").cast("string")).alias("sign_consistency"),
+        F.concat(format_signed("_m"), F.lit(" ["), format_signed(F.col("_m") - F.col("_half")), F.lit(", "), format_signed(F.col("_m") + F.col("_half")), F.lit("]")).alias("mean_signed_diff"))

@@ -50,14 +50,14 @@ def missing_prediction_anti(spark, sf):
     return ranking.missing_predictions(wanted, e.where("value > 480").select("user_id", "event_type"), ("user_id", "event_type"))
 
 
-_RUNS = "SELECT user_id, event_type, round(avg(value) / 500, 9) AS iou FROM events GROUP BY ALL"
+_RUNS = "SELECT user_id, event_type, round(avg(value) / 500, 7) AS iou FROM events GROUP BY ALL"
 
 
 def _runs(spark, sf):
-    return X.log(spark, sf).groupBy("user_id", "event_type").agg(F.round(F.avg("value") / 500, 9).alias("iou"))
+    return X.log(spark, sf).groupBy("user_id", "event_type").agg(F.round(F.avg("value") / 500, 7).alias("iou"))
 
 
-@query(f"WITH r AS ({_RUNS}), d AS (SELECT a.event_type, a.iou - b.iou AS delta FROM r a JOIN r b ON a.user_id = b.user_id AND b.event_type = 'view' WHERE a.event_type <> 'view') SELECT event_type, count(*) AS n_pairs, round(avg(delta), 9) AS delta_mean, round(median(delta), 9) AS delta_median, round(stddev_samp(delta), 9) AS delta_std, round(min(delta), 9) AS delta_min, round(max(delta), 9) AS delta_max, count(*) FILTER (delta > 0) AS n_better FROM d GROUP BY event_type")
+@query(f"WITH r AS ({_RUNS}), d AS (SELECT a.event_type, a.iou - b.iou AS delta FROM r a JOIN r b ON a.user_id = b.user_id AND b.event_type = 'view' WHERE a.event_type <> 'view') SELECT event_type, count(*) AS n_pairs, round(avg(delta), 11) AS delta_mean, round(median(delta), 11) AS delta_median, round(stddev_samp(delta), 11) AS delta_std, round(min(delta), 11) AS delta_min, round(max(delta), 11) AS delta_max, count(*) FILTER (delta > 0) AS n_better FROM d GROUP BY event_type")
 def paired_deltas(spark, sf):
     return ranking.paired_deltas(_runs(spark, sf), ("user_id",), "event_type", "view", "iou", ("event_type",))
 
