@@ -71,10 +71,11 @@ class CrossParser:
         for lang in self.langs:
             go = suffix_automaton(samples[lang])
             # Entries: 2 * (next state * width), odd where no longer match exists and a new phrase begins with this symbol.
-            start = np.zeros(w, np.int32)
+            # The row after the states' own is where a parse begins, and where a symbol that the sample lacks leads: it is a phrase alone.
+            start = np.full(w, 2 * len(go) * w, np.int32)
             for c, s in go[0].items():
                 start[self.symbol[c]] = 2 * s * w
-            moves = np.tile(start + 1, (len(go), 1))
+            moves = np.tile(start + 1, (len(go) + 1, 1))
             rows = np.repeat(np.arange(len(go)), [len(g) for g in go])
             cols = self.symbol[np.fromiter((c for g in go for c in g), np.uint8, len(rows))]
             moves[rows, cols] = 2 * w * np.fromiter((s for g in go for s in g.values()), np.int32, len(rows))
@@ -94,8 +95,8 @@ class CrossParser:
         active = np.searchsorted(-length, -np.arange(1, BLOCK + 1), side="right")  # blocks longer than k, for each k
         out = np.zeros((len(data), len(self.langs)), np.int64)
         for j, moves in enumerate(self.tables):
-            at = np.zeros(len(owner), np.int32)
-            count = np.ones(len(owner), np.int32)
+            at = np.full(len(owner), len(moves) - self.width, np.int32)
+            count = np.zeros(len(owner), np.int32)
             for k in range(int(length[0]) if len(length) else 0):
                 n = active[k]
                 entry = moves[at[:n] + flat[begin[:n] + k]]
