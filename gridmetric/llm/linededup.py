@@ -2,7 +2,7 @@
 
 A line's tokens are its distinct lower-cased words. Lines of one token set are one set, which stands where it occurs first, by
 document and line number. Distinct sets meet under their rarest tokens (prefix filter); length, position and a parity bitmap bound their
-overlap; the Jaccard of the words themselves is verified. A line goes when an earlier line is similar, whether that one stays or not.
+overlap; the Jaccard of the whole sets is verified. A line goes when an earlier line is similar, whether that one stays or not.
 
 Rarity is the count of a token's hash bucket over all lines, so its table has a fixed size; any fixed order keeps the join exact.
 Long lists under one token meet the earliest members first, and only lines without a match so far go through the whole list.
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from gridmetric.llm.common import Scratch, table
 
 #: Hash buckets of token counts; members of a list above which it is long; leaders of a long list; rows that may be broadcast.
-BUCKETS, LONG, LEADERS, SMALL = 1 << 14, 64, 4, 20_000
+BUCKETS, LONG, LEADERS, SMALL = 1 << 18, 64, 4, 20_000
+#: Bits of the map of lines whose words are needed for verification.
+MARKS = 1 << 21
 #: Lines with fewer characters, and blank ones, take no part.
 MIN_CHARS = 20
 
@@ -35,22 +37,30 @@ def words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), " "), "")
 
 
-def rarity(lines: DataFrame) -> list[int]:
-    """Rank of each hash bucket by the count of its words, rarest first: BUCKETS numbers, whatever the input."""
-    hashed = lines.select(F.explode(F.split(F.lower("line"), " ")).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b"))
-    counts = dict(hashed.groupBy("b").count().collect())
-    rank = [0] * BUCKETS
-    for i, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))):
-        rank[b] = i
-    return rank
+def _literal(numbers, kind: str) -> Column:
+    """A constant array, sent as one string."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
 
 
-def token_sets(lines: DataFrame, rank: list[int], percent: int) -> DataFrame:
+def rarity(lines: DataFrame) -> list[int]:
+    """Level of each hash bucket by the count of its words, in eighths of its binary logarithm: BUCKETS numbers, whatever the input."""
+    hashed = lines.select(F.explode(F.split(F.lower("line"), " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b"))
+    levels = hashed.groupBy("b").count().select("b", F.floor(8 * F.log2("count")).cast("int").alias("level"))
+    packed = levels.groupBy(F.expr("CAST(b div 4096 AS INT)").alias("part")).agg(F.array_join(F.collect_list(F.concat_ws(":", "b", "level")), ",").alias("of"))
+    out = [0] * BUCKETS
+    for r in packed.collect():
+        for pair in r.of.split(","):
+            b, level = pair.split(":")
+            out[int(b)] = int(level)
+    return out
+
+
+def token_sets(lines: DataFrame, level: list[int], percent: int) -> DataFrame:
     """Each distinct token set where it occurs first: id, at, n (tokens), bitmap (s1, s2), prefix (rarest tokens as numbers)."""
-    lookup = F.array(*map(F.lit, rank))
+    lookup = _literal((x << 53 for x in level), "bigint")
     hashes = lines.select("id", "at", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
-    # A token is its bucket's rank and then the rest of its hash, so that numbers sort by rarity.
-    key = lambda h: F.shiftleft(F.element_at(lookup, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1).cast("long"), 49).bitwiseOR(F.shiftrightunsigned(h, 15))
+    # A token is its bucket's level and then the rest of its hash, so that numbers sort by rarity.
+    key = lambda h: F.get(lookup, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 11))
     keyed = hashes.select("id", "at", F.sort_array(F.transform("h", key)).alias("keys")).withColumn("n", F.size("keys"))
     bits = lambda shift: F.expr(f"aggregate(keys, 0L, (a, k) -> a ^ shiftleft(1L, CAST(shiftrightunsigned(k, {shift}) & 63 AS INT)))")
     full = keyed.select(
@@ -60,6 +70,15 @@ def token_sets(lines: DataFrame, rank: list[int], percent: int) -> DataFrame:
     return first.select("x.*")
 
 
+def _marked(members: DataFrame) -> Column:
+    """A condition on id and at that holds for all members and, by chance, for few others: a bitmap of fixed size."""
+    place = F.pmod(F.xxhash64("id", "at"), F.lit(MARKS))
+    words_ = members.select(place.alias("p")).groupBy(F.expr("CAST(p div 64 AS INT)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("x"))
+    got = dict(words_.collect())
+    word = F.get(_literal((got.get(w, 0) for w in range(MARKS // 64)), "bigint"), F.expr(f"CAST(pmod(xxhash64(id, at), {MARKS}) div 64 AS INT)"))
+    return F.getbit(word, F.pmod(F.xxhash64("id", "at"), F.lit(64)).cast("int")) == 1
+
+
 def _least(n: Column, percent: int) -> Column:
     """Least overlap of a set of n with any similar set."""
     return F.floor((n * percent + 99) / 100).cast("int")
@@ -76,22 +95,35 @@ def _may_match(percent: int) -> Column:
     need = _overlap(c("a.n"), c("b.n"), percent)
     sizes = (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
     position = F.least(c("a.n") - c("a.pos"), c("b.n") - c("b.pos")) >= need - F.least("a.pos", "b.pos")
-    # Bitmaps hold parities, so they differ in no more bits than the sets differ in tokens. Small sets have one bitmap of two.
-    apart = F.bit_count(c("a.s1").bitwiseXOR(c("b.s1")))
-    apart2 = F.when((c("a.n") > 48) & (c("b.n") > 48), F.bit_count(c("a.s2").bitwiseXOR(c("b.s2")))).otherwise(0)
-    return sizes & position & (F.greatest(apart, apart2) <= c("a.n") + c("b.n") - 2 * need)
+    # Bitmaps hold parities, so they differ in no more bits than the sets differ in tokens.
+    return sizes & position & (_apart() <= c("a.n") + c("b.n") - 2 * need)
 
 
 def _earlier() -> Column:
     return F.struct("a.id", "a.at") < F.struct("b.id", "b.at")
 
 
+def _apart() -> Column:
+    """Bits in which the bitmaps of a and b differ; small sets have one bitmap of two."""
+    c = F.col
+    second = F.when((c("a.n") > 48) & (c("b.n") > 48), F.bit_count(c("a.s2").bitwiseXOR(c("b.s2")))).otherwise(0)
+    return F.greatest(F.bit_count(c("a.s1").bitwiseXOR(c("b.s1"))), second)
+
+
 def _similar(pairs: DataFrame, words_of: DataFrame, percent: int) -> DataFrame:
-    """The pairs (ida, ata, idb, atb) whose words have the similarity."""
+    """id and at of every b of the pairs (ida, ata, idb, atb) whose words (as 64-bit hashes) have the similarity to those of a."""
     side = lambda x: words_of.select(F.col("id").alias("id" + x), F.col("at").alias("at" + x), F.col("words").alias("w" + x))
     both = pairs.join(side("a"), ["ida", "ata"]).join(side("b"), ["idb", "atb"])
     common = F.size(F.array_intersect("wa", "wb"))
-    return both.where(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select("ida", "ata", "idb", "atb")
+    return both.where(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select(F.col("idb").alias("id"), F.col("atb").alias("at")).distinct()
+
+
+def _matched(pairs: DataFrame, words_of: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """id and at of every b that has a similar a. The nearest a by bitmap is verified first; the others only where that one fails."""
+    nearest = pairs.groupBy("idb", "atb").agg(F.min(F.struct("apart", "ida", "ata")).alias("x")).select(F.col("x.ida").alias("ida"), F.col("x.ata").alias("ata"), "idb", "atb")
+    done = scratch.keep(_similar(nearest, words_of, percent), "done")
+    rest = pairs.join(done.select(F.col("id").alias("idb"), F.col("at").alias("atb")), ["idb", "atb"], "left_anti").join(nearest, ["ida", "ata", "idb", "atb"], "left_anti")
+    return done.union(scratch.keep(_similar(rest, words_of, percent), "more"))
 
 
 def later_matches(lines: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -102,31 +134,33 @@ def later_matches(lines: DataFrame, scratch: Scratch, percent: int) -> tuple[Dat
     n_long = long.count()
     listed = F.broadcast(long) if n_long <= SMALL else long
     short = entries.join(listed, "key", "left_anti") if n_long else entries
-    # Of two sets the smaller one needs its first tokens up to the overlap with an equally large one.
-    small = short.where(F.col("pos") <= F.col("n") - _overlap(F.col("n"), F.col("n"), percent))
+    # Both sides read one exchange, so what holds for a side alone is part of the join. Of two sets the smaller one needs its first tokens up to the
+    # overlap with an equally large one.
+    dealt = short.repartition("key")
+    small = F.col("a.pos") <= F.col("a.n") - _overlap(F.col("a.n"), F.least("a.n", "b.n"), percent)
     order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & _earlier())
-    met = small.alias("a").join(short.alias("b"), (F.col("a.key") == F.col("b.key")) & order & _may_match(percent))
-    pair = lambda: [F.col(f"{x}.{c}").alias(c + x) for x in "ab" for c in ("id", "at")]
+    met = dealt.alias("a").join(dealt.alias("b"), (F.col("a.key") == F.col("b.key")) & small & order & _may_match(percent))
+    pair = lambda: [*[F.col(f"{x}.{c}").alias(c + x) for x in "ab" for c in ("id", "at")], _apart().alias("apart")]
     swap = F.struct("ida", "ata") > F.struct("idb", "atb")
-    pairs = scratch.keep(met.select(*pair()).select(*[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("idb", "ida"), ("atb", "ata"), ("ida", "idb"), ("ata", "atb"))]).distinct(), "pairs")
+    turned = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("idb", "ida"), ("atb", "ata"), ("ida", "idb"), ("ata", "atb"))]
+    pairs = scratch.keep(met.select(*pair()).select(*turned, "apart").distinct(), "pairs")
     members = pairs.select(F.col("ida").alias("id"), F.col("ata").alias("at")).union(pairs.select("idb", "atb"))
     if n_long:
         lists = scratch.keep(entries.join(listed, "key"), "lists")
         members = members.union(lists.select("id", "at"))
-    found = lines.join(members.distinct(), ["id", "at"]).select("id", "at", F.array_distinct(words(F.col("line"))).alias("words"))
-    found = scratch.keep(found.dropDuplicates(["id", "at"]), "words")
-    similar = _similar(pairs, found, percent)
-    if not n_long:
-        return sets.select("id", "at"), similar.select(F.col("idb").alias("id"), F.col("atb").alias("at")).distinct()
-    one = F.struct("id", "at", "n", "s1", "s2", "pos")
-    leaders = lists.groupBy("key", F.pmod(F.xxhash64("id", "at"), F.lit(LEADERS)).alias("c")).agg(F.min(one).alias("x")).select("key", "x.*")
-    led = leaders.alias("a").join(lists.alias("b"), (F.col("a.key") == F.col("b.key")) & _earlier() & _may_match(percent)).select(*pair()).distinct()
-    gone = _similar(led, found, percent).union(similar).select(F.col("idb").alias("id"), F.col("atb").alias("at")).distinct()
-    gone = scratch.keep(gone, "gone")
-    probes = lists.join(gone, ["id", "at"], "left_anti")
-    rest = lists.alias("a").join(probes.alias("b"), (F.col("a.key") == F.col("b.key")) & _earlier() & _may_match(percent)).select(*pair()).distinct()
-    more = _similar(rest, found, percent).select(F.col("idb").alias("id"), F.col("atb").alias("at"))
-    return sets.select("id", "at"), gone.union(more).distinct()
+    members = scratch.keep(members.distinct(), "members")
+    hashed = lines.where(_marked(members)).select("id", "at", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
+    found = scratch.keep(hashed.join(members, ["id", "at"], "left_semi"), "words")
+    gone = _matched(pairs, found, percent, scratch)
+    if n_long:
+        one = F.struct("id", "at", "n", "s1", "s2", "pos")
+        leaders = lists.groupBy("key", F.pmod(F.xxhash64("id", "at"), F.lit(LEADERS)).alias("c")).agg(F.min(one).alias("x")).select("key", "x.*")
+        match = lambda left, right: left.alias("a").join(right.alias("b"), (F.col("a.key") == F.col("b.key")) & _earlier() & _may_match(percent)).select(*pair()).distinct()
+        open_ = lists.join(gone, ["id", "at"], "left_anti")
+        gone = scratch.keep(gone.union(_matched(scratch.keep(match(leaders, open_), "led"), found, percent, scratch)).distinct(), "gone")
+        rest = scratch.keep(match(lists, lists.join(gone, ["id", "at"], "left_anti")), "rest")
+        gone = gone.union(_matched(rest, found, percent, scratch)).distinct()
+    return sets.select("id", "at"), gone
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,11 +178,12 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     stay = scratch.keep(sets.join(gone, ["id", "at"], "left_anti").groupBy("id").agg(F.collect_set("at").alias("stay_at")), "stay")
     split = F.split(text_col, "\n")
     part = F.array_compact(F.transform(split, lambda line, i: F.when(takes_part(line), i)))
-    own = docs.join(stay.select(F.col("id").alias(id_col), "stay_at"), id_col, "left")
+    own = docs.withColumn("_part", part).withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)))  # before the join, which then needs no text for them
+    own = own.join(stay.select(F.col("id").alias(id_col), "stay_at"), id_col, "left")
     empty = F.array().cast("array<int>")
-    removed = F.when(F.col(id_col).isNull() | F.col(text_col).isNull(), empty).otherwise(F.array_except(part, F.coalesce("stay_at", empty)))
+    removed = F.when(F.col(id_col).isNull() | F.col("_part").isNull(), empty).otherwise(F.array_except("_part", F.coalesce("stay_at", empty)))
     kept = F.filter(split, lambda line, i: ~F.array_contains("removed", i))
-    out = own.withColumn("removed", removed).withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)))
+    out = own.withColumn("removed", removed)
     text = F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
     return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "n_lines", "removed")
 

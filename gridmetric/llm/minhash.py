@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from gridmetric.llm.common import Scratch, mix64, pieces, table, texts
 from gridmetric.llm.components import components
 
-#: Retained values: KEYS of them make inverted lists, K are compared. Lists above LONG go by leader and chunks of CHUNK.
-KEYS, K, LONG, CHUNK = 32, 128, 24, 512
+#: Retained values: KEYS of them make inverted lists; K are compared for a pair, WIDE within a chunk. Lists above LONG go by leader and chunks of CHUNK.
+KEYS, K, WIDE, LONG, CHUNK = 32, 128, 512, 24, 1024
 
 
 def shingle_sets(batch_texts: list[str], width: int) -> list[np.ndarray]:
@@ -49,20 +49,14 @@ def shingle_sets(batch_texts: list[str], width: int) -> list[np.ndarray]:
     return out
 
 
-def sketch(full: np.ndarray) -> np.ndarray:
-    """The K least hashes, cut to their upper 32 bits."""
-    return (full[:K] >> np.uint64(32)).astype("<u4")
-
-
-def estimates(sa: list[np.ndarray], na: np.ndarray, sb: list[np.ndarray], nb: np.ndarray, jaccard: float) -> np.ndarray:
+def estimates(sa: list[np.ndarray], na: np.ndarray, sb: list[np.ndarray], nb: np.ndarray, jaccard: float, k: int) -> np.ndarray:
     """Pairs (a rows, b rows) whose sketches allow the similarity, but for a chance of about one in a million.
 
     Up to the lesser end of both sketches all values of both sets are known; the share of common ones among them estimates the
-    similarity. A set no larger than K is known whole.
+    similarity. A set no larger than k, the size of a sketch, is known whole.
     """
-    top = np.float64(2**32)
-    end_a = np.array([s[-1] if n > K else top for s, n in zip(sa, na)])
-    end_b = np.array([s[-1] if n > K else top for s, n in zip(sb, nb)])
+    top = np.uint64(2**64 - 1)
+    end_a, end_b = (np.array([s[-1] if n > k else top for s, n in zip(x, sizes)], np.uint64) for x, sizes in ((sa, na), (sb, nb)))
     _, code = np.unique(np.concatenate([*sa, *sb]), return_inverse=True)
     row = np.repeat(np.arange(len(sa) + len(sb)), [len(s) for s in (*sa, *sb)])
     in_a = row < len(sa)
@@ -71,12 +65,12 @@ def estimates(sa: list[np.ndarray], na: np.ndarray, sb: list[np.ndarray], nb: np
     column[shared] = np.arange(len(shared))
     common = np.zeros((len(sa), len(sb)), np.float32)
     col = column[code]
-    for k in range(0, len(shared), 4096):
-        part = (col >= k) & (col < k + 4096)
-        width = min(4096, len(shared) - k)
+    for at in range(0, len(shared), 4096):
+        part = (col >= at) & (col < at + 4096)
+        width = min(4096, len(shared) - at)
         xa, xb = np.zeros((len(sa), width), np.float32), np.zeros((len(sb), width), np.float32)
-        xa[row[part & in_a], col[part & in_a] - k] = 1
-        xb[row[part & ~in_a] - len(sa), col[part & ~in_a] - k] = 1
+        xa[row[part & in_a], col[part & in_a] - at] = 1
+        xb[row[part & ~in_a] - len(sa), col[part & ~in_a] - at] = 1
         common += xa @ xb.T
     count_a = np.stack([np.searchsorted(s, end_b, side="right") for s in sa])
     count_b = np.stack([np.searchsorted(s, end_a, side="right") for s in sb]).T
@@ -88,19 +82,19 @@ def estimates(sa: list[np.ndarray], na: np.ndarray, sb: list[np.ndarray], nb: np
 
 
 def _sets(docs: DataFrame, width: int, whole: bool, id_type: str) -> DataFrame:
-    """id, n, node (hash of the set; null if empty) of each row, with its keys or its sketch and whole set."""
+    """id, n, node (hash of the set; null if empty) of each row, with its keys or its whole set."""
 
     def run(batches):
         for batch in pieces(batches, "text"):
             sets = shingle_sets(texts(batch, "text"), width)
             cols = {"id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())}
             if whole:
-                cols |= {"sketch": pa.array([sketch(s).tobytes() for s in sets], pa.binary()), "full": pa.array([s.tobytes() for s in sets], pa.binary())}
+                cols["full"] = pa.array([s.tobytes() for s in sets], pa.binary())  # a sketch is the beginning of it
             else:
                 cols["keys"] = pa.array([s[:KEYS].view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
             yield pa.record_batch(cols)
 
-    return docs.mapInArrow(run, f"id {id_type}, n long, node binary, " + ("sketch binary, full binary" if whole else "keys array<long>"))
+    return docs.mapInArrow(run, f"id {id_type}, n long, node binary, " + ("full binary" if whole else "keys array<long>"))
 
 
 def _lists(reps: DataFrame) -> DataFrame:
@@ -124,9 +118,9 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     def likely(batches):
         for batch in batches:
             if batch.num_rows:
-                sa, sb = ([np.frombuffer(x, "<u4") for x in batch.column(c).to_pylist()] for c in ("sa", "sb"))
+                sa, sb = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("sa", "sb"))
                 na, nb = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-                keep = [bool(estimates(sa[i : i + 1], na[i : i + 1], sb[i : i + 1], nb[i : i + 1], percent / 100)[0, 0]) for i in range(batch.num_rows)]
+                keep = [bool(estimates(sa[i : i + 1], na[i : i + 1], sb[i : i + 1], nb[i : i + 1], percent / 100, K)[0, 0]) for i in range(batch.num_rows)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     def exact(batches):
@@ -139,7 +133,9 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda side, *cols: full.select(F.col("node").alias(side), *(F.col(c).alias(n) for c, n in cols))
-    with_sketches = pairs.join(of("a", ("n", "na"), ("sketch", "sa")), "a").join(of("b", ("n", "nb"), ("sketch", "sb")), "b")
+    short = full.withColumn("sketch", F.expr(f"substring(full, 1, {8 * K})"))
+    side = lambda x: short.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
+    with_sketches = pairs.join(side("a"), "a").join(side("b"), "b")
     passed = with_sketches.mapInArrow(likely, "a binary, b binary")
     return passed.join(of("a", ("full", "fa")), "a").join(of("b", ("full", "fb")), "b").select("a", "b", "fa", "fb").mapInArrow(exact, "a binary, b binary")
 
@@ -152,16 +148,31 @@ def _chunk_pairs(members: DataFrame, jaccard: float) -> DataFrame:
 
     def compare(t: pa.Table) -> pa.Table:
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        c, node = t["c"].to_numpy(), np.array(t["node"].to_pylist(), object)
+        c, node = t["c"].to_numpy(), t["node"].to_pylist()
         comp = np.unique(np.array(t["component"].to_pylist(), object), return_inverse=True)[1]
-        sk, n = [np.frombuffer(x, "<u4") for x in t["sketch"].to_pylist()], t["n"].to_numpy().astype(float)
+        sk, n = [np.frombuffer(x, np.uint64) for x in t["sketch"].to_pylist()], t["n"].to_numpy().astype(float)
         a, b = np.flatnonzero(c == i), np.flatnonzero(c == j)
-        empty = t.schema.empty_table().select(["node"])
-        if not len(a) or not len(b):
-            return pa.table({"a": empty["node"], "b": empty["node"]})
-        ok = estimates([sk[x] for x in a], n[a], [sk[x] for x in b], n[b], jaccard) & (comp[a][:, None] != comp[b][None, :])
-        x, y = np.nonzero(ok)
-        return pa.table({"a": pa.array(node[a[x]].tolist(), pa.binary()), "b": pa.array(node[b[y]].tolist(), pa.binary())})
+        out = []
+        if len(a) and len(b):
+            ok = estimates([sk[x] for x in a], n[a], [sk[x] for x in b], n[b], jaccard, WIDE) & (comp[a][:, None] != comp[b][None, :])
+            x, y = np.nonzero(ok)
+            pairs = sorted({(node[p], node[q], p, q) if node[p] < node[q] else (node[q], node[p], q, p) for p, q in zip(a[x].tolist(), b[y].tolist())})
+            # Between sets that are known whole the similarity is certain, so a spanning forest of those pairs links all that they link.
+            root = list(range(int(comp.max()) + 1))
+
+            def find(k):
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            for whole in (True, False):
+                for u, v, p, q in pairs:
+                    if (n[p] <= WIDE and n[q] <= WIDE) == whole and (r := find(comp[p])) != (s := find(comp[q])):
+                        out.append((u, v))
+                        if whole:
+                            root[r] = s
+        return pa.table({"a": pa.array([u for u, _ in out], pa.binary()), "b": pa.array([v for _, v in out], pa.binary())})
 
     return dealt.groupBy("value", "i", "j").applyInArrow(compare, "a binary, b binary")
 
@@ -200,7 +211,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col:
         of = scratch.keep(components(links, scratch), "components")
         members = long.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = members.groupBy("value").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("value")
-        members = members.join(mixed, "value").select("value", "node", "component", "size").join(full.select("node", "n", "sketch"), "node")
+        members = members.join(mixed, "value").select("value", "node", "component", "size").join(full.select("node", "n", F.expr(f"substring(full, 1, {8 * WIDE})").alias("sketch")), "node")
         more = scratch.keep(_chunk_pairs(members, jaccard).distinct(), "more")
         links = links.union(_confirmed(more, full, percent))
     of = components(links, scratch)
