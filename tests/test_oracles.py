@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import gridmetric.plans as plans
@@ -21,7 +22,7 @@ def duck(data):
 
 def _rows(frame, columns):
     def text(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         if isinstance(v, (bool, str)) or type(v).__name__ in ("bool", "bool_"):
             return str(v)
