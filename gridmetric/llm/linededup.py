@@ -127,7 +127,7 @@ def _matched(pairs: DataFrame, words_of: DataFrame, percent: int, scratch: Scrat
 
 
 def later_matches(lines: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct token sets (id, at of the first occurrence), and those (id, at) that an earlier line is similar to."""
+    """The written table of distinct token sets (id, at of the first occurrence), and those (id, at) that an earlier line is similar to."""
     sets = scratch.keep(token_sets(lines, rarity(lines), percent), "sets")
     entries = sets.select("id", "at", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "key"))
     long = scratch.keep(entries.groupBy("key").count().where(F.col("count") > LONG).select("key"), "long")
@@ -151,16 +151,23 @@ def later_matches(lines: DataFrame, scratch: Scratch, percent: int) -> tuple[Dat
     members = scratch.keep(members.distinct(), "members")
     hashed = lines.where(_marked(members)).select("id", "at", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
     found = scratch.keep(hashed.join(members, ["id", "at"], "left_semi"), "words")
+    scratch.drop(members)
     gone = _matched(pairs, found, percent, scratch)
+    scratch.drop(pairs)
     if n_long:
         one = F.struct("id", "at", "n", "s1", "s2", "pos")
         leaders = lists.groupBy("key", F.pmod(F.xxhash64("id", "at"), F.lit(LEADERS)).alias("c")).agg(F.min(one).alias("x")).select("key", "x.*")
         match = lambda left, right: left.alias("a").join(right.alias("b"), (F.col("a.key") == F.col("b.key")) & _earlier() & _may_match(percent)).select(*pair()).distinct()
         open_ = lists.join(gone, ["id", "at"], "left_anti")
-        gone = scratch.keep(gone.union(_matched(scratch.keep(match(leaders, open_), "led"), found, percent, scratch)).distinct(), "gone")
+        led = scratch.keep(match(leaders, open_), "led")
+        gone = scratch.keep(gone.union(_matched(led, found, percent, scratch)).distinct(), "gone")
+        scratch.drop(led)
         rest = scratch.keep(match(lists, lists.join(gone, ["id", "at"], "left_anti")), "rest")
+        scratch.drop(lists)
         gone = gone.union(_matched(rest, found, percent, scratch)).distinct()
-    return sets.select("id", "at"), gone
+        scratch.drop(rest)
+    scratch.drop(found)
+    return sets, gone
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +182,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     docs = docs.drop("n_lines", "removed")
     lines = lines_of(docs, id_col, text_col)
     sets, gone = later_matches(lines, scratch, percent)
-    stay = scratch.keep(sets.join(gone, ["id", "at"], "left_anti").groupBy("id").agg(F.collect_set("at").alias("stay_at")), "stay")
+    stay = scratch.keep(sets.select("id", "at").join(gone, ["id", "at"], "left_anti").groupBy("id").agg(F.collect_set("at").alias("stay_at")), "stay")
+    scratch.drop(sets)
     split = F.split(text_col, "\n")
     part = F.array_compact(F.transform(split, lambda line, i: F.when(takes_part(line), i)))
     own = docs.withColumn("_part", part).withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)))  # before the join, which then needs no text for them

@@ -213,7 +213,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col:
         mixed = members.groupBy("value").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("value")
         members = members.join(mixed, "value").select("value", "node", "component", "size").join(full.select("node", "n", F.expr(f"substring(full, 1, {8 * WIDE})").alias("sketch")), "node")
         more = scratch.keep(_chunk_pairs(members, jaccard).distinct(), "more")
-        links = links.union(_confirmed(more, full, percent))
+        scratch.drop(of)
+        links = scratch.keep(links.union(_confirmed(more, full, percent)), "links")
+        scratch.drop(more)
+    for done in (lists, long, first, full):
+        scratch.drop(done)
     of = components(links, scratch)
     named = nodes.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
