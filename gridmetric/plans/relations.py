@@ -54,7 +54,8 @@ _RUNS = "SELECT user_id, event_type, round(avg(value) / 500, 7) AS iou FROM even
 
 
 def _runs(spark, sf):
-    return X.log(spark, sf).groupBy("user_id", "event_type").agg(F.round(F.avg("value") / 500, 7).alias("iou"))
+    # Decimals add up exactly in any order, so halves round alike each time.
+    return X.log(spark, sf).groupBy("user_id", "event_type").agg(F.round(F.avg(F.col("value").cast("decimal(18,6)")) / 500, 7).cast("double").alias("iou"))
 
 
 @query(f"WITH r AS ({_RUNS}), d AS (SELECT a.event_type, a.iou - b.iou AS delta FROM r a JOIN r b ON a.user_id = b.user_id AND b.event_type = 'view' WHERE a.event_type <> 'view') SELECT event_type, count(*) AS n_pairs, round(avg(delta), 11) AS delta_mean, round(median(delta), 11) AS delta_median, round(stddev_samp(delta), 11) AS delta_std, round(min(delta), 11) AS delta_min, round(max(delta), 11) AS delta_max, count(*) FILTER (delta > 0) AS n_better FROM d GROUP BY event_type")
