@@ -19,18 +19,18 @@ from gridmetric.llm.common import Scratch, table
 BUCKETS, LONG, LEADERS, SMALL = 1 << 18, 64, 4, 20_000
 #: Bits of the map of lines whose words are needed for verification.
 MARKS = 1 << 21
-#: Lines with fewer characters, and blank ones, take no part.
-MIN_CHARS = 20
 
 
-def takes_part(line: Column) -> Column:
-    return (F.length(line) >= MIN_CHARS) & (F.trim(line) != "")
+def takes_part(line: Column, min_chars: int | None = None) -> Column:
+    """Every line that isn't blank; with min_chars, only those of so many characters."""
+    full = line.rlike(r"\S")
+    return full if min_chars is None else full & (F.length(line) >= min_chars)
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int | None = None) -> DataFrame:
     """id, at (number from 0) and line of every line that takes part; a row with a null text or id has none."""
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
-    return lines.where(takes_part(F.col("line")))
+    return lines.where(takes_part(F.col("line"), min_chars))
 
 
 def words(line: Column) -> Column:
@@ -129,7 +129,9 @@ def _matched(pairs: DataFrame, words_of: DataFrame, percent: int, scratch: Scrat
 def later_matches(lines: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
     """The written table of distinct token sets (id, at of the first occurrence), and those (id, at) that an earlier line is similar to."""
     sets = scratch.keep(token_sets(lines, rarity(lines), percent), "sets")
-    entries = sets.select("id", "at", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "key"))
+    # A set of n is similar to no other set if even n of n + 1 tokens are too few in common: its only matches are equal sets, which are one already.
+    joins = sets.where((F.col("n") + 1) * percent <= 100 * F.col("n"))
+    entries = joins.select("id", "at", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "key"))
     long = scratch.keep(entries.groupBy("key").count().where(F.col("count") > LONG).select("key"), "long")
     n_long = long.count()
     listed = F.broadcast(long) if n_long <= SMALL else long
@@ -170,22 +172,22 @@ def later_matches(lines: DataFrame, scratch: Scratch, percent: int) -> tuple[Dat
     return sets, gone
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", min_chars: int | None = None) -> DataFrame:
     """All rows and columns of docs, with the text's later similar lines removed, besides n_lines and removed (numbers of the lines that went).
 
-    Lines lie between line feeds; words between spaces. Lines of fewer than 20 characters, or blank, stay. A text keeps its other lines in order. A
+    Lines lie between line feeds; words between spaces. Blank lines (white space alone) stay, and with min_chars those of fewer characters. A text keeps its other lines in order. A
     null text stays null, with no lines; a row with a null id stays as it is and removes nothing. Equal lines count as similar, within one
     text too. Ids are meant to be unique: of rows that repeat an id, a line number stays if the line of any of them does. Columns named
     n_lines or removed are replaced; texts may have any length; an empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.drop("n_lines", "removed")
-    lines = lines_of(docs, id_col, text_col)
+    lines = lines_of(docs, id_col, text_col, min_chars)
     sets, gone = later_matches(lines, scratch, percent)
     stay = scratch.keep(sets.select("id", "at").join(gone, ["id", "at"], "left_anti").groupBy("id").agg(F.collect_set("at").alias("stay_at")), "stay")
     scratch.drop(sets)
     split = F.split(text_col, "\n")
-    part = F.array_compact(F.transform(split, lambda line, i: F.when(takes_part(line), i)))
+    part = F.array_compact(F.transform(split, lambda line, i: F.when(takes_part(line, min_chars), i)))
     own = docs.withColumn("_part", part).withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)))  # before the join, which then needs no text for them
     own = own.join(stay.select(F.col("id").alias(id_col), "stay_at"), id_col, "left")
     empty = F.array().cast("array<int>")

@@ -252,6 +252,28 @@ def test_lines_equal_brute_force(spark, data):
         assert got[d].text == kept and got[d].n_lines == (0 if t is None else len(t.split("\n")))
 
 
+def test_short_lines_take_part(spark):
+    rows = [(1, "Les.\nA\n\n \r\na b c d\nles."), (2, "Les.\n\n \r\nd c b a\na b c d e\nb a"), (3, "x\nA B\na b c")]
+    got = {r.doc_id: (r.removed, r.text) for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {1: ([5], rows[0][1][: -len("\nles.")]), 2: ([0, 3, 4], "\n \r\nb a"), 3: ([1], "x\na b c")}
+    cut = {r.doc_id: r.removed for r in linededup.dedup_lines(docs(spark, rows), min_chars=5).collect()}
+    assert cut == {1: [], 2: [3, 4], 3: []}
+
+
+def test_all_lines_equal_brute_force(spark, data):
+    rows = [(r.doc_id, r.text) for r in sample(spark, data, 200).collect()]
+    part, want = [], collections.defaultdict(set)
+    for d, k, w in sorted((d, k, sorted({w for w in x.lower().split(" ") if w})) for d, t in rows if t for k, x in enumerate(t.split("\n")) if x.strip()):
+        w = frozenset(w)
+        if any(100 * len(w & v) >= 80 * len(w | v) for v in part):
+            want[d].add(k)
+        part.append(w)
+    got = {r.doc_id: set(r.removed) for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {d: want[d] for d, _ in rows}
+    lines = {d: (t or "").split("\n") for d, t in rows}
+    assert any(len(lines[d][k]) < 20 for d, at in want.items() for k in at)
+
+
 def test_lines_odd_rows(spark):
     got = linededup.dedup_lines(docs(spark)).collect()
     assert len(got) == len(ODD) and set(got[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "score", "component", "n_lines", "removed"}
