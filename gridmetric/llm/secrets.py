@@ -7,6 +7,7 @@ words beside it. It is trained on a table of labelled findings, which is small,
 from __future__ import annotations
 
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from gridmetric.llm.common import pieces, table, texts
 
 #: Runs that may be a secret: 16 or more characters of common encodings.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
+#: Values of any length that something is assigned: within quotes, or up to a space, quote or separator.
+ASSIGNED = re.compile(r"(?:=>|:=|[:=])[ \t]*+(?:[Bb]earer[ \t]++)?(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\s\"'`;,:=][^\s\"'`;,]*))")
 _WORD = re.compile(r"[A-Za-z]+")
 # Words that coverage and transitions are measured with, and words and path parts that speak for or against a secret.
 DICTIONARY = ("about after again also another because been before below between call case change class code come could data date default description different does done each error even example field file find first following format from function give have here home html http https image index info input into just kind know last like line link list local long look made make many message more most much must name need never next node null number object only order other output over page param part path people place point print project public query read release request response return right same sample search second server service should some sort source start state string system table test text than that their them then there these they thing this time title true type under update user using value version view void want water well were what when where which while will with word work world would write year your").split()
@@ -143,9 +146,16 @@ def made_findings(spark: SparkSession, n: int = 3000, seed: int = 3) -> DataFram
     for i in range(n):
         quote, text = one(['"', "'", ""]), f"{word()} {word()} "
         if i % 2:
-            before, value, path = text + one(FOR) + one([" = ", "=", ": ", ":"]) + quote, rand(int(rng.integers(0, 4)), int(rng.integers(16, 64))), one([p or "" for p in paths])
+            before, path = text + one(FOR) + one([" = ", "=", ": ", ":"]) + quote, one([p or "" for p in paths])
+            kind = i // 2 % 6
+            if kind < 4:  # long keys
+                value = rand(int(rng.integers(0, 4)), int(rng.integers(16, 64)))
+            elif kind == 4:  # short values, some with marks
+                value = rand(int(rng.integers(2, 4)), int(rng.integers(7, 15))) + one(["", "", "!", "#", "$", "@"])
+            else:  # keys of letters alone
+                value = "".join(rng.choice(list(one([string.ascii_lowercase, string.ascii_letters])), int(rng.integers(10, 40))))
         else:
-            kind, path = i // 2 % 6, one([p or "" for p in paths] + ["tests/data/x.py", "docs/example.md"])
+            kind, path = i // 2 % 8, one([p or "" for p in paths] + ["tests/data/x.py", "docs/example.md"])
             before, value = text, ""
             if kind == 0:  # digests and revisions
                 before, value = text + one(AGAINST) + one([" ", ": ", "="]), rand(0, int(rng.choice([32, 40, 64])))
@@ -157,16 +167,35 @@ def made_findings(spark: SparkSession, n: int = 3000, seed: int = 3) -> DataFram
                 value = "".join(rng.choice(list("0123456789"), int(rng.integers(16, 24))))
             elif kind == 4:  # long words
                 value = "".join(word() for _ in range(int(rng.integers(3, 6))))
+            elif kind == 5:  # plain words and settings
+                before, value = text + one(FOR) + one([" = ", "=", ": ", ":"]) + quote, one([word(), word() + "_" + word(), f"{word()} {word()}", one(["none", "None", "null", "true", "false", "required", "string", "str"]), str(int(rng.integers(0, 10000)))])
+            elif kind == 6:  # long words of no dictionary
+                value = "".join(one(["th", "st", "r", "l", "nd", "m", "t", "s", "br", "ch"]) + one(["a", "e", "i", "o", "u", "ou"]) + one(["", "n", "r", "s"]) for _ in range(int(rng.integers(6, 10))))
             else:  # secrets of test files
                 before, value, path = text + one(FOR) + " = " + quote, word() + rand(0, 14), one(["tests/fixture.py", "docs/sample.md", "mock/example.json"])
-        if len(value) >= 16:
+        if value:
             rows.append((value, before, quote, path, i % 2))
     return spark.createDataFrame(rows, "candidate string, before string, after string, path string, label int")
 
 
 def _spans(text: str) -> list[tuple[int, int]]:
-    """Candidates of a text: runs with a digit."""
-    return [(m.start(), m.end()) for m in CANDIDATE.finditer(text) if any(c.isdigit() for c in m.group())]
+    """Candidates of a text, in order: all long runs, and what a name with a word for a secret is assigned. They may overlap."""
+    found = {m.span() for m in CANDIDATE.finditer(text)}
+    for m in ASSIGNED.finditer(text):
+        if any(w.lower().endswith(FOR) for w in _WORD.findall(text[max(0, m.start() - 48) : m.start()])[-3:]):
+            found.add(m.span(m.lastindex))
+    return sorted(found)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ordered spans, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _judge(batch: pa.RecordBatch, forest: Forest) -> tuple[list[str], list[list[tuple[int, int, float]]]]:
@@ -213,9 +242,8 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
             raw, found = _judge(pa.record_batch({"text": batch.column(at), "path": path}), shared.value)
             out = []
             for t, spans in zip(raw, found):
-                for a, b, p in reversed(spans):
-                    if p >= threshold:
-                        t = t[:a] + mark + t[b:]
+                for a, b in reversed(_merged([(a, b) for a, b, p in spans if p >= threshold])):
+                    t = t[:a] + mark + t[b:]
                 out.append(t)
             valid = batch.column(at).is_valid().to_pylist()
             columns = list(batch.columns)

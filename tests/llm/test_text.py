@@ -298,3 +298,15 @@ def test_forest_learns_and_redacts(spark):
     assert red[1] == 'intro token = "<secret>" end' and red[2] is None and red[4] == rows[3][1] and key not in red[5]
     assert secrets.scan_secrets(docs(spark).limit(0), forest).count() == 0
     assert secrets.train_forest(findings.limit(0)).prob(x[:2]).tolist() == [0.5, 0.5]
+
+
+def test_short_and_letter_only_secrets_are_candidates(spark):
+    forest = secrets.train_forest(secrets.made_findings(spark))
+    held = ["qXvRkTzWbNmLpGhd", "hT7#kd92Qx", "zqxvkjwpbtgh"]
+    rows = [(1, f'see token = "{held[0]}" there'), (2, f"set password = {held[1]}\nthen go"), (3, f"api_key: '{held[2]}'"), (4, "the internationalisation of words"), (5, 'password = "correct horse battery" and key = value'), (6, 'token = "abc.qXvRkTzWbNmLpGhd12/é"')]
+    found = secrets.scan_secrets(docs(spark, rows), forest).collect()
+    texts_ = {d: {r.candidate for r in found if r.doc_id == d} for d, _ in rows}
+    assert texts_ == {1: {held[0]}, 2: {held[1]}, 3: {held[2]}, 4: {"internationalisation"}, 5: {"correct horse battery", "value"}, 6: {"abc.qXvRkTzWbNmLpGhd12/é", "qXvRkTzWbNmLpGhd12/"}}
+    red = {r.doc_id: r.text for r in secrets.redact(docs(spark, rows), forest).collect()}
+    assert all(h not in red[d] and "<secret>" in red[d] for d, h in zip((1, 2, 3), held)) and red[4] == rows[3][1] and held[0] not in red[6]
+    assert secrets._merged([(0, 5), (3, 9), (9, 12)]) == [(0, 9), (9, 12)]
