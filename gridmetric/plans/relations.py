@@ -30,10 +30,17 @@ def overlay_mask_left(spark, sf):
 @query("WITH e AS (SELECT l_suppkey AS k, min(l_quantity) + l_suppkey % 40 AS l, min(l_extendedprice) AS b, max(l_quantity) - l_suppkey % 7 AS r, max(l_extendedprice) / 2 AS t FROM lineitem WHERE l_suppkey < 40 GROUP BY l_suppkey) SELECT x.k AS ka, y.k AS kb, greatest(x.l, y.l) AS left_, greatest(x.b, y.b) AS bottom, least(x.r, y.r) AS right_, least(x.t, y.t) AS top FROM e x JOIN e y ON x.k < y.k WHERE greatest(x.l, y.l) < least(x.r, y.r) AND greatest(x.b, y.b) < least(x.t, y.t)")
 def bounds_intersection(spark, sf):
     k = F.col("l_suppkey")
-    e = X.lineitem(spark, sf).where(k < 40).groupBy("l_suppkey").agg(F.min("l_quantity").alias("q0"), F.min("l_extendedprice").alias("b"), F.max("l_quantity").alias("q1"), (F.max("l_extendedprice") / 2).alias("t"))
+    e = X.lineitem(spark, sf).groupBy("l_suppkey").agg(F.min("l_quantity").alias("q0"), F.min("l_extendedprice").alias("b"), F.max("l_quantity").alias("q1"), (F.max("l_extendedprice") / 2).alias("t"))
     e = e.select("l_suppkey", (F.col("q0") + k % 40).alias("l"), "b", (F.col("q1") - k % 7).alias("r"), "t")
-    side = lambda n: e.select(k.alias("k" + n), F.col("l").alias(n + "_left"), F.col("b").alias(n + "_bottom"), F.col("r").alias(n + "_right"), F.col("t").alias(n + "_top"))
-    pairs = side("a").join(side("b"), F.col("ka") < F.col("kb"))
+    # Extents meet in cells of a mean extent's size; a pair counts in the first cell that both cover.
+    e = e.where((F.col("l") < F.col("r")) & (F.col("b") < F.col("t")))
+    e = e.crossJoin(F.broadcast(e.agg(F.avg(F.col("r") - F.col("l")).alias("w"), F.avg(F.col("t") - F.col("b")).alias("h"))))
+    cell = lambda v, size: F.floor(F.col(v) / F.col(size))
+    e = e.withColumn("x0", cell("l", "w")).withColumn("y0", cell("b", "h"))
+    e = e.withColumn("x", F.explode(F.sequence("x0", cell("r", "w")))).withColumn("y", F.explode(F.sequence("y0", cell("t", "h"))))
+    side = lambda n: e.select("x", "y", F.col("x0").alias(n + "_x0"), F.col("y0").alias(n + "_y0"), k.alias("k" + n), F.col("l").alias(n + "_left"), F.col("b").alias(n + "_bottom"), F.col("r").alias(n + "_right"), F.col("t").alias(n + "_top"))
+    first = (F.col("x") == F.greatest("a_x0", "b_x0")) & (F.col("y") == F.greatest("a_y0", "b_y0"))
+    pairs = side("a").join(side("b"), ["x", "y"]).where((F.col("ka") < F.col("kb")) & first)
     return overlay.bounds_intersection(pairs, "a", "b").select("ka", "kb", F.col("left").alias("left_"), "bottom", F.col("right").alias("right_"), "top")
 
 

@@ -298,3 +298,21 @@ def test_streamed_histogram_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     a, b = (x.orderBy("bin").toPandas() for x in (spark.table("hist"), calibration.fine_histogram(px, ["model_name"], 20)))
     pd.testing.assert_frame_equal(a.round(9), b.round(9))
+
+def test_bounds_intersection_takes_all_extents(spark, tmp_path):
+    from gridmetric.plans import relations
+
+    rng = np.random.default_rng(4)
+    rows = [(int(k), float(q), float(p)) for k in range(1, 71) for q, p in zip(rng.uniform(1, 60, 2), rng.uniform(100, 900, 2) * (1 + k % 5))]
+    spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    own = {k: [[r[i] for r in rows if r[0] == k] for i in (1, 2)] for k in range(1, 71)}
+    box = {k: (min(q) + k % 40, min(p), max(q) - k % 7, max(p) / 2) for k, (q, p) in own.items()}
+    want = {}
+    for a in box:
+        for b in box:
+            left, bottom, right, top = *map(max, box[a][:2], box[b][:2]), *map(min, box[a][2:], box[b][2:])
+            if a < b and left < right and bottom < top:
+                want[a, b] = (left, bottom, right, top)
+    got = relations.bounds_intersection(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.ka, r.kb): (r.left_, r.bottom, r.right_, r.top) for r in got} == want
+    assert any(b >= 40 for _, b in want) and len(want) < 70 * 69 / 2
