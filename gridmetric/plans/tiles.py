@@ -92,8 +92,10 @@ def stitch_crop_only(spark, sf):
 
 @query(f"WITH {_PIX}, cov AS (SELECT DISTINCT y0 + i AS r, x0 + j AS c FROM pix WHERE tile_id % 7 <> 0) SELECT CAST(k // 84 AS INT) AS r, CAST(k % 84 AS INT) AS c FROM (SELECT unnest(range(0, 104 * 84)) AS k) WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.r = k // 84 AND cov.c = k % 84)")
 def coverage_gaps(spark, sf):
+    # The canvas is that of all tiles; every seventh is left out, as in the SQL, so that there are gaps.
     st = tiles.stitch_weighted(pixels(spark, sf).where("tile_id % 7 <> 0"), 8)
-    return tiles.coverage_gaps(st, 104, 84)
+    size = X.chips(spark, sf).agg((F.max("y0") + 8).alias("height"), (F.max("x0") + 8).alias("width")).first()
+    return tiles.coverage_gaps(st, size.height or 0, size.width or 0)
 
 
 @query(f"WITH {_STITCH}, cell AS (SELECT CAST(k // 30 AS INT) - 10 AS r, CAST(k % 30 AS INT) - 10 AS c FROM (SELECT unnest(range(0, 900)) AS k)) SELECT cell.r, cell.c, coalesce(round(p, 8), -99.0) AS p FROM cell LEFT JOIN st ON st.r = cell.r AND st.c = cell.c")
@@ -146,21 +148,43 @@ def iso_segment_stats(spark, sf):
 
 @query()
 def raw_tile_scan(spark, sf):
-    """Chips written as flat binary by the driver's fixture, read back by record ranges."""
+    """All chips written as flat binary by tasks, one file a partition in the shared folder, and read back by record ranges.
+
+    The bands are a chip's values and their negatives, the mask is where values are positive. A chip is known by its file (split) and number in it.
+    """
     import os
     import tempfile
-
-    import numpy as np
+    import uuid
 
     from gridmetric.sources.raw_tiles import RawTileSource
 
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = os.path.join(folder.removeprefix("file://"), f"rawtile-{os.getpid()}.bin")
-    rng = np.random.default_rng(1)
-    np.concatenate([rng.normal(size=(20, 2, 8, 8)), rng.integers(0, 2, (20, 1, 8, 8))], axis=1).astype("<f4").tofile(path)
+    folder = os.path.join(folder.removeprefix("file://"), f"rawtile-{uuid.uuid4().hex[:12]}")
+
+    def write(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        path = os.path.join(folder, f"{context.partitionId()}.bin")
+        part, n = f"{path}.{context.taskAttemptId()}", 0
+        os.makedirs(folder, exist_ok=True)
+        with open(part, "wb") as f:
+            for batch in batches:
+                v = np.array(batch.column("values").to_pylist(), "<f4").reshape(-1, 1, 8, 8)
+                f.write(np.concatenate([v, -v, v > 0], axis=1).astype("<f4").tobytes())
+                n += len(v)
+        os.replace(part, path)  # a repeated task writes the same file
+        yield pa.record_batch({"path": [path], "n": pa.array([n], pa.int64())})
+
+    written = [r.path for r in X.chips(spark, sf).select("values").mapInArrow(write, "path string, n long").where("n > 0").collect()]
+    if missing := [p for p in written if not os.path.exists(p)]:
+        raise FileNotFoundError(f"not in the shared folder: {missing[0]}")
     spark.dataSource.register(RawTileSource)
-    chips = spark.read.format("rawtile").option("height", 8).option("width", 8).option("recordsPerPartition", 7).load(path)
-    return chips.select("chip_id", F.size("vv").alias("n"), F.round(F.aggregate("vv", F.lit(0.0), lambda s, x: s + x), 4).alias("vv_sum"), F.aggregate("mask", F.lit(0), lambda s, x: s + x).alias("water"))
+    source = spark.read.format("rawtile").option("height", 8).option("width", 8).option("recordsPerPartition", 7)
+    chips = source.option("splits", ",".join(os.path.basename(p).removesuffix(".bin") for p in written)).load(",".join(written))
+    return chips.select("split", "chip_id", F.size("vv").alias("n"), F.round(F.aggregate("vv", F.lit(0.0), lambda s, x: s + x), 4).alias("vv_sum"), F.aggregate("mask", F.lit(0), lambda s, x: s + x).alias("water"))
 
 
 @query()

@@ -316,3 +316,29 @@ def test_bounds_intersection_takes_all_extents(spark, tmp_path):
     got = relations.bounds_intersection(spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r.ka, r.kb): (r.left_, r.bottom, r.right_, r.top) for r in got} == want
     assert any(b >= 40 for _, b in want) and len(want) < 70 * 69 / 2
+
+
+def _embeddings(spark, path, n):
+    rng = np.random.default_rng(6)
+    rows = [(k, 0, [float(v) for v in rng.normal(size=64).astype("f4")]) for k in range(n)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(3).write.parquet(str(path / "embeddings.parquet"))
+    return {k: np.array(v) for k, _, v in rows}
+
+
+def test_coverage_gaps_of_the_whole_canvas(spark, tmp_path):
+    from gridmetric.plans import tiles as plans
+
+    ids = _embeddings(spark, tmp_path, 705)  # 36 rows of tiles, the last with 5
+    covered = {(k // 20 * 4 + i, k % 20 * 4 + j) for k in ids if k % 7 for i in range(8) for j in range(8)}
+    got = [tuple(r) for r in plans.coverage_gaps(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted({(r, c) for r in range(148) for c in range(84)} - covered) and max(got)[0] > 104
+
+
+def test_raw_tile_scan_reads_all_chips(spark, tmp_path):
+    from gridmetric.plans import tiles as plans
+
+    chips = _embeddings(spark, tmp_path, 50)
+    got = plans.raw_tile_scan(spark, str(tmp_path)).collect()
+    assert len(got) == 50 == len({(r.split, r.chip_id) for r in got}) and {r.n for r in got} == {64}
+    want = sorted((v.sum(), int((v > 0).sum())) for v in chips.values())
+    assert np.allclose(sorted((r.vv_sum, r.water) for r in got), want, atol=1e-3)
