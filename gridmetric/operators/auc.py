@@ -23,6 +23,19 @@ def auc_summary(px: DataFrame, keys) -> DataFrame:
         F.when(two, "success").otherwise("undefined_single_class_reference").alias("auc_status"))
 
 
+def summary_by_model(per_pair: DataFrame, model: str, metrics=("roc_auc", "average_precision"), status: str = "auc_status") -> DataFrame:
+    """Pairs of each model, those whose areas are defined, and the spread of the areas over these."""
+    from gridmetric.operators.metrics import describe
+
+    return per_pair.groupBy(model).agg(F.count("*").alias("n_pairs"), F.count_if(F.col(status) == "success").alias("n_success_pairs"), *describe(metrics))
+
+
+def score_range(px: DataFrame, keys, p: str) -> DataFrame:
+    """Least, greatest and mean score of each group; NaN doesn't count."""
+    real = F.when(~F.isnan(p), F.col(p))
+    return px.groupBy(*keys).agg(F.min(real).alias("score_min"), F.max(real).alias("score_max"), F.round(F.avg(real), 9).alias("score_mean"))
+
+
 def score_curves(px: DataFrame, keys, bins: int = 1000) -> DataFrame:
     """keys, bin, tp, fp: scores at or above each edge, among positives and negatives; scores outside 0-1 don't count."""
     edges = linspace(0.0, 1.0, bins + 1)

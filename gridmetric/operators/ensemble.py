@@ -156,8 +156,8 @@ def weighted_pairs(wide: DataFrame, a: str, b: str, keys=("scene", "y")) -> Data
     return x.select(*keys, "w10", ((F.col(a) * F.col("w10") + F.col(b) * (10 - F.col("w10"))) / 10).alias("p"))
 
 
-def loo_tuned(curves: DataFrame, keys=(), scene: str = "scene", macro: bool = False) -> DataFrame:
-    """keys, held_out, chosen bin, and counts of the held-out scene there.
+def loo_tuned(curves: DataFrame, keys=(), scene: str = "scene", macro: bool = False, joint: bool = False) -> DataFrame:
+    """keys, held_out, chosen bin, and counts of the held-out scene there. With joint, the keys' values are chosen together with the bin.
 
     curves: keys, scene, bin, tp, fp (at or above the bin). micro picks the bin of the greatest pooled iou of the other scenes, macro that of the
     greatest mean of their ious; the first maximum wins.
@@ -169,7 +169,8 @@ def loo_tuned(curves: DataFrame, keys=(), scene: str = "scene", macro: bool = Fa
     group = Window.partitionBy(*keys, "bin")
     rest = lambda x: F.sum(x).over(group) - F.col(x)
     value = F.try_divide(F.sum("iou").over(group) - F.col("iou"), F.count("iou").over(group) - 1) if macro else iou(rest("tp"), rest("fp"), rest("fn"))
-    ranked = c.withColumn("train", F.round(value, 9)).withColumn("rank", F.row_number().over(Window.partitionBy(*keys, scene).orderBy(F.desc_nulls_last("train"), "bin")))
+    best = Window.partitionBy(scene).orderBy(F.desc_nulls_last("train"), *keys, "bin") if joint else Window.partitionBy(*keys, scene).orderBy(F.desc_nulls_last("train"), "bin")
+    ranked = c.withColumn("train", F.round(value, 9)).withColumn("rank", F.row_number().over(best))
     return ranked.where("rank = 1").select(*keys, F.col(scene).alias("held_out"), "bin", "tp", "fp", "fn", F.round("iou", 9).alias("iou"))
 
 

@@ -7,9 +7,55 @@ from pyspark.sql import functions as F
 
 
 def rank_rows(df: DataFrame, by, order, name: str = "rank") -> DataFrame:
-    """Row numbers from 1, over all rows or within groups."""
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w))
+    """Row numbers from 1 within groups, or over all rows where by is empty (see rank_all)."""
+    if not by:
+        return rank_all(df, order, name)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def rank_all(df: DataFrame, order, name: str = "rank") -> DataFrame:
+    """Row numbers from 1 over all rows, of which no task has all.
+
+    Rows are dealt by ranges of the order and written; each range counts its own, and the ranges before it give its first number.
+    """
+    from gridmetric.sources.shared import scratch_folder
+
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession, "ranges")
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
+    first = counts.withColumn("_first", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(first), "_range").withColumn(name, (F.col("_first") + own).cast("int")).drop("_range", "_first")
+
+
+def model_ranking(pairs: DataFrame, model: str, value: str, pixels: str, metadata: DataFrame) -> DataFrame:
+    """model, n_pairs, total_pixels, the spread of the value, the metadata's columns (null for a model it lacks) and the rank by mean.
+
+    There is a row a model, so ranking them is small; ties go by name and rows without a mean come last.
+    """
+    r = lambda x, n: F.round(x, 9).alias(f"{value}_{n}")
+    s = pairs.groupBy(model).agg(
+        F.count(value).alias("n_pairs"), F.sum(pixels).cast("long").alias("total_pixels"), r(F.avg(value), "mean"), r(F.percentile(value, F.lit(0.5)), "median"),
+        r(F.stddev_samp(value), "std"), r(F.min(value), "min"), r(F.max(value), "max"), r(F.percentile(value, F.lit(0.025)), "ci_low"), r(F.percentile(value, F.lit(0.975)), "ci_high"))
+    joined = s.join(metadata, s[model].eqNullSafe(metadata[model]), "left").drop(metadata[model])
+    return joined.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(f"{value}_mean"), model)))
+
+
+def interval_means(log: DataFrame, step: str, value: str, every: int) -> DataFrame:
+    """interval, n and mean of the value over each `every` steps."""
+    return log.groupBy(F.floor(F.col(step) / every).alias("interval")).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"))
+
+
+def common_pairs(first: DataFrame, second: DataFrame, name: str, order: str) -> DataFrame:
+    """Names that both configurations have, in the order of the first."""
+    return first.join(second.select(name).distinct(), name, "left_semi").select(name, order)
+
+
+def near_threshold(rows: DataFrame, wanted: DataFrame, threshold: str = "threshold", step: float = 0.01) -> DataFrame:
+    """Rows at the wanted thresholds, met as whole steps, so that sums of floating-point steps are equal to their literals."""
+    index = lambda c: F.round(F.col(c) / step).cast("int")
+    return rows.withColumn("_t", index(threshold)).join(wanted.select(index(threshold).alias("_t")).distinct(), "_t", "left_semi").drop("_t")
 
 
 def top_k(df: DataFrame, by, order, k: int) -> DataFrame:

@@ -6,16 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def subsample(df: DataFrame, keys, ids, k: int, seed: int = 42) -> DataFrame:
-    """At most k rows of each group, by the order of a hash of ids (arithmetic columns may be given instead of names)."""
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *ids), *ids)
+def subsample(df: DataFrame, keys, ids, k: int, seed: int = 42, order=None) -> DataFrame:
+    """At most k rows of each group, by the order of a hash of ids, or of another column of hashes, then of ids."""
+    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *ids) if order is None else order, *ids)
     return df.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= k).drop("_nth")
 
 
-def sorted_subset(df: DataFrame, key, ratio: float, hash_column) -> DataFrame:
-    """The int(n * ratio) rows least by a hash, ordered by key: a sample without replacement of exact size."""
-    n = int(df.count() * ratio)
-    return df.orderBy(hash_column, key).limit(n).orderBy(key)
+def sorted_subset(df: DataFrame, keys, ratio: float, hash_column, top: int, bins: int = 1000) -> DataFrame:
+    """The int(n * ratio) rows least by a hash from 0 to top (excluded), then by keys: a sample without replacement of exact size.
+
+    Counts of hash bins name the bin in which the last row lies; bins before it go in whole, and only that bin is put in order.
+    """
+    width = -(-top // bins)
+    rows = df.withColumn("_bin", F.floor(hash_column / width).cast("int"))
+    counts = sorted(rows.groupBy("_bin").count().collect())
+    left, border = int(sum(c["count"] for c in counts) * ratio), -1
+    for c in counts:
+        border = c["_bin"]
+        if left <= c["count"]:
+            break
+        left -= c["count"]
+    whole = rows.where(F.col("_bin") < border)
+    last = rows.where(F.col("_bin") == border).withColumn("_nth", F.row_number().over(Window.partitionBy("_bin").orderBy(hash_column, *keys)))
+    return whole.unionByName(last.where(F.col("_nth") <= left).drop("_nth")).drop("_bin")
 
 
 def bootstrap(pixels: DataFrame, keys, replicates: int, size: int, seed: int = 42) -> DataFrame:

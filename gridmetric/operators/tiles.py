@@ -78,37 +78,57 @@ def flip(pixels: DataFrame, view: str, height: int, width: int) -> DataFrame:
 
 def flip_array(values: str, view: str, height: int, width: int) -> Column:
     """The same on a row-major array column, by index arithmetic."""
-    at = {"identity": lambda i, j: i * width + j, "hflip": lambda i, j: i * width + width - 1 - j, "vflip": lambda i, j: (height - 1 - i) * width + j, "hvflip": lambda i, j: (height - 1 - i) * width + width - 1 - j}[view]
-    return F.array(*[F.get(values, F.lit(at(i, j))) for i in range(height) for j in range(width)])
+    if view not in VIEWS:
+        raise ValueError(f"views must be some of {VIEWS}")
+    at = lambda k: F.expr(f"CAST({k} AS INT)")
+    rows, cols = view in ("vflip", "hvflip"), view in ("hflip", "hvflip")
+
+    def source(k: Column) -> Column:
+        i, j = F.floor(k / width).cast("int"), (k % width).cast("int")
+        return (height - 1 - i if rows else i) * width + (width - 1 - j if cols else j)
+
+    return F.transform(F.sequence(at(0), at(height * width - 1)), lambda k: F.get(values, source(k)))
 
 
 def tta_mean(pixels: DataFrame, names: list[str], height: int, width: int, score=lambda v, i, j: sigmoid(v)) -> DataFrame:
-    """tile_id, i, j, p: the mean over views of the score of the flipped tile, flipped back. One shuffle, whatever the views."""
+    """tile_id, i, j, p: the mean over views of the score of the flipped tile, flipped back. A pixel has all its views itself: nothing is shuffled."""
     views = check_views(names)
-    n = F.explode(F.array(*map(F.lit, views))).alias("view")
-    x = pixels.select("tile_id", "i", "j", "v", n)
-    fi = F.when(F.col("view").isin("vflip", "hvflip"), height - 1 - F.col("i")).otherwise(F.col("i"))
-    fj = F.when(F.col("view").isin("hflip", "hvflip"), width - 1 - F.col("j")).otherwise(F.col("j"))
-    return x.select("tile_id", "i", "j", score(F.col("v"), fi, fj).alias("s")).groupBy("tile_id", "i", "j").agg(F.avg("s").alias("p"))
+    scores = []
+    for view in views:
+        i = height - 1 - F.col("i") if view in ("vflip", "hvflip") else F.col("i")
+        j = width - 1 - F.col("j") if view in ("hflip", "hvflip") else F.col("j")
+        scores.append(score(F.col("v"), i, j))
+    return pixels.select("tile_id", "i", "j", (sum(scores[1:], scores[0]) / len(scores)).alias("p"))
+
+
+#: Multipliers of the generator of random views, one a draw, and its modulus.
+DRAWS, MODULUS = (48271, 69621, 39373, 16807), 2_147_483_647
+
+
+def _draw(k: int, seed: int) -> Column:
+    """A whole number below MODULUS for each tile: arithmetic that is alike in every engine."""
+    start = F.pmod(F.col("tile_id"), F.lit(MODULUS)) * 7919 + (seed + k) * 104_729
+    once = F.pmod(F.pmod(start, F.lit(MODULUS)) * DRAWS[k], F.lit(MODULUS))
+    return F.pmod((once.bitwiseXOR(F.shiftright(once, 13))) * DRAWS[k], F.lit(MODULUS))
 
 
 def random_augment(tiles: DataFrame, arrays: list[str], size: int, p: float = 0.5, seed: int = 42) -> DataFrame:
     """Square tiles flipped or turned at random, all arrays of a row alike. A row's draws are hashes of tile_id, so they repeat."""
-    draw = lambda k: F.pmod(F.xxhash64(F.lit(seed + k), "tile_id"), F.lit(1_000_000)) / 1_000_000
-    h, v, t = (F.when(draw(k) < p, True).otherwise(False) for k in range(3))
-    turns = F.when(F.col("_t"), F.pmod(F.xxhash64(F.lit(seed + 9), "tile_id"), F.lit(3)) + 1).otherwise(0)
-    x = tiles.withColumn("_h", h).withColumn("_v", v).withColumn("_t", t).withColumn("_k", turns.cast("int"))
-    n = size - 1
-    for a in arrays:
-        cells = []
-        for i in range(size):
-            for j in range(size):
-                si = F.when(F.col("_k") == 1, F.lit(j)).when(F.col("_k") == 2, F.lit(n - i)).when(F.col("_k") == 3, F.lit(n - j)).otherwise(F.lit(i))
-                sj = F.when(F.col("_k") == 1, F.lit(n - i)).when(F.col("_k") == 2, F.lit(n - j)).when(F.col("_k") == 3, F.lit(i)).otherwise(F.lit(j))
-                r, c = F.when(F.col("_v"), n - si).otherwise(si), F.when(F.col("_h"), n - sj).otherwise(sj)
-                cells.append(F.get(F.col(a), r * size + c))
-        x = x.withColumn(a, F.array(*cells))
-    return x.withColumnsRenamed({"_h": "hflip", "_v": "vflip", "_k": "turns"}).drop("_t")
+    cut, n = int(p * MODULUS), size - 1
+    turns = F.when(_draw(2, seed) < cut, F.pmod(_draw(3, seed), F.lit(3)) + 1).otherwise(0)
+    x = tiles.withColumn("hflip", _draw(0, seed) < cut).withColumn("vflip", _draw(1, seed) < cut).withColumn("turns", turns.cast("int"))
+
+    def source(k: Column) -> Column:
+        """Place in the given tile of place k of the new one: turned first, then flipped."""
+        i, j, t = F.floor(k / size).cast("int"), (k % size).cast("int"), F.col("turns")
+        si = F.when(t == 1, j).when(t == 2, n - i).when(t == 3, n - j).otherwise(i)
+        sj = F.when(t == 1, n - i).when(t == 2, n - j).when(t == 3, i).otherwise(j)
+        return F.when(F.col("vflip"), n - si).otherwise(si) * size + F.when(F.col("hflip"), n - sj).otherwise(sj)
+
+    def moved(array: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.get(array, source(k)))
+
+    return x.withColumns({a: moved(a) for a in arrays})
 
 
 # Stitching

@@ -424,7 +424,16 @@ def recommendation(spark, sf):
     return threshold.recommend(_iou_rows(spark, sf), ["model_name"], delta=0.02)
 
 
-@query()
+def _greedy_sql() -> str:
+    """A step is the best of the subsets that add one member to the step before; ties take the larger number."""
+    ctes, rows = ["g0 AS (SELECT CAST(0 AS BIGINT) AS subset)"], []
+    for k in range(1, X.N + 1):
+        ctes.append(f"g{k} AS (SELECT ex.subset, ex.iou, xor(ex.subset, b.subset) AS added FROM ex, g{k - 1} b WHERE ex.k = {k} AND ex.subset & b.subset = b.subset ORDER BY coalesce(ex.iou, -1) DESC, ex.subset DESC LIMIT 1)")
+        rows.append(f"SELECT {k} AS step, CAST(round(log2(added)) AS INT) AS added, subset, iou FROM g{k}")
+    return f"WITH {_EXH}, {', '.join(ctes)} {' UNION ALL '.join(rows)}"
+
+
+@query(_greedy_sql())
 def greedy_ensemble(spark, sf):
     rows = ensemble.greedy_selection(patterns(spark, sf), X.N)
     return spark.createDataFrame([(r["step"], r["added"], r["subset"], r["iou"]) for r in rows], "step int, added int, subset long, iou double")

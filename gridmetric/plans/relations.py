@@ -27,7 +27,7 @@ def overlay_mask_left(spark, sf):
     return overlay.overlay(ref, pred, mask, boundless=True)
 
 
-@query("WITH e AS (SELECT l_suppkey AS k, min(l_quantity) + l_suppkey % 40 AS l, min(l_extendedprice) AS b, max(l_quantity) - l_suppkey % 7 AS r, max(l_extendedprice) / 2 AS t FROM lineitem WHERE l_suppkey < 40 GROUP BY l_suppkey) SELECT x.k AS ka, y.k AS kb, greatest(x.l, y.l) AS left_, greatest(x.b, y.b) AS bottom, least(x.r, y.r) AS right_, least(x.t, y.t) AS top FROM e x JOIN e y ON x.k < y.k WHERE greatest(x.l, y.l) < least(x.r, y.r) AND greatest(x.b, y.b) < least(x.t, y.t)")
+@query("WITH e AS (SELECT l_suppkey AS k, min(l_quantity) + l_suppkey % 40 AS l, min(l_extendedprice) AS b, max(l_quantity) - l_suppkey % 7 AS r, max(l_extendedprice) / 2 AS t FROM lineitem GROUP BY l_suppkey) SELECT x.k AS ka, y.k AS kb, greatest(x.l, y.l) AS left_, greatest(x.b, y.b) AS bottom, least(x.r, y.r) AS right_, least(x.t, y.t) AS top FROM e x JOIN e y ON x.k < y.k WHERE greatest(x.l, y.l) < least(x.r, y.r) AND greatest(x.b, y.b) < least(x.t, y.t)")
 def bounds_intersection(spark, sf):
     k = F.col("l_suppkey")
     e = X.lineitem(spark, sf).groupBy("l_suppkey").agg(F.min("l_quantity").alias("q0"), F.min("l_extendedprice").alias("b"), F.max("l_quantity").alias("q1"), (F.max("l_extendedprice") / 2).alias("t"))
@@ -57,12 +57,16 @@ def missing_prediction_anti(spark, sf):
     return ranking.missing_predictions(wanted, e.where("value > 480").select("user_id", "event_type"), ("user_id", "event_type"))
 
 
-_RUNS = "SELECT user_id, event_type, round(avg(value) / 500, 7) AS iou FROM events GROUP BY ALL"
+#: Mean value of each run in units of 500, rounded to 7 places. Values are whole hundredths, so integers give the same half-way cases in any engine.
+_RUNS = """
+SELECT user_id, event_type, ((2 * 10000000 * s + 50000 * n) // (2 * 50000 * n)) / 10000000.0 AS iou
+FROM (SELECT user_id, event_type, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS s, count(*) AS n FROM events GROUP BY ALL)
+"""
 
 
 def _runs(spark, sf):
-    # Decimals add up exactly in any order, so halves round alike each time.
-    return X.log(spark, sf).groupBy("user_id", "event_type").agg(F.round(F.avg(F.col("value").cast("decimal(18,6)")) / 500, 7).cast("double").alias("iou"))
+    sums = X.log(spark, sf).groupBy("user_id", "event_type").agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("s"), F.count("*").alias("n"))
+    return sums.select("user_id", "event_type", (F.expr("(2 * 10000000 * s + 50000 * n) div (2 * 50000 * n)") / 10000000.0).alias("iou"))
 
 
 @query(f"WITH r AS ({_RUNS}), d AS (SELECT a.event_type, a.iou - b.iou AS delta FROM r a JOIN r b ON a.user_id = b.user_id AND b.event_type = 'view' WHERE a.event_type <> 'view') SELECT event_type, count(*) AS n_pairs, round(avg(delta), 11) AS delta_mean, round(median(delta), 11) AS delta_median, round(stddev_samp(delta), 11) AS delta_std, round(min(delta), 11) AS delta_min, round(max(delta), 11) AS delta_max, count(*) FILTER (delta > 0) AS n_better FROM d GROUP BY event_type")
@@ -181,8 +185,7 @@ def union_by_name(spark, sf):
 @query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' ORDER BY (l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 31 + l_linenumber * 17) % 1000003, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice LIMIT (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01')")
 def sorted_subset(spark, sf):
     x = X.lineitem(spark, sf).where("l_shipdate < TIMESTAMP_NTZ '1996-01-01'").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
-    n = int(x.count() * 0.1)
-    return x.orderBy(F.expr("(l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 31 + l_linenumber * 17) % 1000003"), *x.columns).limit(n)
+    return sampling.sorted_subset(x, x.columns, 0.1, F.expr("(l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 31 + l_linenumber * 17) % 1000003"), 1_000_003)
 
 
 @query(f"WITH r AS ({_RUNS}) SELECT event_type, count(*) AS n, round(avg(iou), 9) AS iou_mean, round(median(iou), 9) AS iou_median, round(stddev_samp(iou), 9) AS iou_std, round(min(iou), 9) AS iou_min, round(max(iou), 9) AS iou_max, round(quantile_cont(iou, 0.025), 9) AS iou_ci_low, round(quantile_cont(iou, 0.975), 9) AS iou_ci_high FROM r GROUP BY event_type")

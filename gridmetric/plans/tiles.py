@@ -90,7 +90,7 @@ def stitch_crop_only(spark, sf):
     return tiles.stitch_crop_only(pixels(spark, sf))
 
 
-@query(f"WITH {_PIX}, cov AS (SELECT DISTINCT y0 + i AS r, x0 + j AS c FROM pix WHERE tile_id % 7 <> 0) SELECT CAST(k // 84 AS INT) AS r, CAST(k % 84 AS INT) AS c FROM (SELECT unnest(range(0, 104 * 84)) AS k) WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.r = k // 84 AND cov.c = k % 84)")
+@query(f"WITH {_PIX}, cov AS (SELECT DISTINCT y0 + i AS r, x0 + j AS c FROM pix WHERE tile_id % 7 <> 0) SELECT CAST(k // (SELECT max(x0) + 8 FROM chip) AS INT) AS r, CAST(k % (SELECT max(x0) + 8 FROM chip) AS INT) AS c FROM (SELECT unnest(range(0, (SELECT (max(y0) + 8) * (max(x0) + 8) FROM chip))) AS k) WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.r = k // (SELECT max(x0) + 8 FROM chip) AND cov.c = k % (SELECT max(x0) + 8 FROM chip))")
 def coverage_gaps(spark, sf):
     # The canvas is that of all tiles; every seventh is left out, as in the SQL, so that there are gaps.
     st = tiles.stitch_weighted(pixels(spark, sf).where("tile_id % 7 <> 0"), 8)
@@ -141,58 +141,71 @@ def contours(spark, sf):
     return geometry.top_k_longest(geometry.valid_lines(lines), ("scene",), 20).select("scene", "contour_id", "n_vertices", "length", "rank")
 
 
-@query()
+def _iso_sql() -> str:
+    """Marching squares at level 0: points on the top (T), left (L), bottom (B) and right side (S) of a cell, and the segments between them by case."""
+    points = {"T": ("c + a / (a - b)", "r"), "L": ("c", "r + a / (a - d)"), "B": ("c + d / (d - e)", "r + 1"), "S": ("c + 1", "r + b / (b - e)")}
+    cases = {1: ["LT"], 2: ["TS"], 3: ["LS"], 4: ["SB"], 6: ["TB"], 7: ["LB"], 8: ["BL"], 9: ["BT"], 11: ["BS"], 12: ["SL"], 13: ["ST"], 14: ["TL"]}
+    saddles = {(5, True): ["LB", "ST"], (5, False): ["LT", "SB"], (10, True): ["TL", "BS"], (10, False): ["TS", "BL"]}
+    length = lambda s: f"sqrt(pow({points[s[1]][0]} - ({points[s[0]][0]}), 2) + pow({points[s[1]][1]} - ({points[s[0]][1]}), 2))"
+    when = [f"WHEN code = {k} THEN [{', '.join(map(length, v))}]" for k, v in cases.items()]
+    when += [f"WHEN code = {k} AND {'' if high else 'NOT '}high THEN [{', '.join(map(length, v))}]" for (k, high), v in saddles.items()]
+    return f"""WITH {_STITCH}, rw AS (SELECT r, c, p AS a, CASE WHEN lead(c) OVER o = c + 1 THEN lead(p) OVER o END AS b FROM st WINDOW o AS (PARTITION BY r ORDER BY c)),
+ce AS (SELECT r, c, a, b, CASE WHEN lead(r) OVER o = r + 1 THEN lead(a) OVER o END AS d, CASE WHEN lead(r) OVER o = r + 1 THEN lead(b) OVER o END AS e FROM rw WINDOW o AS (PARTITION BY c ORDER BY r)),
+cd AS (SELECT *, (a > 0)::INT + 2 * (b > 0)::INT + 4 * (e > 0)::INT + 8 * (d > 0)::INT AS code, (a + b + d + e) / 4 > 0 AS high FROM ce WHERE b IS NOT NULL AND d IS NOT NULL AND e IS NOT NULL),
+sg AS (SELECT unnest(CASE {' '.join(when)} END) AS len FROM cd WHERE code NOT IN (0, 15))
+SELECT 0 AS scene, count(*) AS n_segments, round(sum(len), 4) AS total_length FROM sg"""
+
+
+@query(_iso_sql())
 def iso_segment_stats(spark, sf):
-    return geometry.contour_stats(geometry.iso_segments(_canvas(spark, sf), 0.0))
+    return geometry.contour_stats(geometry.iso_segments(_canvas(spark, sf), 0.0)).withColumn("total_length", F.round("total_length", 4))
 
 
-@query()
+@query(f"WITH {CHIP_SQL} SELECT CAST(scene AS VARCHAR) AS split, row_number() OVER (PARTITION BY scene ORDER BY tile_id) - 1 AS chip_id, 64 AS n, round(list_sum(list_transform(vals, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))), 4) AS vv_sum, CAST(len(list_filter(vals, lambda x: x > 0)) AS INT) AS water FROM chip")
 def raw_tile_scan(spark, sf):
-    """All chips written as flat binary by tasks, one file a partition in the shared folder, and read back by record ranges.
+    """All chips written as flat binary, one file a scene in the shared folder, and read back by record ranges.
 
-    The bands are a chip's values and their negatives, the mask is where values are positive. A chip is known by its file (split) and number in it.
+    The bands are a chip's values and their negatives, the mask is where values are positive. A chip is known by its scene (split) and its place there.
+    A task writes the scenes that it is dealt one after the other and holds a batch of chips at a time.
     """
-    import os
-    import tempfile
-    import uuid
-
-    from gridmetric.sources.raw_tiles import RawTileSource
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    folder = os.path.join(folder.removeprefix("file://"), f"rawtile-{uuid.uuid4().hex[:12]}")
-
-    def write(batches):
-        import numpy as np
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        path = os.path.join(folder, f"{context.partitionId()}.bin")
-        part, n = f"{path}.{context.taskAttemptId()}", 0
-        os.makedirs(folder, exist_ok=True)
-        with open(part, "wb") as f:
-            for batch in batches:
-                v = np.array(batch.column("values").to_pylist(), "<f4").reshape(-1, 1, 8, 8)
-                f.write(np.concatenate([v, -v, v > 0], axis=1).astype("<f4").tobytes())
-                n += len(v)
-        os.replace(part, path)  # a repeated task writes the same file
-        yield pa.record_batch({"path": [path], "n": pa.array([n], pa.int64())})
-
-    written = [r.path for r in X.chips(spark, sf).select("values").mapInArrow(write, "path string, n long").where("n > 0").collect()]
-    if missing := [p for p in written if not os.path.exists(p)]:
-        raise FileNotFoundError(f"not in the shared folder: {missing[0]}")
+    chips = _raw_chips(spark, sf, height=8, recordsPerPartition=64)
+    total = F.aggregate("vv", F.lit(0.0), lambda s, x: s + x)
+    return chips.select("split", "chip_id", F.size("vv").alias("n"), F.round(total, 4).alias("vv_sum"), F.aggregate("mask", F.lit(0), lambda s, x: s + x).alias("water"))
+
+
+def _raw_chips(spark, sf, **options):
+    from gridmetric.sources.raw_tiles import RawTileSource, write_raw
+    from gridmetric.sources.shared import scratch_folder
+
+    folder = scratch_folder(spark, "rawtile")
+    dealt = X.chips(spark, sf).select("scene", "tile_id", "values").repartition("scene").sortWithinPartitions("scene", "tile_id")
+    written = dealt.mapInArrow(write_raw(folder, "scene", "values", 8, 8), "path string, split string").orderBy("split").collect()  # a row a scene
     spark.dataSource.register(RawTileSource)
-    source = spark.read.format("rawtile").option("height", 8).option("width", 8).option("recordsPerPartition", 7)
-    chips = source.option("splits", ",".join(os.path.basename(p).removesuffix(".bin") for p in written)).load(",".join(written))
-    return chips.select("split", "chip_id", F.size("vv").alias("n"), F.round(F.aggregate("vv", F.lit(0.0), lambda s, x: s + x), 4).alias("vv_sum"), F.aggregate("mask", F.lit(0), lambda s, x: s + x).alias("water"))
+    source = spark.read.format("rawtile").options(width=8, splits=",".join(r.split for r in written), **options)
+    return source.load(",".join(r.path for r in written))
 
 
-@query()
+@query(f"WITH {CHIP_SQL} SELECT CAST(scene AS VARCHAR) AS split, row_number() OVER (PARTITION BY scene ORDER BY tile_id) - 1 AS chip_id, 192 AS n, round(CAST(len(list_filter(vals, lambda x: x > 0)) AS DOUBLE), 3) AS total FROM chip")
+def raw_raster_scan(spark, sf):
+    """The same files as rasters of one band of 24 x 8: values, their negatives and ones where they are positive add up to the number of these."""
+    bands = _raw_chips(spark, sf, planes=1, height=24)
+    return bands.select("split", "chip_id", F.size("band").alias("n"), F.round(F.abs(F.aggregate("band", F.lit(0.0), lambda s, x: s + x)), 3).alias("total"))
+
+
+@query(f"WITH {CHIP_SQL} SELECT tile_id, round(list_sum(list_transform(vals, lambda m: 1 / (1 + exp(-m)))), 6) AS total FROM chip")
 def score_tiles(spark, sf):
     return tiles.score_tiles(X.chips(spark, sf), lambda m: 1 / (1 + __import__("numpy").exp(-m))).select("tile_id", F.round(F.aggregate("scores", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query()
+def _draw_sql(k: int) -> str:
+    m, a = tiles.MODULUS, tiles.DRAWS[k]
+    once = f"((((tile_id % {m}) * 7919 + {(42 + k) * 104_729}) % {m}) * {a}) % {m}"
+    return f"((xor({once}, ({once}) >> 13) * {a}) % {m})"
+
+
+@query(f"""WITH {CHIP_SQL}, d AS (SELECT *, {_draw_sql(0)} < {int(0.5 * tiles.MODULUS)} AS hflip, {_draw_sql(1)} < {int(0.5 * tiles.MODULUS)} AS vflip, CAST(CASE WHEN {_draw_sql(2)} < {int(0.5 * tiles.MODULUS)} THEN {_draw_sql(3)} % 3 + 1 ELSE 0 END AS INT) AS turns FROM chip),
+s AS (SELECT *, CASE turns WHEN 1 THEN 0 WHEN 2 THEN 7 WHEN 3 THEN 7 ELSE 0 END AS si, CASE turns WHEN 1 THEN 7 WHEN 2 THEN 7 WHEN 3 THEN 0 ELSE 0 END AS sj FROM d)
+SELECT tile_id, hflip, vflip, turns, round(vals[(CASE WHEN vflip THEN 7 - si ELSE si END) * 8 + (CASE WHEN hflip THEN 7 - sj ELSE sj END) + 1], 6) AS corner FROM s""")
 def augmented_tiles(spark, sf):
     x = tiles.random_augment(X.chips(spark, sf), ["values"], 8)
     return x.select("tile_id", "hflip", "vflip", "turns", F.round(F.get("values", F.lit(0)), 6).alias("corner"))

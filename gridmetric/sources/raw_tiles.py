@@ -1,16 +1,28 @@
-"""Python data source "rawtile": flat binary files of equal records, each three float32 planes (two bands and a mask), read by record ranges."""
+"""Python data source "rawtile": flat binary files of equal records, each three float32 planes (two bands and a mask) or one, read by record ranges.
+
+Files are opened through pyarrow's file systems, so that a path may be a URI of any store that these know; each task reads its own ranges.
+"""
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridmetric.schemas import CHIP
 
 
+#: Columns of records with one plane.
+BAND = "chip_id LONG, split STRING, band ARRAY<FLOAT>"
+
+
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
 class RecordRange(InputPartition):
     def __init__(self, path: str, split: str, start: int, stop: int):
         super().__init__(None)
@@ -25,8 +37,8 @@ class RawTileReader(DataSourceReader):
         self.per = get("recordsPerPartition", 1024)
         self.paths = [p for p in options["path"].split(",") if p]
         self.splits = options.get("splits", "").split(",") if options.get("splits") else ["" for _ in self.paths]
-        if self.shape[0] != 3:
-            raise ValueError("a record has three planes: two bands and a mask")
+        if self.shape[0] not in (1, 3):
+            raise ValueError("a record has three planes, two bands and a mask, or one")
 
     @property
     def record_bytes(self) -> int:
@@ -36,24 +48,29 @@ class RawTileReader(DataSourceReader):
         """Ranges of records. A split whose file is missing has none; a file that isn't whole records, or has none, is an error."""
         out = []
         for path, split in zip(self.paths, self.splits):
-            if not os.path.exists(path):
+            store, at = _located(path)
+            info = store.get_file_info(at)
+            if info.type == fs.FileType.NotFound:
                 if split:
                     continue
                 raise FileNotFoundError(path)
-            n, rest = divmod(os.path.getsize(path), self.record_bytes)
+            n, rest = divmod(info.size, self.record_bytes)
             if rest or n == 0:
-                raise ValueError(f"{path}: {os.path.getsize(path)} bytes are not a positive number of records of {self.record_bytes}")
+                raise ValueError(f"{path}: {info.size} bytes are not a positive number of records of {self.record_bytes}")
             out += [RecordRange(path, split, a, min(n, a + self.per)) for a in range(0, n, self.per)]
         return out
 
     def read(self, part: RecordRange):
-        _, h, w = self.shape
-        data = np.memmap(part.path, self.dtype, "r", part.start * self.record_bytes, (part.stop - part.start, *self.shape))
-        for a in range(0, len(data), 64):
-            block = np.asarray(data[a : a + 64]).reshape(-1, 3, h * w)
-            plane = lambda k, t: pa.ListArray.from_arrays(np.arange(0, (len(block) + 1) * h * w, h * w, dtype=np.int32), pa.array(block[:, k].ravel().astype(t)))
-            n = len(block)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.start + a, part.start + a + n)), pa.array([part.split] * n), plane(0, np.float32), plane(1, np.float32), plane(2, np.int16)], names=["chip_id", "split", "vv", "vh", "mask"])
+        planes, h, w = self.shape
+        store, at = _located(part.path)
+        with store.open_input_file(at) as f:
+            for a in range(part.start, part.stop, 64):
+                n = min(64, part.stop - a)
+                block = np.frombuffer(f.read_at(n * self.record_bytes, a * self.record_bytes), self.dtype).reshape(n, planes, h * w)
+                plane = lambda k, t, block=block, n=n: pa.ListArray.from_arrays(np.arange(0, (n + 1) * h * w, h * w, dtype=np.int32), pa.array(block[:, k].ravel().astype(t)))
+                bands = [plane(0, np.float32), plane(1, np.float32), plane(2, np.int16)] if planes == 3 else [plane(0, np.float32)]
+                names = ["vv", "vh", "mask"] if planes == 3 else ["band"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + n)), pa.array([part.split] * n), *bands], names=["chip_id", "split", *names])
 
 
 class RawTileSource(DataSource):
@@ -64,12 +81,38 @@ class RawTileSource(DataSource):
         return "rawtile"
 
     def schema(self) -> str:
-        return CHIP
+        return BAND if int(self.options.get("planes", 3)) == 1 else CHIP
 
     def reader(self, schema) -> RawTileReader:
         return RawTileReader(self.options)
 
 
+def write_raw(folder: str, split: str, values: str, height: int, width: int):
+    """A function for mapInArrow over rows in order of the split: chips as records (values, their negatives, where they are positive), one file a
+    split; it returns path and split of each. A repeated task replaces its files by the same ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _located(folder)
+        store.create_dir(root, recursive=True)
+        done, name, out = [], None, None
+        for batch in batches:
+            names = np.array(batch.column(split).cast(pa.string()).to_pylist(), object)
+            v = np.array(batch.column(values).to_pylist(), "<f4").reshape(-1, 1, height, width)
+            for own in dict.fromkeys(names):
+                if own != name:
+                    if out is not None:
+                        out.close()
+                    name, out = own, store.open_output_stream(f"{root}/{own}.bin")
+                    done.append(own)
+                x = v[names == own]
+                out.write(np.concatenate([x, -x, x > 0], axis=1).astype("<f4").tobytes())
+        if out is not None:
+            out.close()
+        yield pa.record_batch({"path": pa.array([f"{folder}/{n}.bin" for n in done], pa.string()), "split": pa.array(done, pa.string())})
+
+    return run
+
+
 def raster_options(sidecar: dict) -> dict:
     """Reader options of a raw raster from its JSON metadata; a byte size that doesn't fit is found when it is read."""
     height, width = sidecar["shape"][-2:]
