@@ -1,31 +1,51 @@
 """Language identification by cross-parsing entropy.
 
-The labelled text of each language becomes a suffix automaton. A text is parsed against each automaton into longest
-matches (phrases); the language that needs the fewest phrases for the text's symbols wins. Phrases are counted per symbol, as
-a longest-match code costs log2(sample) / mean phrase length bits a symbol, so with samples of one size the count decides.
+The labelled text of each language becomes a suffix automaton. A text is parsed against each automaton into longest matches
+(phrases). A longest-match code names each phrase by its place in the sample, so a language's cost is phrases * log2(sample length)
+bits; the language of the least cost wins, whatever the sizes of the samples.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridmetric.llm.common import pieces, table, texts
+from gridmetric.llm.common import pieces, quoted, table, texts
 
-#: Symbols parsed as one block: a parse begins anew at each block of a text, which is then parsed whole, block by block.
+#: Symbols that one lane of the parser takes; a parse goes on over the borders of lanes.
 BLOCK = 2048
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+#: Rows of each language that its sample is taken from.
+SAMPLE_DOCS = 64
+
+
+@functools.cache
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """A letter (Unicode category L), and a run of anything else. \\w also has digits, marks such as ½ and ², and letter numbers."""
+    numbers = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl")]
+    ranges, begin = [], numbers[0]
+    for a, b in zip(numbers, [*numbers[1:], "\U0010ffff"]):
+        if ord(b) != ord(a) + 1:
+            ranges.append(f"{begin}-{a}")
+            begin = b
+    other = rf"\W\d_{''.join(ranges)}"
+    return re.compile(f"[^{other}]"), re.compile(f"[{other}]+")
+
+
+def has_letter(text: str) -> bool:
+    return _patterns()[0].search(text) is not None
 
 
 def normalise(text: str) -> bytes:
     """Lower-cased letters; every run of other characters is one space."""
-    return _OTHER.sub(" ", text.lower()).encode()
+    return _patterns()[1].sub(" ", text.lower()).encode()
 
 
 def suffix_automaton(data: bytes) -> list[dict[int, int]]:
@@ -59,7 +79,10 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """Automata of all languages as dense tables over the bytes seen in training; one more symbol stands for all others."""
+    """Automata of all languages as dense tables over the bytes seen in training; one more symbol stands for all others.
+
+    A table has at most two rows a byte of the sample, each of one 32-bit entry a distinct byte: about 15 MB for a sample of 32,768 characters.
+    """
 
     def __init__(self, samples: dict[str, bytes]):
         self.langs = sorted(samples)
@@ -67,6 +90,7 @@ class CrossParser:
         self.symbol = np.full(256, len(seen), np.uint8)
         self.symbol[seen] = np.arange(len(seen), dtype=np.uint8)
         self.width = w = len(seen) + 1
+        self.bits = np.log2([max(2, len(samples[x])) for x in self.langs])  # that name a place in the sample
         self.tables = []
         for lang in self.langs:
             go = suffix_automaton(samples[lang])
@@ -81,30 +105,71 @@ class CrossParser:
             moves[rows, cols] = 2 * w * np.fromiter((s for g in go for s in g.values()), np.int32, len(rows))
             self.tables.append(moves.ravel())
 
-    def phrases(self, data: list[bytes]) -> np.ndarray:
-        """Phrases of each text (rows) under each language (columns); a phrase begins with each block."""
+    def phrases(self, data: list[bytes], block: int = BLOCK) -> np.ndarray:
+        """Phrases of each text (rows) under each language (columns).
+
+        Lanes of `block` symbols are parsed side by side, each as if a parse began there. Then each lane of a text is parsed again from the state in
+        which the lane before it ended, only until both parses are in one state; from there on they are the same.
+        """
         sizes = np.fromiter(map(len, data), np.int64, len(data))
         flat = self.symbol[np.frombuffer(b"".join(data), np.uint8)].astype(np.int32)
-        per = -(-sizes // BLOCK)
+        per = -(-sizes // block)
         owner = np.repeat(np.arange(len(data)), per)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-        begin = (np.cumsum(sizes) - sizes)[owner] + nth * BLOCK
-        length = np.minimum(BLOCK, sizes[owner] - nth * BLOCK)
+        begin = (np.cumsum(sizes) - sizes)[owner] + nth * block
+        length = np.minimum(block, sizes[owner] - nth * block)
         order = np.argsort(-length, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        before = np.where(nth > 0, place[np.maximum(np.arange(len(order)) - 1, 0)], -1)[order]  # the lane before, in order of length
         owner, begin, length = owner[order], begin[order], length[order]
-        active = np.searchsorted(-length, -np.arange(1, BLOCK + 1), side="right")  # blocks longer than k, for each k
+        steps = int(length[0]) if len(length) else 0
+        active = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")  # lanes longer than k, for each k
+        later = np.flatnonzero(before >= 0)
+        row = np.zeros(len(owner), np.int64)  # of a later lane in path and counted
+        row[later] = np.arange(len(later))
+        open_ = np.searchsorted(later, active)  # later lanes longer than k: as lanes go by length, these are the first
+        path = np.zeros((steps, len(later)), np.int32)
+        counted = np.zeros((steps, len(later)), np.uint16 if block < 1 << 16 else np.int32)
         out = np.zeros((len(data), len(self.langs)), np.int64)
         for j, moves in enumerate(self.tables):
             at = np.full(len(owner), len(moves) - self.width, np.int32)
             count = np.zeros(len(owner), np.int32)
-            for k in range(int(length[0]) if len(length) else 0):
+            for k in range(steps):
                 n = active[k]
                 entry = moves[at[:n] + flat[begin[:n] + k]]
                 count[:n] += entry & 1
                 at[:n] = entry >> 1
-            out[:, j] = np.bincount(owner, weights=count, minlength=len(data))
+                if m := open_[k]:
+                    path[k, :m], counted[k, :m] = at[later[:m]], count[later[:m]]
+            todo, total, own = later, count.copy(), at.copy()
+            while len(todo):
+                rows, state, new, k = todo, at[before[todo]], np.zeros(len(todo), np.int32), 0
+                moved = []
+                while len(rows):
+                    entry = moves[state + flat[begin[rows] + k]]
+                    new, state = new + (entry & 1), entry >> 1
+                    same = state == path[k, row[rows]]
+                    met = rows[same]
+                    total[met] = count[met] - counted[k, row[met]] + new[same]
+                    moved.append(met[at[met] != own[met]])
+                    at[met] = own[met]
+                    k += 1
+                    ended = ~same & (length[rows] == k)
+                    if ended.any():  # the whole lane differs, and so does where the next one begins
+                        done = rows[ended]
+                        total[done] = new[ended]
+                        moved.append(done[at[done] != state[ended]])
+                        at[done] = state[ended]
+                    rows, state, new = (x[~same & ~ended] for x in (rows, state, new))
+                todo = later[np.isin(before[later], np.concatenate(moved))]
+            out[:, j] = np.bincount(owner, weights=total, minlength=len(data))
         return out
 
+    def costs(self, data: list[bytes]) -> np.ndarray:
+        """Bits that each text (rows) takes under each language (columns)."""
+        return self.phrases(data) * self.bits
+
 
 _parsers: dict[int, CrossParser] = {}
 
@@ -117,56 +182,104 @@ def _parser(samples: dict[str, bytes]) -> CrossParser:
     return _parsers[key]
 
 
-def learn_samples(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 64, chars_per_language: int = 32_768, max_languages: int = 256) -> dict[str, bytes]:
-    """Normalised text of each language, from docs_per_language rows by order of a hash of the id, cut at chars_per_language.
+def _shared_out(sizes: list[int], total: int) -> list[int]:
+    """Even shares of the total for texts of these sizes; what a short text leaves goes to the rest."""
+    out, left = [0] * len(sizes), total
+    for rank, i in enumerate(sorted(range(len(sizes)), key=lambda i: (sizes[i], i))):
+        out[i] = min(sizes[i], left // (len(sizes) - rank))
+        left -= out[i]
+    return out
+
 
-    The sample is bounded by these parameters, whatever the size of the table. Rows with a null language or text don't count.
+def learn_samples(
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = SAMPLE_DOCS, chars_per_language: int = 32_768, max_languages: int = 256
+) -> dict[str, bytes]:
+    """Normalised text of each language, from docs_per_language rows by order of a hash of the id, chars_per_language in all.
+
+    The sample is bounded by these parameters, whatever the size of the table; its rows have even shares of it, and what short ones leave goes to
+    the rest. Rows with a null language, text or id don't count; of rows that repeat an id, all do.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= docs_per_language).select("id").collect()
+    own = labelled.select(quoted(id_col).alias("id"), quoted(lang_col).alias("lang"), quoted(text_col).alias("text")).dropna()
+    chosen = _by_hash(own, 1, docs_per_language)
     if not chosen:
         return {}
-    keys = [r.id for r in chosen if r.id is not None]
-    found = labelled.where(F.col(id_col).isin(keys) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    found = own.where(F.col("id").isin(chosen))
     by_lang: dict[str, list] = {}
-    for r in found.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, chars_per_language).alias("text")).collect():
-        by_lang.setdefault(r.lang, []).append((xxhash.xxh3_64_intdigest(str(r.id).encode()), r.text))
+    for r in found.select("lang", "id", F.substring("text", 1, chars_per_language).alias("text")).collect():
+        by_lang.setdefault(r.lang, []).append((xxhash.xxh3_64_intdigest(str(r.id).encode()), normalise(r.text)))
     if len(by_lang) > max_languages:
         raise ValueError(f"{len(by_lang)} languages; at most {max_languages} are meant")
-    return {lang: b" ".join(normalise(t) for _, t in sorted(rows))[:chars_per_language] for lang, rows in by_lang.items()}
+    out = {}
+    for lang, rows in by_lang.items():
+        parts = [t for _, t in sorted(rows)]
+        out[lang] = b" ".join(t[:n] for t, n in zip(parts, _shared_out([len(t) for t in parts], chars_per_language)))
+    return out
+
+
+def _by_hash(own: DataFrame, first: int, last: int) -> list:
+    """Ids of the rows of each language from number first to last, in order of a hash of the id."""
+    rank = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    return [r.id for r in own.select("id", "lang").withColumn("nth", F.row_number().over(rank)).where(F.col("nth").between(first, last)).select("id").collect()]
+
+
+def learn_rate_limits(
+    labelled: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 256, least: int = 40, slack: float = 1.75
+) -> dict[str, float]:
+    """The phrase rate beyond which a text isn't in its language: slack times the greatest of docs_per_language rows that no sample holds.
+
+    The rows are bounded by the parameter, whatever the size of the table. Texts of fewer than `least` letters don't count; a language without any
+    other has no limit.
+    """
+    own = labelled.select(quoted(id_col).alias("id"), quoted(lang_col).alias("lang"), quoted(text_col).alias("text")).dropna()
+    chosen = _by_hash(own, SAMPLE_DOCS + 1, SAMPLE_DOCS + docs_per_language)
+    if not chosen or not samples:
+        return {}
+    judged = identify(own.where(F.col("id").isin(chosen) & (letters(F.col("text")) >= least)), samples, "id", "text")
+    got = judged.where("lang = lang_pred").groupBy("lang").agg(F.max("phrase_rate").alias("rate")).collect()
+    return {r.lang: slack * r.rate for r in got}
+
+
+def letters(text: Column) -> Column:
+    """Number of letters of a text."""
+    return F.length(F.regexp_replace(text, r"\P{L}+", ""))
 
 
 def identify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs besides lang_pred and score.
+    """All columns of docs besides lang_pred, score and phrase_rate.
 
-    lang_pred is the language of fewest phrases (ties: the first by name), `und` where the text is null or has no letter or
-    nothing was learned. score is 1 - fewest / second fewest phrases, scaled to 0-1 by doubling and cut at 1; 0 for `und`, 1
-    with a single language. Columns of docs named lang_pred or score are replaced. Whole texts are parsed, of any length;
+    lang_pred is the language of the least cost (ties: the first by name), `und` where the text is null or has no letter or
+    nothing was learned. score is 1 - least / second least cost, scaled to 0-1 by doubling and cut at 1; 0 for `und`, 1
+    with a single language. phrase_rate is the winner's phrases a byte of the normalised text (null for `und`). Columns of docs named as one of
+    the three are replaced; any other name may occur. Whole texts are parsed, of any length;
     repeated rows and ids are judged row by row; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(samples)
-    kept = docs.drop("lang_pred", "score")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    kept = docs.drop("lang_pred", "score", "phrase_rate")
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
     def run(batches):
         parser = _parser(shared.value)
-        for batch in pieces(batches, text_col, 4 << 20):
+        for batch in pieces(batches, text_col, 2 << 20):
             raw = texts(batch, text_col)
-            clean = [normalise(t) if _LETTER.search(t) else b"" for t in raw]
+            clean = [normalise(t) if has_letter(t) else b"" for t in raw]
             known = np.fromiter((len(c) > 0 for c in clean), bool, len(clean)) & (len(parser.langs) > 0)
-            pred, score = np.full(len(raw), "und", object), np.zeros(len(raw))
+            pred, score, rate = np.full(len(raw), "und", object), np.zeros(len(raw)), np.full(len(raw), np.nan)
             if known.any():
-                n = parser.phrases([c for c in clean if c]).astype(float)
-                pred[known] = np.array(parser.langs, object)[n.argmin(axis=1)]
-                two = np.sort(n, axis=1)[:, :2]
-                score[known] = np.minimum(1.0, 2 * (1 - two[:, 0] / two[:, 1])) if n.shape[1] > 1 else 1.0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+                own = [c for c in clean if c]
+                phrases = parser.phrases(own)
+                cost = phrases * parser.bits
+                best = cost.argmin(axis=1)
+                pred[known] = np.array(parser.langs, object)[best]
+                two = np.sort(cost, axis=1)[:, :2]
+                score[known] = np.minimum(1.0, 2 * (1 - two[:, 0] / two[:, 1])) if cost.shape[1] > 1 else 1.0
+                rate[known] = phrases[np.arange(len(own)), best] / np.fromiter(map(len, own), float, len(own))
+            more = [pa.array(pred, pa.string()), pa.array(score), pa.array(rate, mask=np.isnan(rate))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "score", "phrase_rate"])
 
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, phrase_rate double")
 
 
-def fold(id_col: str, n: int):
+def fold(id_col: str, n: int) -> Column:
     """crc32 of an id as text, modulo n (null id: that of the empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
@@ -176,4 +289,4 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     samples = learn_samples(docs.where(fold("doc_id", 4) != 2))
     judged = identify(docs.select("doc_id", "text"), samples)
-    return judged.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return judged.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "phrase_rate")
