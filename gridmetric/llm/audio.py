@@ -80,11 +80,11 @@ _HANN = np.hanning(WINDOW).astype(np.float32)
 
 
 def log_mel(x: np.ndarray, rate: float) -> np.ndarray:
-    """Log-mel energies of overlapped windows; a clip shorter than a window is padded with zeros to one frame."""
+    """Log-mel energies of overlapped windows; zeros are added at the end so that each sample lies in a frame."""
     if rate not in _banks:
         _banks[rate] = _mel_bank(rate)
-    if len(x) < WINDOW:
-        x = np.concatenate([x, np.zeros(WINDOW - len(x), np.float32)])
+    whole = WINDOW + max(0, -(-(len(x) - WINDOW) // HOP)) * HOP
+    x = np.concatenate([x, np.zeros(whole - len(x), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
     parts = []
     for k in range(0, len(frames), 1024):  # blocks bound the memory of a very long clip
@@ -112,8 +112,8 @@ def features(samples: bytes, rate: int) -> tuple[pa.Table, list[tuple[float, flo
     padded = np.concatenate([mel, np.full((n * FRAMES - len(mel), MELS), np.log(np.float32(1e-6)), np.float32)]).reshape(n, FRAMES, MELS)
     tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(padded)
     begin = np.arange(n) * FRAMES * HOP / new_rate
-    stop = np.minimum(begin + ((FRAMES - 1) * HOP + WINDOW) / new_rate, max(len(x) / rate, WINDOW / new_rate))
-    spans = [(a * HOP / new_rate, ((b - 1) * HOP + WINDOW) / new_rate) for a, b in segments(mel.mean(axis=1))]
+    stop = np.minimum(begin + ((FRAMES - 1) * HOP + WINDOW) / new_rate, len(x) / rate)
+    spans = [(a * HOP / new_rate, min(((b - 1) * HOP + WINDOW) / new_rate, len(x) / rate)) for a, b in segments(mel.mean(axis=1))]
     return pa.table({"start_s": begin, "stop_s": stop, "log_mel": tensors}), spans
 
 
@@ -149,8 +149,14 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def audio_features(clips: DataFrame, media_col: str = "media", keep_tensors: bool = True) -> DataFrame:
     """Columns of clips besides payload_bytes, payload_sha256, tail_crc32 (of the samples read back), feature, spans and, with
-    keep_tensors, tensors (Arrow IPC of fixed-shape tensors). A null clip has null in all of them."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clips.schema.fields)
+    keep_tensors, tensors (Arrow IPC of fixed-shape tensors, read back for the feature).
+
+    A null clip has null in all of them; an empty one has a single frame of silence. Columns of clips with one of these names are replaced. Clips
+    may have any length; rows stand alone, so ties and repeated rows give equal values, and an empty table gives an empty one.
+    """
+    added = ["payload_bytes", "payload_sha256", "tail_crc32", "feature", "spans", "tensors"]
+    clips = clips.drop(*added)
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in clips.schema.fields)
     more = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, spans array<struct<start_s: double, stop_s: double>>" + ", tensors binary" * keep_tensors
     span_type = pa.list_(pa.struct([("start_s", pa.float64()), ("stop_s", pa.float64())]))
 
@@ -163,19 +169,23 @@ def audio_features(clips: DataFrame, media_col: str = "media", keep_tensors: boo
                     continue
                 samples, rate = wav_samples(clip.as_py())
                 t, spans = features(samples, rate)
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), digest(t, spans), [{"start_s": a, "stop_s": b} for a, b in spans], ipc_bytes(t) if keep_tensors else None))
+                stored = ipc_bytes(t) if keep_tensors else None
+                t = pa.ipc.open_stream(stored).read_all() if keep_tensors else t
+                seconds = [{"start_s": a, "stop_s": b} for a, b in spans]
+                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), digest(t, spans), seconds, stored))
             cols = list(zip(*rows))
             arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], span_type)]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "feature", "spans"]
             if keep_tensors:
-                arrays, names = [*arrays, pa.array(cols[5], pa.binary())], [*names, "tensors"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
+                arrays.append(pa.array(cols[5], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *added[: len(arrays)]])
 
     return clips.mapInArrow(run, f"{schema}, {more}")
 
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored bytes, their digests and features of every document's text."""
+    """Stored bytes, their digests, features and the digest of the stored tensors of every document's text."""
     clips = store_audio(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    done = audio_features(clips, keep_tensors=False)
-    return done.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.size("spans").alias("n_segments"))
+    done = audio_features(clips)
+    media = [F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")]
+    tensors = [F.length("tensors").cast("long").alias("tensor_bytes"), F.sha2("tensors", 256).alias("tensors_sha256")]
+    return done.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", *media, "feature", F.size("spans").alias("n_segments"), *tensors)
