@@ -1,7 +1,8 @@
 """Secret scans: candidate strings from a pattern, and a random forest that removes false positives.
 
 The forest sees a candidate's length, its character transitions, how much of it a dictionary covers, the path it comes from and the
-words beside it. It is trained on a table of labelled findings, which is small, on the driver; scanning is a map over documents.
+words beside it. The dictionary holds the most frequent words of all documents besides common English ones; transitions are those of its words. The
+forest is trained on a table of labelled findings, which is small, on the driver; scanning is a map over documents.
 """
 
 from __future__ import annotations
@@ -14,35 +15,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmetric.llm.common import pieces, table, texts
+from gridmetric.llm.common import pieces, quoted, table, texts
 
 #: Runs that may be a secret: 16 or more characters of common encodings.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 #: Values of any length that something is assigned: within quotes, or up to a space, quote or separator.
 ASSIGNED = re.compile(r"(?:=>|:=|[:=])[ \t]*+(?:[Bb]earer[ \t]++)?(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\s\"'`;,:=][^\s\"'`;,]*))")
 _WORD = re.compile(r"[A-Za-z]+")
-# Words that coverage and transitions are measured with, and words and path parts that speak for or against a secret.
+# Common words of the dictionary, and words and path parts that speak for or against a secret.
 DICTIONARY = ("about after again also another because been before below between call case change class code come could data date default description different does done each error even example field file find first following format from function give have here home html http https image index info input into just kind know last like line link list local long look made make many message more most much must name need never next node null number object only order other output over page param part path people place point print project public query read release request response return right same sample search second server service should some sort source start state string system table test text than that their them then there these they thing this time title true type under update user using value version view void want water well were what when where which while will with word work world would write year your").split()
 FOR = ("token", "secret", "password", "passwd", "pwd", "apikey", "api", "key", "auth", "bearer", "credential", "private", "access")
 AGAINST = ("commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "digest", "uuid", "guid", "etag", "revision", "rev", "id", "build", "version", "placeholder", "sample", "dummy")
 TEST_PATHS = ("test", "example", "sample", "mock", "fixture", "doc", "demo")
-_FIND_WORDS = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
 FEATURES = ("length", "entropy", "switches", "transition", "coverage", "distinct", "run", "hex", "digits", "test_path", "words_for", "words_against", "assigned")
 
 
-def _transition_table() -> np.ndarray:
-    """Log-probabilities of letter pairs in the dictionary, one count added."""
-    counts = np.ones((26, 26))
-    for w in DICTIONARY:
-        x = np.frombuffer(w.encode(), np.uint8) - 97
-        np.add.at(counts, (x[:-1], x[1:]), 1)
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+class Lexicon:
+    """A dictionary of lower-case ASCII words, and the transitions between their letters."""
 
+    def __init__(self, words=()):
+        self.words = tuple(dict.fromkeys([*DICTIONARY, *words]))
+        counts = np.ones((26, 26))  # one of each pair is added
+        for w in self.words:
+            x = np.frombuffer(w.encode(), np.uint8) - 97
+            np.add.at(counts, (x[:-1], x[1:]), 1)
+        self.transitions = np.log(counts / counts.sum(axis=1, keepdims=True))
+        self._finder = None
 
-_TRANSITIONS = _transition_table()
+    def __getstate__(self):
+        return {"words": self.words, "transitions": self.transitions, "_finder": None}
 
+    def covered(self, low: str) -> int:
+        """Characters of a lower-case string within words that don't overlap, the leftmost and longest first."""
+        if self._finder is None:
+            import ahocorasick
 
-def describe(candidate: str, before: str, after: str, path: str | None) -> list[float]:
+            self._finder = ahocorasick.Automaton()
+            for w in self.words:
+                self._finder.add_word(w, len(w))
+            self._finder.make_automaton()
+        return sum(n for _, n in self._finder.iter_long(low))
+
+
+COMMON = Lexicon()
+
+
+def learn_lexicon(docs: DataFrame, text_col: str = "text", size: int = 4096) -> Lexicon:
+    """The `size` words of four ASCII letters or more that occur most in all texts (ties: by the word), besides the common ones.
+
+    Words are counted over all rows; the driver gets `size` of them. Null and empty texts have none, and an empty table leaves the common words.
+    """
+    words = docs.select(F.explode(F.split(F.lower(F.replace(quoted(text_col), F.lit("\n"), F.lit(" "))), " ")).alias("w")).where(F.length("w").between(4, 24))
+    counts = words.groupBy("w").count().where(F.col("w").rlike("^[a-z]+$"))
+    return Lexicon([r.w for r in counts.orderBy(F.desc("count"), "w").limit(size).collect()])
+
+
+def describe(candidate: str, before: str, after: str, path: str | None, lexicon: Lexicon = COMMON) -> list[float]:
     """Features of one candidate, with the text on both sides of it."""
     raw = np.frombuffer(candidate.encode(), np.uint8)
     kind = np.select([(raw >= 48) & (raw < 58), (raw >= 65) & (raw < 91), (raw >= 97) & (raw < 123)], [0, 1, 2], 3)
@@ -52,21 +80,22 @@ def describe(candidate: str, before: str, after: str, path: str | None) -> list[
     pair = (low[:-1] >= 0) & (low[:-1] < 26) & (low[1:] >= 0) & (low[1:] < 26)
     edges = np.flatnonzero(np.diff(raw.astype(int), prepend=-1, append=-1))
     words = [w.lower() for w in _WORD.findall(before)[-3:]]
-    where = (path or "").lower()
+    where = str(path or "").lower()
     return [
         float(len(raw)), float(-(share * np.log2(share)).sum()), float((np.diff(kind) != 0).mean()),
-        float(_TRANSITIONS[low[:-1][pair], low[1:][pair]].mean()) if pair.any() else -4.0,
-        sum(len(m) for m in _FIND_WORDS.findall(candidate.lower())) / len(raw), len(share) / len(raw), float(np.diff(edges).max()) / len(raw),
+        float(lexicon.transitions[low[:-1][pair], low[1:][pair]].mean()) if pair.any() else -4.0,
+        lexicon.covered(candidate.lower()) / len(raw), len(share) / len(raw), float(np.diff(edges).max()) / len(raw),
         float(re.fullmatch(r"[0-9a-fA-F]+", candidate) is not None), float((kind == 0).mean()), float(any(t in where for t in TEST_PATHS)),
         float(any(w in FOR for w in words)), float(any(w in AGAINST for w in words)), float(re.search(r"[:=]\s*[\"']?$", before) is not None and (after[:1] in "\"'\n ;," or not after)),
     ]
 
 
 class Forest:
-    """A random forest of binary trees as flat arrays: feature, threshold, left child (right is the next one), share of positives."""
+    """A random forest of binary trees as flat arrays: feature, threshold, left child (right is the next one), share of positives. It keeps the
+    lexicon that its features rest on."""
 
-    def __init__(self, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.trees = trees
+    def __init__(self, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], lexicon: Lexicon = COMMON):
+        self.trees, self.lexicon = trees, lexicon
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, n_trees: int = 40, depth: int = 8, seed: int = 5) -> Forest:
@@ -124,23 +153,25 @@ class Forest:
         return out / len(self.trees)
 
 
-def train_forest(findings: DataFrame, max_rows: int = 6000) -> Forest:
+def train_forest(findings: DataFrame, max_rows: int = 6000, lexicon: Lexicon = COMMON) -> Forest:
     """A forest from labelled findings: candidate, before, after, path (strings) and label (1: a secret).
 
     The table is meant to be small; of a larger one, the max_rows least by hash count. Null candidates or labels don't count; nulls elsewhere are
     empty; repeated rows count as often as they occur. Without rows the forest says one half.
     """
     rows = findings.where((F.length("candidate") > 0) & F.col("label").isNotNull()).orderBy(F.xxhash64("candidate", "before"), "candidate", "before", "after", "path", "label").limit(max_rows).collect()
-    x = np.array([describe(r.candidate, r.before or "", r.after or "", r.path) for r in rows]).reshape(-1, len(FEATURES))
-    return Forest.fit(x, np.array([float(r.label) for r in rows]))
+    x = np.array([describe(r.candidate, r.before or "", r.after or "", r.path, lexicon) for r in rows]).reshape(-1, len(FEATURES))
+    forest = Forest.fit(x, np.array([float(r.label) for r in rows]))
+    forest.lexicon = lexicon
+    return forest
 
 
-def made_findings(spark: SparkSession, n: int = 3000, seed: int = 3) -> DataFrame:
+def made_findings(spark: SparkSession, n: int = 3000, seed: int = 3, lexicon: Lexicon = COMMON) -> DataFrame:
     """Labelled findings by rule: random strings beside words for a secret; placeholders, names, digests and numbers for the rest."""
-    rng, rows = np.random.default_rng(seed), []
+    rng, rows, known = np.random.default_rng(seed), [], np.array(lexicon.words)
     alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]
     rand = lambda k, size: "".join(rng.choice(list(alphabets[k]), size))
-    word = lambda: str(rng.choice(DICTIONARY))
+    word = lambda: str(known[rng.integers(0, len(known))])
     one = lambda x: str(rng.choice(list(x)))
     paths = ("src1", "src17", "app/config.py", "deploy/prod.env", "lib/client.js", "notes.txt", None)
     for i in range(n):
@@ -203,7 +234,7 @@ def _judge(batch: pa.RecordBatch, forest: Forest) -> tuple[list[str], list[list[
     raw = texts(batch, "text")
     found = [_spans(t) for t in raw]
     paths = batch.column("path").to_pylist()
-    x = [describe(t[a:b], t[max(0, a - 48) : a], t[b : b + 2], p) for t, spans, p in zip(raw, found, paths) for a, b in spans]
+    x = [describe(t[a:b], t[max(0, a - 48) : a], t[b : b + 2], p, forest.lexicon) for t, spans, p in zip(raw, found, paths) for a, b in spans]
     prob = iter(forest.prob(np.array(x).reshape(-1, len(FEATURES))).tolist())
     return raw, [[(a, b, next(prob)) for a, b in spans] for spans in found]
 
@@ -225,8 +256,8 @@ def scan_secrets(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_c
                 at, start, stop, candidate, prob = zip(*rows)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(candidate), pa.array(prob), pa.array([p >= threshold for p in prob])], names=["id", "start", "stop", "candidate", "probability", "is_secret"])
 
-    path = F.lit("") if path_col is None else F.col(path_col)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.cast("string").alias("path"))
+    path = F.lit("") if path_col is None else quoted(path_col)
+    source = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), path.cast("string").alias("path"))
     return source.mapInArrow(run, f"id {kind}, start int, stop int, candidate string, probability double, is_secret boolean").withColumnRenamed("id", id_col)
 
 
@@ -255,6 +286,7 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document, judged by a forest of 40 trees trained on at most 6,000 labelled findings."""
-    forest = train_forest(made_findings(spark))
-    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), forest)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    lexicon = learn_lexicon(docs)
+    found = scan_secrets(docs, train_forest(made_findings(spark, lexicon=lexicon), lexicon=lexicon))
     return found.select("doc_id", "start", "stop", F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
