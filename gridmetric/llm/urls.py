@@ -7,10 +7,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridmetric.llm.common import pieces, table, texts
+from gridmetric.llm.common import pieces, quoted, table, texts
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _CUT = re.compile(r"[/?#]")
@@ -101,9 +101,8 @@ def train_url_model(labelled: DataFrame, max_rows: int = 4000, bits: int = 15) -
     or labels don't count, repeated urls count once; without rows the model says one half.
     """
     rows = labelled.where(F.col("url").isNotNull() & F.col("label").isNotNull()).select("url", F.col("label").cast("int").alias("label")).distinct()
-    got = []
-    for label in (0, 1):
-        got += rows.where(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(max_rows // 2).collect()
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("url"), "url"))
+    got = rows.where(F.col("label").isin(0, 1)).withColumn("nth", nth).where(F.col("nth") <= max_rows // 2).orderBy("label", "nth").collect()
     return UrlModel(bits).fit([(*split_url(r.url), r.label) for r in got])
 
 
@@ -132,14 +131,23 @@ def judge_urls(pages: DataFrame, rules, model: UrlModel, id_col: str = "page_id"
                 "block_prob": pa.array(prob, pa.float64()),
             })
 
-    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
+    source = pages.select(quoted(id_col).alias("id"), quoted(url_col).alias("url"))
     return source.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string, block_prob double").withColumnRenamed("id", id_col)
 
 
 def rule_labelled(pages: DataFrame, rules, url_col: str = "url") -> DataFrame:
-    """A labelled table for training: the urls on which a rule decides, with 1 for block."""
-    judged = judge_urls(pages.select(F.col(url_col).alias("id"), F.col(url_col).alias("url")), rules, UrlModel(1), "id", "url")
-    return judged.where(F.col("rule").isNotNull()).select(F.col("id").alias("url"), (F.col("verdict") == "block").cast("int").alias("label"))
+    """A labelled table for training: the urls on which a rule decides, with 1 for block. Null urls and those that no rule fits are left out."""
+    shared = pages.sparkSession.sparkContext.broadcast(tuple(rules))
+
+    def run(batches):
+        own = Rules(shared.value)
+        for batch in pieces(batches, "url"):
+            urls = texts(batch, "url")
+            hits = [own.judge(*split_url(u)) for u in urls]
+            rows = [(u, int(x[1] == "block")) for u, x in zip(urls, hits) if x]
+            yield pa.record_batch({"url": pa.array([u for u, _ in rows], pa.string()), "label": pa.array([y for _, y in rows], pa.int32())})
+
+    return pages.select(quoted(url_col).alias("url")).where(F.col("url").isNotNull()).mapInArrow(run, "url string, label int")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
