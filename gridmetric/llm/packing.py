@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.taskcontext import TaskContext
 
-from gridmetric.llm.common import MB, pieces, table
+from gridmetric.llm.common import MB, pieces, quoted, table
 from gridmetric.llm.tokens import word_tokenizer
 
 
@@ -106,23 +107,24 @@ class Packer:
         return out
 
 
-def pack_tokens(docs: DataFrame, tokenizer_file: bytes, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, tokens: int = 2048, segments: int = 256, loss: int = 2048, end_id: int = 1, window: int = 8192) -> DataFrame:
+def pack_tokens(docs: DataFrame, tokenizer_file: bytes, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, tokens: int = 2048, segments: int = 256, loss: int = 2048, end_id: int = 1, window: int = 8192, window_tokens: int = 4_000_000) -> DataFrame:
     """Pieces of token sequences: id_col, start, length, ids (binary: little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A row's ids are those of its whole text (null: none), then end_id. All its tokens bear loss, or with loss_col (boolean; null: no) only
     those of rows where it is true. Every id is in exactly one piece; sequences hold at most `tokens` tokens, `segments` pieces and
     `loss` loss-bearing tokens. Rows stand alone, so ids may be null or repeat and a text may have any length; sequence_id is the task's number
-    times 2**36 plus a count, so an empty table gives an empty one. window: rows that a task packs together, which bounds its memory.
+    times 2**36 plus a count, so an empty table gives an empty one. window, window_tokens: rows or tokens after which a task packs what it has, which bounds its memory; a
+    single text may be larger. Columns of docs other than the named ones don't matter.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_file)
     kind = docs.schema[id_col].dataType.simpleString()
-    arrow_type = pa.int64() if kind == "bigint" else None
+    arrow_type = to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches):
         tokenizer = word_tokenizer(shared.value)
         packer, count = Packer(tokens, segments, loss), TaskContext.get().partitionId() << 36
         held: dict[int, tuple] = {}  # number of the row: id, ids, tokens that are in no piece yet
-        number = rows = 0
+        number = rows = held_tokens = 0
 
         def emit(sequences):
             nonlocal count
@@ -140,9 +142,10 @@ def pack_tokens(docs: DataFrame, tokenizer_file: bytes, id_col: str = "doc_id",
                         held[key] = (doc, ids, open_ - n)
                 count += 1
             kinds = [arrow_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) if k else pa.array(c) for c, k in zip(cols, kinds)], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-        for batch in pieces(batches, "text", 16 * MB):
+        for batch in pieces(batches, "text", 6 * MB):
             flat, sizes = tokenizer.encode(batch.column("text"))
             ends = np.cumsum(sizes)
             bears = batch.column("bears").to_pylist()
@@ -152,9 +155,9 @@ def pack_tokens(docs: DataFrame, tokenizer_file: bytes, id_col: str = "doc_id",
                 held[number] = (doc, ids, len(ids))
                 full += packer.add(number, 0, len(ids), len(ids) if yes else 0)
                 number += 1
-            rows += batch.num_rows
-            if rows >= window:
-                rows = 0
+            rows, held_tokens = rows + batch.num_rows, held_tokens + len(flat)
+            if rows >= window or held_tokens >= window_tokens:
+                rows = held_tokens = 0
                 full += packer.pack(final=False)
             if full:
                 yield emit(full)
@@ -162,8 +165,8 @@ def pack_tokens(docs: DataFrame, tokenizer_file: bytes, id_col: str = "doc_id",
         if last:
             yield emit(last)
 
-    bears = F.lit(True) if loss_col is None else F.coalesce(F.col(loss_col), F.lit(False))
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), bears.alias("bears"))
+    bears = F.lit(True) if loss_col is None else F.coalesce(quoted(loss_col), F.lit(False))
+    source = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), bears.alias("bears"))
     schema = f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

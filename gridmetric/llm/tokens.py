@@ -14,14 +14,17 @@ from gridmetric.llm.common import gather_ragged
 
 #: Marks that may follow a word; an apostrophe isn't one of them, as the pattern knows its contractions.
 _MARKS = ".,;:!?|)\"*"
+#: Texts on which a tokenizer file must encode as its words do.
+_PROBES = ["Hello, World.  again\n\nNEW line", "don't STOP! (x) a.b,c; \"Été\" straße* y|z", "12 3.4 it's: end?"]
 #: Parts that a worker remembers in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class WordTokenizer:
     """Ids of a text are those of its words end to end, as the file's BPE never crosses white space and drops it.
 
-    A word of letters with punctuation after it is two parts to the file's pattern, so the letters are looked up alone, in lower case.
+    A word of letters with punctuation after it is two parts to the file's pattern, so the letters are looked up alone, in lower case. A file of which
+    this doesn't hold is refused.
     """
 
     def __init__(self, file: bytes):
@@ -32,6 +35,10 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.young: dict[str, bytes] = {}  # ids of parts that were met lately,
         self.old: dict[str, bytes] = {}  # and of those met before
+        ids, sizes = self.encode(pa.array(_PROBES))
+        want = [e.ids for e in self.tokenizer.encode_batch(_PROBES, add_special_tokens=False)]
+        if [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] != want:
+            raise ValueError("the tokenizer file doesn't lower-case words and drop white space between them")
 
     def encode_parts(self, parts: set[str]) -> dict[str, bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of parts that stand between white space."""
