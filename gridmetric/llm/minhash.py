@@ -3,24 +3,38 @@
 A document's sketch is the k least hashes of its word shingles. Inverted lists of retained values give candidates; a union-sketch
 estimate drops most; exact Jaccard on full shingle sets confirms the rest. Copies with one shingle set are a single node.
 
-Lists use the rarest retained values: two sketches that share at least half of their values must share one of each one's rarest half
-plus one. Short lists are joined with themselves. Members of a long list first meet its leader; then only members of different
+Lists use the rarest retained values: two sketches of s values that share c of them must share one of each one's s - c + 1 rarest. c follows from
+the similarity asked for, so that a linked pair shares fewer at a chance of one in a billion. Short lists are joined with themselves. Members of a long list first meet its leader; then only members of different
 components are compared, in chunks, so that neither a large group of near copies nor a passage in many documents makes a row for each pair.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridmetric.llm.common import Scratch, mix64, pieces, table, texts
+from gridmetric.llm.common import Scratch, mix64, pieces, quoted, table, texts
 from gridmetric.llm.components import components
 
 #: Retained values: KEYS of them make inverted lists; K are compared for a pair, WIDE within a chunk. Lists above LONG go by leader and chunks of CHUNK.
 KEYS, K, WIDE, LONG, CHUNK = 32, 128, 512, 24, 1024
+#: Chance at which a linked pair may share fewer keys than asked for, and standard deviations that its estimate may lie too low.
+MISS, SIGMAS = 1e-9, 6
+
+
+def shared_keys(jaccard: float, keys: int = KEYS) -> int:
+    """The most keys that a pair of this similarity has in common but for a chance of MISS (keys in common are binomial)."""
+    total = 0.0
+    for c in range(keys + 1):
+        total += comb(keys, c) * jaccard**c * (1 - jaccard) ** (keys - c)
+        if total > MISS:
+            return max(1, c)
+    return keys
 
 
 def shingle_sets(batch_texts: list[str], width: int) -> list[np.ndarray]:
@@ -50,7 +64,7 @@ def shingle_sets(batch_texts: list[str], width: int) -> list[np.ndarray]:
 
 
 def estimates(sa: list[np.ndarray], na: np.ndarray, sb: list[np.ndarray], nb: np.ndarray, jaccard: float, k: int) -> np.ndarray:
-    """Pairs (a rows, b rows) whose sketches allow the similarity, but for a chance of about one in a million.
+    """Pairs (a rows, b rows) whose sketches allow the similarity, but for a chance of about one in a billion.
 
     Up to the lesser end of both sketches all values of both sets are known; the share of common ones among them estimates the
     similarity. A set no larger than k, the size of a sketch, is known whole.
@@ -78,7 +92,7 @@ def estimates(sa: list[np.ndarray], na: np.ndarray, sb: list[np.ndarray], nb: np
     union = (na[:, None] + nb[None, :]) / (1 + jaccard)
     spread = np.sqrt(jaccard * (1 - jaccard) / seen * np.maximum(0, 1 - seen / union))
     sizes = np.minimum(na[:, None], nb[None, :]) >= jaccard * np.maximum(na[:, None], nb[None, :])
-    return sizes & (common / seen >= jaccard - 5 * spread - np.where(seen < union, 1 / seen, 1e-6))
+    return sizes & (common / seen >= jaccard - SIGMAS * spread - np.where(seen < union, 1 / seen, 1e-6))
 
 
 def _sets(docs: DataFrame, width: int, whole: bool, id_type: str) -> DataFrame:
@@ -97,14 +111,14 @@ def _sets(docs: DataFrame, width: int, whole: bool, id_type: str) -> DataFrame:
     return docs.mapInArrow(run, f"id {id_type}, n long, node binary, " + ("full binary" if whole else "keys array<long>"))
 
 
-def _lists(reps: DataFrame) -> DataFrame:
+def _lists(reps: DataFrame, jaccard: float) -> DataFrame:
     """value, node, n: each node under the rarest of its keys that other nodes have too."""
     entries = reps.select("node", "n", F.size("keys").alias("s"), F.explode("keys").alias("value"))
     shared = entries.groupBy("value").agg(F.count("*").alias("df")).where(F.col("df") > 1)
     own = entries.join(shared, "value")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "value"))
     have = F.count("*").over(Window.partitionBy("node"))
-    prefix = F.col("s") - F.ceil(F.col("s") / 2) + 1  # of all keys; those that no other node has come first
+    prefix = F.col("s") - F.greatest(F.lit(1), F.floor(F.col("s") * shared_keys(jaccard) / KEYS)) + 1  # of all keys; those that no other node has come first
     return own.select("value", "node", "n", "s", rank.alias("rank"), have.alias("have")).where(F.col("rank") <= prefix - (F.col("s") - F.col("have"))).select("value", "node", "n")
 
 
@@ -188,12 +202,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col:
     """
     spark, jaccard = docs.sparkSession, percent / 100
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     scratch = Scratch(spark, "minhash")
     sets = scratch.keep(_sets(source, width, False, id_type).withColumn("node", F.when(F.col("id").isNotNull(), F.col("node"))), "sets")
     nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
     reps = sets.where(F.col("node").isNotNull()).join(nodes, ["node", "id"]).dropDuplicates(["node"])
-    lists = scratch.keep(_lists(reps.select("node", "n", "keys")), "lists")
+    lists = scratch.keep(_lists(reps.select("node", "n", "keys"), jaccard), "lists")
     sizes = lists.groupBy("value").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("leader")).where(F.col("size") > 1)
     short = lists.join(sizes.where(F.col("size") <= LONG).select("value"), "value")
     left, right = (short.select("value", F.col("node").alias(x), F.col("n").alias("n" + x)) for x in "ab")
