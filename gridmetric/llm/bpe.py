@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gridmetric.llm.common import dictionary, gather_ragged, mix64, pieces, table, texts
 
 #: Whitespace of the Unicode property, which the pattern's \s means; Python's \s also takes U+001C-U+001F.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Remembered merges of one worker; the memory is emptied beyond that.
 REMEMBERED = 300_000
 

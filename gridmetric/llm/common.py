@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MB = 1 << 20
@@ -20,11 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, one of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where that is unset, a local session gets a folder of its
+    own; any other is an error, as machines would write where the others don't read."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     chosen = spark.conf.get("gridmetric.shared.dir", None)
     if not chosen:
         chosen = tempfile.mkdtemp(prefix="gridmetric-")
@@ -70,7 +78,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = 8 * MB) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches at rows so that each holds about max_bytes of text, one row at least."""
+    """Cuts Arrow batches at rows so that each holds about max_bytes of text, one row at least. At the end Arrow gives back what it no longer uses, as
+    Python workers live on for other tasks."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -79,6 +88,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = 8
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, text_col: str) -> list[str]:

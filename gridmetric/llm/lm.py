@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from gridmetric.llm.common import MB, Scratch, dictionary, mix64, pieces, shuffle_partitions, table, text_bytes, texts
+from gridmetric.llm.common import MB, Scratch, dictionary, mix64, pieces, quoted, shuffle_partitions, table, text_bytes, texts
 
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCK_BYTES, BUCKET_BYTES = 8 * MB, 12 * MB
@@ -274,9 +274,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    crc = F.crc32(F.coalesce(quoted(id_col).cast("string"), F.lit("")).cast("binary"))
     fold = F.when(crc % 5 == 1, HELD_OUT).when(F.floor(crc / 5) % 10 == 0, DELETED).otherwise(TRAIN)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), fold.cast("int").alias("fold"))
+    source = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), fold.cast("int").alias("fold"))
     n_buckets = max(shuffle_partitions(spark), -(-text_bytes(source) // BUCKET_BYTES))
     scratch = Scratch(spark, "lm")
     blocks = scratch.keep(_tokenised(source, id_type), "blocks")
