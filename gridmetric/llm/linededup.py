@@ -5,20 +5,24 @@ document and line number. Distinct sets meet under their rarest tokens (prefix f
 overlap; the Jaccard of the whole sets is verified. A line goes when an earlier line is similar, whether that one stays or not.
 
 Rarity is the count of a token's hash bucket over all lines, so its table has a fixed size; any fixed order keeps the join exact.
-Long lists under one token meet the earliest members first, and only lines without a match so far go through the whole list.
+Of a long list under one token, each member meets the list's earliest members under one of its tokens first, and only lines without a
+match so far go through the whole list. Texts are split again for the words of those lines alone that the filters leave.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridmetric.llm.common import Scratch, table
+from gridmetric.llm.common import Scratch, quoted, table
 
-#: Hash buckets of token counts; members of a list above which it is long; leaders of a long list; rows that may be broadcast.
-BUCKETS, LONG, LEADERS, SMALL = 1 << 18, 64, 4, 20_000
-#: Bits of the map of lines whose words are needed for verification.
-MARKS = 1 << 21
+#: Hash buckets of token counts; members in a sample of one line in SAMPLE at which a token's list is long; leaders of a long list; rows that may
+#: be broadcast.
+BUCKETS, SAMPLE, OFTEN, LEADERS, SMALL = 1 << 18, 16, 64, 16, 20_000
+#: Words of the bitmap.
+BITMAP = ("s1", "s2")
+#: Least and greatest size, as a power of two of bits, of the map of lines whose words are needed for verification (8 MB at most).
+LEAST_MAP, LARGEST_MAP = 21, 26
 
 
 def takes_part(line: Column, min_chars: int | None = None) -> Column:
@@ -29,23 +33,22 @@ def takes_part(line: Column, min_chars: int | None = None) -> Column:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int | None = None) -> DataFrame:
     """id, at (number from 0) and line of every line that takes part; a row with a null text or id has none."""
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
-    return lines.where(takes_part(F.col("line"), min_chars))
+    own = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where(F.col("id").isNotNull())
+    return own.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(takes_part(F.col("line"), min_chars))
 
 
-def words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), " "), "")
+def hashed_words(line: Column) -> Column:
+    """The distinct lower-cased words of a line, as 64-bit hashes."""
+    hashes = F.array_distinct(F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w)))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))  # between two spaces, and at the ends
 
 
-def _literal(numbers, kind: str) -> Column:
-    """A constant array, sent as one string."""
-    return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
-
-
-def rarity(lines: DataFrame) -> list[int]:
-    """Level of each hash bucket by the count of its words, in eighths of its binary logarithm: BUCKETS numbers, whatever the input."""
-    hashed = lines.select(F.explode(F.split(F.lower("line"), " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b"))
-    levels = hashed.groupBy("b").count().select("b", F.floor(8 * F.log2("count")).cast("int").alias("level"))
+def rarity(texts: DataFrame) -> list[int]:
+    """Level of each hash bucket by the count of its words in the column text, in thirds of its binary logarithm: BUCKETS numbers below 128,
+    whatever the input."""
+    words = texts.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
+    levels = counts.select("b", F.least(F.floor(3 * F.log2("count")), F.lit(127)).cast("int").alias("level"))
     packed = levels.groupBy(F.expr("CAST(b div 4096 AS INT)").alias("part")).agg(F.array_join(F.collect_list(F.concat_ws(":", "b", "level")), ",").alias("of"))
     out = [0] * BUCKETS
     for r in packed.collect():
@@ -57,26 +60,19 @@ def rarity(lines: DataFrame) -> list[int]:
 
 def token_sets(lines: DataFrame, level: list[int], percent: int) -> DataFrame:
     """Each distinct token set where it occurs first: id, at, n (tokens), bitmap (s1, s2), prefix (rarest tokens as numbers)."""
-    lookup = _literal((x << 53 for x in level), "bigint")
-    hashes = lines.select("id", "at", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
+    lookup = F.split(F.lit(",".join(map(str, level))), ",").cast("array<tinyint>")
     # A token is its bucket's level and then the rest of its hash, so that numbers sort by rarity.
-    key = lambda h: F.get(lookup, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 11))
-    keyed = hashes.select("id", "at", F.sort_array(F.transform("h", key)).alias("keys")).withColumn("n", F.size("keys"))
-    bits = lambda shift: F.expr(f"aggregate(keys, 0L, (a, k) -> a ^ shiftleft(1L, CAST(shiftrightunsigned(k, {shift}) & 63 AS INT)))")
+    rank = lambda h: F.coalesce(F.get(lookup, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint")).cast("long")
+    key = lambda h: F.shiftleft(rank(h), 53).bitwiseOR(F.shiftrightunsigned(h, 11))
+    keyed = lines.select("id", "at", F.sort_array(F.transform(hashed_words(F.col("line")), key)).alias("keys")).withColumn("n", F.size("keys"))
+    # Parities of the tokens on 64 places, for two halves of all tokens.
+    bits = lambda half: F.expr(f"aggregate(keys, 0L, (a, k) -> IF((k & 64) = {half}, a ^ shiftleft(1L, CAST(k & 63 AS INT)), a))")
     full = keyed.select(
-        F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), "id", "at", "n", bits(0).alias("s1"),
-        F.when(F.col("n") > 48, bits(6)).otherwise(F.lit(0).cast("long")).alias("s2"), F.slice("keys", 1, F.col("n") - _least(F.col("n"), percent) + 1).alias("prefix"))
-    first = full.groupBy("h1", "h2").agg(F.min(F.struct("id", "at", "n", "s1", "s2", "prefix")).alias("x"))
-    return first.select("x.*")
-
-
-def _marked(members: DataFrame) -> Column:
-    """A condition on id and at that holds for all members and, by chance, for few others: a bitmap of fixed size."""
-    place = F.pmod(F.xxhash64("id", "at"), F.lit(MARKS))
-    words_ = members.select(place.alias("p")).groupBy(F.expr("CAST(p div 64 AS INT)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("x"))
-    got = dict(words_.collect())
-    word = F.get(_literal((got.get(w, 0) for w in range(MARKS // 64)), "bigint"), F.expr(f"CAST(pmod(xxhash64(id, at), {MARKS}) div 64 AS INT)"))
-    return F.getbit(word, F.pmod(F.xxhash64("id", "at"), F.lit(64)).cast("int")) == 1
+        F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), "id", "at", "n",
+        bits(0).alias("s1"), bits(64).alias("s2"),
+        F.slice("keys", 1, F.col("n") - _least(F.col("n"), percent) + 1).alias("prefix"))
+    nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id", "at"))
+    return full.withColumn("nth", nth).where(F.col("nth") == 1).select("id", "at", "n", *BITMAP, "prefix")
 
 
 def _least(n: Column, percent: int) -> Column:
@@ -84,130 +80,170 @@ def _least(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
-def _overlap(na: Column, nb: Column, percent: int) -> Column:
+def _overlap(na: str, nb: str, percent: int) -> Column:
     """Least overlap of sets of na and nb that are similar: ceil(percent / (100 + percent) * (na + nb))."""
-    return F.floor((percent * (na + nb) + 99 + percent) / (100 + percent)).cast("int")
+    return F.expr(f"({percent} * ({na} + {nb}) + {99 + percent}) div {100 + percent}")
+
+
+def _apart() -> Column:
+    """Bits in which the bitmaps of a and b differ: no more than the sets differ in tokens."""
+    return sum(F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in BITMAP)
 
 
-def _may_match(percent: int) -> Column:
-    """Filters on a (columns of the one) and b (columns of the other) under a shared token."""
-    c = F.col
-    need = _overlap(c("a.n"), c("b.n"), percent)
-    sizes = (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
+def _close(percent: int) -> Column:
+    """Bitmap and position filters on a (columns of the one) and b (columns of the other) under a shared token."""
+    need, c = _overlap("a.n", "b.n", percent), F.col
     position = F.least(c("a.n") - c("a.pos"), c("b.n") - c("b.pos")) >= need - F.least("a.pos", "b.pos")
-    # Bitmaps hold parities, so they differ in no more bits than the sets differ in tokens.
-    return sizes & position & (_apart() <= c("a.n") + c("b.n") - 2 * need)
+    return (_apart() <= c("a.n") + c("b.n") - 2 * need) & position
 
 
 def _earlier() -> Column:
     return F.struct("a.id", "a.at") < F.struct("b.id", "b.at")
 
 
-def _apart() -> Column:
-    """Bits in which the bitmaps of a and b differ; small sets have one bitmap of two."""
-    c = F.col
-    second = F.when((c("a.n") > 48) & (c("b.n") > 48), F.bit_count(c("a.s2").bitwiseXOR(c("b.s2")))).otherwise(0)
-    return F.greatest(F.bit_count(c("a.s1").bitwiseXOR(c("b.s1"))), second)
+PAIR = ("ida", "ata", "idb", "atb")
+
+
+def _pair() -> list[Column]:
+    return [F.col(f"{x}.{c}").alias(c + x) for x in "ab" for c in ("id", "at")]
+
+
+def _listed_pairs(left: DataFrame, right: DataFrame, percent: int, once: bool = False) -> DataFrame:
+    """Pairs of an a of the left list that is earlier than a b of the right one, under one key; with once, under the first key that their prefixes
+    share."""
+    first = (F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.key")) if once else F.lit(True)
+    sizes = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
+    return left.alias("a").join(right.alias("b"), (F.col("a.key") == F.col("b.key")) & sizes & _close(percent) & _earlier() & first).select(*_pair())
+
+
+def _short_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs under all keys of the entries, the earlier line as a.
+
+    Both sides read one exchange, so what holds for a side alone is part of the join; what is cheap and seldom true comes first. Of two sets the
+    smaller one needs its first tokens up to the overlap with an equally large one.
+    """
+    dealt = entries.repartition("key")
+    sizes = (F.col("a.n") <= F.col("b.n")) & (F.col("b.n") * percent <= F.col("a.n") * 100)
+    small = F.col("a.pos") <= F.col("a.n") - _overlap("a.n", "a.n", percent)
+    once = (F.col("a.n") < F.col("b.n")) | _earlier()
+    met = dealt.alias("a").join(dealt.alias("b"), (F.col("a.key") == F.col("b.key")) & sizes & small & _close(percent) & once).select(*_pair())
+    swap = F.struct("ida", "ata") > F.struct("idb", "atb")
+    turned = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("idb", "ida"), ("atb", "ata"), ("ida", "idb"), ("ata", "atb"))]
+    return met.select(*turned)
+
+
+def _map_of(members: DataFrame, bits: int) -> Column:
+    """A condition on id and at that holds for all members and, by chance, for few others: a map of so many bits, a scalar subquery."""
+    place = F.pmod(F.xxhash64("id", "at"), F.lit(bits))
+    words = members.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("x"))
+    every = members.sparkSession.range(bits // 64).withColumnRenamed("id", "w").join(words, "w", "left")
+    ordered = F.sort_array(F.collect_list(F.struct("w", F.coalesce("x", F.lit(0).cast("long")).alias("x"))))
+    word = F.get(every.agg(F.transform(ordered, lambda e: e["x"])).scalar(), F.expr(f"CAST(pmod(xxhash64(id, at), {bits}) div 64 AS INT)"))
+    return F.getbit(word, F.pmod(F.xxhash64("id", "at"), F.lit(64)).cast("int")) == 1
+
+
+def _words_of(pairs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """The written table id, at, words (as 64-bit hashes) of the lines in the pairs, split from the texts again."""
+    members = scratch.keep(pairs.select(F.col("ida").alias("id"), F.col("ata").alias("at")).union(pairs.select("idb", "atb")).distinct(), "members")
+    bits = 1 << min(LARGEST_MAP, max(LEAST_MAP, (8 * members.count()).bit_length()))
+    hashed = lines.where(_map_of(members, bits)).select("id", "at", hashed_words(F.col("line")).alias("words"))
+    found = scratch.keep(hashed.join(members, ["id", "at"], "left_semi"), "words")
+    scratch.drop(members)
+    return found
 
 
 def _similar(pairs: DataFrame, words_of: DataFrame, percent: int) -> DataFrame:
-    """id and at of every b of the pairs (ida, ata, idb, atb) whose words (as 64-bit hashes) have the similarity to those of a."""
+    """id and at of every b of the pairs (ida, ata, idb, atb) whose words have the similarity to those of a."""
     side = lambda x: words_of.select(F.col("id").alias("id" + x), F.col("at").alias("at" + x), F.col("words").alias("w" + x))
     both = pairs.join(side("a"), ["ida", "ata"]).join(side("b"), ["idb", "atb"])
     common = F.size(F.array_intersect("wa", "wb"))
     return both.where(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select(F.col("idb").alias("id"), F.col("atb").alias("at")).distinct()
 
 
-def _matched(pairs: DataFrame, words_of: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """id and at of every b that has a similar a. The nearest a by bitmap is verified first; the others only where that one fails."""
-    nearest = pairs.groupBy("idb", "atb").agg(F.min(F.struct("apart", "ida", "ata")).alias("x")).select(F.col("x.ida").alias("ida"), F.col("x.ata").alias("ata"), "idb", "atb")
-    done = scratch.keep(_similar(nearest, words_of, percent), "done")
-    rest = pairs.join(done.select(F.col("id").alias("idb"), F.col("at").alias("atb")), ["idb", "atb"], "left_anti").join(nearest, ["ida", "ata", "idb", "atb"], "left_anti")
-    return done.union(scratch.keep(_similar(rest, words_of, percent), "more"))
+def _matched(pairs: DataFrame, lines: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """id and at of every b that has a similar a. The earliest a is verified first; the others only where that one fails."""
+    found = _words_of(pairs, lines, scratch)
+    first = pairs.groupBy("idb", "atb").agg(F.min(F.struct("ida", "ata")).alias("x")).select(F.col("x.ida").alias("ida"), F.col("x.ata").alias("ata"), "idb", "atb")
+    done = scratch.keep(_similar(first, found, percent), "done")
+    rest = pairs.select(*PAIR).join(done.select(F.col("id").alias("idb"), F.col("at").alias("atb")), ["idb", "atb"], "left_anti").join(first, [*PAIR], "left_anti")
+    more = scratch.keep(_similar(rest, found, percent), "more")
+    scratch.drop(found)
+    return done.union(more)
 
 
-def later_matches(lines: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
+def later_matches(docs: DataFrame, scratch: Scratch, percent: int, id_col: str, text_col: str, min_chars: int | None) -> tuple[DataFrame, DataFrame]:
     """The written table of distinct token sets (id, at of the first occurrence), and those (id, at) that an earlier line is similar to."""
-    sets = scratch.keep(token_sets(lines, rarity(lines), percent), "sets")
+    lines = lines_of(docs, id_col, text_col, min_chars)
+    level = rarity(docs.select(quoted(text_col).alias("text")))
+    sets = scratch.keep(token_sets(lines, level, percent), "sets")
     # A set of n is similar to no other set if even n of n + 1 tokens are too few in common: its only matches are equal sets, which are one already.
     joins = sets.where((F.col("n") + 1) * percent <= 100 * F.col("n"))
-    entries = joins.select("id", "at", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "key"))
-    long = scratch.keep(entries.groupBy("key").count().where(F.col("count") > LONG).select("key"), "long")
+    listed = lambda rows: rows.select("id", "at", "n", *BITMAP, F.posexplode("prefix").alias("pos", "key"))
+    entries = listed(joins)
+    some = listed(joins.where(F.pmod(F.xxhash64("id", "at"), F.lit(SAMPLE)) == 0))
+    long = scratch.keep(some.groupBy("key").count().where(F.col("count") >= OFTEN).select("key"), "long")
     n_long = long.count()
-    listed = F.broadcast(long) if n_long <= SMALL else long
-    short = entries.join(listed, "key", "left_anti") if n_long else entries
-    # Both sides read one exchange, so what holds for a side alone is part of the join. Of two sets the smaller one needs its first tokens up to the
-    # overlap with an equally large one.
-    dealt = short.repartition("key")
-    small = F.col("a.pos") <= F.col("a.n") - _overlap(F.col("a.n"), F.least("a.n", "b.n"), percent)
-    order = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & _earlier())
-    met = dealt.alias("a").join(dealt.alias("b"), (F.col("a.key") == F.col("b.key")) & small & order & _may_match(percent))
-    pair = lambda: [*[F.col(f"{x}.{c}").alias(c + x) for x in "ab" for c in ("id", "at")], _apart().alias("apart")]
-    swap = F.struct("ida", "ata") > F.struct("idb", "atb")
-    turned = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("idb", "ida"), ("atb", "ata"), ("ida", "idb"), ("ata", "atb"))]
-    pairs = scratch.keep(met.select(*pair()).select(*turned, "apart").distinct(), "pairs")
-    members = pairs.select(F.col("ida").alias("id"), F.col("ata").alias("at")).union(pairs.select("idb", "atb"))
-    if n_long:
-        lists = scratch.keep(entries.join(listed, "key"), "lists")
-        members = members.union(lists.select("id", "at"))
-    members = scratch.keep(members.distinct(), "members")
-    hashed = lines.where(_marked(members)).select("id", "at", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
-    found = scratch.keep(hashed.join(members, ["id", "at"], "left_semi"), "words")
-    scratch.drop(members)
-    gone = _matched(pairs, found, percent, scratch)
+    if not n_long:
+        pairs = scratch.keep(_short_pairs(entries, percent).distinct(), "pairs")
+        return sets, _matched(pairs, lines, percent, scratch)
+    marked = F.broadcast(long) if n_long <= SMALL else long
+    own = joins.select("*", F.posexplode("prefix").alias("pos", "key"))
+    lists = scratch.keep(own.join(marked, "key"), "lists")
+    # A member's least key comes with its least position, as prefixes are in order.
+    one = lists.groupBy("id", "at", "n", *BITMAP).agg(F.min("key").alias("key"), F.min("pos").alias("pos"))
+    first = F.min(F.struct("id", "at", "n", *BITMAP, "pos")).alias("x")
+    leaders = one.groupBy("key", F.pmod(F.xxhash64("id", "at"), F.lit(LEADERS)).alias("c")).agg(first).select("key", "x.*")
+    short = _short_pairs(entries.join(marked, "key", "left_anti"), percent)
+    pairs = scratch.keep(short.union(_listed_pairs(leaders, one, percent)).distinct(), "pairs")
+    gone = scratch.keep(_matched(pairs, lines, percent, scratch).distinct(), "gone")
     scratch.drop(pairs)
-    if n_long:
-        one = F.struct("id", "at", "n", "s1", "s2", "pos")
-        leaders = lists.groupBy("key", F.pmod(F.xxhash64("id", "at"), F.lit(LEADERS)).alias("c")).agg(F.min(one).alias("x")).select("key", "x.*")
-        match = lambda left, right: left.alias("a").join(right.alias("b"), (F.col("a.key") == F.col("b.key")) & _earlier() & _may_match(percent)).select(*pair()).distinct()
-        open_ = lists.join(gone, ["id", "at"], "left_anti")
-        led = scratch.keep(match(leaders, open_), "led")
-        gone = scratch.keep(gone.union(_matched(led, found, percent, scratch)).distinct(), "gone")
-        scratch.drop(led)
-        rest = scratch.keep(match(lists, lists.join(gone, ["id", "at"], "left_anti")), "rest")
-        scratch.drop(lists)
-        gone = gone.union(_matched(rest, found, percent, scratch)).distinct()
-        scratch.drop(rest)
-    scratch.drop(found)
+    rest = scratch.keep(_listed_pairs(lists, lists.join(gone, ["id", "at"], "left_anti"), percent, once=True).distinct(), "rest")
+    scratch.drop(lists)
+    if not rest.isEmpty():
+        gone = gone.union(_matched(rest, lines, percent, scratch)).distinct()
+    scratch.drop(rest)
     return sets, gone
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", min_chars: int | None = None) -> DataFrame:
     """All rows and columns of docs, with the text's later similar lines removed, besides n_lines and removed (numbers of the lines that went).
 
-    Lines lie between line feeds; words between spaces. Blank lines (white space alone) stay, and with min_chars those of fewer characters. A text keeps its other lines in order. A
-    null text stays null, with no lines; a row with a null id stays as it is and removes nothing. Equal lines count as similar, within one
-    text too. Ids are meant to be unique: of rows that repeat an id, a line number stays if the line of any of them does. Columns named
-    n_lines or removed are replaced; texts may have any length; an empty table gives an empty one.
+    Lines lie between line feeds; words between spaces. Blank lines (white space alone) stay, and with min_chars those of fewer characters. A
+    text keeps its other lines in order. A null text stays null, with no lines; a row with a null id stays as it is and removes nothing. Equal
+    lines count as similar, within one text too. Ids are meant to be unique: of rows that repeat an id, a line number stays if the line of any
+    of them does. Columns named n_lines or removed are replaced; any other name may occur. Texts may have any length; an empty table gives an
+    empty one.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.drop("n_lines", "removed")
-    lines = lines_of(docs, id_col, text_col, min_chars)
-    sets, gone = later_matches(lines, scratch, percent)
-    stay = scratch.keep(sets.select("id", "at").join(gone, ["id", "at"], "left_anti").groupBy("id").agg(F.collect_set("at").alias("stay_at")), "stay")
+    sets, gone = later_matches(docs, scratch, percent, id_col, text_col, min_chars)
+    stay = scratch.keep(sets.select("id", "at").join(gone, ["id", "at"], "left_anti").groupBy("id").agg(F.collect_set("at").alias("stay")), "stay")
     scratch.drop(sets)
-    split = F.split(text_col, "\n")
+    # The row's own columns travel as one struct, so that their names clash with none of these.
+    split = F.split(quoted(text_col), "\n")
     part = F.array_compact(F.transform(split, lambda line, i: F.when(takes_part(line, min_chars), i)))
-    own = docs.withColumn("_part", part).withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)))  # before the join, which then needs no text for them
-    own = own.join(stay.select(F.col("id").alias(id_col), "stay_at"), id_col, "left")
+    n_lines = F.when(quoted(text_col).isNull(), 0).otherwise(F.size(split))
+    own = docs.select(quoted(id_col).alias("id"), F.struct(*map(quoted, docs.columns)).alias("row"), part.alias("part"), n_lines.alias("n_lines")).join(stay, "id", "left")
     empty = F.array().cast("array<int>")
-    removed = F.when(F.col(id_col).isNull() | F.col("_part").isNull(), empty).otherwise(F.array_except("_part", F.coalesce("stay_at", empty)))
-    kept = F.filter(split, lambda line, i: ~F.array_contains("removed", i))
-    out = own.withColumn("removed", removed)
-    text = F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "n_lines", "removed")
+    removed = F.when(F.col("id").isNull() | F.col("part").isNull(), empty).otherwise(F.array_except("part", F.coalesce("stay", empty)))
+    out = own.select("row", "n_lines", removed.alias("removed"))
+    text = F.col("row").getField(text_col)
+    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("removed", i))
+    text = F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(text)
+    return out.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns], "n_lines", "removed")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lines before, lines removed, and a digest of the text that stays, of every document."""
+    """doc_id, lines before, lines removed, and a digest of the removed lines' numbers, of every document."""
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.md5(F.array_join("removed", ",")).alias("removed_md5"))
 
 
-#: The same by brute force: every earlier line that shares a word is compared.
+#: The same by brute force: every earlier line that shares a word is compared. A line takes part unless it is white space alone.
 OP9_SQL = """
 WITH l AS (
-  SELECT doc_id, line_no - 1 AS line_no, list_distinct(list_filter(string_split(lower(line), ' '), lambda w: w <> '')) AS w, length(line) >= 20 AND trim(line, ' ') <> '' AS part
+  SELECT doc_id, line_no - 1 AS line_no, list_distinct(list_filter(string_split(lower(line), ' '), lambda w: w <> '')) AS w,
+    regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') AS part
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
 ), p AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS k, doc_id, line_no, w, len(w) AS n FROM l WHERE part),
 t AS (SELECT k, n, unnest(w) AS x FROM p),

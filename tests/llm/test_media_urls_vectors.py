@@ -28,6 +28,36 @@ def test_audio_is_lossless_and_repeats(spark):
     assert audio.audio_features(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first().feature is None
 
 
+def test_audio_reads_every_sample(spark):
+    text = "wort " * 384  # 1920 bytes
+    df = spark.createDataFrame([(0, text), (1, text[:-1] + "!"), (2, text[:-60] + "z" * 60), (3, text)], "doc_id long, text string")
+    got = {r.doc_id: r.feature for r in audio.audio_features(audio.store_audio(df)).collect()}
+    assert got[0] == got[3] and len({got[0], got[1], got[2]}) == 3
+
+
+def test_audio_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "abc", "old", 5)], "doc_id int, text string, spans string, feature int")
+    clips = audio.store_audio(df).withColumn("feature", F.lit(3)).withColumn("tensors", F.lit("x")).withColumn("spans", F.lit(1)).withColumn("batch", F.lit(2))
+    got = audio.audio_features(clips)
+    assert got.columns == ["doc_id", "n_bytes", "media", "batch", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "spans", "tensors"]
+    r = got.first()
+    assert r.batch == 2 and r.doc_id == 1 and r.feature.startswith("1x64x40") and dict(got.dtypes)["doc_id"] == "int"
+    assert audio.audio_features(clips.limit(0)).count() == 0
+
+
+def test_log_mel_equals_direct_computation():
+    x = np.random.default_rng(3).normal(size=1003).astype(np.float32)
+    got = audio.log_mel(x, 8000.0)
+    bank = audio._mel_bank(8000.0)
+    n = 1 + -(-(len(x) - audio.WINDOW) // audio.HOP)
+    padded = np.concatenate([x, np.zeros(audio.WINDOW)])
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.WINDOW) / (audio.WINDOW - 1))
+    k, t = np.arange(audio.FFT // 2 + 1)[:, None], np.arange(audio.WINDOW)[None, :]
+    dft = np.exp(-2j * np.pi * k * t / audio.FFT)
+    want = [np.log(np.abs(dft @ (padded[i * audio.HOP :][: audio.WINDOW] * window)) ** 2 @ bank + 1e-6) for i in range(n)]
+    assert got.shape == (n, audio.MELS) and np.abs(got - np.array(want)).max() < 1e-2
+
+
 def test_resampled_sine():
     x = np.sin(np.arange(12_000) * 2 * np.pi * 440 / 12_000)
     y = audio.resample(x)
@@ -101,7 +131,15 @@ def test_neighbours_recall_and_scores(spark):
 
 def test_estimates_keep_their_bound():
     rng = np.random.default_rng(2)
-    turn = ann.rotation(100)
     x, q = rng.normal(size=(500, 100)), rng.normal(size=(20, 100))
-    est, err = ann.Codes(x, turn).estimate(q, turn, 4.0)
+    est, err = ann.Codes.of(x).estimate(q, 4.0)
     assert (np.abs(est - q @ x.T) <= err).mean() > 0.999
+
+
+def test_neighbours_recall_on_embeddings(spark, data):
+    df = spark.read.parquet(f"{data}/embeddings.parquet")
+    rows = [(r.vec_id, list(map(float, r.embedding))) for r in df.select("vec_id", "embedding").collect()]
+    got = ann.nearest(df, F.col("id") % 20 == 0).toPandas()
+    want = _brute(rows, 20, lambda i: i % 20 == 0)
+    found = {q: set(g.vec_id) for q, g in got.groupby("query_id")}
+    assert sum(len(found[q] & set(w)) for q, w in want.items()) / sum(map(len, want.values())) >= 0.9

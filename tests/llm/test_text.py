@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -97,6 +98,29 @@ def test_packing_keeps_every_token_once(spark, data):
     assert packing.pack_tokens(source.limit(0), file).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_packing_of_any_ids(spark, kind):
+    file = open(P.path("word_bpe_49k.json"), "rb").read()
+    df = spark.createDataFrame([(1, "a b", 3), (None, None, 4)], "n int, text string, length int").withColumn("doc_id", F.col("n").cast(kind))
+    got = packing.pack_tokens(df, file)
+    assert dict(got.dtypes)["doc_id"] == {"int": "int", "long": "bigint", "string": "string"}[kind]
+    assert {r.doc_id: r.doc_tokens for r in got.collect()} == {(1 if kind != "string" else "1"): 3, None: 1}
+
+
+def test_packing_in_small_windows(spark, data):
+    file = open(P.path("word_bpe_49k.json"), "rb").read()
+    rows = packing.pack_tokens(sample(spark, data), file, window_tokens=3000).collect()
+    by_doc, by_seq = _check_packing(rows)
+    assert all(sum(p.length for p in own) == own[0].doc_tokens for own in by_doc.values())
+    lengths = [sum(r.length for r in s) for s in by_seq.values()]
+    assert all(n == 2048 or n & (n - 1) == 0 for n in lengths)
+
+
+def test_other_tokenizer_files_are_refused():
+    with pytest.raises(ValueError, match="lower-case"):
+        tokens.WordTokenizer(open(P.path("byte_bpe_50k.json"), "rb").read())
+
+
 def test_packing_holds_all_limits(spark):
     file = open(P.path("word_bpe_49k.json"), "rb").read()
     rng = np.random.default_rng(2)
@@ -129,6 +153,29 @@ def test_lm_counts_and_gain(spark, data):
     assert len(held) and held.score.sum() > held.base_score.sum() and (got.score < 0).all()
 
 
+def test_lm_scores_equal_brute_force(spark, data, monkeypatch):
+    """The mixture on counts of all training texts, with the weights that the operator learned."""
+    learned = []
+    learn = lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda *a, **k: learned.append(learn(*a, **k)) or learned[-1])
+    source = sample(spark, data, 120).select("doc_id", "text").union(docs(spark, [(5000 + k, t) for k, (_, t) in enumerate(ODD)]).select("doc_id", "text"))
+    got = {r.doc_id: r.score for r in lm.score_documents(source).collect()}
+    uni, bi, rows = collections.Counter(), collections.Counter(), source.collect()
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 != 1:
+            w = ["<s>", *words(r.text), "</s>"]
+            uni.update(w[1:])
+            bi.update(zip(w, w[1:]))
+    uni["<s>"] = uni["</s>"]  # as many beginnings as ends
+    n, v = sum(uni.values()) - uni["<s>"], len(uni) - 1
+    for r in rows:
+        w, total = ["<s>", *words(r.text), "</s>"], 0.0
+        for u, x in zip(w, w[1:]):
+            a = learned[0][0 if not uni[u] else 1 + int(math.log2(uni[u]))]
+            total += math.log10(a[0] * bi[u, x] / max(1, uni[u]) + a[1] * uni[x] / n + a[2] / (v + 1))
+        assert abs(got[r.doc_id] - total) < 1e-6 * max(1, abs(total))
+
+
 def test_lm_without_rows(spark):
     assert lm.score_documents(docs(spark).limit(0)).count() == 0
     one = lm.score_documents(docs(spark, [(None, None), (None, "a b a b")])).toPandas().sort_values("n_tokens")
@@ -144,16 +191,60 @@ def test_em_finds_the_mixture(spark):
     assert np.log(p @ w[3]).sum() >= best - 0.5 and abs(w[3].sum() - 1) < 1e-9
 
 
-def test_suffix_automaton_phrases():
-    text, probe = b"abracadabra alakazam", b"cadabram alaq bra"
-    parser = langid.CrossParser({"x": text})
-    n, i = 0, 0
+def _phrases(text, probe):
+    n = i = 0
     while i < len(probe):
         k = 1
         while i + k <= len(probe) and probe[i : i + k] in text:
             k += 1
         n, i = n + 1, i + max(1, k - 1)
-    assert parser.phrases([probe]).tolist() == [[n]]
+    return n
+
+
+def test_suffix_automaton_phrases():
+    text, probe = b"abracadabra alakazam", b"cadabram alaq bra"
+    assert langid.CrossParser({"x": text}).phrases([probe]).tolist() == [[_phrases(text, probe)]]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefg "])
+def test_parses_go_on_over_lanes(letters):
+    rng = np.random.default_rng(5)
+    random = lambda n, of: "".join(rng.choice(list(of), n)).encode()
+    samples = {"x": random(300, letters), "y": b"ab" * 100 + b"c" * 50}
+    probes = [random(int(n), letters + "z") for n in rng.integers(1, 700, 30)] + [b"ab" * 2000, b"c" * 333, samples["x"] * 20, b"ba" * 200 + b"c" * 99]
+    want = [[_phrases(samples[k], p) for k in "xy"] for p in probes]
+    for block in (7, 64, langid.BLOCK):
+        assert langid.CrossParser(samples).phrases(probes, block).tolist() == want
+
+
+def test_letters_and_unequal_samples(spark):
+    samples = {"a": b"the cat sat on the mat " * 400, "b": b"le chat est sur le tapis "}
+    rows = [(1, "½ ②"), (2, "Ⅷ ³ 12"), (3, "le chat sur le tapis"), (4, "the cat on the mat"), (5, "一"), (6, "½a")]
+    got = {r.doc_id: r for r in langid.identify(docs(spark, rows), samples).collect()}
+    assert got[1].lang_pred == got[2].lang_pred == "und" and got[1].phrase_rate is None and got[1].score == 0
+    assert got[3].lang_pred == "b" and got[4].lang_pred == "a" and got[5].lang_pred != "und" and got[6].lang_pred != "und"
+    clean = langid.normalise(rows[2][1])
+    parser = langid.CrossParser(samples)
+    cost = {k: _phrases(samples[k], clean) * math.log2(len(samples[k])) for k in samples}
+    assert np.allclose(parser.costs([clean])[0], [cost["a"], cost["b"]]) and got[3].lang_pred == min(cost, key=cost.get)
+
+
+def test_samples_share_their_length(spark):
+    assert langid._shared_out([100, 3, 50, 7], 40) == [15, 3, 15, 7] and langid._shared_out([2, 3], 40) == [2, 3] and langid._shared_out([], 5) == []
+    rows = [(i, ("x" if i else "y ") * (10_000 if i == 0 else 30)) for i in range(0, 20, 2)]
+    got = langid.learn_samples(docs(spark, rows), chars_per_language=400)
+    assert got["fr"].count(b"x" * 30) == 9 and 400 - 9 <= len(got["fr"]) <= 409
+
+
+def test_rate_limits_reject_foreign_texts(spark, data):
+    all_ = sample(spark, data, 200)
+    samples = langid.learn_samples(all_, docs_per_language=20)
+    own = all_.withColumn("id2", F.col("doc_id"))
+    limits = {k: v for k, v in langid.learn_rate_limits(own, samples).items()}
+    assert langid.learn_rate_limits(all_.limit(0), samples) == {} and all(v > 0 for v in limits.values())
+    foreign = "Это русский текст о погоде и людях, который никто не учил здесь никогда прежде"
+    r = langid.identify(docs(spark, [(1, foreign)]), samples).first()
+    assert r.phrase_rate > max(limits.values(), default=0.6)
 
 
 def test_language_id_held_out(spark, data):
@@ -220,12 +311,19 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_shared_keys_are_seldom_missed():
+    for jaccard in (0.85, 0.8, 0.6):
+        c = minhash.shared_keys(jaccard)
+        below = sum(math.comb(32, k) * jaccard**k * (1 - jaccard) ** (32 - k) for k in range(c))
+        assert 1 <= c < 32 and below <= minhash.MISS
+
+
 # Lines
 
 
 def _brute_lines(rows, percent=80):
     lines = [(d, k, x, list(dict.fromkeys(w for w in x.lower().split(" ") if w))) for d, t in rows if d is not None and t is not None for k, x in enumerate(t.split("\n"))]
-    part = [(d, k, frozenset(w)) for d, k, x, w in lines if len(x) >= 20 and x.strip(" ")]
+    part = [(d, k, frozenset(w)) for d, k, x, w in lines if re.search(r"[^ \t\n\x0b\f\r]", x)]
     gone = collections.defaultdict(set)
     part.sort(key=lambda r: r[:2])
     for j, (d, k, w) in enumerate(part):
@@ -274,6 +372,33 @@ def test_all_lines_equal_brute_force(spark, data):
     assert any(len(lines[d][k]) < 20 for d, at in want.items() for k in at)
 
 
+def test_lines_with_clashing_columns(spark):
+    rows = [(1, "a b c d e\nx", 1, "s", "t", "u"), (2, "a b c d e f\ny", 2, "s", "t", "u")]
+    names = ["id", "text", "part", "stay_at", "row", "line"]
+    got = linededup.dedup_lines(spark.createDataFrame([(*r[:3], *r[3:]) for r in rows], "id long, text string, part int, stay string, row string, line string").toDF(*["id", "text", "part", "stay", "row", "line"]), id_col="id").collect()
+    assert {r.id: (r.removed, r.text, r.part, r.stay, r.row, r.line) for r in got} == {1: ([], rows[0][1], 1, "s", "t", "u"), 2: ([0], "y", 2, "s", "t", "u")}
+    own = spark.createDataFrame([(r[0], r[1]) for r in rows], "`a.b` long, `t t` string").withColumn("n_lines", F.lit("old")).withColumn("stay_at", F.lit(1)).withColumn("_part", F.lit(2))
+    got = linededup.dedup_lines(own, id_col="a.b", text_col="t t").collect()
+    assert {r["a.b"]: (r["n_lines"], r["stay_at"], r["_part"], r["removed"]) for r in got} == {1: (2, 1, 2, []), 2: (2, 1, 2, [0])} and len(names) == 6
+
+
+def test_long_lists_equal_brute_force(spark, monkeypatch):
+    """Lists count as long from two members of the sample on, so leaders and the rest are both taken."""
+    monkeypatch.setattr(linededup, "OFTEN", 2)
+    monkeypatch.setattr(linededup, "LEADERS", 2)
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(30)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for at in rng.choice(30, int(rng.integers(0, 6)), replace=False):
+            w[at] = f"v{rng.integers(0, 12)}"
+        rows.append((k, " ".join(w) + "\n" + " ".join(f"u{x}" for x in rng.integers(0, 60, int(rng.integers(5, 12))))))
+    got = {r.doc_id: set(r.removed) for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    want = _brute_lines(rows)
+    assert got == {d: want[d] for d, _ in rows}
+
+
 def test_lines_odd_rows(spark):
     got = linededup.dedup_lines(docs(spark)).collect()
     assert len(got) == len(ODD) and set(got[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "score", "component", "n_lines", "removed"}
@@ -300,6 +425,26 @@ def test_forest_learns_and_redacts(spark):
     assert secrets.train_forest(findings.limit(0)).prob(x[:2]).tolist() == [0.5, 0.5]
 
 
+def test_planted_secrets_of_documents(spark, data):
+    """Keys assigned to a token are found; card numbers, which are planted too, are left alone."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lexicon = secrets.learn_lexicon(rows)
+    assert len(lexicon.words) > 1000 and lexicon.covered("thethe" + "zzqx") >= 0
+    forest = secrets.train_forest(secrets.made_findings(spark, lexicon=lexicon), lexicon=lexicon)
+    found = secrets.scan_secrets(rows, forest).collect()
+    said = {(r.doc_id, r.start): r for r in found}
+    keys = numbers = caught = wrong = 0
+    for r in rows.collect():
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or ""):
+            keys, caught = keys + 1, caught + said[r.doc_id, m.start(1)].is_secret
+        for m in re.finditer(r"(?<![\w/+-])\d{16}(?![\w/+=-])", r.text or ""):
+            numbers, wrong = numbers + 1, wrong + said[r.doc_id, m.start()].is_secret
+    assert keys and caught / keys >= 0.95 and (not numbers or wrong / numbers <= 0.05)
+    clean = [r for r in found if re.fullmatch(r"[a-zé]+", r.candidate)]
+    assert not clean or sum(r.is_secret for r in clean) / len(clean) < 0.2
+    assert secrets.learn_lexicon(rows.limit(0)).words == secrets.COMMON.words
+
+
 def test_short_and_letter_only_secrets_are_candidates(spark):
     forest = secrets.train_forest(secrets.made_findings(spark))
     held = ["qXvRkTzWbNmLpGhd", "hT7#kd92Qx", "zqxvkjwpbtgh"]
