@@ -130,6 +130,15 @@ def greedy_selection(patterns: DataFrame, n_members: int) -> list[dict]:
     return log
 
 
+def naive_votes(wide: DataFrame, scores: list[str]) -> DataFrame:
+    """The exhaustive vote search on single pixels, each met by every subset: what the pattern table saves. For comparison only."""
+    subsets = F.explode(F.sequence(F.lit(1).cast("long"), F.lit((1 << len(scores)) - 1).cast("long"))).alias("subset")
+    mask = sum((F.when(threshold_probability(s, 0.5) == 1, 1 << k).otherwise(0) for k, s in enumerate(scores)), F.lit(0)).cast("long")
+    x = wide.select("y", mask.alias("pred_mask"), F.lit(1).alias("n"), subsets)
+    says = majority(F.col("pred_mask").bitwiseAND(F.col("subset")), F.bit_count("subset"))
+    return with_columns(x.groupBy("subset").agg(*_counts(says)), ensemble_metrics())
+
+
 def soft_mean(wide: DataFrame, scores: list[str], keys=("scene", "y")) -> DataFrame:
     """keys and p, the mean of the members' scores."""
     return wide.select(*keys, (sum((F.col(s) for s in scores[1:]), F.col(scores[0])) / len(scores)).alias("p"))

@@ -121,7 +121,10 @@ def contour_stats(segments: DataFrame, keys=("scene",)) -> DataFrame:
 
 
 def chain_segments(segments: DataFrame, keys=("scene",)) -> DataFrame:
-    """keys, contour_id, vertices: segments of one scene chained at equal end points, by scene (a scene's outline, not its pixels, is in memory)."""
+    """keys, contour_id, vertices: segments of one scene chained at equal end points.
+
+    A scene is one group: its outline, not its pixels, must fit in a task's memory, which the largest canvas asked for (25,000 pixels square) does.
+    """
     key_fields = [f for f in segments.schema.fields if f.name in keys]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields) + f", contour_id int, vertices {VERTICES}"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmetric.functions.scalar import safe_div
@@ -62,6 +62,23 @@ def describe(metrics, ci: bool = False, spread: bool = True, digits: int = 9) ->
     return out
 
 
+def percentiles(df: DataFrame, keys, value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and, by name, the interpolated percentile of each share: from counts of equal values, which a window adds up in order of value.
+
+    Unlike the aggregate function, no group's values are all in memory at once. Null and NaN don't count; a group without any other has no row.
+    """
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys)
+    c = counts.withColumn("_stop", F.sum("_n").over(w.orderBy(value))).withColumn("_total", F.sum("_n").over(w))
+    at = lambda place: F.max(F.when((F.col("_stop") - F.col("_n") <= place) & (place < F.col("_stop")), F.col(value)))
+    out, names = [], []
+    for name, share in shares.items():
+        place = (F.col("_total") - 1) * F.lit(float(share))
+        out += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_part_{name}")]
+        names.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_part_{name}")).alias(name))
+    return c.groupBy(*keys).agg(*out).select(*keys, *names)
+
+
 def metric_groups(per_scene: DataFrame, keys, metrics=METRICS) -> DataFrame:
     """Scenes of each group and the spread of their metrics; null keys are a group."""
     return per_scene.groupBy(*keys).agg(F.count("*").alias("n_scenes"), *describe(metrics))

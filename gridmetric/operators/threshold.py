@@ -12,6 +12,9 @@ from gridmetric.functions.scalar import format_interval, format_signed
 from gridmetric.functions.student import t_cdf, t_ppf
 from gridmetric.operators.ranking import contiguous_interval
 
+#: What a recommendation rests on, with and without an intersection of both intervals.
+JUSTIFICATIONS = ("TOST+low-var intersection", "risk-adjusted (no intersection)")
+
 
 def curve(rows: DataFrame, by) -> DataFrame:
     """by, t_idx, threshold, mean, std (one pair: 0), n."""
@@ -94,7 +97,7 @@ def recommend(rows: DataFrame, by, delta: float = 0.01, alpha: float = 0.05, def
     return out.select(
         *by, "peak_threshold", "peak_mean", F.coalesce("best.threshold", "risk_t").alias("recommended_t"), mean.alias("recommended_mean"), F.round(F.col("peak_mean") - mean, 9).alias("loss_vs_peak"),
         format_interval("tost_low_t", "tost_high_t").alias("tost_interval"), format_interval("lv_low_t", "lv_high_t").alias("low_var_interval"), found.alias("intersection_found"),
-        F.when(found, "TOST+low-var intersection").otherwise("risk-adjusted (no intersection)").alias("justification"),
+        F.when(found, JUSTIFICATIONS[0]).otherwise(JUSTIFICATIONS[1]).alias("justification"),
         F.lit(default).between(F.col("tost_low_t"), F.col("tost_high_t")).alias("default_in_tost"), F.round(F.col("peak_mean") - F.col("_d.mean"), 4).alias("loss_at_default"),
         F.concat_ws("/", F.col("n_pos").cast("string"), F.col("_n").cast("string")).alias("sign_consistency"),
         F.concat(format_signed("_m"), F.lit(" ["), format_signed(F.col("_m") - F.col("_half")), F.lit(", "), format_signed(F.col("_m") + F.col("_half")), F.lit("]")).alias("mean_signed_diff"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmetric.functions.scalar import sigmoid
@@ -162,6 +162,15 @@ def stitch_weighted(pixels: DataFrame, size: int, window: str = "hann", least: f
     return x.groupBy(*keys, "r", "c").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("p"))
 
 
+def naive_stitch(pixels: DataFrame, size: int, value: str = "v") -> DataFrame:
+    """The weighted mean by joining pixels with a table of weights and dividing in a window over each cell. For comparison only."""
+    spark, w = pixels.sparkSession, weights_1d(size)
+    table = spark.createDataFrame([(i, j, w[i] * w[j]) for i in range(size) for j in range(size)], "i int, j int, w double")
+    x = pixels.join(table, ["i", "j"]).select((F.col("y0") + F.col("i")).alias("r"), (F.col("x0") + F.col("j")).alias("c"), F.col(value).cast("double").alias("v"), "w")
+    total = F.sum("w").over(Window.partitionBy("r", "c"))
+    return x.withColumn("share", F.col("w") / total).groupBy("r", "c").agg(F.sum(F.col("v") * F.col("share")).alias("p"))
+
+
 def stitch_crop_only(pixels: DataFrame, keys=(), value: str = "v") -> DataFrame:
     """keys, r, c, p: the tile of the greatest number wins."""
     x = pixels.select(*keys, (F.col("y0") + F.col("i")).alias("r"), (F.col("x0") + F.col("j")).alias("c"), F.struct("tile_id", F.col(value).alias("v")).alias("s"))

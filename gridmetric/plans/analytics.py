@@ -85,10 +85,13 @@ def backscatter_stats(spark, sf):
     x = X.pxw_valid(spark, sf, "scene", "y", "vv", "vh", *SCORES[:4]).where(S.finite("vv", "vh"))
     names = F.array_compact(F.array(*[F.when(F.expr(c), n) for n, c in _GROUPS.items()]))
     g = x.select(F.explode(names).alias("grp"), "vv", "vh")
-    agg = []
+    moments = [c for b in ("vv", "vh") for c in (F.round(F.avg(b), 9).alias(f"{b}_mean"), F.round(F.stddev_pop(b), 9).alias(f"{b}_std"))]
+    out = g.groupBy("grp").agg(F.count("*").alias("n"), *moments)
     for b in ("vv", "vh"):
-        agg += [F.round(F.avg(b), 9).alias(f"{b}_mean"), F.round(F.stddev_pop(b), 9).alias(f"{b}_std")] + [F.round(F.percentile(b, F.lit(q)), 9).alias(f"{b}_p{int(q * 100)}") for q in _PCT]
-    return g.groupBy("grp").agg(F.count("*").alias("n"), *agg)
+        names = {f"{b}_p{int(q * 100)}": q for q in _PCT}
+        own = metrics.percentiles(g, ["grp"], b, names)
+        out = out.join(own.select("grp", *(F.round(n, 9).alias(n) for n in names)), "grp", "left")
+    return out
 
 
 # Sweeps

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridmetric.functions import scalar as S
-from gridmetric.operators import ranking
+from gridmetric.operators import metrics, ranking
 from gridmetric.plans.registry import query
 from gridmetric.sources import fixtures as X
 from gridmetric.sources.fixtures import PXV_SQL, PXW_SQL
@@ -117,7 +117,7 @@ def range_and_text_filter(spark, sf):
 @query(f"WITH {PXW_SQL}, q AS (SELECT scene, quantile_cont(vv, 0.02) AS lo, quantile_cont(vv, 0.98) AS hi FROM pxw GROUP BY scene) SELECT p.scene, pix, round(greatest(0.0, least(1.0, (vv - lo) / (hi - lo))), 9) AS stretched FROM pxw p JOIN q ON p.scene = q.scene")
 def percentile_stretch(spark, sf):
     x = X.pxw(spark, sf, "scene", "pix", "vv")
-    q = x.groupBy("scene").agg(F.percentile("vv", F.lit(0.02)).alias("lo"), F.percentile("vv", F.lit(0.98)).alias("hi"))
+    q = metrics.percentiles(x, ["scene"], "vv", {"lo": 0.02, "hi": 0.98})
     return x.join(q, "scene").select("scene", "pix", F.round(S.percentile_stretch("vv", "lo", "hi"), 9).alias("stretched"))
 
 

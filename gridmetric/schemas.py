@@ -1,19 +1,8 @@
-"""Schemas of persisted relations, and the check for columns a relation must have."""
+"""The schema of chips, and the check for columns a relation must have."""
 
 from pyspark.sql import DataFrame
 
-
-
-
 CHIP = "chip_id LONG, split STRING, vv ARRAY<FLOAT>, vh ARRAY<FLOAT>, mask ARRAY<SHORT>"
-SCENE = "scene_id STRING, path STRING, width INT, height INT, count INT, crs STRING, transform ARRAY<DOUBLE>, bounds STRUCT<left: DOUBLE, bottom: DOUBLE, right: DOUBLE, top: DOUBLE>, nodata DOUBLE, dtypes ARRAY<STRING>"
-TILE = "scene_id STRING, tile_id LONG, valid_y0 INT, valid_x0 INT, valid_h INT, valid_w INT, buffer INT, bands ARRAY<ARRAY<FLOAT>>"
-PIXEL_SCORE = "model_name STRING, evaluation_id STRING, pix LONG, y INT, p FLOAT"
-CM_PIXEL = "model STRING, scene STRING, row INT, col INT, cm INT"
-CONTOUR = "scene STRING, contour_id INT, vertices ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>"
-TRIAL = "study_name STRING, trial INT, state STRING, value DOUBLE"
-RUN_MANIFEST = "run_id STRING, scene_id STRING, checkpoint STRING, mode STRING, precision STRING, tile_size INT, buffer INT, stride INT, tta STRING, status STRING, error_message STRING, started STRING, finished STRING, elapsed_min DOUBLE, probability_path STRING, mask_path STRING"
-EVALUATION_MANIFEST = "evaluation_id STRING, s1_id STRING, s2_id STRING, model_name STRING, prediction_type STRING, inference_mode STRING, reference_file STRING, reference_path STRING, prediction_path STRING, status STRING, error_message STRING"
 
 
 def require_columns(df: DataFrame, columns) -> DataFrame:
