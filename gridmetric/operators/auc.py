@@ -9,11 +9,20 @@ from gridmetric.functions.scalar import edge_bin, linspace, safe_div
 
 
 def auc_summary(px: DataFrame, keys) -> DataFrame:
-    """keys, roc_auc (ties count half), average_precision, auc_status; null values where one class is missing."""
-    w = Window.partitionBy(*keys)
-    down = w.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    """keys, roc_auc (ties count half), average_precision, auc_status; null values where one class is missing.
+
+    Distinct scores are added up within ranges of a thousandth, and the ranges' totals before them, so that no window holds all scores of a group.
+    """
     g = px.groupBy(*keys, "p").agg(F.sum("y").cast("double").alias("w"), F.sum(1 - F.col("y")).cast("double").alias("l"))
-    g = g.select(*keys, "w", "l", F.sum("w").over(down).alias("cw"), F.sum("l").over(down).alias("cl"), F.sum("w").over(w).alias("tw"))
+    g = g.withColumn("_range", F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col("p"))) * 1000).cast("int"))
+    down = Window.partitionBy(*keys, "_range").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = g.groupBy(*keys, "_range").agg(F.sum("w").alias("_w"), F.sum("l").alias("_l"))
+    zero = F.lit(0.0)
+    totals = totals.select(
+        *keys, "_range", F.coalesce(F.sum("_w").over(before), zero).alias("_bw"), F.coalesce(F.sum("_l").over(before), zero).alias("_bl"), F.sum("_w").over(Window.partitionBy(*keys)).alias("tw"))
+    own = g.withColumn("cw", F.sum("w").over(down)).withColumn("cl", F.sum("l").over(down))
+    g = own.join(totals, [*keys, "_range"]).select(*keys, "w", "l", (F.col("cw") + F.col("_bw")).alias("cw"), (F.col("cl") + F.col("_bl")).alias("cl"), "tw")
     sums = g.groupBy(*keys).agg(
         F.sum(F.col("l") * (F.col("cw") - F.col("w")) + F.col("l") * F.col("w") / 2).alias("area"), F.max("tw").alias("tw"), F.sum("l").alias("tl"),
         F.sum(F.try_divide("w", "tw") * F.try_divide(F.col("cw"), F.col("cw") + F.col("cl"))).alias("ap"))

@@ -12,6 +12,15 @@ def subsample(df: DataFrame, keys, ids, k: int, seed: int = 42, order=None) -> D
     return df.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= k).drop("_nth")
 
 
+def seeded_shuffle(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """Rows with their place from 1 in an order that depends on the seed and a whole-number key alone: arithmetic that is alike in every engine."""
+    from gridmetric.operators.ranking import rank_all
+
+    # Fixed values of the generator: two multipliers and a prime.
+    draw = F.pmod(F.pmod(F.col(key) * 7919 + F.lit(seed), F.lit(2147483647)) * 48271, F.lit(2147483647))
+    return rank_all(df.withColumn("_draw", draw), ("_draw", key), name).drop("_draw")
+
+
 def sorted_subset(df: DataFrame, keys, ratio: float, hash_column, top: int, bins: int = 1000) -> DataFrame:
     """The int(n * ratio) rows least by a hash from 0 to top (excluded), then by keys: a sample without replacement of exact size.
 

@@ -173,7 +173,7 @@ def raw_tile_scan(spark, sf):
     return chips.select("split", "chip_id", F.size("vv").alias("n"), F.round(total, 4).alias("vv_sum"), F.aggregate("mask", F.lit(0), lambda s, x: s + x).alias("water"))
 
 
-def _raw_chips(spark, sf, **options):
+def _raw_chips(spark, sf, missing=(), **options):
     from gridmetric.sources.raw_tiles import RawTileSource, write_raw
     from gridmetric.sources.shared import scratch_folder
 
@@ -181,8 +181,9 @@ def _raw_chips(spark, sf, **options):
     dealt = X.chips(spark, sf).select("scene", "tile_id", "values").repartition("scene").sortWithinPartitions("scene", "tile_id")
     written = dealt.mapInArrow(write_raw(folder, "scene", "values", 8, 8), "path string, split string").orderBy("split").collect()  # a row a scene
     spark.dataSource.register(RawTileSource)
-    source = spark.read.format("rawtile").options(width=8, splits=",".join(r.split for r in written), **options)
-    return source.load(",".join(r.path for r in written))
+    splits = [(r.split, r.path) for r in written] + [(m, f"{folder}/{m}.bin") for m in missing]
+    source = spark.read.format("rawtile").options(width=8, splits=",".join(s for s, _ in splits), **options)
+    return source.load(",".join(p for _, p in splits))
 
 
 @query(f"WITH {CHIP_SQL} SELECT CAST(scene AS VARCHAR) AS split, row_number() OVER (PARTITION BY scene ORDER BY tile_id) - 1 AS chip_id, 192 AS n, round(CAST(len(list_filter(vals, lambda x: x > 0)) AS DOUBLE), 3) AS total FROM chip")
@@ -192,6 +193,26 @@ def raw_raster_scan(spark, sf):
     return bands.select("split", "chip_id", F.size("band").alias("n"), F.round(F.abs(F.aggregate("band", F.lit(0.0), lambda s, x: s + x)), 3).alias("total"))
 
 
+@query(f"WITH {CHIP_SQL}, w AS (SELECT CAST(scene AS VARCHAR) AS split FROM chip UNION ALL SELECT 'val' WHERE FALSE) SELECT split, count(*) AS n FROM w GROUP BY split")
+def split_counts(spark, sf):
+    """Chips of each split; a split without a file has none."""
+    return _raw_chips(spark, sf, missing=("val", "test"), height=8).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CHIP_SQL} SELECT tile_id, CAST(row_number() OVER (ORDER BY ((tile_id * 7919 + 42) % 2147483647 * 48271) % 2147483647, tile_id) AS INT) AS place FROM chip")
+def seeded_shuffle(spark, sf):
+    from gridmetric.operators.sampling import seeded_shuffle as shuffle
+
+    return shuffle(X.chips(spark, sf).select("tile_id"), "tile_id", 42)
+
+
+@query(f"WITH {CHIP_SQL} SELECT DISTINCT scene, CASE WHEN scene % 3 = 0 THEN 'skip' ELSE 'would_extract' END AS action FROM chip")
+def contour_batches(spark, sf):
+    """What a dry run of the extraction would do with each scene; every third is there already."""
+    scenes = X.chips(spark, sf).select("scene").distinct()
+    return geometry.batch_status(scenes, scenes.where("scene % 3 = 0"), dry_run=True)
+
+
 @query(f"WITH {CHIP_SQL} SELECT tile_id, round(list_sum(list_transform(vals, lambda m: 1 / (1 + exp(-m)))), 6) AS total FROM chip")
 def score_tiles(spark, sf):
     return tiles.score_tiles(X.chips(spark, sf), lambda m: 1 / (1 + __import__("numpy").exp(-m))).select("tile_id", F.round(F.aggregate("scores", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))

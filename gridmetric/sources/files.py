@@ -98,13 +98,20 @@ def geojson_lines(contours: DataFrame) -> DataFrame:
     return contours.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*props).alias("properties"), geometry.alias("geometry"))).alias("value"))
 
 
-def validated_copy(df: DataFrame, path: str) -> int:
-    """Writes, reads again and compares counts and columns; returns the count."""
+def validated_copy(df: DataFrame, path: str, source: str | None = None) -> int:
+    """Writes, reads again and compares counts and columns; returns the count. The source folder, if named, goes only after that.
+
+    Spark writes to a temporary name and renames it when all tasks are done, so a failed copy leaves nothing under the final one.
+    """
     df.write.mode("overwrite").parquet(path)
     back = df.sparkSession.read.parquet(path)
     n, m = df.count(), back.count()
     if n != m or back.columns != df.columns:
         raise ValueError(f"{path}: {m} rows were written of {n}")
+    if source is not None:
+        from gridmetric.sources.shared import clean_up
+
+        clean_up(df.sparkSession, [source])
     return n
 
 

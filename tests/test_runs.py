@@ -103,3 +103,54 @@ def test_one_band_rasters(spark, tmp_path):
     assert [r.band for r in read.load(f"file://{tmp_path}/r.bin").orderBy("chip_id").collect()] == x.tolist()
     with pytest.raises(Exception, match="three planes"):
         spark.read.format("rawtile").options(planes=2, height=2, width=3).load(f"{tmp_path}/r.bin").count()
+
+
+def test_auc_of_many_scores(spark):
+    """Scores within and beyond 0-1, with ties over ranges, against every pair."""
+    from gridmetric.operators import auc
+
+    rng = np.random.default_rng(8)
+    p = np.round(rng.normal(0.5, 0.8, 400), 2)
+    y = (rng.random(400) < 0.4).astype(int)
+    got = auc.auc_summary(spark.createDataFrame([("m", int(a), float(b)) for a, b in zip(y, p)], "m string, y int, p double"), ["m"]).first()
+    pos, neg = p[y == 1], p[y == 0]
+    want = ((pos[:, None] > neg[None]).sum() + (pos[:, None] == neg[None]).sum() / 2) / (len(pos) * len(neg))
+    assert abs(got.roc_auc - want) < 1e-8
+    ap, order = 0.0, sorted(set(p.tolist()), reverse=True)
+    for cut in order:
+        ap += (pos == cut).sum() / len(pos) * ((pos >= cut).sum() / (p >= cut).sum())
+    assert abs(got.average_precision - ap) < 1e-8
+
+
+def test_percentiles_from_counts(spark):
+    from gridmetric.operators import metrics
+
+    rng = np.random.default_rng(2)
+    rows = [(k % 3, float(v)) for k, v in enumerate(np.round(rng.normal(size=200), 1))] + [(0, float("nan")), (1, None), (3, None), (4, 2.5)]
+    got = {r.k: r for r in metrics.percentiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", {"lo": 0.025, "mid": 0.5, "hi": 1.0}).collect()}
+    assert set(got) == {0, 1, 2, 4} and (got[4].lo, got[4].mid, got[4].hi) == (2.5, 2.5, 2.5)
+    for k in (0, 1, 2):
+        own = [v for g, v in rows if g == k and v is not None and v == v]
+        assert np.allclose([got[k].lo, got[k].mid, got[k].hi], np.percentile(own, [2.5, 50, 100]))
+
+
+def test_simplified_lines_keep_rings_and_crossings(spark):
+    from gridmetric.operators import geometry
+
+    turn = np.linspace(0, 2 * np.pi, 60)
+    ring = np.stack([10 * np.cos(turn), 10 * np.sin(turn)], axis=1)
+    ring[-1] = ring[0]
+    out = geometry._simplified(ring, 50.0)
+    assert (out[0] == out[-1]).all() and len(out) >= 4
+    spit = np.array([[0, 0], [10, 0], [10, 4], [5, 0.5], [0, 4], [0, 0.2], [4, 0.2]], float)
+    assert not geometry._crosses(spit) and not geometry._crosses(geometry._simplified(spit, 3.0))
+    assert geometry._crosses(np.array([[0, 0], [4, 4], [4, 0], [0, 4]], float)) and len(geometry._simplified(np.array([[0, 0], [1, 0.1], [2, 0]], float), 1.0)) == 2
+
+
+def test_copies_remove_their_source_last(spark, tmp_path):
+    from gridmetric.sources import files
+
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    spark.range(10).write.parquet(old)
+    assert files.validated_copy(spark.read.parquet(old), new, old) == 10
+    assert spark.read.parquet(new).count() == 10 and not (tmp_path / "old").exists()
