@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,9 +79,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Returns unused memory to the system: Spark's Python workers live on for other stages, whose executors have other needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of the C library, where it is glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = 8 * MB) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches at rows so that each holds about max_bytes of text, one row at least. At the end Arrow gives back what it no longer uses, as
-    Python workers live on for other tasks."""
+    """Cuts Arrow batches at rows so that each holds about max_bytes of text, one row at least. At the end the task gives back what it no longer uses."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -88,7 +96,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = 8
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def texts(batch: pa.RecordBatch, text_col: str) -> list[str]:

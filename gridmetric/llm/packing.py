@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.taskcontext import TaskContext
 
-from gridmetric.llm.common import MB, pieces, quoted, table
+from gridmetric.llm.common import MB, give_back, pieces, quoted, table
 from gridmetric.llm.tokens import word_tokenizer
 
 
@@ -164,6 +164,8 @@ def pack_tokens(docs: DataFrame, tokenizer_file: bytes, id_col: str = "doc_id",
         last = packer.pack(final=True)
         if last:
             yield emit(last)
+        tokenizer.forget()
+        give_back()
 
     bears = F.lit(True) if loss_col is None else F.coalesce(quoted(loss_col), F.lit(False))
     source = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), bears.alias("bears"))

@@ -17,7 +17,7 @@ _MARKS = ".,;:!?|)\"*"
 #: Texts on which a tokenizer file must encode as its words do.
 _PROBES = ["Hello, World.  again\n\nNEW line", "don't STOP! (x) a.b,c; \"Été\" straße* y|z", "12 3.4 it's: end?"]
 #: Parts that a worker remembers in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 
 class WordTokenizer:
@@ -40,6 +40,10 @@ class WordTokenizer:
         if [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] != want:
             raise ValueError("the tokenizer file doesn't lower-case words and drop white space between them")
 
+    def forget(self) -> None:
+        """Drops what was remembered, at the end of a task."""
+        self.young, self.old = {}, {}
+
     def encode_parts(self, parts: set[str]) -> dict[str, bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of parts that stand between white space."""
         young, old = self.young, self.old
