@@ -212,8 +212,28 @@ def learn_samples(
     out = {}
     for lang, rows in by_lang.items():
         parts = [t for _, t in sorted(rows)]
-        out[lang] = b" ".join(t[:n] for t, n in zip(parts, _shared_out([len(t) for t in parts], chars_per_language)))
-    return out
+        out[lang] = [t[:n] for t, n in zip(parts, _shared_out([len(t) for t in parts], chars_per_language))]
+    return {lang: b" ".join(parts) for lang, parts in _without_strangers(out).items()}
+
+
+def _without_strangers(parts: dict[str, list[bytes]], least: int = 40, slack: float = 1.75) -> dict[str, list[bytes]]:
+    """The samples without texts that aren't in the language of their label, as they would be accepted by themselves.
+
+    Each half of a language's texts is parsed against the other halves. A text of `least` bytes or more goes if its phrase rate is beyond slack times
+    the median of its language's, or if another language takes it at three quarters of the cost. Languages of fewer than eight texts stay as they are.
+    """
+    kept = {lang: list(own) for lang, own in parts.items() if len(own) < 8}
+    judged = {lang: own for lang, own in parts.items() if len(own) >= 8}
+    for half in (0, 1) if judged else ():
+        parser = CrossParser({lang: b" ".join(own[1 - half :: 2] if lang in judged else own) for lang, own in parts.items()})
+        for lang, own in judged.items():
+            probes, me = own[half::2], parser.langs.index(lang)
+            phrases = parser.phrases(probes)
+            cost, rates = phrases * parser.bits, phrases[:, me] / np.maximum(1, np.fromiter(map(len, probes), float, len(probes)))
+            most = slack * np.median(rates)
+            fits = (rates <= most) & (cost.min(axis=1) >= 0.75 * cost[:, me])
+            kept.setdefault(lang, []).extend(t for t, ok in zip(probes, fits) if ok or len(t) < least)
+    return {lang: kept[lang] or own for lang, own in parts.items()}
 
 
 def _by_hash(own: DataFrame, first: int, last: int) -> list:
@@ -223,9 +243,11 @@ def _by_hash(own: DataFrame, first: int, last: int) -> list:
 
 
 def learn_rate_limits(
-    labelled: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 256, least: int = 40, slack: float = 1.75
+    labelled: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 256, least: int = 40, slack: float = 2.5
 ) -> dict[str, float]:
-    """The phrase rate beyond which a text isn't in its language: slack times the greatest of docs_per_language rows that no sample holds.
+    """The phrase rate beyond which a text isn't in its language: slack times the 95th percentile of docs_per_language rows that no sample holds.
+
+    A percentile, as a few of the rows may be in no language themselves.
 
     The rows are bounded by the parameter, whatever the size of the table. Texts of fewer than `least` letters don't count; a language without any
     other has no limit.
@@ -235,7 +257,7 @@ def learn_rate_limits(
     if not chosen or not samples:
         return {}
     judged = identify(own.where(F.col("id").isin(chosen) & (letters(F.col("text")) >= least)), samples, "id", "text")
-    got = judged.where("lang = lang_pred").groupBy("lang").agg(F.max("phrase_rate").alias("rate")).collect()
+    got = judged.where("lang = lang_pred").groupBy("lang").agg(F.percentile("phrase_rate", F.lit(0.95)).alias("rate")).collect()
     return {r.lang: slack * r.rate for r in got}
 
 
