@@ -1,94 +1,105 @@
 """Nearest neighbours by inner product with randomly rotated one-bit codes.
 
-A vector's code is the signs of its rotated coordinates, packed into 64-bit words, with two correction scalars: its norm and the
-inner product of its direction with its code's direction. A query's rotated coordinates are quantised to bit planes, so the
-estimate is a few popcounts a word; an error bound holds with high probability, and vectors whose upper bound
-reaches the k-th best lower bound are reranked with exact products.
+A vector is rotated into a space of BITS bits or more; its code is the signs of its coordinates there, packed into bytes and stored once, with
+two correction scalars: its norm and the inner product of its direction with its code's direction. The inner product of a query's rotated
+coordinates with a code's signs, corrected by the scalars, estimates that of the vectors; an error bound holds with high probability, and vectors
+whose upper bound reaches the k-th best lower bound of their block are reranked with exact products.
 
 Equal vectors are one candidate with their least ids (more than k of them can't be among a query's k nearest).
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridmetric.llm.common import Scratch, table
+from gridmetric.llm.common import Scratch, quoted, table
 
-PLANES = 6
+#: Bits of a code at least: a longer code has a smaller error, which falls with the root of its length.
+BITS = 256
 
 
-def rotation(dim: int, seed: int = 11) -> np.ndarray:
-    """A random orthogonal matrix over dim rounded up to whole words."""
-    size = -(-dim // 64) * 64
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, size)))
-    return (q * np.sign(np.diag(r)))[:, :dim]
+@functools.lru_cache(maxsize=8)
+def rotation(dim: int, bits: int = BITS, seed: int = 11) -> np.ndarray:
+    """A random matrix with orthonormal columns from dim coordinates to a multiple of 64, bits at least."""
+    size = max(bits, -(-dim // 64) * 64)
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, dim)))
+    return q * np.sign(np.diag(r))
 
 
-def pack_signs(rotated: np.ndarray) -> np.ndarray:
-    """Sign bits of each row as 64-bit words."""
-    return np.packbits(rotated >= 0, axis=1, bitorder="little").view("<u8")
+class Codes:
+    """One-bit codes of vectors (rows of packed bytes) and their correction scalars."""
 
+    def __init__(self, packed: np.ndarray, norm: np.ndarray, align: np.ndarray):
+        self.packed, self.norm, self.align = packed, norm, align
 
-class Codes:
-    """One-bit codes of vectors (rows) and their correction scalars."""
+    @classmethod
+    def of(cls, vectors: np.ndarray) -> Codes:
+        rotated = vectors @ rotation(vectors.shape[1]).T
+        norm = np.sqrt((vectors * vectors).sum(axis=1))
+        align = np.abs(rotated).sum(axis=1) / (np.sqrt(rotated.shape[1]) * norm)  # <direction, code>
+        return cls(np.packbits(rotated >= 0, axis=1, bitorder="little"), norm, align)
 
-    def __init__(self, vectors: np.ndarray, turn: np.ndarray):
-        self.dim = len(turn)
-        rotated = vectors @ turn.T
-        self.norm = np.sqrt((vectors * vectors).sum(axis=1))
-        self.words = pack_signs(rotated)
-        self.ones = np.bitwise_count(self.words).sum(axis=1).astype(np.float64)
-        self.align = np.abs(rotated).sum(axis=1) / (np.sqrt(self.dim) * self.norm)  # <direction, code>
+    def signs(self) -> np.ndarray:
+        return np.unpackbits(self.packed, axis=1, bitorder="little").astype(np.float32) * 2 - 1
 
-    def estimate(self, queries: np.ndarray, turn: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    def estimate(self, queries: np.ndarray, sure: float, signs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Estimated inner products (queries x codes) and the bound on their error, which holds but for a chance of about exp(-sure**2 / 2)."""
-        rotated = queries @ turn.T
-        low = rotated.min(axis=1, keepdims=True)
-        step = (rotated.max(axis=1, keepdims=True) - low) / (2**PLANES - 1)
-        step[step == 0] = 1.0
-        levels = np.round((rotated - low) / step).astype(np.uint64)
-        total = np.zeros((len(queries), len(self.norm)))
-        for b in range(PLANES):
-            plane = np.packbits(((levels >> np.uint64(b)) & np.uint64(1)).astype(bool), axis=1, bitorder="little").view("<u8")
-            hits = np.zeros(total.shape, np.uint16)
-            for w in range(self.words.shape[1]):
-                hits += np.bitwise_count(plane[:, w : w + 1] & self.words[None, :, w])
-            total += hits * float(1 << b)
-        # <query, signs> = 2 <query, ones> - sum of the query's coordinates
-        on = step * total + low * self.ones
-        dot = 2 * on - (step * levels.astype(np.float64) + low).sum(axis=1, keepdims=True)
-        scale = self.norm / (self.align * np.sqrt(self.dim))
+        signs = self.signs() if signs is None else signs
+        size = signs.shape[1]
+        rotated = (queries @ rotation(queries.shape[1]).T).astype(np.float32)
+        scale = self.norm / (self.align * np.sqrt(size))
         norms = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
-        spread = np.sqrt(np.maximum(0, 1 - self.align**2) / max(1, self.dim - 1)) / self.align
-        rounding = step / 2 * np.sqrt(self.dim) * scale * sure / np.sqrt(3)  # of the query's quantisation
-        return dot * scale, sure * norms * self.norm * spread + rounding
+        spread = np.sqrt(np.maximum(0, 1 - self.align**2) / max(1, size - 1)) / self.align
+        return (rotated @ signs.T) * scale, norms * (self.norm * (sure * spread + 1e-5))  # the last for sums in single precision
 
 
-def search_block(queries: np.ndarray, vectors: np.ndarray, turn: np.ndarray, k: int, sure: float) -> list[np.ndarray]:
-    """For each query, the rows of vectors that may be among its k nearest."""
-    codes = Codes(vectors, turn)
-    out = []
+def search_block(queries: np.ndarray, codes: Codes, k: int, sure: float) -> list[np.ndarray]:
+    """For each query, the rows of codes that may be among its k nearest."""
+    out, signs = [], codes.signs()
     for a in range(0, len(queries), 256):
-        est, err = codes.estimate(queries[a : a + 256], turn, sure)
+        est, err = codes.estimate(queries[a : a + 256], sure, signs)
         if est.shape[1] > k:
-            worst = -np.partition(-(est - err), k - 1, axis=1)[:, k - 1 : k]
+            worst = -np.partition(err - est, k - 1, axis=1)[:, k - 1 : k]
             out += [np.flatnonzero(row) for row in est + err >= worst]
         else:
             out += [np.arange(est.shape[1])] * len(est)
     return out
 
 
+def with_codes(distinct: DataFrame) -> DataFrame:
+    """ids, id and v (vectors of any lengths) besides code, norm and align."""
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column("v")
+            size = np.diff(v.offsets.to_numpy())
+            flat, begin = v.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+            code, norm, align = [None] * len(v), np.zeros(len(v)), np.zeros(len(v))
+            for dim in np.unique(size):
+                rows = np.flatnonzero(size == dim)
+                made = Codes.of(flat[begin[rows][:, None] + np.arange(dim)])
+                norm[rows], align[rows] = made.norm, made.align
+                for i, c in zip(rows, made.packed):
+                    code[i] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.binary()), pa.array(norm), pa.array(align)], names=[*batch.schema.names, "code", "norm", "align"])
+
+    return distinct.select("ids", "id", "v").mapInArrow(run, "ids array<long>, id long, v array<double>, code binary, norm double, align double")
+
+
 def valid_vectors(table_: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id and v (array of double) of the rows that take part."""
-    v = F.col(vector_col).cast("array<double>")
+    v = quoted(vector_col).cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return table_.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(good)
+    own = table_.where(quoted(vector_col).isNotNull() & quoted(id_col).isNotNull())
+    return own.where(good).select(quoted(id_col).cast("long").alias("id"), v.alias("v"))
 
 
-def nearest(base: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 8192, sure: float = 4.0) -> DataFrame:
+def nearest(base: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 8192, sure: float = 3.5) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of each query row, by inner product in double precision.
 
     is_query: a condition on the column `id`. Rows with a null id, or a vector that is null, empty, zero or has null or non-finite components
@@ -102,7 +113,7 @@ def nearest(base: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
     nth = Window.partitionBy("v").orderBy("id")
     same = rows.distinct().withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1)
     # Distinct vectors with the least ids that have them: no more than k + 1 rows of a group get here.
-    distinct = scratch.keep(same.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("id").alias("id")), "distinct")
+    distinct = scratch.keep(with_codes(same.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("id").alias("id"))), "distinct")
     sizes = distinct.groupBy(F.size("v").alias("dim")).count().collect()
     asked = scratch.keep(rows.where(is_query).distinct(), "asked")
     asks = asked.groupBy("v").agg(F.min("id").alias("id"))
@@ -119,7 +130,7 @@ def nearest(base: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
         counts = F.create_map(*[F.lit(x) for kv in of.items() for x in kv]) if of else F.create_map(F.lit(0), F.lit(1))
         return F.coalesce(F.try_element_at(counts, F.size("v")), F.lit(1))
 
-    data = distinct.select(F.size("v").alias("dim"), number("id", blocks).cast("int").alias("b"), "ids", "v")
+    data = distinct.select(F.size("v").alias("dim"), number("id", blocks).cast("int").alias("b"), "ids", "v", "code", "norm", "align")
     data = data.withColumn("q", F.explode(F.expr("sequence(0, 0)")) if max(q_blocks.values(), default=1) == 1 else F.explode(F.sequence(F.lit(0), (counts_of(q_blocks) - 1).cast("int"))))
     ask = asks.select(F.size("v").alias("dim"), number("id", q_blocks).cast("int").alias("q"), "id", "v", F.explode(F.sequence(F.lit(0), (counts_of(blocks) - 1).cast("int"))).alias("b"))
 
@@ -130,11 +141,13 @@ def nearest(base: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
         left, right = left.combine_chunks(), right.combine_chunks()
         dim = left["dim"][0].as_py()
         unnest = lambda t: t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        queries, vectors, turn = unnest(left), unnest(right), rotation(dim)
+        queries, vectors = unnest(left), unnest(right)
+        packed = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(len(vectors), -1)
+        codes = Codes(packed, right["norm"].to_numpy(), right["align"].to_numpy())
         ids, asked_ids = right["ids"].combine_chunks(), left["id"].to_numpy()
         flat, begin = ids.flatten().to_numpy(), ids.offsets.to_numpy()
         out_q, out_id, out_s = [], [], []
-        for q, found in enumerate(search_block(queries, vectors, turn, k + 1, sure)):
+        for q, found in enumerate(search_block(queries, codes, k + 1, sure)):
             score = (vectors[found] * queries[q]).sum(axis=1)
             order = np.argsort(-score, kind="stable")
             if len(order) > k + 1:
