@@ -11,6 +11,8 @@ match so far go through the whole list. Texts are split again for the words of t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def hashed_words(line: Column) -> Column:
 def rarity(texts: DataFrame) -> list[int]:
     """Level of each hash bucket by the count of its words in the column text, in thirds of its binary logarithm: BUCKETS numbers below 128,
     whatever the input."""
-    words = texts.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w")).where("w <> ''")
+    words = texts.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
     levels = counts.select("b", F.least(F.floor(3 * F.log2("count")), F.lit(127)).cast("int").alias("level"))
     packed = levels.groupBy(F.expr("CAST(b div 4096 AS INT)").alias("part")).agg(F.array_join(F.collect_list(F.concat_ws(":", "b", "level")), ",").alias("of"))
@@ -102,6 +104,8 @@ def _earlier() -> Column:
 
 
 PAIR = ("ida", "ata", "idb", "atb")
+#: Shares of all keys that are joined one after the other: shuffles of one share at a time are on disk.
+SHARES = 2
 
 
 def _pair() -> list[Column]:
@@ -119,19 +123,23 @@ def _listed_pairs(left: DataFrame, right: DataFrame, percent: int, once: bool =
 def _short_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs under all keys of the entries, the earlier line as a.
 
-    Both sides read one exchange, so what holds for a side alone is part of the join; what is cheap and seldom true comes first. Of two sets the
-    smaller one needs its first tokens up to the overlap with an equally large one.
+    What is cheap and seldom true comes first. Of two sets the smaller one needs its first tokens up to the overlap with an equally large one.
     """
-    dealt = entries.repartition("key")
     sizes = (F.col("a.n") <= F.col("b.n")) & (F.col("b.n") * percent <= F.col("a.n") * 100)
     small = F.col("a.pos") <= F.col("a.n") - _overlap("a.n", "a.n", percent)
     once = (F.col("a.n") < F.col("b.n")) | _earlier()
-    met = dealt.alias("a").join(dealt.alias("b"), (F.col("a.key") == F.col("b.key")) & sizes & small & _close(percent) & once).select(*_pair())
+    met = entries.alias("a").join(entries.alias("b"), (F.col("a.key") == F.col("b.key")) & sizes & small & _close(percent) & once).select(*_pair())
     swap = F.struct("ida", "ata") > F.struct("idb", "atb")
     turned = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("idb", "ida"), ("atb", "ata"), ("ida", "idb"), ("ata", "atb"))]
     return met.select(*turned)
 
 
+def _kept_pairs(entries: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The written pairs under all keys of the entries, by shares of the keys; a pair may stand in each of them."""
+    kept = [scratch.keep(_short_pairs(entries.where(F.pmod("key", F.lit(SHARES)) == k), percent).distinct(), "pairs") for k in range(SHARES)]
+    return reduce(DataFrame.union, kept)
+
+
 def _map_of(members: DataFrame, bits: int) -> Column:
     """A condition on id and at that holds for all members and, by chance, for few others: a map of so many bits, a scalar subquery."""
     place = F.pmod(F.xxhash64("id", "at"), F.lit(bits))
@@ -184,8 +192,7 @@ def later_matches(docs: DataFrame, scratch: Scratch, percent: int, id_col: str,
     long = scratch.keep(some.groupBy("key").count().where(F.col("count") >= OFTEN).select("key"), "long")
     n_long = long.count()
     if not n_long:
-        pairs = scratch.keep(_short_pairs(entries, percent).distinct(), "pairs")
-        return sets, _matched(pairs, lines, percent, scratch)
+        return sets, _matched(_kept_pairs(entries, percent, scratch), lines, percent, scratch)
     marked = F.broadcast(long) if n_long <= SMALL else long
     own = joins.select("*", F.posexplode("prefix").alias("pos", "key"))
     lists = scratch.keep(own.join(marked, "key"), "lists")
@@ -193,10 +200,9 @@ def later_matches(docs: DataFrame, scratch: Scratch, percent: int, id_col: str,
     one = lists.groupBy("id", "at", "n", *BITMAP).agg(F.min("key").alias("key"), F.min("pos").alias("pos"))
     first = F.min(F.struct("id", "at", "n", *BITMAP, "pos")).alias("x")
     leaders = one.groupBy("key", F.pmod(F.xxhash64("id", "at"), F.lit(LEADERS)).alias("c")).agg(first).select("key", "x.*")
-    short = _short_pairs(entries.join(marked, "key", "left_anti"), percent)
-    pairs = scratch.keep(short.union(_listed_pairs(leaders, one, percent)).distinct(), "pairs")
+    led = scratch.keep(_listed_pairs(leaders, one, percent).distinct(), "led")
+    pairs = _kept_pairs(entries.join(marked, "key", "left_anti"), percent, scratch).union(led)
     gone = scratch.keep(_matched(pairs, lines, percent, scratch).distinct(), "gone")
-    scratch.drop(pairs)
     rest = scratch.keep(_listed_pairs(lists, lists.join(gone, ["id", "at"], "left_anti"), percent, once=True).distinct(), "rest")
     scratch.drop(lists)
     if not rest.isEmpty():
