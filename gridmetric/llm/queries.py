@@ -1,7 +1,7 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
 import corpus_pipeline
-from gridmetric.llm import ann, audio, bpe, langid, linededup, lm, minhash, packing, secrets, urls
+from gridmetric.llm import ann, audio, bpe, centroids, fim, langid, linededup, lm, minhash, packing, secrets, triebpe, urls
 
 
 def queries():
@@ -16,9 +16,12 @@ def queries():
         "op8_language_id": langid.op8_language_id,
         "op9_line_dedup": linededup.op9_line_dedup,
         "op10_packing": packing.op10_packing,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_centroids": centroids.op12_centroids,
+        "op13_trie_bpe": triebpe.op13_trie_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op9_line_dedup": linededup.OP9_SQL}
+    return {"op9_line_dedup": linededup.OP9_SQL, "op11_fill_in_middle": fim.OP11_SQL, "op12_centroids": centroids.OP12_SQL}
