@@ -15,7 +15,7 @@ from gridmetric.llm.common import gather_ragged
 #: Marks that may follow a word; an apostrophe isn't one of them, as the pattern knows its contractions.
 _MARKS = ".,;:!?|)\"*"
 #: Texts on which a tokenizer file must encode as its words do.
-_PROBES = ["Hello, World.  again\n\nNEW line", "don't STOP! (x) a.b,c; \"Été\" straße* y|z", "12 3.4 it's: end?"]
+_PROBES = ["Hello, World.  again\n\nNEW line", "don't STOP! (x) a.b,c; \"Été\" straße* y|z", "12 3.4 it's: end?", "ALİ. İ, i İ"]
 #: Parts that a worker remembers in each of two generations.
 REMEMBERED = 100_000
 
@@ -23,8 +23,8 @@ REMEMBERED = 100_000
 class WordTokenizer:
     """Ids of a text are those of its words end to end, as the file's BPE never crosses white space and drops it.
 
-    A word of letters with punctuation after it is two parts to the file's pattern, so the letters are looked up alone, in lower case. A file of which
-    this doesn't hold is refused.
+    A word of letters with punctuation after it is two parts to the file's pattern, so the letters are looked up alone, in lower case. Added tokens, which
+    hold no white space, are tokens wherever they stand, as the library takes them. A file of which this doesn't hold is refused.
     """
 
     def __init__(self, file: bytes):
@@ -32,7 +32,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(file)
-        self.tokenizer.encode_special_tokens = True
         self.young: dict[str, bytes] = {}  # ids of parts that were met lately,
         self.old: dict[str, bytes] = {}  # and of those met before
         ids, sizes = self.encode(pa.array(_PROBES))
@@ -69,8 +68,9 @@ class WordTokenizer:
         cut = []
         for w in words:
             letters = w.rstrip(_MARKS)
-            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0180"):
-                cut.append((letters.lower(), w[len(letters) :]))
+            low = letters.lower()  # of İ a mark is a part, which the pattern takes with the punctuation after it
+            if low.isalpha() and (letters.isascii() or max(letters) < "\u0180"):
+                cut.append((low, w[len(letters) :]))
             else:
                 cut.append((w, ""))
         ids = self.encode_parts({p for pair in cut for p in pair if p})
