@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gridmetric.llm.common import pieces, table
+from gridmetric.llm.common import numbered, pieces, quoted, table
 
 RATE, UP, DOWN = 12_000, 2, 3
 WINDOW, HOP, FFT, MELS, FRAMES = 400, 160, 512, 40, 64
@@ -144,7 +145,7 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             media = [wav_bytes(x + b" " * (max(UNIT, -(-len(x) // UNIT) * UNIT) - len(x))) for x in raw]
             yield pa.record_batch({"id": batch.column("id"), "n_bytes": pa.array([len(x) for x in raw], pa.int64()), "media": pa.array(media, pa.binary())})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def audio_features(clips: DataFrame, media_col: str = "media", keep_tensors: bool = True) -> DataFrame:
@@ -156,14 +157,15 @@ def audio_features(clips: DataFrame, media_col: str = "media", keep_tensors: boo
     """
     added = ["payload_bytes", "payload_sha256", "tail_crc32", "feature", "spans", "tensors"]
     clips = clips.drop(*added)
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in clips.schema.fields)
+    source, media = numbered(clips), f"c{clips.columns.index(media_col)}"
     more = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, spans array<struct<start_s: double, stop_s: double>>" + ", tensors binary" * keep_tensors
+    schema = StructType([*source.schema.fields, *StructType.fromDDL(more).fields])
     span_type = pa.list_(pa.struct([("start_s", pa.float64()), ("stop_s", pa.float64())]))
 
     def run(batches):
-        for batch in pieces(batches, media_col):
+        for batch in pieces(batches, media):
             rows = []
-            for clip in batch.column(media_col):
+            for clip in batch.column(media):
                 if not clip.is_valid:
                     rows.append((None,) * 6)
                     continue
@@ -179,7 +181,7 @@ def audio_features(clips: DataFrame, media_col: str = "media", keep_tensors: boo
                 arrays.append(pa.array(cols[5], pa.binary()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *added[: len(arrays)]])
 
-    return clips.mapInArrow(run, f"{schema}, {more}")
+    return source.mapInArrow(run, schema).toDF(*clips.columns, *added[: 5 + keep_tensors])
 
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmetric.llm.common import dictionary, gather_ragged, mix64, pieces, table, texts
+from gridmetric.llm.common import dictionary, gather_ragged, mix64, pieces, quoted, table, texts
 
 #: Whitespace of the Unicode property, which the pattern's \s means; Python's \s also takes U+001C-U+001F.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -223,7 +223,7 @@ def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str, id_col: st
                 "decoded": pa.array([encoder.decode(x) for x in ids], pa.binary()),
             })
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     return source.mapInArrow(run, f"id {kind.simpleString()}, n_tokens long, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 

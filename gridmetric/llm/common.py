@@ -28,6 +28,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns named c0, c1, ..., as functions over Arrow batches need plain names; toDF gives them theirs back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session. Where that is unset, a local session gets a folder of its
     own; any other is an error, as machines would write where the others don't read."""

@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gridmetric.llm.common import pieces, quoted, table, texts
+from gridmetric.llm.common import numbered, pieces, quoted, table, texts
 
 #: Symbols that one lane of the parser takes; a parse goes on over the borders of lanes.
 BLOCK = 2048
@@ -192,23 +193,25 @@ def _shared_out(sizes: list[int], total: int) -> list[int]:
 
 
 def learn_samples(
-    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = SAMPLE_DOCS, chars_per_language: int = 32_768, max_languages: int = 256
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = SAMPLE_DOCS, chars_per_language: int = 32_768, max_languages: int = 256, chars_in_all: int = 1 << 21
 ) -> dict[str, bytes]:
     """Normalised text of each language, from docs_per_language rows by order of a hash of the id, chars_per_language in all.
 
     The sample is bounded by these parameters, whatever the size of the table; its rows have even shares of it, and what short ones leave goes to
-    the rest. Rows with a null language, text or id don't count; of rows that repeat an id, all do.
+    the rest. Of more labels the max_languages most frequent are learned (ties: the first by name), and languages share chars_in_all evenly. Rows with a
+    null language, text or id don't count; rows that repeat an id count each, those of the least hash of their text first.
     """
+    labels = labelled.select(quoted(lang_col).alias("lang")).dropna().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    labelled, chars_per_language = labelled.where(quoted(lang_col).isin([r.lang for r in labels])), min(chars_per_language, chars_in_all // max(1, len(labels)))
     own = labelled.select(quoted(id_col).alias("id"), quoted(lang_col).alias("lang"), quoted(text_col).alias("text")).dropna()
     chosen = _by_hash(own, 1, docs_per_language)
     if not chosen:
         return {}
-    found = own.where(F.col("id").isin(chosen))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))  # of an id's rows no more than are wanted
+    found = own.where(F.col("id").isin(chosen)).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= docs_per_language)
     by_lang: dict[str, list] = {}
     for r in found.select("lang", "id", F.substring("text", 1, chars_per_language).alias("text")).collect():
         by_lang.setdefault(r.lang, []).append((xxhash.xxh3_64_intdigest(str(r.id).encode()), normalise(r.text)))
-    if len(by_lang) > max_languages:
-        raise ValueError(f"{len(by_lang)} languages; at most {max_languages} are meant")
     out = {}
     for lang, rows in by_lang.items():
         parts = [t for _, t in sorted(rows)]
@@ -277,12 +280,13 @@ def identify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id",
     """
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     kept = docs.drop("lang_pred", "score", "phrase_rate")
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    source, text = numbered(kept), f"c{kept.columns.index(text_col)}"
+    added = StructType.fromDDL("lang_pred string, score double, phrase_rate double")
 
     def run(batches):
         parser = _parser(shared.value)
-        for batch in pieces(batches, text_col, 2 << 20):
-            raw = texts(batch, text_col)
+        for batch in pieces(batches, text, 2 << 20):
+            raw = texts(batch, text)
             clean = [normalise(t) if has_letter(t) else b"" for t in raw]
             known = np.fromiter((len(c) > 0 for c in clean), bool, len(clean)) & (len(parser.langs) > 0)
             pred, score, rate = np.full(len(raw), "und", object), np.zeros(len(raw)), np.full(len(raw), np.nan)
@@ -298,7 +302,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id",
             more = [pa.array(pred, pa.string()), pa.array(score), pa.array(rate, mask=np.isnan(rate))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "score", "phrase_rate"])
 
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, phrase_rate double")
+    return source.mapInArrow(run, StructType([*source.schema.fields, *added.fields])).toDF(*kept.columns, *added.names)
 
 
 def fold(id_col: str, n: int) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmetric.llm.common import pieces, quoted, table, texts
+from gridmetric.llm.common import numbered, pieces, quoted, table, texts
 
 #: Runs that may be a secret: 16 or more characters of common encodings.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
@@ -264,11 +264,11 @@ def scan_secrets(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_c
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5, mark: str = "<secret>") -> DataFrame:
     """All columns of docs, with each secret in the text replaced by a mark; null texts stay null. Otherwise as scan_secrets."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
-    at = docs.columns.index(text_col)
+    source, at = numbered(docs), docs.columns.index(text_col)
     where = None if path_col is None else docs.columns.index(path_col)
 
     def run(batches):
-        for batch in pieces(batches, text_col):
+        for batch in pieces(batches, f"c{at}"):
             path = pa.nulls(batch.num_rows, pa.string()) if where is None else batch.column(where)
             raw, found = _judge(pa.record_batch({"text": batch.column(at), "path": path}), shared.value)
             out = []
@@ -281,7 +281,7 @@ def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
             columns[at] = pa.array([t if v else None for t, v in zip(out, valid)], batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return source.mapInArrow(run, source.schema).toDF(*docs.columns)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,3 +171,44 @@ def test_clashing_columns_change_nothing(spark, folder):
     assert {r.doc_id: r.lang_pred for r in langid.identify(clash, samples).collect()} == {r.doc_id: r.lang_pred for r in langid.identify(docs, samples).collect()}
     forest = secrets.train_forest(secrets.made_findings(spark, 300))
     assert sorted(map(tuple, secrets.scan_secrets(clash, forest).collect())) == sorted(map(tuple, secrets.scan_secrets(docs, forest).collect()))
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_any_names(spark, folder, kind):
+    """Columns with dots, ids of several types, an empty table: the rows are those of plain names."""
+    import public_tokenizers as P
+
+    from gridmetric.llm import ann, audio, bpe, fim, langid, linededup, lm, minhash, packing, triebpe
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 25").select(F.col("doc_id").cast(kind).alias("doc_id"), "text", "lang", "source")
+    named = docs.select(F.col("doc_id").alias("the.id"), F.col("text").alias("a.text"), F.col("lang").alias("its.lang"), F.col("source").alias("from.path"), F.lit(1).alias("x.y"))
+    ids = {"id_col": "the.id", "text_col": "a.text"}
+    read = lambda name: open(P.path(name), "rb").read()
+    ranks, word_file, byte_file = read("byte_bpe_multi_50k.tiktoken"), read("word_bpe_49k.json"), read("byte_bpe_50k.json")
+    samples = langid.learn_samples(docs)
+    assert samples == langid.learn_samples(named, lang_col="its.lang", **ids)
+    forest = secrets.train_forest(secrets.made_findings(spark, 300))
+    packed = lambda d, **k: packing.pack_tokens(d, word_file, **k).drop("sequence_id", "offset", "start", "length", "ids").distinct()
+    runs = {
+        "op1": lambda d, **k: lm.score_documents(d, **k), "op2": lambda d, **k: audio.store_audio(d, **k), "op6": lambda d, **k: minhash.near_duplicates(d, **k),
+        "op7": lambda d, **k: bpe.encode_documents(d, ranks, P.PATTERN, **k), "op9": lambda d, **k: linededup.dedup_lines(d, **k), "op10": packed,
+        "op11": lambda d, **k: fim.fill_in_middle(d, **k), "op13": lambda d, **k: triebpe.encode_by_trie(d, byte_file, **k),
+    }
+    values = lambda d: sorted((tuple(map(str, r)) for r in d.collect()))
+    for op, run in runs.items():
+        plain, dotted = run(docs), run(named, **ids)
+        back = dotted.toDF(*[{"the.id": "doc_id", "a.text": "text", "its.lang": "lang", "from.path": "source"}.get(c, c) for c in dotted.columns]).select(*plain.columns)
+        assert values(plain) == values(back), op
+        assert run(named.limit(0), **ids).count() == 0, op
+    judged = langid.identify(named, samples, **ids)
+    assert judged.columns == [*named.columns, "lang_pred", "score", "phrase_rate"]
+    assert values(judged.select("lang_pred", "score")) == values(langid.identify(docs, samples).select("lang_pred", "score"))
+    found = secrets.scan_secrets(named, forest, path_col="from.path", **ids)
+    assert values(found) == values(secrets.scan_secrets(docs, forest))
+    clean = secrets.redact(named, forest, text_col="a.text", path_col="from.path")
+    assert clean.columns == named.columns and values(clean.drop("x.y")) == values(secrets.redact(docs, forest))
+    media = audio.store_audio(docs).withColumnRenamed("media", "the.clip").withColumn("a.b", F.lit(1))
+    assert [r.feature for r in audio.audio_features(media, "the.clip").orderBy("doc_id").collect()] == [r.feature for r in audio.audio_features(audio.store_audio(docs)).orderBy("doc_id").collect()]
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id < 60")
+    near = ann.nearest(vectors.select(F.col("vec_id").cast("string" if kind == "string" else kind).alias("the.id"), F.col("embedding").alias("a.v"), F.lit(1).alias("x.y")), F.col("id") % 20 == 0, id_col="the.id", vector_col="a.v")
+    assert values(near) == values(ann.nearest(vectors, F.col("id") % 20 == 0))

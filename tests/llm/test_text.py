@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -61,12 +62,27 @@ def test_perfect_hash_is_minimal_and_perfect():
 # Packing
 
 
+def _as_the_library(texts):
+    """Ids as the file is loaded, nothing altered."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    ids, n = tokens.WordTokenizer(open(path, "rb").read()).encode(pa.array(texts))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [(t, a) for t, a in zip(texts, got)] == list(zip(texts, want))
+
+
 def test_word_tokenizer_equals_the_library(spark, data):
-    t = tokens.WordTokenizer(open(P.path("word_bpe_49k.json"), "rb").read())
-    some = [x or "" for _, x in ODD] + [r.text for r in sample(spark, data, 60).collect()] + ["DON'T 'S it's, (x) a.b,c", "ǅ ΣΑΣ İx straße éa ́x"]
-    ids, n = t.encode(pa.array(some))
-    want = [e.ids for e in t.tokenizer.encode_batch(some, add_special_tokens=False)]
-    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    some = [x or "" for _, x in ODD] + [r.text for r in sample(spark, data, 60).collect()] + ["DON'T 'S it's, (x) a.b,c", "ǅ ΣΑΣ İx straße éa ́x", "İ. ALİ. ALİ!", "a <|endoftext|> b<|startoftext|>c. <|ENDOFTEXT|>"]
+    _as_the_library(some)
+
+
+def test_word_tokenizer_on_random_texts():
+    rng = random.Random(7)
+    words = ["İ", "ALİ", "Straße", "Été", "ſ", "Σ", "ΑΣ", "don't", "'S", "x", "12", "½", "́", "\u0307", "<|endoftext|>", "<|startoftext|>", "<|end", "|>", "\t", "\n", "  ", " ", "\u00a0", "\x1c", ".", ",", "!", "|", "*", "\"", "ı", "ŉ", "ǰ", "é", "한", "🙂"]
+    for _ in range(10):
+        _as_the_library(["".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(10_000)])
 
 
 def _check_packing(rows, limits=(2048, 256, 2048), loss_of=lambda d: True):
@@ -239,6 +255,16 @@ def test_samples_share_their_length(spark):
     assert langid.normalise("русский") not in got["fr"] and got["fr"].count(b"the cat") == 60
 
 
+def test_many_labels_and_repeated_ids(spark):
+    """The most frequent labels are learned, and of an id's many rows no more than the sample wants."""
+    rows = [(k, f"words of language number {k % 300} are {k % 300} times the same", f"l{k % 300:03}") for k in range(900)] + [(9000 + k, "more of these", "l299") for k in range(5)]
+    samples = langid.learn_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(samples) == {f"l{k:03}" for k in [*range(255), 299]}
+    same = spark.range(5000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("a text of its own "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    own = langid.learn_samples(same)["en"]
+    assert len(own) <= 32_768 and own.count(b"text of its own") == langid.SAMPLE_DOCS
+
+
 def test_rate_limits_reject_foreign_texts(spark, data):
     all_ = sample(spark, data, 200)
     samples = langid.learn_samples(all_, docs_per_language=20)
