@@ -125,11 +125,17 @@ def metric_length(geographic: Column, mean_lat: Column, vertices: str = "vertice
     return F.aggregate(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.hypot((b["x"] - a["x"]) * sx, (b["y"] - a["y"]) * sy)), F.lit(0.0), lambda s, x: s + x)
 
 
+def edges(r: Column, c: Column) -> dict[str, Column]:
+    """Numbers of a cell's grid edges; neighbouring cells have the same number for the one they share."""
+    number = lambda y, x: y.cast("long") * (1 << 32) + x
+    return {"top": number(2 * r, 2 * c + 1), "left": number(2 * r + 1, 2 * c), "bottom": number(2 * r + 2, 2 * c + 1), "right": number(2 * r + 1, 2 * c + 2)}
+
+
 def iso_segments(pixels: DataFrame, level: float, keys=("scene",), value: str = "p") -> DataFrame:
-    """keys, x1, y1, x2, y2: marching-squares segments of each cell of four neighbouring pixels.
+    """keys, r, c, e1, e2, x1, y1, x2, y2: marching-squares segments of each cell (r, c) of four neighbouring pixels, from grid edge e1 to e2.
 
     A cell needs its right, lower and diagonal neighbour, which windows along rows and columns give: canvases are never whole in one task's memory.
-    Saddles are cut by the mean of the four values.
+    Saddles are cut by the mean of the four values. All segments have the high side to their left, so that each grid edge begins one segment at most.
     """
     here = pixels.select(*keys, "r", "c", F.col(value).cast("double").alias("a"))
     right = Window.partitionBy(*keys, "r").orderBy("c")
@@ -140,8 +146,10 @@ def iso_segments(pixels: DataFrame, level: float, keys=("scene",), value: str =
     cell = cell.where(F.col("b").isNotNull() & F.col("d").isNotNull() & F.col("e").isNotNull())
     t = lambda p, q: (F.lit(level) - F.col(p)) / (F.col(q) - F.col(p))
     r, c = F.col("r").cast("double"), F.col("c").cast("double")
-    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    top, left, bottom, side = point(c + t("a", "b"), r), point(c, r + t("a", "d")), point(c + t("d", "e"), r + 1), point(c + 1, r + t("b", "e"))
+    e = edges(F.col("r"), F.col("c"))
+    point = lambda x, y, edge: F.struct(x.alias("x"), y.alias("y"), e[edge].alias("e"))
+    top, left = point(c + t("a", "b"), r, "top"), point(c, r + t("a", "d"), "left")
+    bottom, side = point(c + t("d", "e"), r + 1, "bottom"), point(c + 1, r + t("b", "e"), "right")
     code = sum((F.when(F.col(n) > level, v).otherwise(0) for n, v in (("a", 1), ("b", 2), ("e", 4), ("d", 8))), F.lit(0))
     high = (F.col("a") + F.col("b") + F.col("d") + F.col("e")) / 4 > level
     seg = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
@@ -151,46 +159,9 @@ def iso_segments(pixels: DataFrame, level: float, keys=("scene",), value: str =
         lines = F.when(F.col("code") == k, F.array(*s)) if lines is None else lines.when(F.col("code") == k, F.array(*s))
     lines = lines.when((F.col("code") == 5) & F.col("high"), F.array(seg(left, bottom), seg(side, top))).when(F.col("code") == 5, F.array(seg(left, top), seg(side, bottom)))
     lines = lines.when((F.col("code") == 10) & F.col("high"), F.array(seg(top, left), seg(bottom, side))).when(F.col("code") == 10, F.array(seg(top, side), seg(bottom, left)))
-    out = cell.withColumn("code", code).withColumn("high", high).where(~F.col("code").isin(0, 15)).select(*keys, F.explode(lines).alias("s"))
-    return out.select(*keys, F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"))
+    out = cell.withColumn("code", code).withColumn("high", high).where(~F.col("code").isin(0, 15)).select(*keys, "r", "c", F.explode(lines).alias("s"))
+    return out.select(*keys, "r", "c", F.col("s.p.e").alias("e1"), F.col("s.q.e").alias("e2"), F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"))
 
 
 def contour_stats(segments: DataFrame, keys=("scene",)) -> DataFrame:
     return segments.groupBy(*keys).agg(F.count("*").alias("n_segments"), F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 6).alias("total_length"))
-
-
-def chain_segments(segments: DataFrame, keys=("scene",)) -> DataFrame:
-    """keys, contour_id, vertices: segments of one scene chained at equal end points.
-
-    A scene is one group: its outline, not its pixels, must fit in a task's memory, which the largest canvas asked for (25,000 pixels square) does.
-    """
-    key_fields = [f for f in segments.schema.fields if f.name in keys]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields) + f", contour_id int, vertices {VERTICES}"
-
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        ends: dict[tuple, list[int]] = {}
-        pts = [((round(a, 9), round(b, 9)), (round(c, 9), round(d, 9))) for a, b, c, d in f[["x1", "y1", "x2", "y2"]].sort_values(["x1", "y1", "x2", "y2"]).to_numpy()]
-        for i, (p, q) in enumerate(pts):
-            ends.setdefault(p, []).append(i)
-            ends.setdefault(q, []).append(i)
-        used, lines = [False] * len(pts), []
-
-        def walk(line, at):
-            while True:
-                nxt = next((i for i in ends[at] if not used[i]), None)
-                if nxt is None:
-                    return line
-                used[nxt] = True
-                p, q = pts[nxt]
-                at = q if p == at else p
-                line.append(at)
-
-        order = sorted(range(len(pts)), key=lambda i: min(len(ends[pts[i][0]]), len(ends[pts[i][1]])))
-        for i in order:  # open lines first, from an end
-            if not used[i]:
-                used[i] = True
-                p, q = pts[i] if len(ends[pts[i][0]]) == 1 else pts[i][::-1]
-                lines.append(walk([p, q], q))
-        return pd.DataFrame([(*key, k, [{"x": x, "y": y} for x, y in line]) for k, line in enumerate(lines)], columns=[*keys, "contour_id", "vertices"])
-
-    return segments.groupBy(*keys).applyInPandas(run, schema)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridmetric.operators import geometry, tiles
+from gridmetric.operators import chaining, geometry, tiles
 from gridmetric.plans.registry import query
 from gridmetric.sources import fixtures as X
 from gridmetric.sources.fixtures import CHIP_SQL
@@ -135,28 +135,46 @@ def _canvas(spark, sf):
     return tiles.stitch_weighted(pixels(spark, sf), 8).withColumn("scene", F.lit(0))
 
 
-@query()
-def contours(spark, sf):
-    lines = geometry.chain_segments(geometry.iso_segments(_canvas(spark, sf), 0.0))
-    return geometry.top_k_longest(geometry.valid_lines(lines), ("scene",), 20).select("scene", "contour_id", "n_vertices", "length", "rank")
-
-
-def _iso_sql() -> str:
+def _segments_sql() -> str:
     """Marching squares at level 0: points on the top (T), left (L), bottom (B) and right side (S) of a cell, and the segments between them by case."""
-    points = {"T": ("c + a / (a - b)", "r"), "L": ("c", "r + a / (a - d)"), "B": ("c + d / (d - e)", "r + 1"), "S": ("c + 1", "r + b / (b - e)")}
+    points = {"T": ("c + a / (a - b)", "r", "2 * r", "2 * c + 1"), "L": ("c", "r + a / (a - d)", "2 * r + 1", "2 * c"), "B": ("c + d / (d - e)", "r + 1", "2 * r + 2", "2 * c + 1"), "S": ("c + 1", "r + b / (b - e)", "2 * r + 1", "2 * c + 2")}
     cases = {1: ["LT"], 2: ["TS"], 3: ["LS"], 4: ["SB"], 6: ["TB"], 7: ["LB"], 8: ["BL"], 9: ["BT"], 11: ["BS"], 12: ["SL"], 13: ["ST"], 14: ["TL"]}
     saddles = {(5, True): ["LB", "ST"], (5, False): ["LT", "SB"], (10, True): ["TL", "BS"], (10, False): ["TS", "BL"]}
-    length = lambda s: f"sqrt(pow({points[s[1]][0]} - ({points[s[0]][0]}), 2) + pow({points[s[1]][1]} - ({points[s[0]][1]}), 2))"
-    when = [f"WHEN code = {k} THEN [{', '.join(map(length, v))}]" for k, v in cases.items()]
-    when += [f"WHEN code = {k} AND {'' if high else 'NOT '}high THEN [{', '.join(map(length, v))}]" for (k, high), v in saddles.items()]
-    return f"""WITH {_STITCH}, rw AS (SELECT r, c, p AS a, CASE WHEN lead(c) OVER o = c + 1 THEN lead(p) OVER o END AS b FROM st WINDOW o AS (PARTITION BY r ORDER BY c)),
+    edge = lambda p: f"(CAST({points[p][2]} AS BIGINT) * {1 << 32} + {points[p][3]})"
+    segment = lambda s: f"{{'s': {edge(s[0])}, 'e': {edge(s[1])}, 'len': sqrt(pow({points[s[1]][0]} - ({points[s[0]][0]}), 2) + pow({points[s[1]][1]} - ({points[s[0]][1]}), 2))}}"
+    when = [f"WHEN code = {k} THEN [{', '.join(map(segment, v))}]" for k, v in cases.items()]
+    when += [f"WHEN code = {k} AND {'' if high else 'NOT '}high THEN [{', '.join(map(segment, v))}]" for (k, high), v in saddles.items()]
+    return f"""{_STITCH}, rw AS (SELECT r, c, p AS a, CASE WHEN lead(c) OVER o = c + 1 THEN lead(p) OVER o END AS b FROM st WINDOW o AS (PARTITION BY r ORDER BY c)),
 ce AS (SELECT r, c, a, b, CASE WHEN lead(r) OVER o = r + 1 THEN lead(a) OVER o END AS d, CASE WHEN lead(r) OVER o = r + 1 THEN lead(b) OVER o END AS e FROM rw WINDOW o AS (PARTITION BY c ORDER BY r)),
 cd AS (SELECT *, (a > 0)::INT + 2 * (b > 0)::INT + 4 * (e > 0)::INT + 8 * (d > 0)::INT AS code, (a + b + d + e) / 4 > 0 AS high FROM ce WHERE b IS NOT NULL AND d IS NOT NULL AND e IS NOT NULL),
-sg AS (SELECT unnest(CASE {' '.join(when)} END) AS len FROM cd WHERE code NOT IN (0, 15))
-SELECT 0 AS scene, count(*) AS n_segments, round(sum(len), 4) AS total_length FROM sg"""
+sg AS (SELECT unnest(CASE {' '.join(when)} END, recursive := true) FROM cd WHERE code NOT IN (0, 15))"""
+
+
+def _chains_sql(rounds: int = 18) -> str:
+    """Each segment's contour by pointer jumping, for contours of fewer than 2 ** rounds segments: the first edge, or of a ring the least."""
+    out = [f"{_segments_sql()}, j0 AS MATERIALIZED (SELECT a.s, coalesce(b.s, a.s) AS ptr, a.s AS m, b.s IS NULL AS done FROM sg a LEFT JOIN sg b ON b.e = a.s)"]
+    out += [f"j{k + 1} AS MATERIALIZED (SELECT a.s, b.ptr, least(a.m, b.m) AS m, b.done FROM j{k} a JOIN j{k} b ON a.ptr = b.s)" for k in range(rounds)]
+    return ", ".join(out) + f", chained AS (SELECT CASE WHEN done THEN ptr ELSE m END AS contour_id, sg.s, sg.e, len FROM j{rounds} j JOIN sg ON sg.s = j.s)"
+
+
+@query(f"""WITH {_chains_sql()}, t AS (SELECT contour_id, count(*) + 1 AS n_vertices, round(sum(len), 6) AS length FROM chained GROUP BY contour_id HAVING sum(len) > 0)
+SELECT 0 AS scene, contour_id, n_vertices, length, rank FROM (SELECT *, CAST(row_number() OVER (ORDER BY length DESC, contour_id) AS INT) AS rank FROM t) WHERE rank <= 20""")
+def contours(spark, sf):
+    """The 20 longest contours. Lengths are sums over parts, so no line is put together."""
+    parts = chaining.contour_parts(geometry.iso_segments(_canvas(spark, sf), 0.0))
+    lengths = chaining.contour_lengths(parts).withColumn("length", F.round("length", 6))
+    return geometry.top_k_longest(lengths, ("scene",), 20).select("scene", "contour_id", "n_vertices", "length", "rank")
+
+
+@query(f"""WITH {_chains_sql()} SELECT 0 AS scene, contour_id, count(*) AS n_segments, round(sum(len), 6) AS length, bool_or(e = contour_id) AS closed FROM chained GROUP BY contour_id""")
+def contour_chains(spark, sf):
+    """Every contour in blocks of 16 x 16 cells, so that most go over several, with its number of segments and whether it is a ring."""
+    parts = chaining.contour_parts(geometry.iso_segments(_canvas(spark, sf), 0.0), block=16)
+    sums = parts.groupBy("scene", "contour_id").agg(F.sum("n").alias("n_segments"), F.round(F.sum("length"), 6).alias("length"), F.max_by("e", "part").alias("last"))
+    return sums.select("scene", "contour_id", "n_segments", "length", (F.col("last") == F.col("contour_id")).alias("closed"))
 
 
-@query(_iso_sql())
+@query(f"WITH {_segments_sql()} SELECT 0 AS scene, count(*) AS n_segments, round(sum(len), 4) AS total_length FROM sg")
 def iso_segment_stats(spark, sf):
     return geometry.contour_stats(geometry.iso_segments(_canvas(spark, sf), 0.0)).withColumn("total_length", F.round("total_length", 4))
 

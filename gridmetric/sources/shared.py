@@ -21,6 +21,26 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+class Tables:
+    """Tables written to a folder of their own in the shared one, which cut lineage and survive lost executors. What a result still reads stays there."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, scratch_folder(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table that keep() wrote and nothing will read again."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _glob(spark: SparkSession, pattern: str):
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(pattern)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridmetric.functions import scalar as S
 from gridmetric.functions import student
-from gridmetric.operators import auc, calibration, ensemble, geometry, metrics, overlay, ranking, sampling, sweep, threshold, tiles
+from gridmetric.operators import auc, calibration, chaining, ensemble, geometry, metrics, overlay, ranking, sampling, sweep, threshold, tiles
 from gridmetric.schemas import require_columns
 from gridmetric.sources import files
 from gridmetric.sources import fixtures as X
@@ -217,7 +217,7 @@ def test_lines(spark):
 def test_contour_of_a_disc_is_one_closed_line(spark):
     rows = [(0, r, c, float(5 - math.hypot(r - 10, c - 10))) for r in range(21) for c in range(21)]
     seg = geometry.iso_segments(frame(spark, rows, "scene int, r int, c int, p double"), 0.0)
-    lines = geometry.valid_lines(geometry.chain_segments(seg)).collect()
+    lines = geometry.valid_lines(chaining.contour_lines(chaining.contour_parts(seg))).collect()
     assert len(lines) == 1 and abs(lines[0].length - 2 * math.pi * 5) < 0.3
     assert lines[0].vertices[0] == lines[0].vertices[-1]
 
