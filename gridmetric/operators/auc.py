@@ -53,6 +53,11 @@ def score_curves(px: DataFrame, keys, bins: int = 1000) -> DataFrame:
     at = F.when(F.col("p") < F.get(e, guess), guess - 1).when((F.col("p") >= F.get(e, guess + 1)) & (guess < bins - 1), guess + 1).otherwise(guess)
     inside = px.where((F.col("p") >= 0) & (F.col("p") <= 1))
     hist = inside.groupBy(*keys, at.cast("int").alias("bin")).agg(F.sum("y").cast("long").alias("w"), F.sum(1 - F.col("y")).cast("long").alias("l"))
+    return curves_of(hist, keys, bins)
+
+
+def curves_of(hist: DataFrame, keys, bins: int) -> DataFrame:
+    """The same from counts of positives and negatives in each bin (keys, bin, w, l)."""
     spine = hist.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     full = spine.join(hist, [*keys, "bin"], "left").fillna(0, ["w", "l"])
     up = Window.partitionBy(*keys).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)

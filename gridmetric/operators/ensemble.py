@@ -6,10 +6,17 @@ subset searches are functions of that table, so their cost doesn't depend on the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gridmetric.functions.scalar import threshold_probability
+from gridmetric.functions.scalar import linspace, threshold_probability
+from gridmetric.operators.auc import curves_of
 from gridmetric.operators.metrics import ensemble_metrics, with_columns
 
 
@@ -151,18 +158,103 @@ def soft_candidates(n_members: int, groups: list[int]) -> list[int]:
     return sorted(inside | pairs | {(1 << n_members) - 1})
 
 
-def soft_scores(wide: DataFrame, scores: list[str], candidates: list[int], keys=("scene", "y")) -> DataFrame:
-    """keys, subset and p for every candidate set; the candidate list is a literal, so pixels aren't shuffled."""
-    arr = F.array(*scores)
-    sets = wide.select(*keys, arr.alias("ps"), F.explode(F.array(*[F.lit(c).cast("long") for c in candidates])).alias("subset"))
-    total = sum((F.when(F.getbit("subset", F.lit(k)) == 1, F.get("ps", F.lit(k))).otherwise(0.0) for k in range(len(scores))), F.lit(0.0))
-    return sets.select(*keys, "subset", (total / F.bit_count("subset")).alias("p"))
+def mean_of(subset: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Mean of a bit mask's members, from a matrix of scores, one row a member; members are added in order, as SQL adds them."""
+    own = [k for k in range(subset.bit_length()) if subset >> k & 1]
+
+    def mean(scores: np.ndarray) -> np.ndarray:
+        total = scores[own[0]].copy()
+        for k in own[1:]:
+            total += scores[k]
+        return total / len(own)
+
+    return mean
+
+
+def weighted_mean_of(a: int, b: int, w10: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Mean of two members with a weight of w10 tenths for the first."""
+    return lambda scores: (scores[a] * w10 + scores[b] * (10 - w10)) / 10
+
+
+def edge_bins(bins: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Bin of each score as auc.score_curves has it: the last of `bins` even edges from 0 that it reaches; -1 outside 0-1."""
+    edges = np.array(linspace(0.0, 1.0, bins + 1))
 
+    def at(p: np.ndarray) -> np.ndarray:
+        inside = (p >= 0) & (p <= 1)
+        p = np.where(inside, p, 0.0)
+        guess = np.clip(np.floor(p * bins).astype(np.int64), 0, bins - 1)
+        up = (p >= edges[guess + 1]) & (guess < bins - 1)
+        return np.where(inside, np.where(p < edges[guess], guess - 1, guess + up), -1)
 
-def weighted_pairs(wide: DataFrame, a: str, b: str, keys=("scene", "y")) -> DataFrame:
-    """keys, w10 (weight of a in tenths) and p of the nine weighted means of two members."""
-    x = wide.select(*keys, a, b, F.explode(F.sequence(F.lit(1), F.lit(9))).alias("w10"))
-    return x.select(*keys, "w10", ((F.col(a) * F.col("w10") + F.col(b) * (10 - F.col("w10"))) / 10).alias("p"))
+    return at
+
+
+def above(threshold: float) -> Callable[[np.ndarray], np.ndarray]:
+    """1 for scores beyond a threshold, 0 for others, NaN among them."""
+    return lambda p: (p > threshold).astype(np.int64)
+
+
+def candidate_histograms(wide: DataFrame, scores: list[str], candidates: dict[tuple, Callable[[np.ndarray], np.ndarray]], names: list[str], bin_of: Callable[[np.ndarray], np.ndarray], bins: int, keys=("scene",), y: str = "y", held: int = 64) -> DataFrame:
+    """keys, names, bin, w, l: for each candidate the positive and the negative pixels in each bin of its scores, zeros left out.
+
+    candidates: labels (values of the columns `names`, whole numbers) and a function from the members' scores to the candidate's. One pass over the
+    pixels updates one array of counts a key, which holds a histogram for each candidate; no row is made for a pixel and candidate. A task sends its
+    arrays when it has `held` keys, and at its end. Pixels with a null score count as NaN, which edge_bins leaves out.
+    """
+    labels, makers = list(candidates), list(candidates.values())
+    own = [f"k{i}" for i in range(len(keys))]
+    source = wide.select(*[F.col(k).alias(n) for k, n in zip(keys, own)], F.col(y).cast("int").alias("y"), *[F.col(s).cast("double").alias(f"s{i}") for i, s in enumerate(scores)])
+    schema = StructType([*[source.schema[n] for n in own], *StructType.fromDDL("candidate int, bin int, w long, l long").fields])
+
+    def run(batches):
+        counts: dict[tuple, np.ndarray] = {}
+
+        def send():
+            for key, c in counts.items():
+                at = np.flatnonzero(c.any(axis=2))
+                some = c.reshape(-1, 2)[at]
+                cols = [pa.repeat(pa.scalar(v, source_types[n]), len(at)) for n, v in zip(own, key)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at // bins, pa.int32()), pa.array(at % bins, pa.int32()), pa.array(some[:, 1]), pa.array(some[:, 0])], names=schema.names)
+            counts.clear()
+
+        source_types = {}
+        for batch in batches:
+            source_types = {n: batch.schema.field(n).type for n in own}
+            matrix = np.stack([pc.fill_null(batch.column(f"s{i}"), float("nan")).to_numpy(zero_copy_only=False) for i in range(len(scores))])
+            positive = pc.fill_null(batch.column("y"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            groups = pa.table({n: batch.column(n) for n in own}).append_column("row", pa.array(np.arange(batch.num_rows))).group_by(own).aggregate([("row", "list")]) if own else None
+            rows = [((), np.arange(batch.num_rows))] if groups is None else [(tuple(r[n] for n in own), np.array(r["row_list"])) for r in groups.to_pylist()]
+            for key, at in rows:
+                some, one = matrix[:, at], positive[at]
+                total = counts.setdefault(key, np.zeros((len(makers), bins, 2), np.int64))
+                for c, make in enumerate(makers):
+                    found = bin_of(make(some))
+                    good = found >= 0
+                    total[c] += np.bincount(found[good] * 2 + one[good], minlength=2 * bins).reshape(bins, 2)
+            if len(counts) >= held:
+                yield from send()
+        yield from send()
+
+    sums = source.mapInArrow(run, schema).groupBy(*own, "candidate", "bin").agg(F.sum("w").alias("w"), F.sum("l").alias("l"))
+    label = lambda i: F.get(F.array(*[F.lit(x[i]) for x in labels]), F.col("candidate"))
+    return sums.select(*[F.col(n).alias(k) for k, n in zip(keys, own)], *[label(i).alias(n) for i, n in enumerate(names)], "bin", "w", "l")
+
+
+def soft_counts(wide: DataFrame, scores: list[str], candidates: list[int], threshold: float = 0.5) -> DataFrame:
+    """subset, tp, fp, fn of every candidate set's mean score at a threshold, in one pass over the pixels."""
+    made = {(c,): mean_of(c) for c in candidates}
+    counts = candidate_histograms(wide, scores, made, ["subset"], above(threshold), 2, keys=())
+    at = lambda c, b: F.coalesce(F.sum(F.when(F.col("bin") == b, F.col(c))), F.lit(0))
+    return counts.groupBy(F.col("subset").cast("long").alias("subset")).agg(at("w", 1).alias("tp"), at("l", 1).alias("fp"), at("w", 0).alias("fn"))
+
+
+def weighted_pair_curves(wide: DataFrame, scores: list[str], bins: int, keys=("scene",)) -> DataFrame:
+    """keys, a, b, w10, bin, tp, fp: curves of the nine weighted means of every two members (w10: weight of a in tenths), in one pass."""
+    n = len(scores)
+    made = {(a, b, w): weighted_mean_of(a, b, w) for a in range(n) for b in range(a + 1, n) for w in range(1, 10)}
+    names = ["a", "b", "w10"]
+    return curves_of(candidate_histograms(wide, scores, made, names, edge_bins(bins), bins, keys), [*names, *keys], bins)
 
 
 def loo_tuned(curves: DataFrame, keys=(), scene: str = "scene", macro: bool = False, joint: bool = False) -> DataFrame:

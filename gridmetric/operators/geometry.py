@@ -56,23 +56,63 @@ def _douglas_peucker(p: np.ndarray, tolerance: float) -> np.ndarray:
     return p[keep]
 
 
+def _boxes(p: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Lower and upper corners of the boxes around 1, 2, 4, ... consecutive parts of a line, a level each."""
+    levels = [(np.minimum(p[:-1], p[1:]), np.maximum(p[:-1], p[1:]))]
+    while len(levels[-1][0]) > 1:
+        low, high = levels[-1]
+        odd = len(low) % 2
+        low, high = (np.concatenate([x, x[-1:]]) if odd else x for x in (low, high))
+        levels.append((np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2])))
+    return levels
+
+
+def _meeting(p: np.ndarray, chunk: int = 1 << 17):
+    """Pairs i, j of parts of a line whose boxes touch, i + 1 < j, in bounded portions.
+
+    Boxes of boxes of consecutive parts are followed down as long as they touch, so that a line that stays off itself costs n log n.
+    """
+    levels = _boxes(p)
+    stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        level, i, j = stack.pop()
+        if len(i) > chunk:
+            stack += [(level, i[chunk:], j[chunk:]), (level, i[:chunk], j[:chunk])]
+            continue
+        if level == 0:
+            apart = j > i + 1
+            if apart.any():
+                yield i[apart], j[apart]
+            continue
+        low, high = levels[level - 1]
+        i, j = (np.concatenate([2 * i + a for a in (0, 0, 1, 1)]), np.concatenate([2 * j + b for b in (0, 1, 0, 1)]))
+        there = (i <= j) & (j < len(low))
+        i, j = i[there], j[there]
+        touch = ((low[i] <= high[j]) & (low[j] <= high[i])).all(axis=1)
+        if touch.any():
+            stack.append((level - 1, i[touch], j[touch]))
+
+
 def _crosses(p: np.ndarray) -> bool:
-    """Whether two parts of the line that aren't neighbours touch or cross."""
+    """Whether two parts of the line that aren't neighbours touch or cross; in a ring the first and the last part are neighbours."""
     a, b = p[:-1], p[1:]
-    n = len(a)
-    side = lambda o, d, q: np.sign((d[:, None, 0] - o[:, None, 0]) * (q[None, :, 1] - o[:, None, 1]) - (d[:, None, 1] - o[:, None, 1]) * (q[None, :, 0] - o[:, None, 0]))
-    s1, s2 = side(a, b, a), side(a, b, b)
-    over = (s1 * s2 <= 0) & ((s1 * s2).T <= 0) & ((s1 != 0) | (s2 != 0) | (s1.T != 0) | (s2.T != 0))
-    i, j = np.triu_indices(n, 2)
-    ring = (i == 0) & (j == n - 1) & bool((p[0] == p[-1]).all())
-    return bool((over[i, j] & ~ring).any())
+    ring = bool((p[0] == p[-1]).all())
+    side = lambda o, d, q: np.sign((d[:, 0] - o[:, 0]) * (q[:, 1] - o[:, 1]) - (d[:, 1] - o[:, 1]) * (q[:, 0] - o[:, 0]))
+    for i, j in _meeting(p):
+        s1, s2, s3, s4 = side(a[i], b[i], a[j]), side(a[i], b[i], b[j]), side(a[j], b[j], a[i]), side(a[j], b[j], b[i])
+        over = (s1 * s2 <= 0) & (s3 * s4 <= 0) & ((s1 != 0) | (s2 != 0) | (s3 != 0) | (s4 != 0))
+        if ring:
+            over &= ~((i == 0) & (j == len(a) - 1))
+        if over.any():
+            return True
+    return False
 
 
 def _simplified(p: np.ndarray, tolerance: float) -> np.ndarray:
     """The simplified line. A ring stays closed, with four points or more, and a line that doesn't cross itself still doesn't: the tolerance is halved
     until that holds."""
     ring = len(p) > 3 and bool((p[0] == p[-1]).all())
-    clean = len(p) <= 2000 and not _crosses(p)
+    clean = not _crosses(p)
     for _ in range(12):
         if ring:
             far = int(np.hypot(*(p - p[0]).T).argmax())
@@ -86,10 +126,7 @@ def _simplified(p: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def simplify(tolerance: float):
-    """Douglas-Peucker as a pandas function from vertices to vertices, keeping rings closed and lines free of new crossings.
-
-    Crossings are looked for in lines of up to 2,000 points that have none to begin with.
-    """
+    """Douglas-Peucker as a pandas function from vertices to vertices, keeping rings closed and lines of any length free of new crossings."""
 
     @F.pandas_udf(VERTICES)
     def run(lines: pd.Series) -> pd.Series:

@@ -346,8 +346,7 @@ _SUBSUM = " + ".join(f"(CASE WHEN (s.subset >> {k}) & 1 = 1 THEN p_{k} ELSE 0.0
 
 @query(f"WITH {PXV_SQL}, s AS (SELECT CAST(unnest({_CANDIDATES}) AS BIGINT) AS subset), v AS (SELECT subset, y = 1 AS y1, (0.0 + {_SUBSUM}) / bit_count(subset) > 0.5 AS v FROM pxv, s) SELECT subset, tp, fp, fn, {_ENS} FROM (SELECT subset, count(*) FILTER (v AND y1) AS tp, count(*) FILTER (v AND NOT y1) AS fp, count(*) FILTER (NOT v AND y1) AS fn FROM v GROUP BY subset)")
 def soft_candidates(spark, sf):
-    x = ensemble.soft_scores(X.pxw_valid(spark, sf, "y", *SCORES), SCORES, _CANDIDATES, ("y",))
-    c = metrics.confusion_counts(x, ["subset"], F.col("y"), S.threshold_probability("p", 0.5)).drop("tn")
+    c = ensemble.soft_counts(X.pxw_valid(spark, sf, "y", *SCORES), SCORES, _CANDIDATES)
     return metrics.with_columns(c, ensemble.ensemble_metrics())
 
 
@@ -377,10 +376,22 @@ def loo_tuned_macro(spark, sf):
     return ensemble.loo_tuned(_soft3(spark, sf), macro=True)
 
 
-@query(f"WITH {PXV_SQL}, sx AS (SELECT scene, y, w10, (p_0 * w10 + p_3 * (10 - w10)) / 10 AS p FROM pxv, (SELECT CAST(unnest(range(1, 10)) AS INT) AS w10)), {_curve_sql('sx', 'w10, ')} {_loo_sql('w10, ', False)}")
+def _pairs_sql() -> str:
+    """Curves (io) of the nine weighted means of every two members, in hundredths."""
+    members, key = ", ".join(f"p_{k}" for k in range(X.N)), "a, b, w10, scene"
+    return f"""{PXV_SQL}, sx AS (SELECT scene, y, a, b, w10, (ps[a + 1] * w10 + ps[b + 1] * (10 - w10)) / 10 AS p FROM (SELECT scene, y, [{members}] AS ps FROM pxv), (SELECT CAST(unnest(range(0, {X.N})) AS INT) AS a), (SELECT CAST(unnest(range(0, {X.N})) AS INT) AS b), (SELECT CAST(unnest(range(1, 10)) AS INT) AS w10) WHERE a < b),
+sg AS (SELECT *, least(99, CAST(floor(p * 100) AS INT)) AS g FROM sx WHERE p BETWEEN 0 AND 1),
+hb AS (SELECT {key}, CASE WHEN p < g * 0.01e0 THEN g - 1 WHEN p >= (g + 1) * 0.01e0 AND g < 99 THEN g + 1 ELSE g END AS bin, sum(y) AS w, sum(1 - y) AS l FROM sg GROUP BY ALL),
+fu AS (SELECT * FROM (SELECT DISTINCT {key} FROM hb), (SELECT CAST(unnest(range(0, 100)) AS INT) AS bin)),
+cv AS (SELECT fu.*, CAST(coalesce(sum(w) OVER o, 0) AS BIGINT) AS tp, CAST(coalesce(sum(l) OVER o, 0) AS BIGINT) AS fp FROM fu LEFT JOIN hb USING ({key}, bin) WINDOW o AS (PARTITION BY {', '.join('fu.' + k for k in key.split(', '))} ORDER BY fu.bin DESC)),
+io AS (SELECT *, {_D('tp')} / nullif(tp + fp + fn, 0) AS iou FROM (SELECT *, max(tp) OVER (PARTITION BY {key}) - tp AS fn FROM cv))"""
+
+
+@query(f"WITH {_pairs_sql()} {_loo_sql('a, b, w10, ', False)}")
 def weighted_pairs(spark, sf):
-    x = ensemble.weighted_pairs(X.pxw_valid(spark, sf, "scene", "y", "p_0", "p_3"), "p_0", "p_3")
-    return ensemble.loo_tuned(auc.score_curves(x, ["w10", "scene"], 100), ("w10",))
+    """Thresholds of every weighted pair of members, tuned on the other scenes."""
+    curves = ensemble.weighted_pair_curves(X.pxw_valid(spark, sf, "scene", "y", *SCORES), SCORES, 100)
+    return ensemble.loo_tuned(curves, ("a", "b", "w10"))
 
 
 _TUNED = [0.45, 0.45, 0.4, 0.5, 0.5, 0.55, 0.5]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridmetric.operators import overlay, ranking, sampling
+from gridmetric.operators import blocks, overlay, ranking, sampling
 from gridmetric.plans.registry import query
 from gridmetric.sources import fixtures as X
 from gridmetric.sources.fixtures import PXV_SQL, PXW_SQL
@@ -15,16 +15,35 @@ def _rasters(spark, sf):
     return ref, pred, grid.where("pix % 5 <> 0").select("scene", "r", "c", "msk")
 
 
+BLOCK, BUCKETS = 64, 8
+
+
+def _stored(spark, sf):
+    """The three rasters in blocks of one grid, each written once."""
+    ref, pred, mask = _rasters(spark, sf)
+    sizes = blocks.scene_sizes(X.with_grid(X.pxw(spark, sf, "scene", "pix")))
+    return [blocks.store_blocks(blocks.raster_blocks(x, sizes, BLOCK, v), BUCKETS) for x, v in ((ref, "ref"), (pred, "p_0"), (mask, "msk"))]
+
+
 @query(f"WITH {PXW_SQL} SELECT scene, CAST(pix // 100 AS INT) AS r, CAST(pix % 100 AS INT) AS c, ref, p_0 FROM pxw WHERE pix % 11 <> 0 AND pix % 13 <> 0")
 def overlay_inner(spark, sf):
-    ref, pred, _ = _rasters(spark, sf)
-    return overlay.overlay(ref, pred)
+    """Reference and prediction, stored by scene and block, meet block by block without an exchange."""
+    ref, pred, _ = _stored(spark, sf)
+    return blocks.overlay_blocks(ref, pred, BLOCK, values=("ref", "p_0"))
 
 
 @query(f"WITH {PXW_SQL} SELECT scene, CAST(pix // 100 AS INT) AS r, CAST(pix % 100 AS INT) AS c, ref, p_0, CASE WHEN pix % 5 = 0 THEN 0 ELSE msk END AS msk FROM pxw WHERE pix % 11 <> 0 AND pix % 13 <> 0")
 def overlay_mask_left(spark, sf):
+    """The same with a mask, which reads 0 where it has no pixel."""
+    ref, pred, mask = _stored(spark, sf)
+    return blocks.overlay_blocks(ref, pred, BLOCK, mask, ("ref", "p_0"), boundless=True)
+
+
+@query(f"WITH {PXW_SQL} SELECT scene, CAST(pix // 100 AS INT) AS r, CAST(pix % 100 AS INT) AS c, ref, p_0, msk FROM pxw WHERE pix % 11 <> 0 AND pix % 13 <> 0 AND pix % 5 <> 0")
+def overlay_mask_inner(spark, sf):
+    """Pixels as rows, which needs an exchange by scene, row and column: the form for rasters that aren't stored."""
     ref, pred, mask = _rasters(spark, sf)
-    return overlay.overlay(ref, pred, mask, boundless=True)
+    return overlay.overlay(ref, pred, mask)
 
 
 @query("WITH e AS (SELECT l_suppkey AS k, min(l_quantity) + l_suppkey % 40 AS l, min(l_extendedprice) AS b, max(l_quantity) - l_suppkey % 7 AS r, max(l_extendedprice) / 2 AS t FROM lineitem GROUP BY l_suppkey) SELECT x.k AS ka, y.k AS kb, greatest(x.l, y.l) AS left_, greatest(x.b, y.b) AS bottom, least(x.r, y.r) AS right_, least(x.t, y.t) AS top FROM e x JOIN e y ON x.k < y.k WHERE greatest(x.l, y.l) < least(x.r, y.r) AND greatest(x.b, y.b) < least(x.t, y.t)")

@@ -1,9 +1,10 @@
 """Queries of run manifests, reports, sources and sinks. Files go to a new folder in spark.checkpoint.dir and are read back."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridmetric.functions import scalar as S
-from gridmetric.operators import auc, calibration, ensemble, geometry, manifest, metrics, overlay, ranking, sampling, threshold, tiles
+from gridmetric.operators import auc, blocks, calibration, ensemble, geometry, manifest, metrics, overlay, ranking, sampling, threshold, tiles
 from gridmetric.plans import analytics as A
 from gridmetric.plans import relations as R
 from gridmetric.plans import tiles as P
@@ -65,15 +66,14 @@ def top_pairs(spark, sf):
     return ranking.rank_all(pairs, (F.desc("jaccard"), "a", "b")).orderBy("rank").limit(5)
 
 
-_W10 = f"WITH {PXV_SQL}, sx AS (SELECT scene, y, w10, (p_0 * w10 + p_3 * (10 - w10)) / 10 AS p FROM pxv, (SELECT CAST(unnest(range(1, 10)) AS INT) AS w10)), {A._curve_sql('sx', 'w10, ')}"
 _TRAIN = f"{A._D('sum(tp) OVER w - tp')} / nullif(sum(tp) OVER w - tp + sum(fp) OVER w - fp + sum(fn) OVER w - fn, 0)"
 
 
-@query(f"{_W10} SELECT w10, scene AS held_out, bin, tp, fp, fn, round(iou, 9) AS iou FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY train DESC NULLS LAST, w10, bin) AS rk FROM (SELECT *, round({_TRAIN}, 9) AS train FROM io WINDOW w AS (PARTITION BY w10, bin))) WHERE rk = 1")
+@query(f"WITH {A._pairs_sql()} SELECT a, b, w10, scene AS held_out, bin, tp, fp, fn, round(iou, 9) AS iou FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY train DESC NULLS LAST, a, b, w10, bin) AS rk FROM (SELECT *, round({_TRAIN}, 9) AS train FROM io WINDOW w AS (PARTITION BY a, b, w10, bin))) WHERE rk = 1")
 def weighted_pair_choice(spark, sf):
-    """Weight and threshold of a pair, chosen together on the other scenes."""
-    x = ensemble.weighted_pairs(X.pxw_valid(spark, sf, "scene", "y", "p_0", "p_3"), "p_0", "p_3")
-    return ensemble.loo_tuned(auc.score_curves(x, ["w10", "scene"], 100), ("w10",), joint=True)
+    """Pair, weight and threshold, chosen together on the other scenes."""
+    curves = ensemble.weighted_pair_curves(X.pxw_valid(spark, sf, "scene", "y", *A.SCORES), A.SCORES, 100)
+    return ensemble.loo_tuned(curves, ("a", "b", "w10"), joint=True)
 
 
 @query()
@@ -193,22 +193,24 @@ def channel_fills(spark, sf):
     return tiles.boundless_read(st, cells, dict(zip(("vv", "vh"), fills)), ("r", "c"))
 
 
-@query(f"WITH {P._PIX}, st AS (SELECT DISTINCT y0 + i AS r, x0 + j AS c FROM pix) SELECT count(*) AS n_pixels, CAST(0 AS BIGINT) AS n_uncovered, 0.0 AS max_error FROM st")
+def _near_mean(crops):
+    """Sigmoid of the mean of each pixel and its eight neighbours, zeros beyond the window."""
+    n = np.pad(crops, ((0, 0), (1, 1), (1, 1)))
+    h, w = crops.shape[1:]
+    return 1 / (1 + np.exp(-sum(n[:, a : a + h, b : b + w] for a in range(3) for b in range(3)) / 9))
+
+
+@query(f"""WITH {P._STITCH}, size AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM st), cell AS (SELECT CAST(k // w AS INT) AS r, CAST(k % w AS INT) AS c FROM (SELECT w, unnest(range(0, h * w)) AS k FROM size)),
+near AS (SELECT r, c, r + dr AS nr, c + dc AS nc FROM cell, (SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc))
+SELECT 0 AS scene, near.r, near.c, round(1 / (1 + exp(-sum(coalesce(st.p, 0)) / 9)), 6) AS p FROM near LEFT JOIN st ON st.r = near.nr AND st.c = near.nc GROUP BY ALL""")
 def scene_inference(spark, sf):
-    """A canvas cut into buffered windows by the tile grid, scored window by window, cropped and stitched: all pixels, none uncovered, and as if
-    the scorer, which sees single pixels, had run on the canvas."""
-    canvas = tiles.stitch_weighted(P.pixels(spark, sf), 8).persist()
-    size = canvas.agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width")).withColumn("scene", F.lit(0))
-    grid = tiles.tile_grid(size, 32, 24, 4)
-    cell = F.expr("explode(sequence(CAST(0 AS INT), CAST(39 AS INT)))")
-    cells = grid.select("*", cell.alias("bi")).select("*", cell.alias("bj")).withColumn("r", F.col("origin_y") + F.col("bi")).withColumn("c", F.col("origin_x") + F.col("bj"))
-    read = cells.join(canvas, ["r", "c"], "left").select("tile_id", "valid_y0", "valid_x0", "valid_h", "valid_w", "bi", "bj", F.coalesce("p", F.lit(0.0)).alias("v"))
-    scored = read.withColumn("s", S.sigmoid(F.col("v")))
-    inner = scored.where(F.col("bi").between(4, F.col("valid_h") + 3) & F.col("bj").between(4, F.col("valid_w") + 3))
-    inner = inner.select("tile_id", F.col("valid_y0").alias("y0"), F.col("valid_x0").alias("x0"), (F.col("bi") - 4).alias("i"), (F.col("bj") - 4).alias("j"), "s")
-    out = tiles.stitch_weighted(inner, 32, value="s")
-    both = canvas.select("r", "c", S.sigmoid(F.col("p")).alias("q")).join(out, ["r", "c"], "left")
-    return both.agg(F.count("*").alias("n_pixels"), F.count_if(F.col("p").isNull()).alias("n_uncovered"), F.round(F.max(F.abs(F.col("p") - F.col("q"))), 6).alias("max_error"))
+    """Scores of a canvas by a scorer that sees a pixel's neighbours, in buffered and overlapping windows and four views, over blocks that exchange
+    halos: as if the scorer had seen the whole canvas at once."""
+    canvas = P._canvas(spark, sf)
+    grid = blocks.raster_blocks(canvas, blocks.scene_sizes(canvas), 48, "p")
+    views = ("identity", "hflip", "vflip", "hvflip")
+    scored = blocks.scene_inference(grid, 48, 32, _near_mean, stride=24, buffer=4, views=views)
+    return blocks.block_pixels(scored, 48, "p").withColumn("p", F.round("p", 6))
 
 
 @query(f"{P._LINES}, s AS (SELECT contour_id, len(x) AS n, contour_id % 3 AS kind, CAST(contour_id % 60 AS DOUBLE) AS lat, x, y FROM l WHERE len(x) >= 2), m AS (SELECT *, CASE WHEN kind = 0 THEN abs(111412.84 * cos(radians(lat)) - 93.5 * cos(3 * radians(lat))) ELSE 1 END AS mx, CASE WHEN kind = 0 THEN abs(111132.92 - 559.82 * cos(2 * radians(lat)) + 1.175 * cos(4 * radians(lat))) ELSE 1 END AS my FROM s) SELECT contour_id, round(CASE WHEN kind <> 2 THEN list_sum([sqrt(pow((x[k + 1] - x[k]) * mx, 2) + pow((y[k + 1] - y[k]) * my, 2)) for k in range(1, len(x))]) END, 3) AS metres, CASE kind WHEN 0 THEN 'geographic' WHEN 1 THEN 'projected' ELSE 'no_crs' END AS reason FROM m")

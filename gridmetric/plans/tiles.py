@@ -1,5 +1,8 @@
 """Queries of tile grids, views, stitching, and lines."""
 
+import json
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridmetric.operators import chaining, geometry, tiles
@@ -181,27 +184,38 @@ def iso_segment_stats(spark, sf):
 
 @query(f"WITH {CHIP_SQL} SELECT CAST(scene AS VARCHAR) AS split, row_number() OVER (PARTITION BY scene ORDER BY tile_id) - 1 AS chip_id, 64 AS n, round(list_sum(list_transform(vals, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))), 4) AS vv_sum, CAST(len(list_filter(vals, lambda x: x > 0)) AS INT) AS water FROM chip")
 def raw_tile_scan(spark, sf):
-    """All chips written as flat binary, one file a scene in the shared folder, and read back by record ranges.
+    """All chips written as flat binary, a folder a scene in the shared folder, and read back by record ranges.
 
     The bands are a chip's values and their negatives, the mask is where values are positive. A chip is known by its scene (split) and its place there.
-    A task writes the scenes that it is dealt one after the other and holds a batch of chips at a time.
+    Ranges of scenes and tiles are dealt to tasks, so that a large scene is several files.
     """
     chips = _raw_chips(spark, sf, height=8, recordsPerPartition=64)
     total = F.aggregate("vv", F.lit(0.0), lambda s, x: s + x)
     return chips.select("split", "chip_id", F.size("vv").alias("n"), F.round(total, 4).alias("vv_sum"), F.aggregate("mask", F.lit(0), lambda s, x: s + x).alias("water"))
 
 
-def _raw_chips(spark, sf, missing=(), **options):
-    from gridmetric.sources.raw_tiles import RawTileSource, write_raw
-    from gridmetric.sources.shared import scratch_folder
+def _planes(chips):
+    """Rows of the raw sink: values, their negatives, and where they are positive."""
+    as_float = lambda f: F.transform("values", f).cast("array<float>")
+    return chips.select(F.col("scene").cast("string").alias("split"), as_float(lambda x: x).alias("vv"), as_float(lambda x: -x).alias("vh"), F.transform("values", lambda x: (x > 0).cast("short")).alias("mask"))
+
+
+def _written(spark, rows, **options):
+    """The folder to which the rows were written as raw records."""
+    from gridmetric.sources.raw_tiles import RawTileSource
+    from gridmetric.sources.shared import qualified, scratch_folder
 
-    folder = scratch_folder(spark, "rawtile")
-    dealt = X.chips(spark, sf).select("scene", "tile_id", "values").repartition("scene").sortWithinPartitions("scene", "tile_id")
-    written = dealt.mapInArrow(write_raw(folder, "scene", "values", 8, 8), "path string, split string").orderBy("split").collect()  # a row a scene
     spark.dataSource.register(RawTileSource)
-    splits = [(r.split, r.path) for r in written] + [(m, f"{folder}/{m}.bin") for m in missing]
-    source = spark.read.format("rawtile").options(width=8, splits=",".join(s for s, _ in splits), **options)
-    return source.load(",".join(p for _, p in splits))
+    folder = qualified(spark, scratch_folder(spark, "rawtile"))
+    rows.write.format("rawtile").options(width=8, **options).mode("append").save(folder)
+    return folder
+
+
+def _raw_chips(spark, sf, splits=None, **options):
+    dealt = X.chips(spark, sf).select("scene", "tile_id", "values").repartitionByRange("scene", "tile_id").sortWithinPartitions("scene", "tile_id")
+    folder = _written(spark, _planes(dealt), height=8)
+    more = {} if splits is None else {"splits": json.dumps(splits)}
+    return spark.read.format("rawtile").options(width=8, **more, **options).load(folder)
 
 
 @query(f"WITH {CHIP_SQL} SELECT CAST(scene AS VARCHAR) AS split, row_number() OVER (PARTITION BY scene ORDER BY tile_id) - 1 AS chip_id, 192 AS n, round(CAST(len(list_filter(vals, lambda x: x > 0)) AS DOUBLE), 3) AS total FROM chip")
@@ -214,7 +228,20 @@ def raw_raster_scan(spark, sf):
 @query(f"WITH {CHIP_SQL}, w AS (SELECT CAST(scene AS VARCHAR) AS split FROM chip UNION ALL SELECT 'val' WHERE FALSE) SELECT split, count(*) AS n FROM w GROUP BY split")
 def split_counts(spark, sf):
     """Chips of each split; a split without a file has none."""
-    return _raw_chips(spark, sf, missing=("val", "test"), height=8).groupBy("split").agg(F.count("*").alias("n"))
+    labels = [str(r.scene) for r in X.chips(spark, sf).select("scene").distinct().collect()]  # names of splits, a short list
+    return _raw_chips(spark, sf, [*labels, "val", "test"], height=8).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CHIP_SQL}, h AS (SELECT *, (tile_id * 7919 + 42) % 1000003 AS h FROM chip), s AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY h, tile_id) AS nth, count(*) OVER () AS n FROM h) WHERE nth <= CAST(floor(n * 0.1) AS BIGINT))
+SELECT row_number() OVER (ORDER BY tile_id) - 1 AS chip_id, round(list_sum(list_transform(vals, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))), 4) AS vv_sum, CAST(len(list_filter(vals, lambda x: x > 0)) AS INT) AS water FROM s""")
+def raw_subset(spark, sf):
+    """A tenth of all chips, without replacement, written in their order to raw files and read back."""
+    from gridmetric.operators.sampling import sorted_subset as subset
+
+    some = subset(X.chips(spark, sf), ["tile_id"], 0.1, F.expr("(tile_id * 7919 + 42) % 1000003"), 1_000_003)
+    rows = _planes(some.repartitionByRange("tile_id").sortWithinPartitions("tile_id")).drop("split")
+    chips = spark.read.format("rawtile").options(width=8, height=8, recordsPerPartition=16).load(_written(spark, rows, height=8))
+    return chips.select("chip_id", F.round(F.aggregate("vv", F.lit(0.0), lambda s, x: s + x), 4).alias("vv_sum"), F.aggregate("mask", F.lit(0), lambda s, x: s + x).alias("water"))
 
 
 @query(f"WITH {CHIP_SQL} SELECT tile_id, CAST(row_number() OVER (ORDER BY ((tile_id * 7919 + 42) % 2147483647 * 48271) % 2147483647, tile_id) AS INT) AS place FROM chip")
@@ -233,7 +260,7 @@ def contour_batches(spark, sf):
 
 @query(f"WITH {CHIP_SQL} SELECT tile_id, round(list_sum(list_transform(vals, lambda m: 1 / (1 + exp(-m)))), 6) AS total FROM chip")
 def score_tiles(spark, sf):
-    return tiles.score_tiles(X.chips(spark, sf), lambda m: 1 / (1 + __import__("numpy").exp(-m))).select("tile_id", F.round(F.aggregate("scores", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    return tiles.score_tiles(X.chips(spark, sf), lambda m: 1 / (1 + np.exp(-m))).select("tile_id", F.round(F.aggregate("scores", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 def _draw_sql(k: int) -> str:

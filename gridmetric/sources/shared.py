@@ -21,6 +21,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and place of its file system, by Spark's defaults, for readers that don't know these."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 class Tables:
     """Tables written to a folder of their own in the shared one, which cut lineage and survive lost executors. What a result still reads stays there."""
 

@@ -265,8 +265,45 @@ def test_raw_tiles(spark, tmp_path):
     (tmp_path / "bad.bin").write_bytes(b"123")
     with pytest.raises(Exception, match="positive number of records"):
         read(tmp_path / "bad.bin").count()
-    both = spark.read.format("rawtile").options(height=4, width=4, path=f"{tmp_path}/a.bin,{tmp_path}/none.bin", splits="train,val").load()
-    assert both.groupBy("split").count().collect()[0]["count"] == 10
+    (tmp_path / "many" / "train").mkdir(parents=True)
+    x[:4].tofile(tmp_path / "many" / "train" / "a, b.bin")
+    x[4:].tofile(tmp_path / "many" / "train" / "c.bin")
+    both = read(tmp_path / "many", splits='["train", "val"]').orderBy("chip_id").collect()
+    assert [r.chip_id for r in both] == list(range(10)) and {r.split for r in both} == {"train"} and np.allclose(both[7].vv, x[7, 0].ravel())
+    assert read(tmp_path / "many", splits='["val"]').count() == 0
+
+
+def test_raw_tile_writer(spark, tmp_path):
+    """Rows in order over several tasks and splits, appended and overwritten; a failed write leaves nothing."""
+    from gridmetric.sources.raw_tiles import RawTileSource, RawTileWriter, Written
+
+    spark.dataSource.register(RawTileSource)
+    rows = [(f"s{k // 25}", [float(k + i) for i in range(4)], [float(-k)] * 4, [k % 2] * 4) for k in range(60)]
+    df = frame(spark, rows, "split string, vv array<float>, vh array<float>, mask array<short>").repartitionByRange(4, F.get("vv", F.lit(0)))
+    where = str(tmp_path / "raw")
+    save = lambda d, mode, **o: d.write.format("rawtile").options(height=2, width=2, **o).mode(mode).save(where)
+    load = lambda: spark.read.format("rawtile").options(height=2, width=2, recordsPerPartition=7).load(where).orderBy("split", "chip_id").collect()
+    save(df.sortWithinPartitions("split", F.get("vv", F.lit(0))), "append")
+    first = load()
+    assert [(r.split, r.vv, r.vh, r.mask) for r in first] == rows and [r.chip_id for r in first] == [*range(25), *range(25), *range(10)]
+    assert not list((tmp_path / "raw").glob("_*"))
+    save(df.where("split = 's2'"), "append")
+    assert [r.chip_id for r in load() if r.split == "s2"] == list(range(20)) and [r.vv[0] for r in load() if r.split == "s2"][:10] == [float(k) for k in range(50, 60)]
+    bad = df.withColumn("vv", F.when(F.get("vv", F.lit(0)) == 30, F.array()).otherwise(F.col("vv")))
+    files = sorted(str(p) for p in (tmp_path / "raw").rglob("*"))
+    with pytest.raises(Exception, match="2 x 2 values"):
+        save(bad, "append")
+    assert sorted(str(p) for p in (tmp_path / "raw").rglob("*")) == files
+    save(df.where("split = 's0'"), "overwrite")
+    assert {r.split for r in load()} == {"s0"} and len(load()) == 25
+    # Of two attempts of a task one counts: what the other wrote goes.
+    writer = RawTileWriter({"path": where, "height": "1", "width": "2", "planes": "1"}, True)
+    left = tmp_path / "raw" / "_temporary" / writer.job
+    for attempt in ("one", "two"):
+        (left / attempt).mkdir(parents=True)
+        np.array([1.0, 2.0], "<f4").tofile(left / attempt / "0")
+    writer.commit([Written(0, [(str(left / "two" / "0"), "")]), None])
+    assert [p.name for p in (tmp_path / "raw").rglob("*.bin")] == ["0000-000000-0000.bin"] and not (tmp_path / "raw" / "_temporary").exists()
 
 
 def test_files(spark, tmp_path):
