@@ -11,6 +11,7 @@ import json
 import sys
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -32,8 +33,8 @@ ADDED_IN_16 = (
     (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C),
     (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
 )
-#: Nodes after which a trie is begun anew, and remembered borders after which they are forgotten.
-NODES, BORDERS = 400_000, 300_000
+#: Nodes after which a trie is begun anew, remembered borders after which they are forgotten, and words of each of two generations whose ids are kept.
+NODES, BORDERS, WORDS = 250_000, 300_000, 150_000
 #: Bytes beyond which a word is a path of its own, whose states take a few bytes each and go with it.
 LONG = 256
 NEVER = sys.maxsize
@@ -126,77 +127,93 @@ class WordTrie:
 
     def __init__(self, tokens: dict[bytes, int], borders: Borders):
         self.borders = borders
-        #: Ends of tokens: the token, or -1 where it is only the end of others.
-        self.endings: dict[bytes, int] = {}
+        #: Beginnings of tokens: the token, or -1 where it is only the beginning of others.
+        self.beginnings: dict[bytes, int] = {}
         for word, token in tokens.items():
             if token in borders.made:
                 for k in range(1, len(word)):
-                    self.endings.setdefault(word[k:], -1)
-                self.endings[word] = token
+                    self.beginnings.setdefault(word[:k], -1)
+                self.beginnings[word] = token
         self.clear()
 
     def clear(self) -> None:
         self.below: dict[int, int] = {}  # node * 256 + byte: node
-        self.token, self.back = array("i", [-1]), array("i", [-1])  # of each node its last token, and the node before that
+        #: Of each node its last token, the node before that, and the length of the longest beginning of a token at its end.
+        self.token, self.back, self.reach = array("i", [-1]), array("i", [-1]), array("i", [0])
 
-    def last_token(self, word: bytes, end: int, state, path) -> tuple[int, int]:
-        """The token that ends word[:end] and its length. state: last token by node; path: nodes of the shorter prefixes."""
-        found, get, fit = [], self.endings.get, self.borders.fit
-        for begin in range(end - 1, -1, -1):
+    def extend(self, word: bytes, last, reach: int) -> tuple[list[int], list[int]]:
+        """Appends to last, which has the last tokens of the word's prefixes from the empty one on, those of all longer ones.
+
+        reach: the longest beginning of a token at the end of the last prefix that is known. Returns where each new token begins, and the reach of each
+        new prefix, which is longer by one byte at most than that of the prefix before; no token is longer. Only one token fits.
+        """
+        begins, reaches = [], []
+        get, known, fit = self.beginnings.get, self.borders.remembered.get, self.borders.fit
+        for end in range(len(last), len(word) + 1):
+            begin = end - reach - 1
             token = get(word[begin:end])
-            if token is None:
-                break
-            if token >= 0:
-                found.append((token, begin))
-        for token, begin in reversed(found):
-            if begin == 0 or fit(state[path[begin]], token):
-                return token, end - begin
-        raise AssertionError("a word without an encoding")
+            while token is None:
+                begin += 1
+                token = get(word[begin:end])
+            reach = end - begin
+            while True:
+                if token is not None and token >= 0:
+                    if not begin:
+                        break
+                    fits = known(last[begin] << 32 | token)
+                    if fits or (fits is None and fit(last[begin], token)):
+                        break
+                begin += 1
+                token = get(word[begin:end])
+            last.append(token)
+            begins.append(begin)
+            reaches.append(reach)
+        return begins, reaches
 
     def insert(self, word: bytes) -> int:
         """The word's node; its new nodes get their states."""
-        node, path, below = 0, [0], self.below
-        for end, byte in enumerate(word, 1):
-            key = node << 8 | byte
-            child = below.get(key)
+        node, path, below, token = 0, [0], self.below, self.token
+        for byte in word:
+            child = below.get(node << 8 | byte)
             if child is None:
-                token, size = self.last_token(word, end, self.token, path)
-                child = below[key] = len(self.token)
-                self.token.append(token)
-                self.back.append(path[end - size])
+                break
             path.append(child)
             node = child
-        return node
+        depth = len(path)
+        if depth <= len(word):
+            last = [token[n] for n in path]
+            begins, reaches = self.extend(word, last, self.reach[node])
+            fresh = len(token)
+            path += range(fresh, fresh + len(begins))
+            token.extend(last[depth:])
+            self.back.extend([path[begin] for begin in begins])
+            self.reach.extend(reaches)
+            for byte, above, child in zip(word[depth - 1 :], path[depth - 1 :], path[depth:]):
+                below[above << 8 | byte] = child
+        return path[-1]
 
     def encode(self, word: bytes) -> list[int]:
+        out = []
         if len(word) > LONG:
-            return self._encode_long(word)
-        node, out = self.insert(word), []
-        while node:
-            out.append(self.token[node])
-            node = self.back[node]
-        return out[::-1]
-
-    def _encode_long(self, word: bytes) -> list[int]:
-        token, size, path = array("i", [-1]), array("i", [0]), range(len(word) + 1)
-        for end in range(1, len(word) + 1):
-            last, n = self.last_token(word, end, token, path)
-            token.append(last)
-            size.append(n)
-        out, end = [], len(word)
-        while end:
-            out.append(token[end])
-            end -= size[end]
-        return out[::-1]
-
-    def encode_sorted(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        """Tokens of distinct words, depth first in the trie."""
-        out = {}
+            last, end = array("i", [-1]), len(word)
+            begins = array("i", self.extend(word, last, 0)[0])
+            while end:
+                out.append(last[end])
+                end = begins[end - 1]
+        else:
+            node, token, back = self.insert(word), self.token, self.back
+            while node:
+                out.append(token[node])
+                node = back[node]
+        out.reverse()
+        return out
+
+    def encode_sorted(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+        """Distinct words with their tokens, depth first in the trie."""
         for word in sorted(words):
             if len(self.token) > NODES:
                 self.clear()
-            out[word] = self.encode(word)
-        return out
+            yield word, self.encode(word)
 
 
 class TrieEncoder(Encoder):
@@ -217,6 +234,8 @@ class TrieEncoder(Encoder):
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         merges = [(model["vocab"][a], model["vocab"][b], model["vocab"][a + b]) for a, b in pairs]
         self.trie = WordTrie(tokens, Borders(tokens, merges))
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.pattern = _pattern()
         self.odd = regex.compile(rf"[{WHITE}] | [{WHITE}]|[^\S \n]")
         self.added = {t["content"]: t["id"] for t in added}
@@ -232,9 +251,21 @@ class TrieEncoder(Encoder):
     def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pre-tokens laid end to end, and how many each has."""
         raw = [p.encode() for p in parts]
-        ids = self.trie.encode_sorted(raw)
-        counts = np.fromiter((len(ids[w]) for w in raw), np.int64, len(raw))
-        return np.fromiter(chain.from_iterable(ids[w] for w in raw), np.int64, int(counts.sum())), counts
+        young, old = self.young, self.old
+        new = []
+        for word in raw:
+            if word not in young:
+                if word in old:
+                    young[word] = old[word]
+                else:
+                    new.append(word)
+        for word, ids in self.trie.encode_sorted(new):
+            young[word] = array("I", ids).tobytes()
+        runs = [young[word] for word in raw]
+        if len(young) > WORDS:
+            self.old, self.young = young, {}  # the words not met since the last turn go
+        counts = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        return np.frombuffer(b"".join(runs), "<u4").astype(np.int64), counts
 
     def encode(self, batch_texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, whose added tokens stand for themselves."""

@@ -198,17 +198,24 @@ def test_trie_knows_the_librarys_letters(coded):
 
 
 def test_prefixes_are_shared_and_the_trie_is_bounded(coded, monkeypatch):
-    trie = triebpe.WordTrie(coded[0].trie.endings, coded[0].trie.borders)
     trie = coded[0].trie
     trie.clear()
-    trie.encode_sorted([b"straight", b"straightly", b"straighten", b"strain"])
+    list(trie.encode_sorted([b"straight", b"straightly", b"straighten", b"strain"]))
     assert len(trie.token) == 1 + len(b"straightly") + len(b"en") + len(b"n")
     monkeypatch.setattr(triebpe, "NODES", 50)
     words = [f"word{k}xyz".encode() for k in range(500)]
-    small = trie.encode_sorted(words)
+    small = dict(trie.encode_sorted(words))
     assert len(trie.token) < 100
     monkeypatch.undo()
-    assert small == trie.encode_sorted(words)
+    assert small == dict(trie.encode_sorted(words))
+
+
+def test_words_are_forgotten_by_generations(coded, monkeypatch):
+    monkeypatch.setattr(triebpe, "WORDS", 20)
+    rng = random.Random(6)
+    for _ in range(30):
+        _compare(coded, [" ".join(rng.choice(["hello", "there", f"w{rng.randint(0, 99)}", "ab" * rng.randint(1, 9)]) for _ in range(30)) for _ in range(5)])
+        assert len(coded[0].old) < 200
 
 
 def test_trie_rows(spark, coded):
