@@ -2,8 +2,8 @@
 
 A vector is rotated into a space of BITS bits or more; its code is the signs of its coordinates there, packed into bytes and stored once, with
 two correction scalars: its norm and the inner product of its direction with its code's direction. The inner product of a query's rotated
-coordinates with a code's signs, corrected by the scalars, estimates that of the vectors; an error bound holds with high probability, and vectors
-whose upper bound reaches the k-th best lower bound of their block are reranked with exact products.
+coordinates with a code's signs, corrected by the scalars, estimates that of the vectors; an error bound holds with high probability. The best by
+estimate are computed exactly, and then those vectors whose upper bound reaches the k-th of these products.
 
 Equal vectors are one candidate with their least ids (more than k of them can't be among a query's k nearest).
 """
@@ -11,6 +11,7 @@ Equal vectors are one candidate with their least ids (more than k of them can't
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from gridmetric.llm.common import Scratch, quoted, table
 
 #: Bits of a code at least: a longer code has a smaller error, which falls with the root of its length.
-BITS = 256
+BITS = 512
 
 
 @functools.lru_cache(maxsize=8)
@@ -58,17 +59,27 @@ class Codes:
         return (rotated @ signs.T) * scale, norms * (self.norm * (sure * spread + 1e-5))  # the last for sums in single precision
 
 
-def search_block(queries: np.ndarray, codes: Codes, k: int, sure: float) -> list[np.ndarray]:
-    """For each query, the rows of codes that may be among its k nearest."""
-    out, signs = [], codes.signs()
+def search_block(queries: np.ndarray, vectors: np.ndarray, codes: Codes, k: int, sure: float, first: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query, the rows that may be among its k nearest, and their exact inner products.
+
+    The `first` best by estimate (2 k at least) are computed exactly, and the k-th of them is a floor: of the other rows only those whose upper bound
+    reaches it are computed.
+    """
+    signs, first = codes.signs(), max(first, 2 * k)
     for a in range(0, len(queries), 256):
-        est, err = codes.estimate(queries[a : a + 256], sure, signs)
-        if est.shape[1] > k:
-            worst = -np.partition(err - est, k - 1, axis=1)[:, k - 1 : k]
-            out += [np.flatnonzero(row) for row in est + err >= worst]
-        else:
-            out += [np.arange(est.shape[1])] * len(est)
-    return out
+        some = queries[a : a + 256]
+        est, err = codes.estimate(some, sure, signs)
+        if est.shape[1] <= first:
+            for q in some:
+                yield np.arange(len(vectors)), (vectors * q).sum(axis=1)
+            continue
+        best = np.argpartition(-est, first - 1, axis=1)[:, :first]
+        for q, top, row, bound in zip(some, best, est, err):
+            exact = (vectors[top] * q).sum(axis=1)
+            reach = row + bound >= np.partition(exact, -k)[-k]
+            reach[top] = False
+            more = np.flatnonzero(reach)
+            yield np.concatenate([top, more]), np.concatenate([exact, (vectors[more] * q).sum(axis=1)])
 
 
 def with_codes(distinct: DataFrame) -> DataFrame:
@@ -99,7 +110,7 @@ def valid_vectors(table_: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return own.where(good).select(quoted(id_col).cast("long").alias("id"), v.alias("v"))
 
 
-def nearest(base: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 8192, sure: float = 3.5) -> DataFrame:
+def nearest(base: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 8192, sure: float = 3.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of each query row, by inner product in double precision.
 
     is_query: a condition on the column `id`. Rows with a null id, or a vector that is null, empty, zero or has null or non-finite components
@@ -147,8 +158,7 @@ def nearest(base: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
         ids, asked_ids = right["ids"].combine_chunks(), left["id"].to_numpy()
         flat, begin = ids.flatten().to_numpy(), ids.offsets.to_numpy()
         out_q, out_id, out_s = [], [], []
-        for q, found in enumerate(search_block(queries, codes, k + 1, sure)):
-            score = (vectors[found] * queries[q]).sum(axis=1)
+        for q, (found, score) in enumerate(search_block(queries, vectors, codes, k + 1, sure)):
             order = np.argsort(-score, kind="stable")
             if len(order) > k + 1:
                 floor = score[order[k]]
