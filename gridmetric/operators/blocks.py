@@ -149,6 +149,51 @@ def with_halo(blocks: DataFrame, size: int, before: int, after: int, value: str,
     return sent.groupBy("scene", "by", "bx").applyInArrow(receive, _head(blocks, f"{PLACE}, {value} array<double>"))
 
 
+def read_window(blocks: DataFrame, windows: DataFrame, size: int, value: str, boundless: bool = False, fill: float = 0.0) -> DataFrame:
+    """Blocks of the part of each scene's raster that a window names: windows has scene, row_off, col_off, height and width, one row a scene.
+
+    Boundless, what lies outside the raster has the fill value; else a window that isn't within its raster is an error. Null pixels stay null, as NaN.
+    Scenes without a window, and windows without a raster, give nothing. A block goes to the blocks of the window that want some of it, and to no others.
+    """
+    inside = (F.col("row_off") >= 0) & (F.col("col_off") >= 0) & (F.col("row_off") + F.col("wh") <= F.col("height")) & (F.col("col_off") + F.col("ww") <= F.col("width"))
+    message = F.concat(F.lit("the window of scene "), F.col("scene").cast("string"), F.lit(" isn't within its raster"))
+    named = windows.select("scene", F.col("row_off").cast("int").alias("row_off"), F.col("col_off").cast("int").alias("col_off"), F.col("height").cast("int").alias("wh"), F.col("width").cast("int").alias("ww"))
+    both = blocks.select("scene", "by", "bx", "height", "width", value).join(named, "scene")
+    if not boundless:
+        both = both.withColumn("row_off", F.when(inside, F.col("row_off")).otherwise(F.raise_error(message).cast("int")))
+    low, left = F.col("by") * size - F.col("row_off"), F.col("bx") * size - F.col("col_off")
+    wanted = both.where((low < F.col("wh")) & (low + size > 0) & (left < F.col("ww")) & (left + size > 0))
+    schema = _head(blocks, f"{PART}, part array<double>")
+
+    def send(batches):
+        for batch in batches:
+            for k, row in enumerate(batch.drop_columns([value]).to_pylist()):
+                by, bx, height, width = _numbers(row)
+                h, w = min(size, height - by * size), min(size, width - bx * size)
+                y0, x0 = by * size - row["row_off"], bx * size - row["col_off"]
+                own = _matrix(batch.column(value), k, h, w)[max(0, -y0) :, max(0, -x0) :]
+                parts = list(_parts(row | {"height": row["wh"], "width": row["ww"]}, max(0, y0), max(0, x0), [own], size, 0, 0)) if own.size else []
+                yield _part_batch(parts, batch.schema.field("scene").type, ["part"])
+
+    def paste(arrays, shape, at, part):
+        arrays = [np.full(shape, fill)] if arrays is None else arrays
+        arrays[0][at] = part[0]
+        return arrays
+
+    def receive(table: pa.Table) -> pa.Table:
+        row, (whole,) = _received(table, size, 0, 0, ["part"], paste)
+        place = {n: pa.array([row[n]], table.schema.field(n).type) for n in ("scene", "by", "bx", "height", "width")}
+        return pa.table(place | {value: pa.array([whole.ravel()], pa.list_(pa.float64()))})
+
+    # An empty part for each block of a window, so that blocks outside the raster are there too.
+    steps = lambda n: F.sequence(F.lit(0), F.floor((F.col(n) - 1) / size).cast("int"))
+    there = named.join(blocks.select("scene").distinct(), "scene", "left_semi")
+    grid = there.select("scene", "wh", "ww", F.explode(steps("wh")).alias("by")).select("*", F.explode(steps("ww")).alias("bx"))
+    zero = [F.lit(0).alias(n) for n in ("y", "x", "h", "w")]
+    empty = grid.select("scene", "by", "bx", F.col("wh").alias("height"), F.col("ww").alias("width"), *zero, F.array().cast("array<double>").alias("part"))
+    return wanted.mapInArrow(send, schema).unionByName(empty).groupBy("scene", "by", "bx").applyInArrow(receive, _head(blocks, f"{PLACE}, {value} array<double>"))
+
+
 def axis_windows(length: int, tile: int, stride: int, policy: str = "shift_inward") -> list[int]:
     """Starts of windows along an axis, as tiles.axis_starts has them."""
     if length <= tile:

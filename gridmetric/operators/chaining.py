@@ -140,3 +140,26 @@ def contour_lines(parts: DataFrame, keys=("scene",)) -> DataFrame:
     own = parts.groupBy(*keys, "contour_id").agg(F.array_sort(F.collect_list(F.struct("part", "vertices"))).alias("p"))
     heads = F.flatten(F.transform("p", lambda x: F.slice(x["vertices"], 1, F.size(x["vertices"]) - 1)))  # a part begins where the one before ends
     return own.select(*keys, "contour_id", F.concat(heads, F.slice(F.element_at("p", -1)["vertices"], -1, 1)).alias("vertices"))
+
+
+def extract_contours(canvas: DataFrame, root: str, level: float, value: str = "p", overwrite: bool = False, dry_run: bool = False, at_once: int = 64, block: int = BLOCK) -> DataFrame:
+    """scene and action (skip, extract or would_extract) of every scene of the canvas, whose contours are written to root/lines by scene.
+
+    A scene is done when root/done names it, which is written after its lines: a scene whose writing was cut short is extracted again, and its lines
+    replaced. Scenes are written at_once at a time, so that what was done before a failure is not done again. The driver holds the names of the scenes.
+    """
+    from gridmetric.operators.geometry import batch_status, iso_segments
+    from gridmetric.sources.shared import _glob
+
+    spark = canvas.sparkSession
+    scenes = canvas.select("scene").distinct()
+    there = _glob(spark, f"{root}/done/part-*")[1]
+    done = spark.read.parquet(f"{root}/done") if there else scenes.limit(0)
+    status = [(r.scene, r.action) for r in batch_status(scenes, done, overwrite=overwrite, dry_run=dry_run).orderBy("scene").collect()]
+    todo = [scene for scene, action in status if action == "extract"]
+    for k in range(0, len(todo), at_once):
+        some = todo[k : k + at_once]
+        parts = contour_parts(iso_segments(canvas.where(F.col("scene").isin(some)), level, value=value), block=block)
+        parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scene").parquet(f"{root}/lines")
+        spark.createDataFrame([(scene,) for scene in some], StructType([canvas.schema["scene"]])).coalesce(1).write.mode("append").parquet(f"{root}/done")
+    return spark.createDataFrame(status, StructType([canvas.schema["scene"], *StructType.fromDDL("action string").fields]))

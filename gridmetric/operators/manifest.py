@@ -92,6 +92,14 @@ def merge_overrides(config: dict, overrides: dict) -> dict:
     return out
 
 
+def merged_settings(runs: DataFrame, run: str, config: dict, columns: dict[str, str]) -> DataFrame:
+    """run, key and value (text) of every run's configuration: the given one with the run's own columns over it, by dotted key, where they aren't null."""
+    flat = {f"{k}.{n}": v for k, own in config.items() if isinstance(own, dict) for n, v in own.items()} | {k: v for k, v in config.items() if not isinstance(v, dict)}
+    value = lambda key: F.coalesce(*([F.col(columns[key]).cast("string")] if key in columns else []), F.lit(str(flat[key])) if key in flat else F.lit(None))
+    rows = F.array(*[F.struct(F.lit(key).alias("key"), value(key).alias("value")) for key in sorted({*flat, *columns})])
+    return runs.select(run, F.explode(rows).alias("x")).select(run, "x.key", "x.value").where(F.col("value").isNotNull())
+
+
 def provenance(runs: DataFrame, product: str, tags: dict[str, str]) -> DataFrame:
     """run_id, scene_id, path of the product ({run}/{scene}/{scene}_{product}), tags (a map of the row's and the fixed ones) and summary."""
     fixed = [F.lit(x) for kv in sorted(tags.items()) for x in kv]

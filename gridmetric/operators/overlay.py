@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,37 @@ def bounds_intersection(pairs: DataFrame, a: str, b: str, fail_when_empty: bool
     return out.where(some)
 
 
+def overlapping_extents(extents: DataFrame, key: str = "k", sides=("left", "bottom", "right", "top")) -> DataFrame:
+    """a_key, b_key and the sides of the overlap of every two extents that overlap, the smaller key first. Extents without an area take no part; keys are
+    distinct.
+
+    Each extent lies on the grid level whose cells are the least that are at least as large as it is, so that it covers four cells at most there and on
+    any coarser level. It is entered on its own level, and looks for others on that and each coarser level that there is: its entries are four cells a
+    level, however large or small extents are. Levels double, so they are few; the driver holds their list. A pair counts in the first cell that both cover.
+    """
+    left, bottom, right, top = sides
+    own = extents.select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(n) for c, n in zip(sides, ("l", "b", "r", "t"))]).where("l < r AND b < t")
+    mean = own.agg(F.avg(F.col("r") - F.col("l")).alias("w"), F.avg(F.col("t") - F.col("b")).alias("h")).first()
+    if mean.w is None:
+        mean = Row(w=1.0, h=1.0)
+    size = F.greatest((F.col("r") - F.col("l")) / mean.w, (F.col("t") - F.col("b")) / mean.h)
+    own = own.withColumn("level", F.ceil(F.log2(size)).cast("int"))
+    levels = sorted(r.level for r in own.select("level").distinct().collect())
+    cell = lambda v, unit, level: F.floor(F.col(v) / (F.pow(F.lit(2.0), level) * unit))
+    at = F.col("at")
+    looks = own.withColumn("at", F.explode(F.filter(F.array(*[F.lit(x) for x in levels] or [F.lit(0)]), lambda x: x >= F.col("level"))))
+    looks = looks.withColumns({"x0": cell("l", mean.w, at), "x1": cell("r", mean.w, at), "y0": cell("b", mean.h, at), "y1": cell("t", mean.h, at)})
+    cells = looks.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1")))
+    side = lambda d, n: d.select("at", "x", "y", *[F.col(c).alias(f"{n}_{c}") for c in ("k", "l", "b", "r", "t", "x0", "y0", "level")])
+    pairs = side(cells, "a").join(side(cells.where("at = level"), "b"), ["at", "x", "y"])
+    once = (F.col("a_level") < F.col("b_level")) | (F.col("a_k") < F.col("b_k"))
+    first = (F.col("x") == F.greatest("a_x0", "b_x0")) & (F.col("y") == F.greatest("a_y0", "b_y0")) & (F.col("a_k") != F.col("b_k"))
+    low, high = F.greatest("a_l", "b_l"), F.least("a_r", "b_r")
+    down, up = F.greatest("a_b", "b_b"), F.least("a_t", "b_t")
+    found = pairs.where(once & first & (low < high) & (down < up))
+    return found.select(F.least("a_k", "b_k").alias(f"a_{key}"), F.greatest("a_k", "b_k").alias(f"b_{key}"), low.alias(left), down.alias(bottom), high.alias(right), up.alias(top))
+
+
 def overlap_diagnostics(df: DataFrame, keys, reference: Column, mask: Column, water=(1,), nodata=(255,), mask_value: int = 1) -> DataFrame:
     """Pixels in all, after each filter, and water and land among the valid ones, in one pass."""
     in_ref, in_mask = ~reference.isin(*nodata), mask == mask_value

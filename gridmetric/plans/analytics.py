@@ -462,7 +462,9 @@ def logreg_stacker(spark, sf):
 _KDE_GRID = [-28.0 + i for i in range(0, 26, 5)]
 
 
-@query(f"WITH {PXV_SQL}, s AS (SELECT y, count(*) AS n, stddev_samp(vv) * pow(count(*), -0.2) AS h FROM pxv GROUP BY y HAVING count(*) >= 100), g AS (SELECT CAST(unnest({_KDE_GRID}) AS DOUBLE) AS at_) SELECT p.y, at_ AS at, round(sum(exp(-((at_ - vv) / h) * ((at_ - vv) / h) / 2)) / max(n * h * 2.5066282746310002), 9) AS density FROM pxv p JOIN s ON p.y = s.y, g GROUP BY ALL".replace("at_ AS at,", 'at_ AS "at",'))
+@query(f"""WITH {PXV_SQL}, s AS (SELECT y, count(*) AS n, stddev_samp(vv) * pow(count(*), -0.2) AS h FROM pxv GROUP BY y HAVING count(*) >= 100), g AS (SELECT CAST(unnest({_KDE_GRID}) AS DOUBLE) AS at_),
+x AS (SELECT p.y, n, h, floor(vv * 32 / h) AS b, vv * 32 / h - floor(vv * 32 / h) AS f FROM pxv p JOIN s ON p.y = s.y), w AS (SELECT y, n, h, b, sum(1 - f) AS w FROM x GROUP BY ALL UNION ALL SELECT y, n, h, b + 1, sum(f) FROM x GROUP BY ALL)
+SELECT y, at_ AS "at", round(sum(w * exp(-pow(at_ / h - b / 32, 2) / 2)) / max(n * h * 2.5066282746310002), 9) AS density FROM w, g GROUP BY ALL""")
 def kde_1d(spark, sf):
     from gridmetric.operators.sampling import kde
 

@@ -51,16 +51,22 @@ def bounds_intersection(spark, sf):
     k = F.col("l_suppkey")
     e = X.lineitem(spark, sf).groupBy("l_suppkey").agg(F.min("l_quantity").alias("q0"), F.min("l_extendedprice").alias("b"), F.max("l_quantity").alias("q1"), (F.max("l_extendedprice") / 2).alias("t"))
     e = e.select("l_suppkey", (F.col("q0") + k % 40).alias("l"), "b", (F.col("q1") - k % 7).alias("r"), "t")
-    # Extents meet in cells of a mean extent's size; a pair counts in the first cell that both cover.
-    e = e.where((F.col("l") < F.col("r")) & (F.col("b") < F.col("t")))
-    e = e.crossJoin(F.broadcast(e.agg(F.avg(F.col("r") - F.col("l")).alias("w"), F.avg(F.col("t") - F.col("b")).alias("h"))))
-    cell = lambda v, size: F.floor(F.col(v) / F.col(size))
-    e = e.withColumn("x0", cell("l", "w")).withColumn("y0", cell("b", "h"))
-    e = e.withColumn("x", F.explode(F.sequence("x0", cell("r", "w")))).withColumn("y", F.explode(F.sequence("y0", cell("t", "h"))))
-    side = lambda n: e.select("x", "y", F.col("x0").alias(n + "_x0"), F.col("y0").alias(n + "_y0"), k.alias("k" + n), F.col("l").alias(n + "_left"), F.col("b").alias(n + "_bottom"), F.col("r").alias(n + "_right"), F.col("t").alias(n + "_top"))
-    first = (F.col("x") == F.greatest("a_x0", "b_x0")) & (F.col("y") == F.greatest("a_y0", "b_y0"))
-    pairs = side("a").join(side("b"), ["x", "y"]).where((F.col("ka") < F.col("kb")) & first)
-    return overlay.bounds_intersection(pairs, "a", "b").select("ka", "kb", F.col("left").alias("left_"), "bottom", F.col("right").alias("right_"), "top")
+    found = overlay.overlapping_extents(e.select("l_suppkey", F.col("l").alias("left_"), "b", F.col("r").alias("right_"), "t"), "l_suppkey", ("left_", "b", "right_", "t"))
+    return found.select(F.col("a_l_suppkey").alias("ka"), F.col("b_l_suppkey").alias("kb"), "left_", F.col("b").alias("bottom"), "right_", F.col("t").alias("top"))
+
+
+_SPREAD_COLUMNS = [
+    "event_id AS k", "CAST(event_id * 7919 % 100003 AS DOUBLE) AS x", "CAST(event_id * 104729 % 100019 AS DOUBLE) AS y",
+    "CAST(CASE WHEN event_id % 500 = 0 THEN 9000.5 WHEN event_id % 50 = 0 THEN 800.5 ELSE 60.5 END AS DOUBLE) AS w", "CAST(CASE WHEN event_id % 300 = 0 THEN 5000.5 ELSE 40.5 + event_id % 7 END AS DOUBLE) AS h",
+]
+_SPREAD = ", ".join(_SPREAD_COLUMNS)
+
+
+@query(f"WITH e AS (SELECT k, x, y, x + w AS r, y + h AS t FROM (SELECT {_SPREAD} FROM events)) SELECT a.k AS ka, b.k AS kb, greatest(a.x, b.x) AS left_, greatest(a.y, b.y) AS bottom, least(a.r, b.r) AS right_, least(a.t, b.t) AS top FROM e a JOIN e b ON a.x < b.r AND b.x < a.r AND a.y < b.t AND b.y < a.t AND a.k < b.k")
+def sparse_extents(spark, sf):
+    """Extents of very different sizes over a wide plane, of which few overlap."""
+    e = X.log(spark, sf).selectExpr(*_SPREAD_COLUMNS).selectExpr("k", "x AS left_", "y AS bottom", "x + w AS right_", "y + h AS top")
+    return overlay.overlapping_extents(e, "k", ("left_", "bottom", "right_", "top")).withColumnsRenamed({"a_k": "ka", "b_k": "kb"})
 
 
 @query("SELECT m.user_id AS model, s.scene FROM (SELECT DISTINCT user_id FROM events) m CROSS JOIN (SELECT DISTINCT CAST(year(l_shipdate) AS INT) AS scene FROM lineitem) s")
@@ -201,9 +207,9 @@ def union_by_name(spark, sf):
     return e.where("event_type = 'view'").select("user_id", "value").unionByName(e.where("event_type = 'click'").select(F.get_json_object("props", "$.k").cast("long").alias("k"), "user_id"), allowMissingColumns=True)
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' ORDER BY (l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 31 + l_linenumber * 17) % 1000003, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice LIMIT (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01')")
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY (l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 31 + l_linenumber * 17) % 1000003, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice LIMIT (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM lineitem)")
 def sorted_subset(spark, sf):
-    x = X.lineitem(spark, sf).where("l_shipdate < TIMESTAMP_NTZ '1996-01-01'").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    x = X.lineitem(spark, sf).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     return sampling.sorted_subset(x, x.columns, 0.1, F.expr("(l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 31 + l_linenumber * 17) % 1000003"), 1_000_003)
 
 

@@ -93,9 +93,11 @@ _GX, _GY = [-28.0, -18.0, -8.0], [-33.0, -25.0]
 
 
 @query(f"""WITH {PXV_SQL}, s AS (SELECT y, count(*) AS n, var_samp(vv) AS xx, var_samp(vh) AS yy, covar_samp(vv, vh) AS xy FROM pxv GROUP BY y HAVING count(*) >= 100),
-t AS (SELECT *, pow(n, -1.0 / 3) AS f2, xx * yy - xy * xy AS det FROM s), g AS (SELECT * FROM (SELECT unnest({_GX}) AS at_x), (SELECT unnest({_GY}) AS at_y))
-SELECT p.y, CAST(at_x AS DOUBLE) AS at_x, CAST(at_y AS DOUBLE) AS at_y, round(sum(exp(-((at_x - vv) * (at_x - vv) * yy - 2 * (at_x - vv) * (at_y - vh) * xy + (at_y - vh) * (at_y - vh) * xx) / (det * f2) / 2)) / max(n * 6.283185307179586 * sqrt(det) * f2), 7) AS density
-FROM pxv p JOIN t ON t.y = p.y, g GROUP BY ALL""")
+t AS (SELECT *, sqrt(det * f2 / yy) / 32 AS sx, sqrt(det * f2 / xx) / 32 AS sy FROM (SELECT *, pow(n, -1.0 / 3) AS f2, xx * yy - xy * xy AS det FROM s)), g AS (SELECT * FROM (SELECT unnest({_GX}) AS at_x), (SELECT unnest({_GY}) AS at_y)),
+u AS (SELECT t.*, vv / sx - floor(vv / sx) AS fu, vh / sy - floor(vh / sy) AS fv, floor(vv / sx) AS i, floor(vh / sy) AS j FROM pxv p JOIN t ON t.y = p.y),
+w AS (SELECT y, n, xx, yy, xy, f2, det, (i + a) * sx AS px, (j + b) * sy AS py, sum((CASE WHEN a = 1 THEN fu ELSE 1 - fu END) * (CASE WHEN b = 1 THEN fv ELSE 1 - fv END)) AS w FROM u, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b) GROUP BY ALL)
+SELECT y, CAST(at_x AS DOUBLE) AS at_x, CAST(at_y AS DOUBLE) AS at_y, round(sum(w * exp(-((at_x - px) * (at_x - px) * yy - 2 * (at_x - px) * (at_y - py) * xy + (at_y - py) * (at_y - py) * xx) / (det * f2) / 2)) / max(n * 6.283185307179586 * sqrt(det) * f2), 7) AS density
+FROM w, g GROUP BY ALL""")
 def kde_2d(spark, sf):
     return sampling.kde2(X.pxw_valid(spark, sf, "y", "vv", "vh"), ["y"], "vv", "vh", _GX, _GY).withColumn("density", F.round("density", 7))
 
@@ -213,6 +215,35 @@ def scene_inference(spark, sf):
     return blocks.block_pixels(scored, 48, "p").withColumn("p", F.round("p", 6))
 
 
+_WINDOWS = "CAST(scene % 7 - 3 AS INT) AS row_off, CAST(scene % 5 - 2 AS INT) AS col_off"
+
+
+@query(f"""WITH {P._SCENE_STITCH}, win AS (SELECT scene, {_WINDOWS} FROM (SELECT DISTINCT scene FROM st)), cell AS (SELECT scene, row_off, col_off, CAST(k // 50 AS INT) AS r, CAST(k % 50 AS INT) AS c FROM win, (SELECT unnest(range(0, 2000)) AS k))
+SELECT cell.scene, cell.r, cell.c, round(CASE WHEN st.p IS NOT NULL THEN st.p WHEN r + row_off >= 0 AND r + row_off < h AND c + col_off >= 0 AND c + col_off < w THEN NULL ELSE -9 END, 6) AS p
+FROM cell JOIN (SELECT scene, max(r) + 1 AS h, max(c) + 1 AS w FROM st GROUP BY scene) USING (scene) LEFT JOIN st ON st.scene = cell.scene AND st.r = cell.r + row_off AND st.c = cell.c + col_off""".replace("WHEN r + row_off >= 0 AND r + row_off < h AND c + col_off", "WHEN cell.r + row_off >= 0 AND cell.r + row_off < h AND cell.c + col_off").replace("AND c + col_off < w", "AND cell.c + col_off < w"))
+def window_read(spark, sf):
+    """Pixels of each scene's raster in the window of another raster's bounds: 40 x 50 pixels that may begin outside, where they read -9."""
+    chips = X.chips(spark, sf)
+    canvas = tiles.stitch_weighted(tiles.tile_pixels(chips, 8), 8, keys=("scene",))
+    grid = blocks.raster_blocks(canvas, blocks.scene_sizes(canvas), 32, "p")
+    bounds = chips.select("scene").distinct().selectExpr("scene", _WINDOWS.partition(",")[0], _WINDOWS.partition(",")[2]).withColumns({"out_left": F.lit(1000.0), "out_top": F.lit(5000.0)})
+    bounds = bounds.withColumns({"in_left": F.col("out_left") + 10 * F.col("col_off"), "in_top": F.col("out_top") - 10 * F.col("row_off")})
+    bounds = bounds.withColumns({"in_right": F.col("in_left") + 500.0, "in_bottom": F.col("in_top") - 400.0}).drop("row_off", "col_off")
+    windows = manifest.bounds_window(bounds, "in", "out", 10.0).select("scene", "row_off", "col_off", "height", "width")
+    read = blocks.block_pixels(blocks.read_window(grid, windows, 32, "p", boundless=True, fill=-9.0), 32, "p")
+    return read.select("scene", "r", "c", F.round(F.when(~F.isnan("p"), F.col("p")), 6).alias("p"))
+
+
+@query()
+def bootstrap_full_size(spark, sf):
+    """A thousand replicates of each scene's pixels, each as large as the scene: means and percentiles of the metrics over replicates."""
+    x = X.pxw_valid(spark, sf, "scene", "y", "p_2")
+    counts = metrics.confusion_counts(x, ["scene"], F.col("y"), S.threshold_probability("p_2", 0.5))
+    m = metrics.binary_metrics()
+    draws = sampling.bootstrap_counts(counts, ["scene"], 1000).select("scene", m["iou"].alias("iou"), m["f1"].alias("f1"))
+    return sampling.bootstrap_summary(draws, ["scene"], ("iou", "f1"))
+
+
 @query(f"{P._LINES}, s AS (SELECT contour_id, len(x) AS n, contour_id % 3 AS kind, CAST(contour_id % 60 AS DOUBLE) AS lat, x, y FROM l WHERE len(x) >= 2), m AS (SELECT *, CASE WHEN kind = 0 THEN abs(111412.84 * cos(radians(lat)) - 93.5 * cos(3 * radians(lat))) ELSE 1 END AS mx, CASE WHEN kind = 0 THEN abs(111132.92 - 559.82 * cos(2 * radians(lat)) + 1.175 * cos(4 * radians(lat))) ELSE 1 END AS my FROM s) SELECT contour_id, round(CASE WHEN kind <> 2 THEN list_sum([sqrt(pow((x[k + 1] - x[k]) * mx, 2) + pow((y[k + 1] - y[k]) * my, 2)) for k in range(1, len(x))]) END, 3) AS metres, CASE kind WHEN 0 THEN 'geographic' WHEN 1 THEN 'projected' ELSE 'no_crs' END AS reason FROM m")
 def metric_lengths(spark, sf):
     """Lengths in metres of lines in degrees and in projected units; without a coordinate system null, with the reason."""
@@ -257,12 +288,11 @@ def evaluation_entries(spark, sf):
     return manifest.evaluation_entries(runs, ["checkpoint", "preset"])
 
 
-@query("SELECT * FROM (VALUES ('data.batch', '64'), ('data.root', '/d'), ('mode', 'fast'), ('stride', '112')) v(key, value)")
+@query("SELECT event_id, k.key, CASE WHEN k.key = 'data.batch' AND event_id % 3 = 0 THEN CAST(event_id % 64 AS VARCHAR) WHEN k.key = 'mode' AND event_id % 4 = 0 THEN event_type ELSE k.value END AS value FROM events, (VALUES ('data.batch', '32'), ('data.root', '/d'), ('mode', 'fast')) k(key, value)")
 def merged_overrides(spark, sf):
-    """A configuration with the command line's values over it; unset ones change nothing."""
-    config = manifest.merge_overrides({"data": {"root": "/d", "batch": 32}, "stride": 224, "mode": "fast"}, {"data.batch": 64, "stride": 112, "mode": None})
-    flat = [(f"{k}.{n}", str(v)) for k, s in config.items() if isinstance(s, dict) for n, v in s.items()] + [(k, str(v)) for k, v in config.items() if not isinstance(v, dict)]
-    return spark.createDataFrame(flat, "key string, value string")
+    """Each run's configuration: the defaults with the run's own values over them; unset ones change nothing."""
+    run = X.log(spark, sf).withColumns({"batch": F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 64).cast("string")), "mode": F.when(F.col("event_id") % 4 == 0, F.col("event_type"))})
+    return manifest.merged_settings(run, "event_id", {"data": {"root": "/d", "batch": 32}, "mode": "fast"}, {"data.batch": "batch", "mode": "mode"})
 
 
 @query("SELECT 'r' || user_id % 5 AS run_id, 's' || event_id AS scene_id, 'r' || user_id % 5 || '/s' || event_id || '/s' || event_id || '_probability' AS path, 'grid' AS tool, event_type AS mode, event_type || ' success' AS summary FROM events")
@@ -279,12 +309,12 @@ def name_helpers(spark, sf):
     return e.select("user_id", manifest.safe_dirname(F.concat(F.col("event_type"), F.lit(" "), F.col("user_id"), F.lit("/x"))).alias("folder"), manifest.shorten(name, 8).alias("short"))
 
 
-_LOOP = ("m0", "m3", "m5")
+_LOOP = tuple(f"m{k}" for k in range(X.N))
 
 
-@query(f"WITH {PX_SQL}, c AS (SELECT model_name, count(*) FILTER (y = 1 AND p > 0.5) AS tp, count(*) FILTER (y <> 1 AND p > 0.5) AS fp, count(*) FILTER (y = 1 AND NOT p > 0.5) AS fn FROM px WHERE model_name IN ('m0', 'm3', 'm5') GROUP BY model_name), i AS (SELECT model_name, round(CAST(tp AS DOUBLE) / (tp + fp + fn), 9) AS iou FROM c) SELECT *, row_number() OVER (ORDER BY iou DESC, model_name) AS rank FROM i")
+@query(f"WITH {PX_SQL}, c AS (SELECT model_name, count(*) FILTER (y = 1 AND p > 0.5) AS tp, count(*) FILTER (y <> 1 AND p > 0.5) AS fp, count(*) FILTER (y = 1 AND NOT p > 0.5) AS fn FROM px GROUP BY model_name), i AS (SELECT model_name, round(CAST(tp AS DOUBLE) / (tp + fp + fn), 9) AS iou FROM c) SELECT *, row_number() OVER (ORDER BY iou DESC, model_name) AS rank FROM i")
 def interleaved_benchmark(spark, sf):
-    """Three checkpoints, each scored, evaluated and cleaned before the next; then ranked."""
+    """Every checkpoint in turn, each scored, evaluated and cleaned before the next; then ranked."""
     root = shared.scratch_folder(spark, "benchmark")
 
     def infer(name):
@@ -411,8 +441,8 @@ def run_metadata(spark, sf):
     """Metadata of runs as JSON text, read with a schema."""
     path = shared.scratch_folder(spark, "metadata")
     m = X.log(spark, sf).groupBy(F.col("event_type").alias("run")).agg(F.count("*").alias("scenes"), F.array(F.min("value"), F.max("value")).alias("bounds"))
-    m.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
-    back = files.read_scene_metadata(spark, path + "/*.txt", "run string, scenes long, bounds array<double>") if m.isEmpty() else spark.read.schema("run string, scenes long, bounds array<double>").json(path)
+    m.select(F.col("run").alias("folder"), F.to_json(F.struct("*")).alias("value")).repartition("folder").write.partitionBy("folder").text(path)  # a document a run
+    back = files.read_scene_metadata(spark, path, "run string, scenes long, bounds array<double>")
     return back.select("run", "scenes", F.get("bounds", F.lit(0)).alias("low"), F.get("bounds", F.lit(1)).alias("high"))
 
 
@@ -473,15 +503,17 @@ def collated_summaries(spark, sf):
     return files.collate(spark, f"{root}/*", "n long").select("run_name", "n")
 
 
-@query("SELECT 'late' AS folder")
+@query("SELECT 'late' AS folder, event_type, count(*) AS n FROM events GROUP BY event_type")
 def newest_folder(spark, sf):
+    """The results of the run that was written last."""
     import time
 
     root, e = shared.scratch_folder(spark, "newest"), X.log(spark, sf)
-    for name in ("zz_early", "late"):
-        e.limit(1).select("event_id").write.parquet(f"{root}/{name}")
+    for name, rows in (("zz_early", e.where("event_id % 2 = 0")), ("late", e)):
+        rows.select("event_id", "event_type").write.parquet(f"{root}/{name}")
         time.sleep(0.02)  # file systems know times by the millisecond
-    return spark.createDataFrame([(shared.newest_folder(spark, root),)], "folder string")
+    newest = shared.newest_folder(spark, root)
+    return spark.read.parquet(f"{root}/{newest}").groupBy(F.lit(newest).alias("folder"), "event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, event_type <> 'click' AS deleted, event_type = 'click' AS there FROM (SELECT DISTINCT event_type FROM events)")

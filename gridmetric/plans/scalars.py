@@ -79,10 +79,11 @@ def hist_edge_bin(spark, sf):
     return histogram(X.pxw(spark, sf, "scene", "p_1"), ["scene"], "p_1", _EDGES).withColumn("bin", F.col("bin").cast("long"))
 
 
-@query("SELECT l AS lat, round(abs(111412.84 * cos(radians(l)) - 93.5 * cos(3 * radians(l))), 6) AS m_lon, round(abs(111132.92 - 559.82 * cos(2 * radians(l)) + 1.175 * cos(4 * radians(l))), 6) AS m_lat FROM (SELECT CAST(unnest(range(-80, 81, 5)) AS DOUBLE) AS l)")
+@query("SELECT event_id, l AS lat, round(abs(111412.84 * cos(radians(l)) - 93.5 * cos(3 * radians(l))), 6) AS m_lon, round(abs(111132.92 - 559.82 * cos(2 * radians(l)) + 1.175 * cos(4 * radians(l))), 6) AS m_lat FROM (SELECT event_id, CAST(event_id * 37 % 16000 - 8000 AS DOUBLE) / 100 AS l FROM events)")
 def meters_per_degree(spark, sf):
+    """Metres of a degree at a latitude of each event."""
     lon, lat = S.meters_per_degree("lat")
-    return spark.range(-80, 81, 5).select(F.col("id").cast("double").alias("lat")).select("lat", F.round(lon, 6).alias("m_lon"), F.round(lat, 6).alias("m_lat"))
+    return X.log(spark, sf).select("event_id", ((F.col("event_id") * 37 % 16000 - 8000).cast("double") / 100).alias("lat")).select("event_id", "lat", F.round(lon, 6).alias("m_lon"), F.round(lat, 6).alias("m_lat"))
 
 
 @query(f"WITH {PXW_SQL} SELECT scene, pix, round(10.0 * (pix % 100 + 0.5) + 110.0, 6) AS x, round(-10.0 * (pix // 100 + 0.5) - 6.5, 6) AS y FROM pxw")
@@ -92,9 +93,16 @@ def affine_xy(spark, sf):
     return grid.select("scene", "pix", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@query("SELECT i AS t_idx, round(i * 0.01, 10) AS threshold FROM (SELECT CAST(unnest(range(0, 101)) AS INT) AS i)")
+@query(f"WITH {PXV_SQL}, t AS (SELECT i AS t_idx, round(i * 0.01, 10) AS threshold FROM (SELECT CAST(unnest(range(0, 101)) AS INT) AS i)) SELECT t_idx, threshold, count(*) FILTER (p_1 > threshold) AS n_above FROM t, pxv GROUP BY ALL")
 def threshold_grid(spark, sf):
-    return spark.createDataFrame(list(enumerate(S.threshold_grid(0.0, 1.0, 0.01))), "t_idx int, threshold double")
+    """The grid of thresholds, and how many of a member's scores lie above each: of scores that pass k thresholds, above the first k."""
+    from gridmetric.operators.sweep import passed
+
+    grid = S.threshold_grid(0.0, 1.0, 0.01)
+    known = spark.createDataFrame(list(enumerate(grid)), "t_idx int, threshold double")
+    counts = X.pxw_valid(spark, sf, "p_1").groupBy(passed("p_1", grid).alias("k")).agg(F.count("*").alias("n"))  # a row a threshold at most
+    above = F.coalesce(F.sum(F.when(F.col("k") > F.col("t_idx"), F.col("n"))), F.lit(0)).alias("n_above")
+    return known.crossJoin(F.broadcast(counts)).groupBy("t_idx", F.round("threshold", 10).alias("threshold")).agg(above)
 
 
 @query(f"WITH {PXW_SQL} SELECT scene, count(*) AS n, count(*) FILTER (isfinite(vv) AND isfinite(vh)) AS n_finite FROM pxw GROUP BY scene")

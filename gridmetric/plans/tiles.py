@@ -74,10 +74,10 @@ def tta_mean(spark, sf):
 _W = "greatest(0.5 - 0.5 * cos(2 * pi() * k / 7), 0.05) / (SELECT max(greatest(0.5 - 0.5 * cos(2 * pi() * q / 7), 0.05)) FROM (SELECT unnest(range(0, 8)) AS q))"
 
 
-@query(f"WITH w AS (SELECT CAST(k AS INT) AS k, {_W} AS w FROM (SELECT unnest(range(0, 8)) AS k)) SELECT a.k AS i, b.k AS j, round(a.w * b.w, 9) AS w FROM w a, w b")
+@query(f"WITH {_PIX}, w AS (SELECT CAST(k AS INT) AS k, {_W} AS w FROM (SELECT unnest(range(0, 8)) AS k)) SELECT tile_id, i, j, round(a.w * b.w, 9) AS w FROM pix JOIN w a ON a.k = i JOIN w b ON b.k = j")
 def blend_weights(spark, sf):
-    grid = spark.range(64).selectExpr("CAST(id div 8 AS INT) AS i", "CAST(id % 8 AS INT) AS j")
-    return grid.select("i", "j", F.round(tiles.weight("i", "j", 8, 8), 9).alias("w"))
+    """The weight of each pixel of each tile."""
+    return pixels(spark, sf).select("tile_id", "i", "j", F.round(tiles.weight("i", "j", 8, 8), 9).alias("w"))
 
 
 _STITCH = f"{_PIX}, w AS (SELECT CAST(k AS INT) AS k, {_W} AS w FROM (SELECT unnest(range(0, 8)) AS k)), st AS (SELECT y0 + i AS r, x0 + j AS c, sum(v * a.w * b.w) / sum(a.w * b.w) AS p FROM pix JOIN w a ON a.k = i JOIN w b ON b.k = j GROUP BY ALL)"
@@ -138,8 +138,11 @@ def _canvas(spark, sf):
     return tiles.stitch_weighted(pixels(spark, sf), 8).withColumn("scene", F.lit(0))
 
 
-def _segments_sql() -> str:
-    """Marching squares at level 0: points on the top (T), left (L), bottom (B) and right side (S) of a cell, and the segments between them by case."""
+_SCENE_STITCH = f"{_PIX}, w AS (SELECT CAST(k AS INT) AS k, {_W} AS w FROM (SELECT unnest(range(0, 8)) AS k)), st AS (SELECT scene, y0 + i AS r, x0 + j AS c, sum(v * a.w * b.w) / sum(a.w * b.w) AS p FROM pix JOIN w a ON a.k = i JOIN w b ON b.k = j GROUP BY ALL)"
+
+
+def _segments_sql(stitched: str = _STITCH, by: str = "") -> str:
+    """Marching squares at level 0, a scene at a time with by = "scene, ": points on the top (T), left (L), bottom (B) and right side (S) of a cell, and the segments between them by case."""
     points = {"T": ("c + a / (a - b)", "r", "2 * r", "2 * c + 1"), "L": ("c", "r + a / (a - d)", "2 * r + 1", "2 * c"), "B": ("c + d / (d - e)", "r + 1", "2 * r + 2", "2 * c + 1"), "S": ("c + 1", "r + b / (b - e)", "2 * r + 1", "2 * c + 2")}
     cases = {1: ["LT"], 2: ["TS"], 3: ["LS"], 4: ["SB"], 6: ["TB"], 7: ["LB"], 8: ["BL"], 9: ["BT"], 11: ["BS"], 12: ["SL"], 13: ["ST"], 14: ["TL"]}
     saddles = {(5, True): ["LB", "ST"], (5, False): ["LT", "SB"], (10, True): ["TL", "BS"], (10, False): ["TS", "BL"]}
@@ -147,10 +150,10 @@ def _segments_sql() -> str:
     segment = lambda s: f"{{'s': {edge(s[0])}, 'e': {edge(s[1])}, 'len': sqrt(pow({points[s[1]][0]} - ({points[s[0]][0]}), 2) + pow({points[s[1]][1]} - ({points[s[0]][1]}), 2))}}"
     when = [f"WHEN code = {k} THEN [{', '.join(map(segment, v))}]" for k, v in cases.items()]
     when += [f"WHEN code = {k} AND {'' if high else 'NOT '}high THEN [{', '.join(map(segment, v))}]" for (k, high), v in saddles.items()]
-    return f"""{_STITCH}, rw AS (SELECT r, c, p AS a, CASE WHEN lead(c) OVER o = c + 1 THEN lead(p) OVER o END AS b FROM st WINDOW o AS (PARTITION BY r ORDER BY c)),
-ce AS (SELECT r, c, a, b, CASE WHEN lead(r) OVER o = r + 1 THEN lead(a) OVER o END AS d, CASE WHEN lead(r) OVER o = r + 1 THEN lead(b) OVER o END AS e FROM rw WINDOW o AS (PARTITION BY c ORDER BY r)),
+    return f"""{stitched}, rw AS (SELECT {by}r, c, p AS a, CASE WHEN lead(c) OVER o = c + 1 THEN lead(p) OVER o END AS b FROM st WINDOW o AS (PARTITION BY {by}r ORDER BY c)),
+ce AS (SELECT {by}r, c, a, b, CASE WHEN lead(r) OVER o = r + 1 THEN lead(a) OVER o END AS d, CASE WHEN lead(r) OVER o = r + 1 THEN lead(b) OVER o END AS e FROM rw WINDOW o AS (PARTITION BY {by}c ORDER BY r)),
 cd AS (SELECT *, (a > 0)::INT + 2 * (b > 0)::INT + 4 * (e > 0)::INT + 8 * (d > 0)::INT AS code, (a + b + d + e) / 4 > 0 AS high FROM ce WHERE b IS NOT NULL AND d IS NOT NULL AND e IS NOT NULL),
-sg AS (SELECT unnest(CASE {' '.join(when)} END, recursive := true) FROM cd WHERE code NOT IN (0, 15))"""
+sg AS (SELECT {by}unnest(CASE {' '.join(when)} END, recursive := true) FROM cd WHERE code NOT IN (0, 15))"""
 
 
 def _chains_sql(rounds: int = 18) -> str:
@@ -251,11 +254,19 @@ def seeded_shuffle(spark, sf):
     return shuffle(X.chips(spark, sf).select("tile_id"), "tile_id", 42)
 
 
-@query(f"WITH {CHIP_SQL} SELECT DISTINCT scene, CASE WHEN scene % 3 = 0 THEN 'skip' ELSE 'would_extract' END AS action FROM chip")
+@query(f"WITH {_segments_sql(_SCENE_STITCH, 'scene, ')} SELECT scene, CASE WHEN scene % 3 = 0 THEN 'skip' ELSE 'extract' END AS action, count(s) AS n_segments, round(coalesce(sum(len), 0), 4) AS total_length FROM (SELECT DISTINCT scene FROM chip) LEFT JOIN sg USING (scene) GROUP BY scene")
 def contour_batches(spark, sf):
-    """What a dry run of the extraction would do with each scene; every third is there already."""
-    scenes = X.chips(spark, sf).select("scene").distinct()
-    return geometry.batch_status(scenes, scenes.where("scene % 3 = 0"), dry_run=True)
+    """Contours of each scene's own canvas, extracted in batches. Every third scene was extracted before, and is skipped by the run over all."""
+    from gridmetric.sources.shared import scratch_folder
+
+    chips = X.chips(spark, sf)
+    canvas = tiles.stitch_weighted(tiles.tile_pixels(chips, 8), 8, keys=("scene",))
+    root = scratch_folder(spark, "contours")
+    chaining.extract_contours(canvas.where("scene % 3 = 0"), root, 0.0)
+    status = chaining.extract_contours(canvas, root, 0.0)
+    lines = spark.read.parquet(f"{root}/lines").groupBy("scene").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return status.join(lines, "scene", "left").select("scene", "action", zero(F.col("n")).alias("n_segments"), F.round(zero(F.col("length")), 4).alias("total_length"))
 
 
 @query(f"WITH {CHIP_SQL} SELECT tile_id, round(list_sum(list_transform(vals, lambda m: 1 / (1 + exp(-m)))), 6) AS total FROM chip")

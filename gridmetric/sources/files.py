@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gridmetric.schemas import require_columns
@@ -98,21 +99,38 @@ def geojson_lines(contours: DataFrame) -> DataFrame:
     return contours.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*props).alias("properties"), geometry.alias("geometry"))).alias("value"))
 
 
+def content_sums(df: DataFrame) -> list[Column]:
+    """Number of rows and two sums of hashes over all columns, which don't depend on the order of rows; what is written and what is read agree in them
+    unless a value, its column or a row's number of copies differs (but for a chance of about 2 ** -64)."""
+    kept = lambda f: F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    columns = [kept(f) for f in df.schema.fields]
+    each = [F.xxhash64(F.lit(seed), *columns, *[F.isnull(c) for c in columns]).cast("decimal(38,0)") for seed in (1, 2)]
+    return [F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias(f"h{k}") for k, h in enumerate(each)]]
+
+
 def validated_copy(df: DataFrame, path: str, source: str | None = None) -> int:
-    """Writes, reads again and compares counts and columns; returns the count. The source folder, if named, goes only after that.
+    """Writes, reads again and compares columns, their types and the content of all rows; returns the count. The source folder, if named, goes only after
+    that.
 
-    Spark writes to a temporary name and renames it when all tasks are done, so a failed copy leaves nothing under the final one.
+    The copy is written beside the path, summed up while it is written, and renamed once it has been read again and agrees: until then the path, the
+    source and what the path held before stay as they are.
     """
-    df.write.mode("overwrite").parquet(path)
-    back = df.sparkSession.read.parquet(path)
-    n, m = df.count(), back.count()
-    if n != m or back.columns != df.columns:
-        raise ValueError(f"{path}: {m} rows were written of {n}")
+    from gridmetric.sources.shared import clean_up, rename
+
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.part"
+    seen = Observation()
+    df.observe(seen, *content_sums(df)).write.parquet(beside)
+    want = seen.get
+    back = spark.read.parquet(beside)
+    got = back.agg(*content_sums(back)).first().asDict()
+    types = lambda d: [(f.name, f.dataType.simpleString()) for f in d.schema.fields]
+    if got != want or types(back) != types(df):
+        clean_up(spark, [beside])
+        raise ValueError(f"{path}: {got['n']} rows were written of {want['n']}" if got["n"] != want["n"] else f"{path}: what was written differs from the source")
+    rename(spark, beside, path)
     if source is not None:
-        from gridmetric.sources.shared import clean_up
-
-        clean_up(df.sparkSession, [source])
-    return n
+        clean_up(spark, [source])
+    return want["n"]
 
 
 def json_safe(value) -> str:

@@ -78,6 +78,16 @@ def clean_up(spark: SparkSession, patterns: list[str], dry_run: bool = False) ->
     return spark.createDataFrame(rows, "pattern string, path string, existed boolean, deleted boolean, bytes long")
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Gives a file or folder another name, in place of what had it."""
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(new, True)
+    if not fs.rename(old, new):
+        raise OSError(f"{path} can't be renamed to {to}")
+
+
 def freed_bytes(report: DataFrame) -> DataFrame:
     return report.agg(F.coalesce(F.sum(F.when(F.col("deleted"), F.col("bytes"))), F.lit(0)).alias("freed"))
 

@@ -131,3 +131,22 @@ def test_stored_rasters_meet_without_an_exchange(spark):
                     continue
                 want[k, at[0], at[1]] = (a, b) if mask is None else (a, b, 0.0 if np.isnan(m) else m)
         assert got == want
+
+
+def test_windows_of_another_raster(spark):
+    a = np.arange(77.0).reshape(7, 11)
+    a[2, 3] = np.nan
+    grid = _grid(spark, {0: a, 1: a + 100}, 4)
+    window = lambda *rows: spark.createDataFrame(list(rows), "scene int, row_off int, col_off int, height int, width int")
+    read = lambda w, **o: blocks.block_pixels(blocks.read_window(grid, w, 4, "p", **o), 4, "p").collect()
+    got = read(window((0, 1, 2, 5, 7), (1, 3, 0, 2, 11), (5, 0, 0, 2, 2)))
+    np.testing.assert_array_equal(_whole(got, (5, 7)), a[1:6, 2:9])
+    np.testing.assert_array_equal(_whole(got, (2, 11), 1), a[3:5] + 100)
+    assert {r.scene for r in got} == {0, 1}
+    for row, col, h, w in ((-2, -3, 12, 17), (5, 9, 6, 6), (-9, 0, 5, 5), (20, 20, 3, 9)):
+        far = np.full((60, 60), -1.0)
+        far[20:27, 20:31] = a
+        got = read(window((0, row, col, h, w)), boundless=True, fill=-1.0)
+        np.testing.assert_array_equal(_whole(got, (h, w)), far[20 + row : 20 + row + h, 20 + col : 20 + col + w])
+    with pytest.raises(Exception, match="isn't within its raster"):
+        read(window((0, 5, 0, 5, 5)))
