@@ -6,6 +6,7 @@ from gridmetric.operators import blocks, overlay, ranking, sampling
 from gridmetric.plans.registry import query
 from gridmetric.sources import fixtures as X
 from gridmetric.sources.fixtures import PXV_SQL, PXW_SQL
+from gridmetric.sources.shared import Tables
 
 
 def _rasters(spark, sf):
@@ -18,24 +19,28 @@ def _rasters(spark, sf):
 BLOCK, BUCKETS = 64, 8
 
 
-def _stored(spark, sf):
-    """The three rasters in blocks of one grid, each written once."""
-    ref, pred, mask = _rasters(spark, sf)
-    sizes = blocks.scene_sizes(X.with_grid(X.pxw(spark, sf, "scene", "pix")))
-    return [blocks.store_blocks(blocks.raster_blocks(x, sizes, BLOCK, v), BUCKETS) for x, v in ((ref, "ref"), (pred, "p_0"), (mask, "msk"))]
+def _stored(spark, sf, *bands):
+    """Rasters of the bands in blocks of one grid, each stored for itself. Pixels that a band lacks are null."""
+    there = {"ref": "pix % 11 <> 0", "p_0": "pix % 13 <> 0", "msk": "pix % 5 <> 0"}
+    grid = X.with_grid(X.pxw(spark, sf, "scene", "pix", *bands))
+    pixels = grid.select("scene", "r", "c", *[F.when(F.expr(there[b]), F.col(b)).alias(b) for b in bands])
+    n = X.pxw(spark, sf, "scene").groupBy("scene").count()  # a scene's pixels fill rows of 100
+    sizes = n.selectExpr("scene", "CAST((count - 1) div 100 + 1 AS INT) AS height", "CAST(least(count, 100) AS INT) AS width")
+    dealt = Tables(spark, "grid").keep(blocks.raster_blocks(pixels, sizes, BLOCK, *bands))
+    return [blocks.store_blocks(dealt.select("scene", "by", "bx", "height", "width", b), BUCKETS) for b in bands]
 
 
 @query(f"WITH {PXW_SQL} SELECT scene, CAST(pix // 100 AS INT) AS r, CAST(pix % 100 AS INT) AS c, ref, p_0 FROM pxw WHERE pix % 11 <> 0 AND pix % 13 <> 0")
 def overlay_inner(spark, sf):
     """Reference and prediction, stored by scene and block, meet block by block without an exchange."""
-    ref, pred, _ = _stored(spark, sf)
+    ref, pred = _stored(spark, sf, "ref", "p_0")
     return blocks.overlay_blocks(ref, pred, BLOCK, values=("ref", "p_0"))
 
 
 @query(f"WITH {PXW_SQL} SELECT scene, CAST(pix // 100 AS INT) AS r, CAST(pix % 100 AS INT) AS c, ref, p_0, CASE WHEN pix % 5 = 0 THEN 0 ELSE msk END AS msk FROM pxw WHERE pix % 11 <> 0 AND pix % 13 <> 0")
 def overlay_mask_left(spark, sf):
     """The same with a mask, which reads 0 where it has no pixel."""
-    ref, pred, mask = _stored(spark, sf)
+    ref, pred, mask = _stored(spark, sf, "ref", "p_0", "msk")
     return blocks.overlay_blocks(ref, pred, BLOCK, mask, ("ref", "p_0"), boundless=True)
 
 
