@@ -123,7 +123,8 @@ class RawTileWriter(DataSourceArrowWriter):
     """Writes rows as records, in the order of partitions and their rows: a file a task and run of rows of one split.
 
     A task writes under names of its own attempt, so that repeated and concurrent attempts never share a file; commit renames the files of those that
-    count, and what other attempts have left goes with the temporary folder.
+    count, and what other attempts have left goes with the job's temporary folder. An attempt that is killed after its job was aborted can leave files
+    there, which no reader takes.
     """
 
     def __init__(self, options: dict, overwrite: bool):
@@ -159,9 +160,13 @@ class RawTileWriter(DataSourceArrowWriter):
                         files.append((f"{own}/{len(files)}", now or ""))
                         stream = store.open_output_stream(files[-1][0])
                     stream.write(np.ascontiguousarray(block[a:b]).tobytes())
-        finally:
+        except BaseException:
             if stream is not None:
                 stream.close()
+                store.delete_dir(own)
+            raise
+        if stream is not None:
+            stream.close()
         return Written(TaskContext.get().partitionId(), files)
 
     def commit(self, messages: list) -> None:
