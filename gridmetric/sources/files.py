@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmetric.schemas import require_columns
@@ -112,15 +112,14 @@ def validated_copy(df: DataFrame, path: str, source: str | None = None) -> int:
     """Writes, reads again and compares columns, their types and the content of all rows; returns the count. The source folder, if named, goes only after
     that.
 
-    The copy is written beside the path, summed up while it is written, and renamed once it has been read again and agrees: until then the path, the
-    source and what the path held before stay as they are.
+    The copy is written beside the path and renamed once it has been read again and agrees with the source, whose sums are taken from the source itself:
+    until then the path, the source and what the path held before stay as they are.
     """
     from gridmetric.sources.shared import clean_up, rename
 
     spark, beside = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.part"
-    seen = Observation()
-    df.observe(seen, *content_sums(df)).write.parquet(beside)
-    want = seen.get
+    df.write.parquet(beside)
+    want = df.agg(*content_sums(df)).first().asDict()
     back = spark.read.parquet(beside)
     got = back.agg(*content_sums(back)).first().asDict()
     types = lambda d: [(f.name, f.dataType.simpleString()) for f in d.schema.fields]
