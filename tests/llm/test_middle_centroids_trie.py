@@ -212,6 +212,7 @@ def test_prefixes_are_shared_and_the_trie_is_bounded(coded, monkeypatch):
 
 def test_words_are_forgotten_by_generations(coded, monkeypatch):
     monkeypatch.setattr(triebpe, "WORDS", 20)
+    coded[0].young, coded[0].old = {}, {}
     rng = random.Random(6)
     for _ in range(30):
         _compare(coded, [" ".join(rng.choice(["hello", "there", f"w{rng.randint(0, 99)}", "ab" * rng.randint(1, 9)]) for _ in range(30)) for _ in range(5)])
