@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,27 @@ def rank_all(df: DataFrame, order, name: str = "rank") -> DataFrame:
     return dealt.join(F.broadcast(first), "_range").withColumn(name, (F.col("_first") + own).cast("int")).drop("_range", "_first")
 
 
+def number_within(df: DataFrame, group: Column, order, name: str, ranges: int = 256) -> DataFrame:
+    """Row numbers from 0 within groups, of which no task has a whole one; the first column of the order is a number, nulls first.
+
+    Rows are dealt by ranges of that column, alike in all groups; each range of a group counts its own, and the ranges before it give its first
+    number. Where ranges end (approximate quantiles) decides how even they are, never a number. Rows that are equal in the first column stay together.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    key = F.col(order[0]).cast("double")
+    at = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 10 * ranges).alias("at")).first().at or [0.0]
+    ends = [float("-inf"), *sorted(set(at)), float("inf")]
+    keyed = df.withColumn("_group", group).withColumn("_key", F.coalesce(key, F.lit(float("-inf"))))
+    dealt = Bucketizer(splits=ends, inputCol="_key", outputCol="_range").transform(keyed).drop("_key")
+    counts = dealt.groupBy("_group", "_range").agg(F.count("*").alias("_n"))  # a row a range at most
+    first = counts.select("_group", "_range", (F.sum("_n").over(Window.partitionBy("_group").orderBy("_range")) - F.col("_n")).alias("_first"))
+    first = first.withColumnsRenamed({"_group": "_g", "_range": "_r"})
+    own = F.row_number().over(Window.partitionBy("_group", "_range").orderBy(*order))
+    numbered = dealt.withColumn("_own", own).join(F.broadcast(first), F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return numbered.withColumn(name, F.col("_first") + F.col("_own") - 1).drop("_group", "_range", "_g", "_r", "_first", "_own")
+
+
 def model_ranking(pairs: DataFrame, model: str, value: str, pixels: str, metadata: DataFrame) -> DataFrame:
     """model, n_pairs, total_pixels, the spread of the value, the metadata's columns (null for a model it lacks) and the rank by mean.
 

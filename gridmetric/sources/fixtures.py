@@ -6,6 +6,7 @@ Each adapter is integer arithmetic, written once as SQL text; only integer divis
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Multipliers of the members' pseudo-noise. Mechanism: A, B, C. Member: A, B, C, D, scale, mechanism.
 MECHANISMS = ((3571, 27644, 61), (5003, 62141, 67), (7333, 91193, 71))
@@ -25,9 +26,13 @@ def _p(k: int, div: str) -> str:
     return f"CAST(CASE WHEN l_returnflag = 'R' THEN {s} ELSE 0 END + (((3 * {g} + 2 * {h}) {div} 5) * {1000 - s}) {div} 1000 AS DOUBLE) / 1000"
 
 
+#: Order of a scene's pixels.
+PIXELS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+
+
 def pxw_columns(div: str, wanted=None) -> list[str]:
-    """SQL of the wide pixel table's columns over lineitem."""
-    pix = "(row_number() OVER (PARTITION BY year(l_shipdate) ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) - 1)"
+    """SQL of the wide pixel table's columns over lineitem; for Spark, over lineitem with pixels numbered already."""
+    pix = f"(row_number() OVER (PARTITION BY year(l_shipdate) ORDER BY {', '.join(PIXELS)}) - 1)" if div == "//" else "pix"
     cols = {
         "scene": "CAST(year(l_shipdate) AS INT)", "pix": f"CAST({pix} AS BIGINT)",
         "ref": "CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 ELSE 255 END", "msk": "CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END",
@@ -43,7 +48,12 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pxw(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
     """Wide pixel table: scene, pix, ref, msk, y, vv, vh, p_0 ... p_6 (or the wanted ones of them)."""
-    return lineitem(spark, sf_dir).selectExpr(*pxw_columns("div", wanted or None))
+    from gridmetric.operators.ranking import number_within
+
+    rows = lineitem(spark, sf_dir)
+    if not wanted or "pix" in wanted:
+        rows = number_within(rows, F.year("l_shipdate"), PIXELS, "pix")
+    return rows.selectExpr(*pxw_columns("div", wanted or None))
 
 
 def with_grid(df: DataFrame, width: int = 100) -> DataFrame:
