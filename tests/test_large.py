@@ -40,3 +40,31 @@ def test_no_task_numbers_a_whole_scene(spark, data, apart):
     rows = fixtures.pxw(spark, data, "scene", "pix").select(F.spark_partition_id().alias("p"), "scene", "pix").collect()
     held = Counter(r.p for r in rows)
     assert max(held.values()) < len(rows) / 14  # a scene has a seventh
+
+
+def test_extents_on_one_spot_are_dealt_over_tasks(spark, apart, monkeypatch):
+    from gridmetric.operators import overlay
+
+    monkeypatch.setattr(overlay, "PART", 32, raising=False)
+    rng = random.Random(5)
+    rows = [(k, rng.uniform(0, 1), rng.uniform(0, 1), rng.uniform(9, 10), rng.uniform(9, 10)) for k in range(400)]
+    rows += [(1000 + k, 100.0 * k, -5.0, 100.0 * k + rng.choice([1, 30, 4000]), 5.0) for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, left double, bottom double, right double, top double").repartition(4)
+    pairs = overlay.overlapping_extents(df).select(F.spark_partition_id().alias("p"), "a_k", "b_k", "left", "bottom", "right", "top").collect()
+    want = {}
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            box = (max(x[1], y[1]), max(x[2], y[2]), min(x[3], y[3]), min(x[4], y[4]))
+            if box[0] < box[2] and box[1] < box[3]:
+                want[x[0], y[0]] = box
+    assert len(pairs) == len(want) and {(r.a_k, r.b_k): (r.left, r.bottom, r.right, r.top) for r in pairs} == want
+    assert max(Counter(r.p for r in pairs).values()) < len(pairs) / 5
+
+
+def test_cells_are_sent_as_one_number_each(spark):
+    """The exchange of a wide table is the rows of its cells, so that their width is its size."""
+    from gridmetric.operators import overlay
+
+    df = spark.createDataFrame([(k, 10.0 * k, 0.0, 10.0 * k + 12, 1.0) for k in range(50)], "k long, left double, bottom double, right double, top double")
+    found = overlay.overlapping_extents(df)
+    assert "hashpartitioning(cell#" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 49
