@@ -30,8 +30,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held-out text of it, as they are in none of the languages. Shorter ones stay. Rows stand alone: repeated ids, ties and null ids change nothing.
     """
     samples = langid.learn_samples(docs)
-    limits = langid.learn_rate_limits(docs, samples, least=LETTERS)
-    judged = langid.identify(docs.select(*COLUMNS), samples).where(F.col("lang_pred") != "und")
+    judged = Scratch(spark, "language").keep(langid.identify(docs.select(*COLUMNS), samples), "judged")  # all rows are parsed once, for limits and result
+    limits = langid.rate_limits(judged, samples, least=LETTERS)
+    judged = judged.where(F.col("lang_pred") != "und")
     beyond = F.lit(False)
     for lang, most in sorted(limits.items()):
         beyond = beyond | ((F.col("lang_pred") == lang) & (F.col("phrase_rate") > most))

@@ -245,23 +245,34 @@ def _by_hash(own: DataFrame, first: int, last: int) -> list:
     return [r.id for r in own.select("id", "lang").withColumn("nth", F.row_number().over(rank)).where(F.col("nth").between(first, last)).select("id").collect()]
 
 
-def learn_rate_limits(
-    labelled: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 256, least: int = 40, slack: float = 2.5
-) -> dict[str, float]:
-    """The phrase rate beyond which a text isn't in its language: slack times the 95th percentile of docs_per_language rows that no sample holds.
+#: Parts of 1 in which phrase rates are counted.
+RATES = 10_000
 
-    A percentile, as a few of the rows may be in no language themselves.
 
-    The rows are bounded by the parameter, whatever the size of the table. Texts of fewer than `least` letters don't count; a language without any
-    other has no limit.
+def learn_rate_limits(labelled: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = 40, slack: float = 2.5) -> dict[str, float]:
+    """The phrase rate beyond which a text isn't in its language: rate_limits of all labelled rows, parsed for it."""
+    own = labelled.select(quoted(id_col).alias("id"), quoted(lang_col).alias("lang"), quoted(text_col).alias("text"))
+    return rate_limits(identify(own, samples, "id", "text"), samples, "id", "text", "lang", least, slack)
+
+
+def rate_limits(judged: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = 40, slack: float = 2.5) -> dict[str, float]:
+    """The phrase rate beyond which a text isn't in its language: slack times the 95th percentile of all rows that identify() gave their own label,
+    but for those of which samples were made.
+
+    A percentile, as a few of the rows may be in no language themselves. Rates are counted in parts of 1 / RATES, rounded up, so that the counts of
+    any number of rows are a small table. Texts of fewer than `least` letters don't count; a language without any other has no limit.
     """
-    own = labelled.select(quoted(id_col).alias("id"), quoted(lang_col).alias("lang"), quoted(text_col).alias("text")).dropna()
-    chosen = _by_hash(own, SAMPLE_DOCS + 1, SAMPLE_DOCS + docs_per_language)
+    own = judged.select(quoted(id_col).alias("id"), quoted(lang_col).alias("lang"), quoted(text_col).alias("text"), "lang_pred", "phrase_rate").dropna(subset=["id", "lang", "text"])
+    own = own.where(F.col("lang").isin(sorted(samples)))
+    chosen = _by_hash(own, 1, SAMPLE_DOCS)
     if not chosen or not samples:
         return {}
-    judged = identify(own.where(F.col("id").isin(chosen) & (letters(F.col("text")) >= least)), samples, "id", "text")
-    got = judged.where("lang = lang_pred").groupBy("lang").agg(F.percentile("phrase_rate", F.lit(0.95)).alias("rate")).collect()
-    return {r.lang: slack * r.rate for r in got}
+    held = own.where((F.col("lang") == F.col("lang_pred")) & ~F.col("id").isin(chosen) & (letters(F.col("text")) >= least))
+    counts = held.groupBy("lang", F.ceil(F.col("phrase_rate") * RATES).alias("rate")).count()
+    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("rate"))
+    ranked = counts.select("lang", "rate", upto.alias("upto"), F.sum("count").over(Window.partitionBy("lang")).alias("n"))
+    got = ranked.where(F.col("upto") * 100 >= F.col("n") * 95).groupBy("lang").agg(F.min("rate").alias("rate")).collect()
+    return {r.lang: slack * r.rate / RATES for r in got}
 
 
 def letters(text: Column) -> Column:
