@@ -1,7 +1,7 @@
 """Segments of iso-lines chained to contours, without a task that holds more than one block's segments or one run of them.
 
 Segments follow each other where one ends on the grid edge on which another begins; an edge begins and ends one segment at most. Each block of cells
-chains its own segments to runs. What runs form across blocks is found by pointer jumping: each run knows a run before it and how far that is, and
+chains its own segments to runs. Runs meet by exchanges, never by copies to all tasks, which the driver would gather. What runs form across blocks is found by pointer jumping: each run knows a run before it and how far that is, and
 asks it for its own, so that the distance doubles from round to round. Rings, which have no first run, are cut at the least edge of all their segments.
 """
 
@@ -79,7 +79,7 @@ def _jump(tables: Tables, nodes: DataFrame, keys: list[str]) -> DataFrame:
     while True:
         there = nodes.select(*keys, F.col("s").alias("ptr"), *[F.col(c).alias(f"_{c}") for c in ("ptr", "dist", "least", "done")])
         low = F.least("least", "_least")
-        moved = nodes.join(there, [*keys, "ptr"]).select(
+        moved = nodes.join(there.hint("merge"), [*keys, "ptr"]).select(
             *keys, "s", F.col("_ptr").alias("ptr"), (F.col("dist") + F.col("_dist")).alias("dist"), low.alias("least"), F.col("_done").alias("done"),
             ((F.col("done") != F.col("_done")) | (low != F.col("least"))).alias("changed"))
         after = tables.keep(moved)
@@ -104,14 +104,14 @@ def contour_parts(segments: DataFrame, keys=("scene",), block: int = BLOCK) -> D
     def linked(runs: DataFrame, cut: Column) -> DataFrame:
         """Each run with the run that ends where it begins, or itself where there is none or it is cut there."""
         ends = runs.select(*keys, F.col("e").alias("s"), F.col("s").alias("before"))
-        both = runs.withColumn("cut", cut).select(*keys, "s", "e", "least", "cut").join(ends, [*keys, "s"], "left").withColumn("first", F.col("before").isNull() | (F.col("before") == F.col("s")) | F.col("cut"))
+        both = runs.withColumn("cut", cut).select(*keys, "s", "e", "least", "cut").join(ends.hint("merge"), [*keys, "s"], "left").withColumn("first", F.col("before").isNull() | (F.col("before") == F.col("s")) | F.col("cut"))
         return both.select(*keys, "s", F.when(F.col("first"), F.col("s")).otherwise(F.col("before")).alias("ptr"), F.when(F.col("first"), 0).otherwise(1).cast("long").alias("dist"), "least", F.col("first").alias("done"))
 
     placed = _jump(tables, tables.keep(linked(runs, F.lit(False))), keys)
     if placed.where("NOT done").limit(1).count():  # rings over several blocks
         ring = placed.where("NOT done").select(*keys, "s", F.col("least").alias("ring_least"))
         here = F.col("least") == F.col("ring_least")
-        own = runs.join(ring, [*keys, "s"], "left").withColumn("split", F.coalesce(here & (F.col("least_at") > 0), F.lit(False)))
+        own = runs.join(ring.hint("merge"), [*keys, "s"], "left").withColumn("split", F.coalesce(here & (F.col("least_at") > 0), F.lit(False)))
         # The run that holds the ring's least edge is parted there; lengths of its parts follow from their vertices.
         ends = lambda a, n: F.slice("vertices", a, n)
         at = F.col("least_at").cast("int")
@@ -121,7 +121,7 @@ def contour_parts(segments: DataFrame, keys=("scene",), block: int = BLOCK) -> D
         parted = own.withColumn("p", F.explode(F.when(F.col("split"), F.array(back, front)).otherwise(F.array(whole))))
         runs = tables.keep(parted.select(*keys, "p.s", "p.e", "p.n", F.when(F.col("split"), _length(F.col("p.vertices"))).otherwise(F.col("length")).alias("length"), "p.vertices", "least", F.coalesce(F.col("p.s") == F.col("ring_least"), F.lit(False)).alias("cut")))
         placed = _jump(tables, tables.keep(linked(runs, F.col("cut"))), keys)
-    return runs.join(placed.select(*keys, "s", F.col("ptr").alias("contour_id"), F.col("dist").alias("part")), [*keys, "s"]).select(*keys, "contour_id", "part", "s", "e", "n", "length", "vertices")
+    return runs.join(placed.select(*keys, "s", F.col("ptr").alias("contour_id"), F.col("dist").alias("part")).hint("merge"), [*keys, "s"]).select(*keys, "contour_id", "part", "s", "e", "n", "length", "vertices")
 
 
 def _length(v: Column) -> Column:

@@ -68,3 +68,13 @@ def test_cells_are_sent_as_one_number_each(spark):
     df = spark.createDataFrame([(k, 10.0 * k, 0.0, 10.0 * k + 12, 1.0) for k in range(50)], "k long, left double, bottom double, right double, top double")
     found = overlay.overlapping_extents(df)
     assert "hashpartitioning(cell#" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 49
+
+
+def test_runs_of_contours_meet_without_the_driver(spark):
+    from gridmetric.operators import chaining
+
+    rows = [(1, 0, c, c, c + 1, float(c), 0.0, float(c + 1), 0.0) for c in range(40)]
+    segments = spark.createDataFrame(rows, "scene int, r int, c int, e1 long, e2 long, x1 double, y1 double, x2 double, y2 double")
+    parts = chaining.contour_parts(segments, block=8)
+    assert "BroadcastHashJoin" not in parts._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.contour_id, r.part, r.n) for r in parts.collect()) == [(0, k, 8) for k in range(5)]
