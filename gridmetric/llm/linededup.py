@@ -5,12 +5,14 @@ document and line number. Distinct sets meet under their rarest tokens (prefix f
 overlap; the Jaccard of the whole sets is verified. A line goes when an earlier line is similar, whether that one stays or not.
 
 Rarity is the count of a token's hash bucket over all lines, so its table has a fixed size; any fixed order keeps the join exact.
-Of a long list under one token, each member meets the list's earliest members under one of its tokens first, and only lines without a
-match so far go through the whole list. Texts are split again for the words of those lines alone that the filters leave.
+Lists of more than about SAMPLE * OFTEN members under one token come first: each member meets the list's earliest members under one of its
+tokens, and only lines without a match so far go through whole lists, so that a group of similar lines doesn't make a row for each pair.
+Texts are split again for the words of those lines alone that the filters leave.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,7 +22,7 @@ from gridmetric.llm.common import Scratch, quoted, table
 
 #: Hash buckets of token counts; members in a sample of one line in SAMPLE at which a token's list is long; leaders of a long list; rows that may
 #: be broadcast.
-BUCKETS, SAMPLE, OFTEN, LEADERS, SMALL = 1 << 18, 16, 64, 16, 20_000
+BUCKETS, SAMPLE, OFTEN, LEADERS, SMALL = 1 << 18, 16, 32, 16, 20_000
 #: Words of the bitmap.
 BITMAP = ("s1", "s2")
 #: Least and greatest size, as a power of two of bits, of the map of lines whose words are needed for verification (8 MB at most).
@@ -64,7 +66,7 @@ def token_sets(lines: DataFrame, level: list[int], percent: int) -> DataFrame:
     """Each distinct token set where it occurs first: id, at, n (tokens), bitmap (s1, s2), prefix (rarest tokens as numbers)."""
     lookup = F.split(F.lit(",".join(map(str, level))), ",").cast("array<tinyint>")
     # A token is its bucket's level and then the rest of its hash, so that numbers sort by rarity.
-    rank = lambda h: F.coalesce(F.get(lookup, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint")).cast("long")
+    rank = lambda h: F.get(lookup, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
     key = lambda h: F.shiftleft(rank(h), 53).bitwiseOR(F.shiftrightunsigned(h, 11))
     keyed = lines.select("id", "at", F.sort_array(F.transform(hashed_words(F.col("line")), key)).alias("keys")).withColumn("n", F.size("keys"))
     # Parities of the tokens on 64 places, for two halves of all tokens.
@@ -112,12 +114,10 @@ def _pair() -> list[Column]:
     return [F.col(f"{x}.{c}").alias(c + x) for x in "ab" for c in ("id", "at")]
 
 
-def _listed_pairs(left: DataFrame, right: DataFrame, percent: int, once: bool = False) -> DataFrame:
-    """Pairs of an a of the left list that is earlier than a b of the right one, under one key; with once, under the first key that their prefixes
-    share."""
-    first = (F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.key")) if once else F.lit(True)
+def _listed_pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Pairs of an a of the left list that is earlier than a b of the right one, under one key."""
     sizes = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
-    return left.alias("a").join(right.alias("b"), (F.col("a.key") == F.col("b.key")) & sizes & _close(percent) & _earlier() & first).select(*_pair())
+    return left.alias("a").join(right.alias("b"), (F.col("a.key") == F.col("b.key")) & sizes & _close(percent) & _earlier()).select(*_pair())
 
 
 def _short_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -134,9 +134,14 @@ def _short_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return met.select(*turned)
 
 
-def _kept_pairs(entries: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The written pairs under all keys of the entries, by shares of the keys; a pair may stand in each of them."""
-    kept = [scratch.keep(_short_pairs(entries.where(F.pmod("key", F.lit(SHARES)) == k), percent).distinct(), "pairs") for k in range(SHARES)]
+def _kept_pairs(pairs_of: Callable[[Column], DataFrame], scratch: Scratch, gone: DataFrame | None = None) -> DataFrame:
+    """The written pairs of shares of the keys (pairs_of: a condition on key), but for those whose b is gone; a pair may stand in each share."""
+    kept = []
+    for k in range(SHARES):
+        met = pairs_of(F.pmod("key", F.lit(SHARES)) == k)
+        if gone is not None:
+            met = met.join(gone.select(F.col("id").alias("idb"), F.col("at").alias("atb")), ["idb", "atb"], "left_anti").select(*PAIR)
+        kept.append(scratch.keep(met.distinct(), "pairs"))
     return reduce(DataFrame.union, kept)
 
 
@@ -192,23 +197,21 @@ def later_matches(docs: DataFrame, scratch: Scratch, percent: int, id_col: str,
     long = scratch.keep(some.groupBy("key").count().where(F.col("count") >= OFTEN).select("key"), "long")
     n_long = long.count()
     if not n_long:
-        return sets, _matched(_kept_pairs(entries, percent, scratch), lines, percent, scratch)
+        return sets, _matched(_kept_pairs(lambda share: _short_pairs(entries.where(share), percent), scratch), lines, percent, scratch)
     marked = F.broadcast(long) if n_long <= SMALL else long
-    own = joins.select("*", F.posexplode("prefix").alias("pos", "key"))
-    lists = scratch.keep(own.join(marked, "key"), "lists")
+    lists = scratch.keep(entries.join(marked, "key"), "lists")
     # A member's least key comes with its least position, as prefixes are in order.
     one = lists.groupBy("id", "at", "n", *BITMAP).agg(F.min("key").alias("key"), F.min("pos").alias("pos"))
     first = F.min(F.struct("id", "at", "n", *BITMAP, "pos")).alias("x")
     leaders = one.groupBy("key", F.pmod(F.xxhash64("id", "at"), F.lit(LEADERS)).alias("c")).agg(first).select("key", "x.*")
     led = scratch.keep(_listed_pairs(leaders, one, percent).distinct(), "led")
-    pairs = _kept_pairs(entries.join(marked, "key", "left_anti"), percent, scratch).union(led)
-    gone = scratch.keep(_matched(pairs, lines, percent, scratch).distinct(), "gone")
-    rest = scratch.keep(_listed_pairs(lists, lists.join(gone, ["id", "at"], "left_anti"), percent, once=True).distinct(), "rest")
+    gone = scratch.keep(_matched(led, lines, percent, scratch).distinct(), "gone")
+    short = entries.join(marked, "key", "left_anti")
+    left = lists.join(gone, ["id", "at"], "left_anti")
+    pairs = _kept_pairs(lambda share: _short_pairs(short.where(share), percent), scratch, gone)
+    rest = _kept_pairs(lambda share: _listed_pairs(lists.where(share), left.where(share), percent), scratch)
     scratch.drop(lists)
-    if not rest.isEmpty():
-        gone = gone.union(_matched(rest, lines, percent, scratch)).distinct()
-    scratch.drop(rest)
-    return sets, gone
+    return sets, gone.union(_matched(pairs.union(rest), lines, percent, scratch)).distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", min_chars: int | None = None) -> DataFrame:

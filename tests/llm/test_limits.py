@@ -20,3 +20,24 @@ def test_rate_limits_count_every_row_but_those_of_samples(spark):
         rates = sorted(math.ceil(r.phrase_rate * langid.RATES) for r in judged if r.lang == lang)
         want[lang] = 2.5 * rates[math.ceil(len(rates) * 95 / 100) - 1] / langid.RATES
     assert len(judged) > 2 * 256 and langid.learn_rate_limits(docs, samples) == want
+
+
+def test_a_group_of_similar_lines_makes_few_pairs(spark, monkeypatch):
+    """900 lines that are alike but for one word of forty: every later one goes, without a row for each two of them."""
+    from gridmetric.llm import linededup
+
+    made = []
+
+    class Counted(linededup.Scratch):
+        def keep(self, df, name="t"):
+            out = super().keep(df, name)
+            if name in ("pairs", "led", "rest"):
+                made.append(out.count())
+            return out
+
+    monkeypatch.setattr(linededup, "Scratch", Counted)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(k, " ".join([*words[: k % 40], f"x{k}", *words[k % 40 + 1 :]])) for k in range(900)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "removed").collect()
+    assert sorted(r.doc_id for r in got if not r.removed) == [0]
+    assert sum(made) < 50 * len(rows)
