@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from gridmetric.functions.scalar import linspace, threshold_probability
 from gridmetric.operators.auc import curves_of
@@ -287,16 +287,20 @@ def logistic_stacker(wide: DataFrame, scores: list[str], scene: str = "scene", c
     """scene, y, p of a logistic regression on the members' scores, trained on a bounded hash sample of the other scenes, one fit a scene."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
     from gridmetric.operators.sampling import subsample
 
-    data = VectorAssembler(inputCols=scores, outputCol="features").transform(wide)
-    out = None
-    for held in sorted(r[0] for r in wide.select(scene).distinct().collect()):
-        train = subsample(data.where(F.col(scene) != held), (scene,), scores, per_scene, seed).persist()
-        model = LogisticRegression(labelCol="y", regParam=1.0 / (c * max(1, train.count())), elasticNetParam=0.0, standardization=False).fit(train)
-        rows = model.transform(data.where(F.col(scene) == held)).select(scene, "y", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
-        train.unpersist()
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    # A scene's sample is the same whichever scene is held out, so all are drawn once, and each row is scored once, by its scene's model.
+    drawn = VectorAssembler(inputCols=scores, outputCol="features").transform(subsample(wide.select(scene, "y", *scores), (scene,), scores, per_scene, seed)).repartition(wide.sparkSession.sparkContext.defaultParallelism).persist()
+    spark, models = wide.sparkSession, []
+    try:
+        for held in sorted(r[0] for r in drawn.select(scene).distinct().collect()):
+            train = drawn.where(F.col(scene) != held)
+            model = LogisticRegression(labelCol="y", regParam=1.0 / (c * max(1, train.count())), elasticNetParam=0.0, standardization=False).fit(train)
+            models.append((held, float(model.intercept), [float(x) for x in model.coefficients]))
+    finally:
+        drawn.unpersist()
+    fitted = spark.createDataFrame(models, StructType([StructField("_scene", wide.schema[scene].dataType), *StructType.fromDDL("_intercept double, _weights array<double>").fields]))
+    margin = sum((F.col(s) * F.get("_weights", F.lit(k)) for k, s in enumerate(scores)), F.lit(0.0)) + F.col("_intercept")
+    scored = wide.join(F.broadcast(fitted), F.col(scene) == F.col("_scene"))  # a row a scene
+    return scored.select(scene, "y", (1 / (1 + F.exp(-margin))).alias("p"))

@@ -10,9 +10,22 @@ from pyspark.sql.types import StructType
 
 
 def subsample(df: DataFrame, keys, ids, k: int, seed: int = 42, order=None) -> DataFrame:
-    """At most k rows of each group, by the order of a hash of ids, or of another column of hashes, then of ids."""
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *ids) if order is None else order, *ids)
-    return df.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= k).drop("_nth")
+    """At most k rows of each group, by the order of a hash of ids, or of another column of hashes, then of ids.
+
+    Hashes of ids are counted by their leading bits first, so that only the ranges that hold the k least of a group are put in order.
+    """
+    if order is None:
+        dealt = df.withColumn("_hash", F.xxhash64(F.lit(seed), *ids)).withColumn("_bin", F.shiftright("_hash", 52))
+        own = {x: f"_k{i}" for i, x in enumerate(keys)}
+        counts = dealt.groupBy(*keys, "_bin").agg(F.count("*").alias("_n")).withColumnsRenamed({**own, "_bin": "_b"})
+        before = F.sum("_n").over(Window.partitionBy(*own.values()).orderBy("_b")) - F.col("_n")
+        needed = counts.withColumn("_before", before).where(F.col("_before") < k).drop("_n", "_before")
+        same = F.col("_bin") == F.col("_b")
+        for x, name in own.items():
+            same = same & F.col(x).eqNullSafe(F.col(name))
+        df, order = dealt.join(needed, same, "left_semi").drop("_bin"), F.col("_hash")
+    w = Window.partitionBy(*keys).orderBy(order, *ids)
+    return df.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= k).drop("_nth", "_hash")
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:

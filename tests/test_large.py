@@ -78,3 +78,24 @@ def test_runs_of_contours_meet_without_the_driver(spark):
     parts = chaining.contour_parts(segments, block=8)
     assert "BroadcastHashJoin" not in parts._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.contour_id, r.part, r.n) for r in parts.collect()) == [(0, k, 8) for k in range(5)]
+
+
+def test_subsample_orders_only_the_least_hashes(spark):
+    from gridmetric.operators.sampling import subsample
+
+    df = spark.range(20_000).selectExpr("IF(id % 7 = 0, NULL, id % 3) AS g", "id AS i")
+    w = Window.partitionBy("g").orderBy(F.xxhash64(F.lit(42), "i"), "i")
+    want = df.withColumn("n", F.row_number().over(w)).where("n <= 100").select("g", "i")
+    got = subsample(df, ("g",), ("i",), 100)
+    assert got.columns == ["g", "i"] and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_stacker_scores_all_scenes_in_one_pass(spark):
+    from gridmetric.operators.ensemble import logistic_stacker
+
+    wide = spark.range(600).selectExpr("CAST(id % 3 AS INT) AS scene", "IF(id % 5 < 2, 1, 0) AS y", "(id % 5) / 5.0D + (id % 11) / 50.0D AS a", "(id % 13) / 13.0D AS b")
+    out = logistic_stacker(wide, ["a", "b"])
+    assert "Union" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 600 and sum((r.p < 0.5) == (r.y == 1) for r in rows) < 120
