@@ -5,7 +5,8 @@ estimate drops most; exact Jaccard on full shingle sets confirms the rest. Copie
 
 Lists use the rarest retained values: two sketches of s values that share c of them must share one of each one's s - c + 1 rarest. c follows from
 the similarity asked for, so that a linked pair shares fewer at a chance of one in a billion. Short lists are joined with themselves. Members of a long list first meet its leader; then only members of different
-components are compared, in chunks, so that neither a large group of near copies nor a passage in many documents makes a row for each pair.
+components are compared, in chunks, each two under the least value that they share, and a spanning forest of their links is kept, so that neither a
+large group of near copies nor a passage in many documents makes a row for each pair.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from gridmetric.llm.common import Scratch, mix64, pieces, quoted, table, texts
 from gridmetric.llm.components import components
 
-#: Retained values: KEYS of them make inverted lists; K are compared for a pair, WIDE within a chunk. Lists above LONG go by leader and chunks of CHUNK.
-KEYS, K, WIDE, LONG, CHUNK = 32, 128, 512, 24, 1024
+#: Retained values: KEYS of them make inverted lists; K are compared for a pair, WIDE within a chunk. Lists above LONG go by leader and chunks of CHUNK,
+#: and of about CHUNK_BYTES where whole sets are compared.
+KEYS, K, WIDE, LONG, CHUNK, CHUNK_BYTES = 32, 128, 512, 24, 1024, 8 << 20
 #: Chance at which a linked pair may share fewer keys than asked for, and standard deviations that its estimate may lie too low.
 MISS, SIGMAS = 1e-9, 6
 
@@ -63,21 +65,17 @@ def shingle_sets(batch_texts: list[str], width: int) -> list[np.ndarray]:
     return out
 
 
-def estimates(sa: list[np.ndarray], na: np.ndarray, sb: list[np.ndarray], nb: np.ndarray, jaccard: float, k: int) -> np.ndarray:
-    """Pairs (a rows, b rows) whose sketches allow the similarity, but for a chance of about one in a billion.
-
-    Up to the lesser end of both sketches all values of both sets are known; the share of common ones among them estimates the
-    similarity. A set no larger than k, the size of a sketch, is known whole.
-    """
-    top = np.uint64(2**64 - 1)
-    end_a, end_b = (np.array([s[-1] if n > k else top for s, n in zip(x, sizes)], np.uint64) for x, sizes in ((sa, na), (sb, nb)))
+def overlaps(sa: list[np.ndarray], sb: list[np.ndarray]) -> np.ndarray:
+    """Common values of each of the sets sa (rows) and each of sb (columns)."""
     _, code = np.unique(np.concatenate([*sa, *sb]), return_inverse=True)
     row = np.repeat(np.arange(len(sa) + len(sb)), [len(s) for s in (*sa, *sb)])
     in_a = row < len(sa)
     shared = np.intersect1d(code[in_a], code[~in_a])
+    common = np.zeros((len(sa), len(sb)), np.float32)
+    if not len(shared):
+        return common
     column = np.full(code.max() + 1, -1)
     column[shared] = np.arange(len(shared))
-    common = np.zeros((len(sa), len(sb)), np.float32)
     col = column[code]
     for at in range(0, len(shared), 4096):
         part = (col >= at) & (col < at + 4096)
@@ -86,6 +84,18 @@ def estimates(sa: list[np.ndarray], na: np.ndarray, sb: list[np.ndarray], nb: np
         xa[row[part & in_a], col[part & in_a] - at] = 1
         xb[row[part & ~in_a] - len(sa), col[part & ~in_a] - at] = 1
         common += xa @ xb.T
+    return common
+
+
+def estimates(sa: list[np.ndarray], na: np.ndarray, sb: list[np.ndarray], nb: np.ndarray, jaccard: float, k: int, common: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (a rows, b rows) whose sketches allow the similarity, but for a chance of about one in a billion.
+
+    Up to the lesser end of both sketches all values of both sets are known; the share of common ones among them estimates the
+    similarity. A set no larger than k, the size of a sketch, is known whole.
+    """
+    top = np.uint64(2**64 - 1)
+    end_a, end_b = (np.array([s[-1] if n > k else top for s, n in zip(x, sizes)], np.uint64) for x, sizes in ((sa, na), (sb, nb)))
+    common = overlaps(sa, sb) if common is None else common
     count_a = np.stack([np.searchsorted(s, end_b, side="right") for s in sa])
     count_b = np.stack([np.searchsorted(s, end_a, side="right") for s in sb]).T
     seen = np.maximum(count_a + count_b - common, 1)
@@ -154,24 +164,34 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return passed.join(of("a", ("full", "fa")), "a").join(of("b", ("full", "fb")), "b").select("a", "b", "fa", "fb").mapInArrow(exact, "a binary, b binary")
 
 
-def _chunk_pairs(members: DataFrame, jaccard: float) -> DataFrame:
-    """Likely pairs between members of different components in one long list, chunk against chunk."""
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = members.withColumn("c", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.select("value", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "node", "component", "n", "sketch")
+def _chunk_pairs(members: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """value, a, b: links between members of different components in one long list, chunk against chunk.
+
+    members: value, chunks (of its list), node, component, n, set (whole, or the WIDE least of it) and before (the lesser values that the member is listed
+    under, in which it meets the others there). Of the links found under one value only a spanning forest is returned. Without whole sets, members of
+    pairs that sketches don't decide come as rows (value, a, null), each once a chunk pair, so that rows never grow with the pairs.
+    """
+    dealt = members.withColumn("c", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("value", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "node", "component", "n", "set", "before")
 
     def compare(t: pa.Table) -> pa.Table:
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        value, i, j = (t[x][0].as_py() for x in ("value", "i", "j"))
         c, node = t["c"].to_numpy(), t["node"].to_pylist()
         comp = np.unique(np.array(t["component"].to_pylist(), object), return_inverse=True)[1]
-        sk, n = [np.frombuffer(x, np.uint64) for x in t["sketch"].to_pylist()], t["n"].to_numpy().astype(float)
+        sets, n = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()], t["n"].to_numpy().astype(float)
+        before = [np.array(x, np.int64) for x in t["before"].to_pylist()]
         a, b = np.flatnonzero(c == i), np.flatnonzero(c == j)
-        out = []
+        links, open_ = [], set()
+        if len(a) and len(b):
+            todo = (comp[a][:, None] != comp[b][None, :]) & (overlaps([before[x] for x in a], [before[x] for x in b]) == 0)
+            a, b, todo = a[todo.any(axis=1)], b[todo.any(axis=0)], todo[todo.any(axis=1)][:, todo.any(axis=0)]
         if len(a) and len(b):
-            ok = estimates([sk[x] for x in a], n[a], [sk[x] for x in b], n[b], jaccard, WIDE) & (comp[a][:, None] != comp[b][None, :])
-            x, y = np.nonzero(ok)
-            pairs = sorted({(node[p], node[q], p, q) if node[p] < node[q] else (node[q], node[p], q, p) for p, q in zip(a[x].tolist(), b[y].tolist())})
-            # Between sets that are known whole the similarity is certain, so a spanning forest of those pairs links all that they link.
+            sa, sb = [sets[x] for x in a], [sets[x] for x in b]
+            common = overlaps(sa, sb)
+            if not whole:
+                todo &= estimates(sa, n[a], sb, n[b], percent / 100, WIDE, common)
+            known = np.full(todo.shape, True) if whole else (n[a] <= WIDE)[:, None] & (n[b] <= WIDE)[None, :]
+            sure = 100.0 * common >= percent * (n[a][:, None] + n[b][None, :] - common)
             root = list(range(int(comp.max()) + 1))
 
             def find(k):
@@ -180,15 +200,38 @@ def _chunk_pairs(members: DataFrame, jaccard: float) -> DataFrame:
                     k = root[k]
                 return k
 
-            for whole in (True, False):
-                for u, v, p, q in pairs:
-                    if (n[p] <= WIDE and n[q] <= WIDE) == whole and (r := find(comp[p])) != (s := find(comp[q])):
-                        out.append((u, v))
-                        if whole:
-                            root[r] = s
-        return pa.table({"a": pa.array([u for u, _ in out], pa.binary()), "b": pa.array([v for _, v in out], pa.binary())})
+            for p, q in zip(*(x.tolist() for x in np.nonzero(todo & known & sure))):
+                if (r := find(comp[a[p]])) != (s := find(comp[b[q]])):
+                    links.append((node[a[p]], node[b[q]]))
+                    root[r] = s
+            for p, q in zip(*(x.tolist() for x in np.nonzero(todo & ~known))):
+                if find(comp[a[p]]) != find(comp[b[q]]):
+                    open_ |= {a[p], b[q]}
+        left, right = [u for u, _ in links] + [node[x] for x in sorted(open_)], [v for _, v in links] + [None] * len(open_)
+        return pa.table({"value": pa.array([value] * len(left), pa.int64()), "a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
-    return dealt.groupBy("value", "i", "j").applyInArrow(compare, "a binary, b binary")
+    return dealt.groupBy("value", "i", "j").applyInArrow(compare, "value long, a binary, b binary")
+
+
+def _long_links(members: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between members (value, node, component) of different components in long lists.
+
+    Sketches come first. Those members alone that a sketch leaves open meet again with their whole sets, in chunks of bounded bytes.
+    """
+
+    def met(rows: DataFrame, of: str, chunks) -> DataFrame:
+        sized = rows.join(full.select("node", "n"), "node")
+        lists = sized.groupBy("value").agg(F.greatest(F.ceil(F.count("*") / CHUNK), chunks).cast("int").alias("chunks"))
+        values = sized.join(lists, "value").groupBy("node", "component").agg(F.sort_array(F.collect_list(F.struct("value", "chunks"))).alias("in"))
+        every = values.join(full.select("node", "n", F.expr(of).alias("set")), "node").select("*", F.posexplode("in").alias("nth", "one"))
+        return every.select("one.*", "node", "component", "n", "set", F.transform(F.slice("in", 1, F.col("nth")), lambda x: x["value"]).alias("before"))
+
+    found = scratch.keep(_chunk_pairs(met(members, f"substring(full, 1, {8 * WIDE})", F.lit(1)), percent, False), "found")
+    links, open_ = found.where(F.col("b").isNotNull()), found.where(F.col("b").isNull()).select("value", F.col("a").alias("node")).distinct()
+    again = met(members.join(open_, ["value", "node"]), "full", F.ceil(F.sum("n") * 8 / CHUNK_BYTES))
+    out = scratch.keep(links.select("a", "b").union(_chunk_pairs(again, percent, True).select("a", "b")).distinct(), "more")
+    scratch.drop(found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,11 +268,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col:
         of = scratch.keep(components(links, scratch), "components")
         members = long.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = members.groupBy("value").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("value")
-        members = members.join(mixed, "value").select("value", "node", "component", "size").join(full.select("node", "n", F.expr(f"substring(full, 1, {8 * WIDE})").alias("sketch")), "node")
-        more = scratch.keep(_chunk_pairs(members, jaccard).distinct(), "more")
+        members = scratch.keep(members.join(mixed, "value").select("value", "node", "component"), "members")
+        more = _long_links(members, full, percent, scratch)
+        links = links.union(more)
         scratch.drop(of)
-        links = scratch.keep(links.union(_confirmed(more, full, percent)), "links")
-        scratch.drop(more)
+        scratch.drop(members)
     for done in (lists, long, first, full):
         scratch.drop(done)
     of = components(links, scratch)

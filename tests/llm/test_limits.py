@@ -41,3 +41,43 @@ def test_a_group_of_similar_lines_makes_few_pairs(spark, monkeypatch):
     got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "removed").collect()
     assert sorted(r.doc_id for r in got if not r.removed) == [0]
     assert sum(made) < 50 * len(rows)
+
+
+def test_long_lists_make_a_forest_of_links(spark, monkeypatch):
+    """Long texts that share most of their shingles meet under many values: rows don't grow with the pairs, and no link is lost."""
+    from gridmetric.llm import minhash
+
+    made = {}
+
+    class Counted(minhash.Scratch):
+        def keep(self, df, name="t"):
+            out = super().keep(df, name)
+            made[name] = out.count()
+            return out
+
+    monkeypatch.setattr(minhash, "Scratch", Counted)
+    rng = random.Random(3)
+    passage, other = [f"p{i}" for i in range(1000)], [f"q{i}" for i in range(900)]
+    rows = [(k, " ".join([*passage, *(f"d{k}x{i}" for i in range(150))])) for k in range(100)]
+    for k in range(50):  # near the limit of 0.8 to each other
+        words = list(other)
+        for i in rng.sample(range(900), 10 + k % 2):
+            words[i] = f"m{rng.random()}"
+        rows.append((1000 + k, " ".join(words)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, percent=80).collect()}
+    sets = {k: set(zip(*(t.split()[i:] for i in range(5)))) for k, t in rows}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {k: find(k) for k in sets}
+    assert max(made.get("found", 0), made["more"]) <= 2 * len(rows)
