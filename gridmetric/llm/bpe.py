@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmetric.llm.common import dictionary, gather_ragged, mix64, pieces, quoted, table, texts
+from gridmetric.llm.common import dictionary, gather_ragged, held_model, mix64, pieces, quoted, table, texts
 
 #: Whitespace of the Unicode property, which the pattern's \s means; Python's \s also takes U+001C-U+001F.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -192,14 +192,9 @@ class Encoder:
         return self.bytes_of[gather_ragged(self.byte_start, self.byte_len, ids.astype(np.int64))].tobytes()
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def _encoder(rank_file: bytes, pattern: str) -> Encoder:
     key = (xxhash.xxh3_64_intdigest(rank_file), pattern)
-    if key not in _encoders:
-        _encoders[key] = Encoder(rank_file.splitlines(), pattern)
-    return _encoders[key]
+    return held_model(("ranks", key), lambda: Encoder(rank_file.splitlines(), pattern))
 
 
 def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

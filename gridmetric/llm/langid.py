@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridmetric.llm.common import numbered, pieces, quoted, table, texts
+from gridmetric.llm.common import held_model, numbered, pieces, quoted, table, texts
 
 #: Symbols that one lane of the parser takes; a parse goes on over the borders of lanes.
 BLOCK = 2048
@@ -172,15 +172,9 @@ class CrossParser:
         return self.phrases(data) * self.bits
 
 
-_parsers: dict[int, CrossParser] = {}
-
-
 def _parser(samples: dict[str, bytes]) -> CrossParser:
     key = xxhash.xxh3_64_intdigest(repr(sorted(samples.items())).encode())
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(samples)
-    return _parsers[key]
+    return held_model(("langid", key), lambda: CrossParser(samples))
 
 
 def _shared_out(sizes: list[int], total: int) -> list[int]:

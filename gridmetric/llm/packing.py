@@ -145,7 +145,7 @@ def pack_tokens(docs: DataFrame, tokenizer_file: bytes, id_col: str = "doc_id",
             names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-        for batch in pieces(batches, "text", 6 * MB):
+        for batch in pieces(batches, "text", 3 * MB):
             flat, sizes = tokenizer.encode(batch.column("text"))
             ends = np.cumsum(sizes)
             bears = batch.column("bears").to_pylist()

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from gridmetric.llm.common import gather_ragged
+from gridmetric.llm.common import gather_ragged, held_model
 
 #: Marks that may follow a word; an apostrophe isn't one of them, as the pattern knows its contractions.
 _MARKS = ".,;:!?|)\"*"
@@ -126,11 +126,6 @@ def _ends(strings: pa.Array, sizes: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int64)), pa.py_buffer(own.tobytes())])
 
 
-_known: dict[int, WordTokenizer] = {}
-
-
 def word_tokenizer(file: bytes) -> WordTokenizer:
     key = xxhash.xxh3_64_intdigest(file)
-    if key not in _known:
-        _known[key] = WordTokenizer(file)
-    return _known[key]
+    return held_model(("words", key), lambda: WordTokenizer(file))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmetric.llm.bpe import WHITE, Encoder
-from gridmetric.llm.common import gather_ragged, pieces, quoted, table, texts
+from gridmetric.llm.common import gather_ragged, held_model, pieces, quoted, table, texts
 
 #: Fixed value: the pattern by which the files' byte-level pre-tokenizer parts text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -285,14 +285,9 @@ class TrieEncoder(Encoder):
         return raw.decode(errors="replace").encode()
 
 
-_encoders: dict[int, TrieEncoder] = {}
-
-
 def trie_encoder(file: bytes) -> TrieEncoder:
     key = xxhash.xxh3_64_intdigest(file)
-    if key not in _encoders:
-        _encoders[key] = TrieEncoder(file)
-    return _encoders[key]
+    return held_model(("trie", key), lambda: TrieEncoder(file))
 
 
 def encode_by_trie(docs: DataFrame, tokenizer_file: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -81,3 +81,18 @@ def test_long_lists_make_a_forest_of_links(spark, monkeypatch):
                 root[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {k: find(k) for k in sets}
     assert max(made.get("found", 0), made["more"]) <= 2 * len(rows)
+
+
+def test_a_worker_keeps_one_model():
+    """Workers outlive the pipeline's stages: the parser of the first isn't kept beside the tokenizer of the last."""
+    import weakref
+
+    import public_tokenizers
+
+    from gridmetric.llm import tokens
+
+    parser = weakref.ref(langid._parser({"aa": b"some text", "bb": b"other words"}))
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        file = f.read()
+    first = tokens.word_tokenizer(file)
+    assert parser() is None and tokens.word_tokenizer(file) is first
