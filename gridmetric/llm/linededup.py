@@ -31,13 +31,17 @@ LEAST_MAP, LARGEST_MAP = 21, 26
 
 def takes_part(line: Column, min_chars: int | None = None) -> Column:
     """Every line that isn't blank; with min_chars, only those of so many characters."""
-    full = line.rlike(r"\S")
+    full = F.ltrim(line, F.lit(" \t\n\x0b\f\r")) != ""
     return full if min_chars is None else full & (F.length(line) >= min_chars)
 
 
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where(F.col("id").isNotNull())
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int | None = None) -> DataFrame:
     """id, at (number from 0) and line of every line that takes part; a row with a null text or id has none."""
-    own = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where(F.col("id").isNotNull())
+    own = _own(docs, id_col, text_col)
     return own.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(takes_part(F.col("line"), min_chars))
 
 
@@ -50,8 +54,9 @@ def hashed_words(line: Column) -> Column:
 def rarity(texts: DataFrame) -> list[int]:
     """Level of each hash bucket by the count of its words in the column text, in thirds of its binary logarithm: BUCKETS numbers below 128,
     whatever the input."""
-    words = texts.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count()
+    words = F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")
+    # Numbers, not words, become rows.
+    counts = texts.select(F.explode(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))).alias("b")).groupBy("b").count()
     levels = counts.select("b", F.least(F.floor(3 * F.log2("count")), F.lit(127)).cast("int").alias("level"))
     packed = levels.groupBy(F.expr("CAST(b div 4096 AS INT)").alias("part")).agg(F.array_join(F.collect_list(F.concat_ws(":", "b", "level")), ",").alias("of"))
     out = [0] * BUCKETS
@@ -64,10 +69,9 @@ def rarity(texts: DataFrame) -> list[int]:
 
 def token_sets(lines: DataFrame, level: list[int], percent: int) -> DataFrame:
     """Each distinct token set where it occurs first: id, at, n (tokens), bitmap (s1, s2), prefix (rarest tokens as numbers)."""
-    lookup = F.split(F.lit(",".join(map(str, level))), ",").cast("array<tinyint>")
+    lookup = F.split(F.lit(",".join(str(x << 53) for x in level)), ",").cast("array<long>")
     # A token is its bucket's level and then the rest of its hash, so that numbers sort by rarity.
-    rank = lambda h: F.get(lookup, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-    key = lambda h: F.shiftleft(rank(h), 53).bitwiseOR(F.shiftrightunsigned(h, 11))
+    key = lambda h: F.get(lookup, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 11))
     keyed = lines.select("id", "at", F.sort_array(F.transform(hashed_words(F.col("line")), key)).alias("keys")).withColumn("n", F.size("keys"))
     # Parities of the tokens on 64 places, for two halves of all tokens.
     bits = lambda half: F.expr(f"aggregate(keys, 0L, (a, k) -> IF((k & 64) = {half}, a ^ shiftleft(1L, CAST(k & 63 AS INT)), a))")
@@ -145,21 +149,22 @@ def _kept_pairs(pairs_of: Callable[[Column], DataFrame], scratch: Scratch, gone:
     return reduce(DataFrame.union, kept)
 
 
-def _map_of(members: DataFrame, bits: int) -> Column:
-    """A condition on id and at that holds for all members and, by chance, for few others: a map of so many bits, a scalar subquery."""
-    place = F.pmod(F.xxhash64("id", "at"), F.lit(bits))
+def _map_of(members: DataFrame, bits: int, *of: str) -> Column:
+    """A condition on the columns `of` that holds for all members and, by chance, for few others: a map of so many bits, a scalar subquery."""
+    place = F.pmod(F.xxhash64(*of), F.lit(bits))
     words = members.select(place.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("x"))
     every = members.sparkSession.range(bits // 64).withColumnRenamed("id", "w").join(words, "w", "left")
     ordered = F.sort_array(F.collect_list(F.struct("w", F.coalesce("x", F.lit(0).cast("long")).alias("x"))))
-    word = F.get(every.agg(F.transform(ordered, lambda e: e["x"])).scalar(), F.expr(f"CAST(pmod(xxhash64(id, at), {bits}) div 64 AS INT)"))
-    return F.getbit(word, F.pmod(F.xxhash64("id", "at"), F.lit(64)).cast("int")) == 1
+    word = F.get(every.agg(F.transform(ordered, lambda e: e["x"])).scalar(), F.expr(f"CAST(pmod(xxhash64({', '.join(of)}), {bits}) div 64 AS INT)"))
+    return F.getbit(word, F.pmod(F.xxhash64(*of), F.lit(64)).cast("int")) == 1
 
 
-def _words_of(pairs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """The written table id, at, words (as 64-bit hashes) of the lines in the pairs, split from the texts again."""
+def _words_of(pairs: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """The written table id, at, words (as 64-bit hashes) of the lines in the pairs, split again from the texts (own: id, text) that hold some."""
     members = scratch.keep(pairs.select(F.col("ida").alias("id"), F.col("ata").alias("at")).union(pairs.select("idb", "atb")).distinct(), "members")
     bits = 1 << min(LARGEST_MAP, max(LEAST_MAP, (8 * members.count()).bit_length()))
-    hashed = lines.where(_map_of(members, bits)).select("id", "at", hashed_words(F.col("line")).alias("words"))
+    lines = own.where(_map_of(members, bits, "id")).select("id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    hashed = lines.where(_map_of(members, bits, "id", "at")).select("id", "at", hashed_words(F.col("line")).alias("words"))
     found = scratch.keep(hashed.join(members, ["id", "at"], "left_semi"), "words")
     scratch.drop(members)
     return found
@@ -173,9 +178,9 @@ def _similar(pairs: DataFrame, words_of: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("wa") + F.size("wb") - common)).select(F.col("idb").alias("id"), F.col("atb").alias("at")).distinct()
 
 
-def _matched(pairs: DataFrame, lines: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _matched(pairs: DataFrame, own: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """id and at of every b that has a similar a. The earliest a is verified first; the others only where that one fails."""
-    found = _words_of(pairs, lines, scratch)
+    found = _words_of(pairs, own, scratch)
     first = pairs.groupBy("idb", "atb").agg(F.min(F.struct("ida", "ata")).alias("x")).select(F.col("x.ida").alias("ida"), F.col("x.ata").alias("ata"), "idb", "atb")
     done = scratch.keep(_similar(first, found, percent), "done")
     rest = pairs.select(*PAIR).join(done.select(F.col("id").alias("idb"), F.col("at").alias("atb")), ["idb", "atb"], "left_anti").join(first, [*PAIR], "left_anti")
@@ -186,9 +191,9 @@ def _matched(pairs: DataFrame, lines: DataFrame, percent: int, scratch: Scratch)
 
 def later_matches(docs: DataFrame, scratch: Scratch, percent: int, id_col: str, text_col: str, min_chars: int | None) -> tuple[DataFrame, DataFrame]:
     """The written table of distinct token sets (id, at of the first occurrence), and those (id, at) that an earlier line is similar to."""
-    lines = lines_of(docs, id_col, text_col, min_chars)
+    own = _own(docs, id_col, text_col)
     level = rarity(docs.select(quoted(text_col).alias("text")))
-    sets = scratch.keep(token_sets(lines, level, percent), "sets")
+    sets = scratch.keep(token_sets(lines_of(docs, id_col, text_col, min_chars), level, percent), "sets")
     # A set of n is similar to no other set if even n of n + 1 tokens are too few in common: its only matches are equal sets, which are one already.
     joins = sets.where((F.col("n") + 1) * percent <= 100 * F.col("n"))
     listed = lambda rows: rows.select("id", "at", "n", *BITMAP, F.posexplode("prefix").alias("pos", "key"))
@@ -196,8 +201,6 @@ def later_matches(docs: DataFrame, scratch: Scratch, percent: int, id_col: str,
     some = listed(joins.where(F.pmod(F.xxhash64("id", "at"), F.lit(SAMPLE)) == 0))
     long = scratch.keep(some.groupBy("key").count().where(F.col("count") >= OFTEN).select("key"), "long")
     n_long = long.count()
-    if not n_long:
-        return sets, _matched(_kept_pairs(lambda share: _short_pairs(entries.where(share), percent), scratch), lines, percent, scratch)
     marked = F.broadcast(long) if n_long <= SMALL else long
     lists = scratch.keep(entries.join(marked, "key"), "lists")
     # A member's least key comes with its least position, as prefixes are in order.
@@ -205,13 +208,13 @@ def later_matches(docs: DataFrame, scratch: Scratch, percent: int, id_col: str,
     first = F.min(F.struct("id", "at", "n", *BITMAP, "pos")).alias("x")
     leaders = one.groupBy("key", F.pmod(F.xxhash64("id", "at"), F.lit(LEADERS)).alias("c")).agg(first).select("key", "x.*")
     led = scratch.keep(_listed_pairs(leaders, one, percent).distinct(), "led")
-    gone = scratch.keep(_matched(led, lines, percent, scratch).distinct(), "gone")
+    gone = scratch.keep(_matched(led, own, percent, scratch).distinct(), "gone")
     short = entries.join(marked, "key", "left_anti")
     left = lists.join(gone, ["id", "at"], "left_anti")
     pairs = _kept_pairs(lambda share: _short_pairs(short.where(share), percent), scratch, gone)
     rest = _kept_pairs(lambda share: _listed_pairs(lists.where(share), left.where(share), percent), scratch)
     scratch.drop(lists)
-    return sets, gone.union(_matched(pairs.union(rest), lines, percent, scratch)).distinct()
+    return sets, gone.union(_matched(pairs.union(rest), own, percent, scratch)).distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", min_chars: int | None = None) -> DataFrame:

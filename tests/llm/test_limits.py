@@ -96,3 +96,16 @@ def test_a_worker_keeps_one_model():
         file = f.read()
     first = tokens.word_tokenizer(file)
     assert parser() is None and tokens.word_tokenizer(file) is first
+
+
+def test_words_are_split_only_from_texts_that_hold_wanted_lines(spark):
+    from pyspark.sql import functions as F
+
+    from gridmetric.llm import linededup
+
+    docs = spark.range(5000).select("id", F.lit("a b c d e\nf g h i j").alias("text"))
+    members = spark.createDataFrame([(7, 1), (9, 0)], "id long, at int")
+    held = docs.where(linededup._map_of(members, 1 << linededup.LEAST_MAP, "id"))
+    assert {7, 9} <= {r.id for r in held.collect()} and held.count() < 50
+    blank = spark.createDataFrame([(x,) for x in ("", " \t", "\x0b\f\r\n ", " ", "x", "  x", " ")], "s string")
+    assert [r[0] for r in blank.select(linededup.takes_part(F.col("s"))).collect()] == [r[0] for r in blank.select(F.col("s").rlike(r"\S")).collect()]
