@@ -51,27 +51,29 @@ def hashed_words(line: Column) -> Column:
     return F.array_remove(hashes, F.xxhash64(F.lit("")))  # between two spaces, and at the ends
 
 
-def rarity(texts: DataFrame) -> list[int]:
-    """Level of each hash bucket by the count of its words in the column text, in thirds of its binary logarithm: BUCKETS numbers below 128,
+def rarity(texts: DataFrame) -> bytes:
+    """Level of each hash bucket by the count of its words in the column text, in thirds of its binary logarithm: a byte below 128 for each,
     whatever the input."""
     words = F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")
-    # Numbers, not words, become rows.
-    counts = texts.select(F.explode(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))).alias("b")).groupBy("b").count()
+    # Words are hashed as rows, in compiled code; only their numbers are shuffled.
+    counts = texts.select(F.explode(words).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
     levels = counts.select("b", F.least(F.floor(3 * F.log2("count")), F.lit(127)).cast("int").alias("level"))
     packed = levels.groupBy(F.expr("CAST(b div 4096 AS INT)").alias("part")).agg(F.array_join(F.collect_list(F.concat_ws(":", "b", "level")), ",").alias("of"))
-    out = [0] * BUCKETS
+    out = bytearray(BUCKETS)
     for r in packed.collect():
         for pair in r.of.split(","):
             b, level = pair.split(":")
             out[int(b)] = int(level)
-    return out
+    return bytes(out)
 
 
-def token_sets(lines: DataFrame, level: list[int], percent: int) -> DataFrame:
+def token_sets(lines: DataFrame, level: bytes, percent: int) -> DataFrame:
     """Each distinct token set where it occurs first: id, at, n (tokens), bitmap (s1, s2), prefix (rarest tokens as numbers)."""
-    lookup = F.split(F.lit(",".join(str(x << 53) for x in level)), ",").cast("array<long>")
+    # A byte a bucket: the driver copies, compares and prints this literal again and again while it plans.
+    lookup = F.lit(level)
+    level_of = lambda h: F.ascii(F.substring(lookup, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, 1).cast("string")).cast("long")
     # A token is its bucket's level and then the rest of its hash, so that numbers sort by rarity.
-    key = lambda h: F.get(lookup, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 11))
+    key = lambda h: F.shiftleft(level_of(h), 53).bitwiseOR(F.shiftrightunsigned(h, 11))
     keyed = lines.select("id", "at", F.sort_array(F.transform(hashed_words(F.col("line")), key)).alias("keys")).withColumn("n", F.size("keys"))
     # Parities of the tokens on 64 places, for two halves of all tokens.
     bits = lambda half: F.expr(f"aggregate(keys, 0L, (a, k) -> IF((k & 64) = {half}, a ^ shiftleft(1L, CAST(k & 63 AS INT)), a))")

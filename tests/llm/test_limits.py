@@ -109,3 +109,25 @@ def test_words_are_split_only_from_texts_that_hold_wanted_lines(spark):
     assert {7, 9} <= {r.id for r in held.collect()} and held.count() < 50
     blank = spark.createDataFrame([(x,) for x in ("", " \t", "\x0b\f\r\n ", " ", "x", "  x", " ")], "s string")
     assert [r[0] for r in blank.select(linededup.takes_part(F.col("s"))).collect()] == [r[0] for r in blank.select(F.col("s").rlike(r"\S")).collect()]
+
+
+def test_levels_of_tokens_make_no_large_literal(spark, monkeypatch):
+    """The driver keeps a plan's literals as objects and as text: levels are a byte a bucket, and give the same order of tokens."""
+    from pyspark.sql import functions as F
+
+    from gridmetric.llm import linededup
+
+    docs = spark.createDataFrame([(k, " ".join(["all", "of", f"w{k % 7}", f"x{k}"])) for k in range(200)], "doc_id long, text string")
+    level = linededup.rarity(docs.select("text"))
+    made = []
+    monkeypatch.setattr(linededup.F, "lit", lambda x, lit=F.lit: made.append(x) or lit(x))
+    lines = linededup.lines_of(docs, "doc_id", "text")
+    sets = linededup.token_sets(lines, level, 50).select("id", "prefix").collect()
+    monkeypatch.undo()
+    assert len(level) == linededup.BUCKETS and sum(len(x) for x in made if isinstance(x, (str, bytes))) <= linededup.BUCKETS + 100
+    names = ["all", "of", *(f"w{k}" for k in range(7)), *(f"x{k}" for k in range(200))]
+    hashes = dict(spark.createDataFrame([(x,) for x in names], "w string").select("w", F.xxhash64("w")).collect())
+    key = lambda w: (level[hashes[w] % linededup.BUCKETS] << 53) | (hashes[w] % (1 << 64) >> 11)
+    assert len(sets) == 200
+    for r in sets:  # of four tokens, the three rarest
+        assert r.prefix == sorted(map(key, ["all", "of", f"w{r.id % 7}", f"x{r.id}"]))[:3]
