@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
+from gridmetric.operators.ranking import deal
 from gridmetric.operators.tiles import check_views, weights_1d
 from gridmetric.sources.shared import scratch_folder
 
@@ -31,10 +32,11 @@ def scene_sizes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("scene").agg((F.max("r") + 1).cast("int").alias("height"), (F.max("c") + 1).cast("int").alias("width"))
 
 
-def raster_blocks(pixels: DataFrame, sizes: DataFrame, size: int, *values: str) -> DataFrame:
+def raster_blocks(pixels: DataFrame, sizes: DataFrame, size: int, *values: str, rows: int = 0) -> DataFrame:
     """Blocks of size x size pixels of each scene in sizes (scene, height, width), from pixels (scene, r, c and values); null where there is no pixel.
 
     All blocks of a scene are there, with or without pixels; pixels outside are left out. Of several at one place the last that comes counts.
+    With rows (about the number of pixels) tasks are as many as these need, and as Spark decides without.
     """
     steps = lambda n: F.sequence(F.lit(0), F.floor((F.col(n) - 1) / size).cast("int"))
     grid = sizes.select("scene", "height", "width", F.explode(steps("height")).alias("by")).select("*", F.explode(steps("width")).alias("bx"))
@@ -55,7 +57,8 @@ def raster_blocks(pixels: DataFrame, sizes: DataFrame, size: int, *values: str)
         arrays = {v: pa.ListArray.from_arrays(pa.array([0, h * w], pa.int32()), found[v].combine_chunks().take(taken)) for v in values}
         return pa.table({n: first[n].combine_chunks() for n in ("scene", "by", "bx", "height", "width")} | arrays)
 
-    return grid.select("scene", "by", "bx", "height", "width").groupBy("scene", "by", "bx").cogroup(here.groupBy("scene", "by", "bx")).applyInArrow(fill, schema)
+    grid, here = (deal(d, rows, "scene", "by", "bx") for d in (grid.select("scene", "by", "bx", "height", "width"), here))
+    return grid.groupBy("scene", "by", "bx").cogroup(here.groupBy("scene", "by", "bx")).applyInArrow(fill, schema)
 
 
 def block_pixels(blocks: DataFrame, size: int, *values: str) -> DataFrame:

@@ -29,24 +29,41 @@ def rank_all(df: DataFrame, order, name: str = "rank") -> DataFrame:
     return dealt.join(F.broadcast(first), "_range").withColumn(name, (F.col("_first") + own).cast("int")).drop("_range", "_first")
 
 
+#: Rows for a task that sorts them, and ranges of the order for each such task.
+ROWS, RANGES = 1 << 19, 4
+
+
+def tasks_for(rows: int) -> int:
+    return max(1, -(-rows // ROWS))
+
+
+def deal(df: DataFrame, rows: int, *keys) -> DataFrame:
+    """df dealt by the keys so that a task has about ROWS of so many rows, whatever the session's number of shuffle partitions; where one task would do,
+    Spark decides. Tables dealt by the same number of rows meet without a further exchange."""
+    n = tasks_for(rows)
+    return df if n == 1 else df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def number_within(df: DataFrame, group: Column, order, name: str, ranges: int = 256) -> DataFrame:
     """Row numbers from 0 within groups, of which no task has a whole one; the first column of the order is a number, nulls first.
 
     Rows are dealt by ranges of that column, alike in all groups; each range of a group counts its own, and the ranges before it give its first
     number. Where ranges end (approximate quantiles) decides how even they are, never a number. Rows that are equal in the first column stay together.
+    There are `ranges` or more, as many as the rows' tasks need, so that neither a range nor a task grows with the input.
     """
     from pyspark.ml.feature import Bucketizer
 
-    key = F.col(order[0]).cast("double")
+    key, rows = F.col(order[0]).cast("double"), df.count()
+    ranges = max(ranges, RANGES * tasks_for(rows))
     at = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 10 * ranges).alias("at")).first().at or [0.0]
     ends = [float("-inf"), *sorted(set(at)), float("inf")]
     keyed = df.withColumn("_group", group).withColumn("_key", F.coalesce(key, F.lit(float("-inf"))))
-    dealt = Bucketizer(splits=ends, inputCol="_key", outputCol="_range").transform(keyed).drop("_key")
+    dealt = Bucketizer(splits=ends, inputCol="_key", outputCol="_range").transform(keyed).drop("_key").withColumn("_range", F.col("_range").cast("int"))  # rows dealt by a float are dealt again
     counts = dealt.groupBy("_group", "_range").agg(F.count("*").alias("_n"))  # a row a range at most
     first = counts.select("_group", "_range", (F.sum("_n").over(Window.partitionBy("_group").orderBy("_range")) - F.col("_n")).alias("_first"))
     first = first.withColumnsRenamed({"_group": "_g", "_range": "_r"})
     own = F.row_number().over(Window.partitionBy("_group", "_range").orderBy(*order))
-    numbered = dealt.withColumn("_own", own).join(F.broadcast(first), F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    numbered = deal(dealt, rows, "_group", "_range").withColumn("_own", own).join(F.broadcast(first), F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
     return numbered.withColumn(name, F.col("_first") + F.col("_own") - 1).drop("_group", "_range", "_g", "_r", "_first", "_own")
 
 

@@ -11,12 +11,14 @@ from gridmetric.sources.shared import Tables
 
 def _rasters(spark, sf):
     grid = X.with_grid(X.pxw(spark, sf, "scene", "pix", "ref", "msk", "p_0"))
+    n = X.lineitem(spark, sf).count()
+    by_place = lambda d: ranking.deal(d, n, "scene", "r", "c")
     ref = grid.where("pix % 11 <> 0").select("scene", "r", "c", "ref")
     pred = overlay.shift_grid(grid.where("pix % 13 <> 0").select("scene", (F.col("r") + 3).alias("r"), (F.col("c") - 2).alias("c"), "p_0"), -3, 2)
-    return ref, pred, grid.where("pix % 5 <> 0").select("scene", "r", "c", "msk")
+    return by_place(ref), by_place(pred), by_place(grid.where("pix % 5 <> 0").select("scene", "r", "c", "msk"))
 
 
-BLOCK, BUCKETS = 64, 8
+BLOCK, BUCKETS = 64, 8  # buckets at least; there are as many as the pixels need
 
 
 def _stored(spark, sf, *bands):
@@ -26,8 +28,10 @@ def _stored(spark, sf, *bands):
     pixels = grid.select("scene", "r", "c", *[F.when(F.expr(there[b]), F.col(b)).alias(b) for b in bands])
     n = X.pxw(spark, sf, "scene").groupBy("scene").count()  # a scene's pixels fill rows of 100
     sizes = n.selectExpr("scene", "CAST((count - 1) div 100 + 1 AS INT) AS height", "CAST(least(count, 100) AS INT) AS width")
-    dealt = Tables(spark, "grid").keep(blocks.raster_blocks(pixels, sizes, BLOCK, *bands))
-    return [blocks.store_blocks(dealt.select("scene", "by", "bx", "height", "width", b), BUCKETS) for b in bands]
+    every = X.lineitem(spark, sf).count()
+    dealt = Tables(spark, "grid").keep(blocks.raster_blocks(pixels, sizes, BLOCK, *bands, rows=every))
+    buckets = max(BUCKETS, ranking.tasks_for(every))
+    return [blocks.store_blocks(dealt.select("scene", "by", "bx", "height", "width", b), buckets) for b in bands]
 
 
 @query(f"WITH {PXW_SQL} SELECT scene, CAST(pix // 100 AS INT) AS r, CAST(pix % 100 AS INT) AS c, ref, p_0 FROM pxw WHERE pix % 11 <> 0 AND pix % 13 <> 0")
@@ -184,7 +188,8 @@ _POOLS = f"{PXW_SQL}, a AS (SELECT scene, pix FROM pxw WHERE msk = 1 AND ref <>
 
 def _pools(spark, sf):
     x = X.with_grid(X.pxw(spark, sf, "scene", "pix", "ref", "msk")).where("ref <> 255")
-    return x.where("msk = 1").select("scene", "pix"), x.where("c < 90").select("scene", "pix")
+    n = X.lineitem(spark, sf).count()
+    return tuple(ranking.deal(x.where(kept).select("scene", "pix"), n, "scene", "pix") for kept in ("msk = 1", "c < 90"))
 
 
 @query(f"WITH {_POOLS}, f AS (SELECT coalesce(a.scene, b.scene) AS scene, a.pix AS pa, b.pix AS pb FROM a FULL JOIN b ON a.scene = b.scene AND a.pix = b.pix) SELECT scene, count(pa) AS n_a, count(pb) AS n_b, count(*) FILTER (pa IS NOT NULL AND pb IS NOT NULL) AS n_both, count(*) FILTER (pb IS NULL) AS only_a, count(*) FILTER (pa IS NULL) AS only_b, round(count(*) FILTER (pa IS NOT NULL AND pb IS NOT NULL) / nullif(count(pa), 0), 9) AS coverage_a, round(count(*) FILTER (pa IS NOT NULL AND pb IS NOT NULL) / nullif(count(pb), 0), 9) AS coverage_b, count(*) FILTER (pb IS NULL) = 0 AND count(*) FILTER (pa IS NULL) = 0 AS equal FROM f GROUP BY 1")

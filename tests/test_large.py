@@ -99,3 +99,23 @@ def test_the_stacker_scores_all_scenes_in_one_pass(spark):
     assert "Union" not in out._jdf.queryExecution().executedPlan().toString()
     rows = out.collect()
     assert len(rows) == 600 and sum((r.p < 0.5) == (r.y == 1) for r in rows) < 120
+
+
+def test_tasks_of_numbering_joins_and_blocks_grow_with_the_rows(spark, monkeypatch):
+    """A task has about ROWS rows, whatever the session's number of shuffle partitions; numbers and blocks are the same."""
+    from gridmetric.operators import blocks, ranking
+
+    df = spark.range(20_000).selectExpr("id % 3 AS g", "id * 7919 % 20011 AS k")
+    want = sorted(map(tuple, ranking.number_within(df, F.col("g"), ("k",), "n", ranges=16).collect()))
+    pixels = spark.range(20_000).selectExpr("'s' AS scene", "CAST(id div 100 AS INT) AS r", "CAST(id % 100 AS INT) AS c", "id AS p")
+    sizes = spark.createDataFrame([("s", 200, 100)], "scene string, height int, width int")
+    whole = sorted(map(tuple, blocks.raster_blocks(pixels, sizes, 10, "p").collect()))
+    monkeypatch.setattr(ranking, "ROWS", 500)
+    most = lambda d: max(d.rdd.glom().map(len).collect())
+    got = ranking.number_within(df, F.col("g"), ("k",), "n", ranges=16)
+    assert sorted(map(tuple, got.collect())) == want and most(got) < 2000
+    dealt = blocks.raster_blocks(pixels, sizes, 10, "p", rows=20_000)
+    assert sorted(map(tuple, dealt.collect())) == whole and most(dealt) < 20
+    a, b = ranking.deal(df, 20_000, "k"), ranking.deal(df.where("g = 1"), 20_000, "k")
+    both = a.hint("merge").join(b.select("k", F.lit(1).alias("x")), "k")
+    assert most(a) < 2000 and both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
