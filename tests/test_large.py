@@ -61,6 +61,35 @@ def test_extents_on_one_spot_are_dealt_over_tasks(spark, apart, monkeypatch):
     assert max(Counter(r.p for r in pairs).values()) < len(pairs) / 5
 
 
+def test_the_exchange_of_crowded_cells_grows_with_the_extents(spark, monkeypatch):
+    """Not with the square of them, as their pairs do; extents of many sizes, so that every kind of entry is dealt."""
+    from gridmetric.operators import overlay
+
+    monkeypatch.setattr(overlay, "PART", 8)
+    rng = random.Random(9)
+    rows = []
+    for k in range(300):
+        x, y, w, h = rng.uniform(0, 40), rng.uniform(0, 40), 30 * rng.random() ** 3 + 0.1, 30 * rng.random() ** 3 + 0.1
+        rows.append((k, x, y, x + w, y + h))
+    df = spark.createDataFrame([*rows, (None, 0.0, 0.0, 50.0, 50.0)], "k long, left double, bottom double, right double, top double")
+    dealt, real = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: dealt.append(self) or real(self, *a))
+    got = sorted(map(tuple, overlay.overlapping_extents(df).collect()))
+    want = []
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            box = (max(x[1], y[1]), max(x[2], y[2]), min(x[3], y[3]), min(x[4], y[4]))
+            if box[0] < box[2] and box[1] < box[3]:
+                want.append((x[0], y[0], *box))
+    assert got == want and dealt
+    sent = []
+    for n in (500, 2000):
+        dealt.clear()
+        overlay.overlapping_extents(spark.range(n).selectExpr("id AS k", "id / 1e6D AS left", "0D AS bottom", "9D + id / 1e6D AS right", "10D AS top"))
+        sent.append(sum(d.count() for d in dealt))
+    assert 0 < sent[0] and sent[1] < 5 * sent[0]
+
+
 def test_cells_are_sent_as_one_number_each(spark):
     """The exchange of a wide table is the rows of its cells, so that their width is its size."""
     from gridmetric.operators import overlay
