@@ -18,6 +18,7 @@ from pyspark.sql.types import StructField, StructType
 from gridmetric.functions.scalar import linspace, threshold_probability
 from gridmetric.operators.auc import curves_of
 from gridmetric.operators.metrics import ensemble_metrics, with_columns
+from gridmetric.sources.shared import Tables
 
 
 def pattern_table(wide: DataFrame, scores: list[str], thresholds=0.5, keys=("scene",), comparison: str = "greater_than") -> DataFrame:
@@ -283,24 +284,104 @@ def consensus_errors(wide: DataFrame, scores: list[str], tuned: list[float], key
     return out.withColumn("all_wrong", F.col("n_wrong_tuned") == n).withColumn("most_wrong", F.col("n_wrong_tuned") >= n - 2)
 
 
-def logistic_stacker(wide: DataFrame, scores: list[str], scene: str = "scene", c: float = 1.0, seed: int = 42, per_scene: int = 300_000) -> DataFrame:
-    """scene, y, p of a logistic regression on the members' scores, trained on a bounded hash sample of the other scenes, one fit a scene."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+def logistic_sums(rows: DataFrame, scores: list[str], own: str, held: list[int], weights: np.ndarray) -> dict[int, np.ndarray]:
+    """For each held-out scene: loss, gradient and upper triangle of the Hessian of its logistic model, summed over all rows of the other scenes.
 
-    from gridmetric.operators.sampling import subsample
+    own: column of a row's scene as a number; weights: a row a model, the intercept last. One pass serves all models; a task sends its sums, no rows. A null or
+    infinite score is an error.
+    """
+    d = len(scores) + 1
+    upper = np.triu_indices(d)
+    source = rows.select(F.col(own).cast("int").alias("own"), F.col("y").cast("double").alias("y"), *[F.col(s).cast("double").alias(f"s{i}") for i, s in enumerate(scores)])
 
-    # A scene's sample is the same whichever scene is held out, so all are drawn once, and each row is scored once, by its scene's model.
-    drawn = VectorAssembler(inputCols=scores, outputCol="features").transform(subsample(wide.select(scene, "y", *scores), (scene,), scores, per_scene, seed)).repartition(wide.sparkSession.sparkContext.defaultParallelism).persist()
-    spark, models = wide.sparkSession, []
+    def run(batches):
+        sums = np.zeros((len(held), 1 + d + len(upper[0])))
+        for batch in batches:
+            x, y = np.ones((batch.num_rows, d)), batch.column("y").to_numpy(zero_copy_only=False)
+            for i in range(d - 1):
+                x[:, i] = pc.fill_null(batch.column(f"s{i}"), float("nan")).to_numpy(zero_copy_only=False)
+            if not np.isfinite(x).all():
+                raise ValueError("scores must be finite numbers")
+            squares, scene = x[:, upper[0]] * x[:, upper[1]], batch.column("own").to_numpy()
+            for at in range(0, len(held), 64):
+                margin = x @ weights[at : at + 64].T
+                other = scene[:, None] != np.array(held[at : at + 64])[None, :]
+                small = np.exp(-np.abs(margin))
+                p = np.where(margin >= 0, 1.0, small) / (1 + small)
+                loss = np.maximum(margin, 0) - margin * y[:, None] + np.log1p(small)
+                some = sums[at : at + 64]
+                some[:, 0] += (loss * other).sum(axis=0)
+                some[:, 1 : d + 1] += ((p - y[:, None]) * other).T @ x
+                some[:, d + 1 :] += (small / (1 + small) ** 2 * other).T @ squares
+        n = sums.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(held)), n), pa.int32()), pa.array(np.tile(np.arange(n), len(held)), pa.int32()), pa.array(sums.ravel())], names=["model", "at", "v"])
+
+    found = source.mapInArrow(run, "model int, at int, v double").groupBy("model", "at").agg(F.sum("v").alias("v")).collect()  # some numbers a scene
+    out = np.zeros((len(held), 1 + d + len(upper[0])))
+    for r in found:
+        out[r["model"], r["at"]] = r["v"]
+    return dict(zip(held, out))
+
+
+def logistic_models(rows: DataFrame, scores: list[str], own: str, counts: list[tuple[int, int]], c: float = 1.0, close: float = 1e-10, rounds: int = 100) -> list[np.ndarray]:
+    """Weights, the intercept last, of a logistic regression for each scene, on all rows of the other scenes, with a penalty of weights ** 2 / (2 c).
+
+    counts: rows and positive rows of each scene, in the order of the numbers in `own`. Each round of Newton's method is one pass for all scenes' models; a step
+    that doesn't lessen the loss is halved. A model is done when a step would lessen the mean loss by less than `close`, and takes that step.
+    """
+    d = len(scores) + 1
+    upper, penalty = np.triu_indices(d), np.array([1.0 / c] * (d - 1) + [0.0])
+    n, positive = (sum(x) for x in zip(*counts)) if counts else (0, 0)
+    models, left, last = [np.zeros(d) for _ in counts], [], {}
+    for s, (own_n, own_positive) in enumerate(counts):
+        train, good = n - own_n, positive - own_positive
+        if not train:
+            raise ValueError("no other scene to learn from")
+        if 0 < good < train:
+            left.append(s)
+        else:  # one class alone
+            models[s][-1] = np.inf if good else -np.inf
+    while left:
+        rounds -= 1
+        if rounds < 0:
+            raise ArithmeticError("logistic models didn't settle")
+        for s, sums in logistic_sums(rows, scores, own, left, np.stack([models[s] for s in left])).items():
+            w = models[s]
+            loss = sums[0] + (penalty * w * w).sum() / 2
+            if s in last and not loss <= last[s][0] * (1 + 1e-12):
+                before, base, step = last[s]
+                last[s] = (before, base, step / 2)
+                models[s] = base + step / 2
+                continue
+            gradient, hessian = sums[1 : d + 1] + penalty * w, np.zeros((d, d))
+            hessian[upper] = sums[d + 1 :]
+            hessian = hessian + np.triu(hessian, 1).T + np.diag(penalty)
+            step = -np.linalg.solve(hessian, gradient)
+            last[s], models[s] = (loss, w, step), w + step
+            if -gradient @ step <= close * (n - counts[s][0]):
+                left = [x for x in left if x != s]
+    return models
+
+
+def logistic_stacker(wide: DataFrame, scores: list[str], scene: str = "scene", c: float = 1.0) -> DataFrame:
+    """scene, y, p of a logistic regression on the members' scores, trained on all rows of the other scenes, one model a scene.
+
+    Labels, scores and scenes are stored while models are fitted, so that a round reads them alone.
+    """
+    spark, tables = wide.sparkSession, Tables(wide.sparkSession, "stacker")
+    kept = tables.keep(wide.select(scene, "y", *scores))
     try:
-        for held in sorted(r[0] for r in drawn.select(scene).distinct().collect()):
-            train = drawn.where(F.col(scene) != held)
-            model = LogisticRegression(labelCol="y", regParam=1.0 / (c * max(1, train.count())), elasticNetParam=0.0, standardization=False).fit(train)
-            models.append((held, float(model.intercept), [float(x) for x in model.coefficients]))
+        label = lambda v: F.count_if(F.col("y").cast("double") == v)
+        found = kept.groupBy(scene).agg(F.count("*").alias("n"), label(1).alias("positive"), label(0).alias("negative")).collect()  # a row a scene
+        if any(r["n"] != r["positive"] + r["negative"] for r in found):
+            raise ValueError("labels must be 0 or 1")
+        at = StructType([StructField("_scene", wide.schema[scene].dataType), *StructType.fromDDL("_own int").fields])
+        numbers = spark.createDataFrame([(r[0], i) for i, r in enumerate(found)], at)
+        here = lambda rows, x: rows.join(F.broadcast(x), F.col(scene).eqNullSafe(F.col("_scene")))
+        models = logistic_models(here(kept, numbers), scores, "_own", [(r["n"], r["positive"]) for r in found], c)
     finally:
-        drawn.unpersist()
-    fitted = spark.createDataFrame(models, StructType([StructField("_scene", wide.schema[scene].dataType), *StructType.fromDDL("_intercept double, _weights array<double>").fields]))
+        tables.drop(kept)
+    fields = StructType([at["_scene"], *StructType.fromDDL("_intercept double, _weights array<double>").fields])
+    fitted = spark.createDataFrame([(r[0], float(w[-1]), [float(x) for x in w[:-1]]) for r, w in zip(found, models)], fields)
     margin = sum((F.col(s) * F.get("_weights", F.lit(k)) for k, s in enumerate(scores)), F.lit(0.0)) + F.col("_intercept")
-    scored = wide.join(F.broadcast(fitted), F.col(scene) == F.col("_scene"))  # a row a scene
-    return scored.select(scene, "y", (1 / (1 + F.exp(-margin))).alias("p"))
+    return here(wide, fitted).select(scene, "y", (1 / (1 + F.exp(-margin))).alias("p"))

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -130,6 +131,48 @@ def test_the_stacker_scores_all_scenes_in_one_pass(spark):
     assert len(rows) == 600 and sum((r.p < 0.5) == (r.y == 1) for r in rows) < 120
 
 
+def _plain_fit(x, y, n):
+    """Weights, the intercept last, of a logistic regression with C = 1 on rows that occur n times, by plain Newton steps."""
+    x = np.column_stack([x, np.ones(len(x))])
+    penalty, w = np.append(np.ones(x.shape[1] - 1), 0.0), np.zeros(x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w = w - np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (n * (p - y)) + penalty * w)
+    assert np.abs(x.T @ (n * (1 / (1 + np.exp(-(x @ w))) - y)) + penalty * w).max() < 1e-6 * n.sum()
+    return w
+
+
+def test_the_stacker_learns_from_every_row_of_the_other_scenes(spark):
+    from gridmetric.operators.ensemble import logistic_stacker
+
+    columns = ["CAST(id % 2 AS INT) AS scene", "CAST(pmod(hash(id % 286), 10) < id % 22 div 2 AS INT) AS y", "(id % 22 div 2) / 11.0D AS a", "(id % 26 div 2) / 13.0D + id % 2 AS b"]
+    wide = spark.range(900_900).selectExpr(*columns)  # 450,450 rows a scene, each 3,150 times
+    few = np.array(spark.range(286).selectExpr(*columns).collect(), dtype=float)
+    got = sorted(map(tuple, logistic_stacker(wide, ["a", "b"]).groupBy("scene", "y", "p").count().collect()))
+    want = []
+    for s in (0, 1):
+        other, own = few[few[:, 0] != s], few[few[:, 0] == s]
+        w = _plain_fit(other[:, 2:], other[:, 1], np.full(len(other), 3150.0))
+        want += [(s, int(r[1]), 1 / (1 + np.exp(-(r[2:] @ w[:2] + w[2]))), 3150) for r in own]
+    want.sort()
+    assert len(got) == len(want) == 286 and all(g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-8 and g[3] == w[3] for g, w in zip(got, want))
+
+
+def test_the_stacker_on_odd_inputs(spark):
+    from gridmetric.operators.ensemble import logistic_stacker
+
+    ddl = "scene string, y int, a double"
+    rows = [(s, (i * 7 % 5) // 3, i / 10) for s in ("x", None, "z") for i in range(10)]
+    stack = lambda r: logistic_stacker(spark.createDataFrame(r, ddl), ["a"]).collect()
+    found = stack(rows)
+    assert len(found) == 30 and {r.scene for r in found} == {"x", None, "z"} and len({round(r.p, 9) for r in found}) == 10  # null is a scene; equal scenes, equal models
+    assert {(r.scene, r.p) for r in stack([("x", 1, 0.5), ("x", 1, 0.1), ("z", 0, 0.3)])} == {("x", 0.0), ("z", 1.0)}  # others of one class
+    assert stack([]) == []
+    for bad in (rows[:10], [*rows, ("x", 2, 0.5)], [*rows, ("x", None, 0.5)], [*rows, ("x", 1, None)], [*rows, ("x", 1, float("inf"))]):
+        with pytest.raises(Exception):
+            stack(bad)
+
+
 def test_tasks_of_numbering_joins_and_blocks_grow_with_the_rows(spark, monkeypatch):
     """A task has about ROWS rows, whatever the session's number of shuffle partitions; numbers and blocks are the same."""
     from gridmetric.operators import blocks, ranking
