@@ -158,6 +158,31 @@ def test_the_stacker_learns_from_every_row_of_the_other_scenes(spark):
     assert len(got) == len(want) == 286 and all(g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-8 and g[3] == w[3] for g, w in zip(got, want))
 
 
+def test_tuned_stacker_thresholds_come_from_every_row(spark, data, tmp_path):
+    """Two scenes of more than 300,000 pixels each, equal ones many times; models and thresholds are those of a plain fit by counts."""
+    from gridmetric.plans import runs
+    from gridmetric.sources import fixtures
+
+    copies = 2000
+    line = fixtures.lineitem(spark, data).where("year(l_shipdate) IN (1996, 1997) AND l_returnflag <> 'N' AND l_linestatus = 'O'")
+    line.crossJoin(spark.range(copies).select()).write.parquet(str(tmp_path / "lineitem.parquet"))
+    few = fixtures.pxw_valid(spark, data, "scene", "y", *(f"p_{k}" for k in range(fixtures.N))).where("scene IN (1996, 1997)")
+    few = np.array(few.select("scene", "y", *(f"p_{k}" for k in range(fixtures.N))).collect(), dtype=float)
+    assert min((few[:, 0] == s).sum() for s in (1996, 1997)) * copies > 450_000
+    edges, tp, fp, n = np.linspace(0, 1, 101)[:-1], {}, {}, {}
+    for s in (1996, 1997):
+        other, own = few[few[:, 0] != s], few[few[:, 0] == s]
+        w = _plain_fit(other[:, 2:], other[:, 1], np.full(len(other), float(copies)))
+        p, y = 1 / (1 + np.exp(-(own[:, 2:] @ w[:-1] + w[-1]))), own[:, 1]
+        tp[s], fp[s], n[s] = ([int(copies * (c & (p >= e)).sum()) for e in edges] for c in (y == 1, y == 0, y >= 0))
+    want = {}
+    for s, other in ((1996, 1997), (1997, 1996)):
+        b = int(np.argmax(np.round([t / (f + tp[other][0]) for t, f in zip(tp[other], fp[other])], 9)))
+        want[s] = (b, tp[s][b], fp[s][b], tp[s][0] - tp[s][b])
+    got = {r.held_out: (r.bin, r.tp, r.fp, r.fn) for r in runs.logreg_stacker_tuned(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_the_stacker_on_odd_inputs(spark):
     from gridmetric.operators.ensemble import logistic_stacker
 
