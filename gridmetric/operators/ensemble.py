@@ -366,22 +366,19 @@ def logistic_models(rows: DataFrame, scores: list[str], own: str, counts: list[t
 def logistic_stacker(wide: DataFrame, scores: list[str], scene: str = "scene", c: float = 1.0) -> DataFrame:
     """scene, y, p of a logistic regression on the members' scores, trained on all rows of the other scenes, one model a scene.
 
-    Labels, scores and scenes are stored while models are fitted, so that a round reads them alone.
+    Labels, scores and scenes are stored once: a round and the result read them alone, and a score that is an expression isn't computed again wherever p is used.
     """
-    spark, tables = wide.sparkSession, Tables(wide.sparkSession, "stacker")
-    kept = tables.keep(wide.select(scene, "y", *scores))
-    try:
-        label = lambda v: F.count_if(F.col("y").cast("double") == v)
-        found = kept.groupBy(scene).agg(F.count("*").alias("n"), label(1).alias("positive"), label(0).alias("negative")).collect()  # a row a scene
-        if any(r["n"] != r["positive"] + r["negative"] for r in found):
-            raise ValueError("labels must be 0 or 1")
-        at = StructType([StructField("_scene", wide.schema[scene].dataType), *StructType.fromDDL("_own int").fields])
-        numbers = spark.createDataFrame([(r[0], i) for i, r in enumerate(found)], at)
-        here = lambda rows, x: rows.join(F.broadcast(x), F.col(scene).eqNullSafe(F.col("_scene")))
-        models = logistic_models(here(kept, numbers), scores, "_own", [(r["n"], r["positive"]) for r in found], c)
-    finally:
-        tables.drop(kept)
+    spark = wide.sparkSession
+    kept = Tables(spark, "stacker").keep(wide.select(scene, "y", *scores))
+    label = lambda v: F.count_if(F.col("y").cast("double") == v)
+    found = kept.groupBy(scene).agg(F.count("*").alias("n"), label(1).alias("positive"), label(0).alias("negative")).collect()  # a row a scene
+    if any(r["n"] != r["positive"] + r["negative"] for r in found):
+        raise ValueError("labels must be 0 or 1")
+    at = StructType([StructField("_scene", wide.schema[scene].dataType), *StructType.fromDDL("_own int").fields])
+    numbers = spark.createDataFrame([(r[0], i) for i, r in enumerate(found)], at)
+    here = lambda x: kept.join(F.broadcast(x), F.col(scene).eqNullSafe(F.col("_scene")))
+    models = logistic_models(here(numbers), scores, "_own", [(r["n"], r["positive"]) for r in found], c)
     fields = StructType([at["_scene"], *StructType.fromDDL("_intercept double, _weights array<double>").fields])
     fitted = spark.createDataFrame([(r[0], float(w[-1]), [float(x) for x in w[:-1]]) for r, w in zip(found, models)], fields)
     margin = sum((F.col(s) * F.get("_weights", F.lit(k)) for k, s in enumerate(scores)), F.lit(0.0)) + F.col("_intercept")
-    return here(wide, fitted).select(scene, "y", (1 / (1 + F.exp(-margin))).alias("p"))
+    return here(fitted).select(scene, "y", (1 / (1 + F.exp(-margin))).alias("p"))
